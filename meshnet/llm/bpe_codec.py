@@ -14,7 +14,6 @@ long text is the most that memory must hold.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,61 +26,21 @@ from meshnet.llm import pair_bpe
 from meshnet.plans.scratch import bound_arrow_batches
 from meshnet.plans.tables import read_table
 
-_BYTE_OF = {c: b for b, c in enumerate(pair_bpe.byte_alphabet())}
-
-
-class Codec:
+class Codec(pair_bpe.TextEncoder):
     """Encoder and decoder of a byte-level BPE file of the tokenizers library."""
 
     def __init__(self, path: str):
-        self.tokenizer = pair_bpe.load_tokenizer(path)
-        self.merges = pair_bpe.load_merges(path)
-        self.special = {
-            t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special
-        }
-        self._split = re.compile("|".join(map(re.escape, self.special))) if self.special else None
-        self._cache = pair_bpe.WordCache(self._encode_words)
+        super().__init__(path)
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         size = max([*vocab.values(), *self.special.values()]) + 1
         pieces = [b""] * size
         for token, i in vocab.items():
-            pieces[i] = bytes(_BYTE_OF[c] for c in token)
+            pieces[i] = bytes(map(self._byte_of.__getitem__, token))
         for token, i in self.special.items():
             pieces[i] = token.encode()
         self._bytes = np.frombuffer(b"".join(pieces), np.uint8)
         self._byte_starts = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
 
-    def _encode_words(self, words: list) -> tuple[np.ndarray, np.ndarray]:
-        """A word is a string, or an int: a special token's own id."""
-        plain = [w.encode() if isinstance(w, str) else b"\0" for w in words]
-        tokens, starts = self.merges.encode(plain)
-        for i, w in enumerate(words):
-            if isinstance(w, int):
-                tokens[starts[i]] = w
-        return tokens, starts
-
-    def _words(self, text: str) -> list:
-        if pair_bpe.is_plain(text):
-            return pair_bpe.BYTE_LEVEL_WORDS.findall(text)
-        back = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
-        return [text[lo:hi] for _, (lo, hi) in back]
-
-    def words(self, text: str) -> list:
-        """Words of ``text``; special tokens are ints."""
-        if self._split is None or not any(s in text for s in self.special):
-            return self._words(text)
-        out, at = [], 0
-        for m in self._split.finditer(text):
-            if m.start() > at:
-                out += self._words(text[at : m.start()])
-            out.append(self.special[m[0]])
-            at = m.end()
-        return out + self._words(text[at:]) if at < len(text) else out
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and the number of ids of each."""
-        return self._cache([self.words(t) for t in texts])
-
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """The text of each run of ids, in UTF-8."""
         data, lens = pair_bpe.gather(self._bytes, self._byte_starts, ids.astype(np.int64))
@@ -109,18 +68,6 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-def _slices(texts: list[str], most: int = 8 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about ``most`` characters each."""
-    lo = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= most:
-            yield lo, i + 1
-            lo, size = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
-
-
 def encode_decode(
     df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False
 ) -> DataFrame:
@@ -134,7 +81,7 @@ def encode_decode(
         own = codec(path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for lo, hi in _slices(texts):
+            for lo, hi in pair_bpe.slices(texts):
                 ids, counts = own.encode(texts[lo:hi])
                 decoded = own.decode(ids, counts)
                 edge = np.concatenate([[0], np.cumsum(counts)]).tolist()

@@ -19,8 +19,8 @@ from itertools import chain
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Texts of these characters are split here; others by the tokenizers library itself.
-_BEYOND = re.compile("[^\x00-\u024f\u2010-\u2027]")
+#: Texts without such characters are split here, as their lower case has none either; others by the tokenizers library itself.
+_BEYOND = re.compile("[^\x00-\u017f\u2010-\u2027]")
 
 
 def _class(kind: str) -> str:
@@ -215,3 +215,65 @@ class WordCache:
 def is_plain(text: str) -> bool:
     """Whether the patterns here split ``text`` just as the tokenizers library does."""
     return _BEYOND.search(text) is None
+
+
+class TextEncoder:
+    """Whole texts to ids, as ``encode(text, add_special_tokens=False)`` of the tokenizers library.
+
+    Special tokens are found first; words then come from the patterns above or,
+    for texts with other characters, from the library's own splitting.
+    """
+
+    def __init__(self, path: str):
+        self.tokenizer = load_tokenizer(path)
+        self.merges = load_merges(path)
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = {t.content: i for i, t in added.items() if t.special}
+        self._split = re.compile("|".join(map(re.escape, self.special))) if self.special else None
+        self._lower = self.tokenizer.normalizer is not None
+        self._cache = WordCache(self._encode_words)
+        self._byte_of = {c: b for b, c in enumerate(byte_alphabet())}
+
+    def _encode_words(self, words: list) -> tuple[np.ndarray, np.ndarray]:
+        """A word is a string, or an int: a special token's own id."""
+        tokens, starts = self.merges.encode([w.encode() if isinstance(w, str) else b"\0" for w in words])
+        for i, w in enumerate(words):
+            if isinstance(w, int):
+                tokens[starts[i]] = w
+        return tokens, starts
+
+    def _words(self, text: str) -> list[str]:
+        if is_plain(text):
+            return WORD_END_WORDS.findall(text.lower()) if self._lower else BYTE_LEVEL_WORDS.findall(text)
+        if self._lower:
+            text = self.tokenizer.normalizer.normalize_str(text)
+        pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
+        return [bytes(map(self._byte_of.__getitem__, piece)).decode() for piece, _ in pieces]
+
+    def words(self, text: str) -> list:
+        """Words of ``text``; special tokens are ints."""
+        if self._split is None or not any(s in text for s in self.special):
+            return self._words(text)
+        out, at = [], 0
+        for m in self._split.finditer(text):
+            if m.start() > at:
+                out += self._words(text[at : m.start()])
+            out.append(self.special[m[0]])
+            at = m.end()
+        return out + self._words(text[at:]) if at < len(text) else out
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and the number of ids of each."""
+        return self._cache([self.words(t) for t in texts])
+
+
+def slices(texts: list[str], most: int = 8 << 20):
+    """Ranges of rows with about ``most`` characters each, so that arrays stay small."""
+    lo = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= most:
+            yield lo, i + 1
+            lo, size = i + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts)

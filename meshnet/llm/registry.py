@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshnet.llm import exact_dedup, line_dedup
+from meshnet.llm import bpe_codec, exact_dedup, language_id, line_dedup, packing
 
 _MODULES = {
     "op2_line_dedup": line_dedup,
+    "op4_bpe": bpe_codec,
     "op5_exact_dedup": exact_dedup,
+    "op8_language_id": language_id,
+    "op9_packing": packing,
 }
 
 
