@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshnet.llm import bpe_codec, exact_dedup, language_id, line_dedup, packing
+from meshnet.llm import bpe_codec, exact_dedup, language_id, line_dedup, near_dedup, packing
 
 _MODULES = {
     "op2_line_dedup": line_dedup,
@@ -14,6 +14,7 @@ _MODULES = {
     "op5_exact_dedup": exact_dedup,
     "op8_language_id": language_id,
     "op9_packing": packing,
+    "op10_near_dedup": near_dedup,
 }
 
 
