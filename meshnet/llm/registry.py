@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshnet.llm import bpe_codec, exact_dedup, language_id, line_dedup, near_dedup, packing
+from meshnet.llm import bpe_codec, exact_dedup, exact_topk, language_id, line_dedup, near_dedup, packing, url_filter
 
 _MODULES = {
     "op2_line_dedup": line_dedup,
     "op4_bpe": bpe_codec,
     "op5_exact_dedup": exact_dedup,
+    "op6_url_filter": url_filter,
+    "op7_exact_topk": exact_topk,
     "op8_language_id": language_id,
     "op9_packing": packing,
     "op10_near_dedup": near_dedup,
