@@ -6,10 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshnet.llm import bpe_codec, exact_dedup, exact_topk, language_id, line_dedup, near_dedup, packing, url_filter
+from meshnet.llm import (
+    bpe_codec,
+    exact_dedup,
+    exact_topk,
+    language_id,
+    license_scan,
+    line_dedup,
+    near_dedup,
+    packing,
+    url_filter,
+    warc,
+)
 
 _MODULES = {
+    "op1_license_scan": license_scan,
     "op2_line_dedup": line_dedup,
+    "op3_warc": warc,
     "op4_bpe": bpe_codec,
     "op5_exact_dedup": exact_dedup,
     "op6_url_filter": url_filter,
