@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import numpy as np
@@ -15,14 +16,10 @@ STARTS = ("uniform", "sample", "plus", "cluster")
 
 
 def _distances(features: Column, centres: np.ndarray) -> Column:
-    """Squared distance to each centre, as an array."""
-    return F.array(
-        *(
-            F.aggregate(
-                F.zip_with(features, F.array(*(F.lit(float(x)) for x in c)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x
-            )
-            for c in centres
-        )
+    """Squared distance to each centre, as an array; the centres are one folded constant."""
+    table = F.from_json(F.lit(json.dumps(np.asarray(centres, float).tolist())), "array<array<double>>")
+    return F.transform(
+        table, lambda c: F.aggregate(F.zip_with(features, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x)
     )
 
 

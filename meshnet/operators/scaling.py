@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: Factors at or below this are raised to it, so that constant columns can be divided by theirs.
 LEAST = 1e-16
-METHODS = ("auto", "pareto", "range", "vast", "max", "level", "none", "vast_squared", "max_abs", "kurtosis", "pareto_kurtosis", "range_kurtosis")
+METHODS = ("auto", "pareto", "range", "vast", "max", "level", "none", "vast_squared", "max_abs", "kurtosis", "max_kurtosis", "range_kurtosis")
 
 
 def _statistics(c: str) -> list[Column]:
@@ -22,8 +22,9 @@ def _factor(method: str, mean: float, std: float, low: float, high: float, size:
     kurt = (kurtosis or 0.0) + 3.0
     return {
         "auto": std, "pareto": std**0.5, "range": high - low, "vast": std * mean, "max": high, "level": mean, "none": 1.0,
-        "vast_squared": std**2 / mean if mean else 0.0, "max_abs": size, "kurtosis": std**2 * kurt / mean if mean else 0.0,
-        "pareto_kurtosis": std * kurt / mean if mean else 0.0, "range_kurtosis": std**2 * kurt / (high - low) if high > low else 0.0,
+        "vast_squared": std**2 / mean if mean else 0.0, "max_abs": size,
+        "kurtosis": (std * kurt) ** 2 / mean if mean else 0.0, "max_kurtosis": (std * kurt) ** 2 / size if size else 0.0,
+        "range_kurtosis": (std * kurt) ** 2 / (high - low) if high > low else 0.0,
     }[method]
 
 
@@ -71,11 +72,11 @@ def scale(df: DataFrame, columns: Sequence[str], method: str = "auto", center: b
     out = {}
     for c in columns:
         mean, std, low, high, size, kurt = (F.col(f"__{c}_{i}") for i in range(6))
+        tailed = F.pow(std * (kurt + 3), F.lit(2))
         factor = {
             "auto": std, "pareto": F.sqrt(std), "range": high - low, "vast": std * mean, "max": high, "level": mean,
             "none": F.lit(1.0), "max_abs": size, "vast_squared": F.try_divide(std * std, mean),
-            "kurtosis": F.try_divide(std * std * (kurt + 3), mean), "pareto_kurtosis": F.try_divide(std * (kurt + 3), mean),
-            "range_kurtosis": F.try_divide(std * std * (kurt + 3), high - low),
+            "kurtosis": F.try_divide(tailed, mean), "max_kurtosis": F.try_divide(tailed, size), "range_kurtosis": F.try_divide(tailed, high - low),
         }[method]
         factor = F.when(F.abs(factor) < LEAST, F.lit(LEAST)).otherwise(F.coalesce(factor, F.lit(LEAST)))
         out[c] = (F.col(c) - (mean if center else F.lit(0.0))) / factor

@@ -456,6 +456,17 @@ def reactor_decks(spark, d):
     return decks.reactor_decks(_network(spark, d)[0].withColumn("isothermal", F.lit(True)))
 
 
+@query("coded_reactor_decks")
+def coded_reactor_decks(spark, d):
+    """Nations as adiabatic tanks, tubes and cooled tanks by turns, in the older dialect."""
+    air = F.array(*(F.struct(F.lit(s).alias("species"), F.lit(y).alias("y")) for s, y in (("O2", 0.232), ("N2", 0.768))))
+    rows = external(spark, d).select(
+        F.col("rid").cast("int").alias("rid"), (F.col("rid") % 3).cast("int").alias("code"), F.lit(1500.0).alias("T"), F.lit(101325.0).alias("P"), air.alias("Y"),
+        (F.col("rid") + 1.0).alias("volume"), F.lit(1000.0).alias("L"), F.lit(10.0).alias("D"),
+    )
+    return decks.cgs_decks(decks.coded_reactors(rows, trade_flows(spark, d), external(spark, d), heat=5e4, outlet_t=1200.0))
+
+
 @query("network_deck")
 def network_deck(spark, d):
     reactors, flows = _network(spark, d)
@@ -479,6 +490,10 @@ _FACTORS = {
 }
 
 
+for _name, _by in (("kurtosis", "avg({c})"), ("max_kurtosis", "max(abs({c}))"), ("range_kurtosis", "(max({c}) - min({c}))")):
+    _FACTORS[_name] = "(SELECT var_pop({c}) * (kurtosis_pop({c}) + 3) * (kurtosis_pop({c}) + 3) / " + _by + " FROM lineitem)"
+
+
 def _digest(scaled: DataFrame, digits: int = 8) -> DataFrame:
     aggs = [f(F.col(c)).alias(f"{n}_{c}") for c in FOUR for n, f in (("avg", F.avg), ("min", F.min), ("max", F.max))]
     return rounded(scaled.groupBy(*_GROUP).agg(*aggs), digits, *(f"{n}_{c}" for c in FOUR for n in ("avg", "min", "max")))

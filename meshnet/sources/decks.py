@@ -168,28 +168,33 @@ def exchange_coefficient(heat: Column, area: Column, outlet_t: Column, env_t: Co
 def cgs_decks(reactors: DataFrame) -> DataFrame:
     """``rid, deck`` in cm3 and mass fractions, the older dialect.
 
-    ``reactors`` has ``rid, T, P, Y array<struct<species,y>>`` and at least two of ``volume`` (cm3), ``Mf`` and ``tau``;
-    optional ``isothermal, U, A, Tenv, kincorr, Tmean, Tvar, diffusivity, initial, abstol, reltol, sensitivity array<string>, basis``.
+    ``reactors`` has ``rid, T, P, Y array<struct<species,y>>`` and at least two of ``volume`` (cm3), ``Mf`` and ``tau``,
+    or for an ``rtype`` of PFR ``Mf``, ``L`` and ``D`` (mm); optional ``isothermal, U, A, Tenv, kincorr, Tmean, Tvar, diffusivity, initial, abstol, reltol, sensitivity array<string>, basis``.
     """
-    types = {"volume": "double", "Mf": "double", "tau": "double", "isothermal": "boolean", "U": "double", "A": "double", "Tenv": "double", "kincorr": "boolean",
+    types = {"rtype": "string", "L": "double", "D": "double", "volume": "double", "Mf": "double", "tau": "double", "isothermal": "boolean", "U": "double", "A": "double", "Tenv": "double", "kincorr": "boolean",
              "Tmean": "double", "Tvar": "double", "diffusivity": "double", "initial": "boolean", "abstol": "double", "reltol": "double",
              "sensitivity": "array<string>", "basis": "string"}
     r = reactors.select("rid", "T", "P", "Y", *(F.col(c).cast(t).alias(c) if c in reactors.columns else F.lit(None).cast(t).alias(c) for c, t in types.items()))
     given = sum((F.col(c).isNotNull().cast("int") for c in ("volume", "Mf", "tau")), F.lit(0))
-    if r.where(given < 2).limit(1).count():
-        raise ValueError("give at least two of volume, mass flow and residence time")
+    tube = F.coalesce(F.col("rtype") == "PFR", F.lit(False))
+    lacking = F.when(tube, F.col("Mf").isNull() | F.col("L").isNull() | F.col("D").isNull()).otherwise(given < 2)
+    if r.where(lacking).limit(1).count():
+        raise ValueError("give at least two of volume, mass flow and residence time, of a PFR mass flow, length and diameter")
     hot = ~F.coalesce("isothermal", F.lit(False))
     head = F.concat(
-        F.lit("Dictionary PerfectlyStirredReactor \n{ \n      @KineticsFolder     dummy; \n      @InletStatus        Inlet-Mixture; \n"),
+        F.when(tube, "Dictionary PlugFlowReactor \n").otherwise("Dictionary PerfectlyStirredReactor \n"),
+        F.lit("{ \n      @KineticsFolder     dummy; \n      @InletStatus        Inlet-Mixture; \n"),
         _if(F.col("initial"), "       @InitialStatus     Initial-Status; \n"),
         _if(F.col("abstol").isNotNull(), "       @OdeParameters       ode-settings; \n"),
         _if(F.col("sensitivity").isNotNull(), "        @SensitivityAnalysis      sensitivity; \n"),
-        F.when(hot, "      @Type               NonIsothermal-ConstantPressure; \n").otherwise("      @Type               Isothermal-ConstantPressure; \n"),
+        F.lit("      @Type               "), F.when(hot, "NonIsothermal").otherwise("Isothermal"),
+        F.when(tube, "; \n      @ConstantPressure   true; \n").otherwise("-ConstantPressure; \n"),
         _if(hot, _show("      @GlobalThermalExchangeCoefficient   %e W/m2/K; \n      @ExchangeArea               %e m2; \n      @EnvironmentTemperature     %e K;  \n",
                        F.col("U"), F.col("A"), F.col("Tenv"))),
         _if(F.col("kincorr"), "      @KineticCorrections     kinetic-corrections; \n"),
         _show("      @TurbulentDiffusivity     %e kg/m/s; \n", F.col("diffusivity")),
-        _show("      @Volume             %e cm3; \n", F.col("volume")),
+        _if(tube, _show("      @Diameter           %e mm; \n      @Length             %e mm; \n", F.col("D"), F.col("L"))),
+        _show("      @Volume             %e cm3; \n", F.when(~tube, F.col("volume"))),
         _show("      @MassFlowRate      %e kg/s;   \n", F.col("Mf")),
         _show("      @ResidenceTime      %e s;   \n", F.col("tau")),
         F.lit("} \n"),
@@ -208,7 +213,31 @@ def cgs_decks(reactors: DataFrame) -> DataFrame:
         _if(F.col("kincorr"), F.format_string("\n Dictionary kinetic-corrections \n { \n     @AverageTemperature     %e; \n     @TemperatureVariance    %e; \n     @Type beta; \n } \n",
                                               "Tmean", "Tvar")),
     )
-    return r.select("rid", F.format_string("input.cstr.%d.dic", "rid").alias("file"), F.concat(head, inlet, tail).alias("deck"))
+    file = F.format_string("input.%s.%d.dic", F.when(tube, "pfr").otherwise("cstr"), F.col("rid"))
+    return r.select("rid", file.alias("file"), F.concat(head, inlet, tail).alias("deck"))
+
+
+#: Kinds of coded reactors, and the factor by which their flows are written.
+ADIABATIC_TANK, TUBE, COOLED_TANK, CODED_FACTOR = 0, 1, 2, 10_000.0
+
+
+def coded_reactors(
+    reactors: DataFrame, flows: DataFrame, external: DataFrame, heat: float, outlet_t: float, area: float = 1.0, env_t: float = 300.0, factor: float = CODED_FACTOR
+) -> DataFrame:
+    """``reactors(rid, code, T, P, Y, ...)`` ready for :func:`cgs_decks`: type, heat exchange and mass flow by code.
+
+    Mass flow is all that enters, times ``factor``; a cooled tank exchanges ``heat`` with its surroundings.
+    """
+    into = (
+        flows.select(F.col("dst").alias("rid"), F.col("mass").alias("m"))
+        .unionByName(external.select("rid", F.col("inlet").alias("m")))
+        .groupBy("rid").agg((F.sum("m") * F.lit(factor)).alias("Mf"))
+    )
+    cooled, u = F.col("code") == COOLED_TANK, exchange_coefficient(F.lit(heat), F.lit(area), F.lit(outlet_t), F.lit(env_t))
+    return reactors.join(into, "rid", "left").withColumns(
+        {"Mf": F.coalesce("Mf", F.lit(0.0)), "rtype": F.when(F.col("code") == TUBE, "PFR").otherwise("PSR"), "U": F.when(cooled, u),
+         "A": F.when(cooled, F.lit(area)), "Tenv": F.when(cooled, F.lit(env_t))}
+    )
 
 
 def write_decks(decks: DataFrame, folder: str) -> None:

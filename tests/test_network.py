@@ -166,6 +166,17 @@ def test_older_decks(spark):
         decks.cgs_decks(r.drop("Mf"))
 
 
+def test_coded_reactors(spark, two):
+    y = [("O2", 0.232), ("N2", 0.768)]
+    rows = table(spark, [(0, 0, 300.0, 101325.0, y, 5.0, 1.0, 1.0), (1, 1, 300.0, 101325.0, y, 5.0, 900.0, 10.0), (2, 2, 300.0, 101325.0, y, 5.0, 1.0, 1.0)],
+                 "rid int, code int, T double, P double, Y array<struct<species:string,y:double>>, volume double, L double, D double")
+    text = {r.file: r.deck for r in decks.cgs_decks(decks.coded_reactors(rows, *two, heat=900.0, outlet_t=1200.0)).collect()}
+    assert sorted(text) == ["input.cstr.0.dic", "input.cstr.2.dic", "input.pfr.1.dic"]
+    assert "@MassFlowRate      2.000000e+04 kg/s" in text["input.cstr.0.dic"] and "Coefficient" not in text["input.cstr.0.dic"]
+    assert "@GlobalThermalExchangeCoefficient   1.000000e+00 W/m2/K" in text["input.cstr.2.dic"]
+    assert "PlugFlowReactor" in text["input.pfr.1.dic"] and "@Length             9.000000e+02 mm" in text["input.pfr.1.dic"] and "@Volume" not in text["input.pfr.1.dic"]
+
+
 def test_solver_files(spark, tmp_path):
     head = "t[s](1) T0[K](2) T[K](3) P[Pa](4) H2_x(5) NO_x(6) H2_w(7) NO_w(8)"
     for rid, t in ((0, 1500.0), (10, 1272.0)):
