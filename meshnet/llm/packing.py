@@ -185,7 +185,8 @@ def pack(
     earlier = counts.select(
         "task", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("earlier")
     )
-    ranked = pieces.join(earlier, ["task", "length"]).withColumn("rank", F.col("nth") + F.col("earlier"))
+    # The counts grow with the number of tasks, so they are merged, never broadcast.
+    ranked = pieces.join(earlier.hint("merge"), ["task", "length"]).withColumn("rank", F.col("nth") + F.col("earlier"))
     out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     tail = ["ids"] if with_ids else []
 
