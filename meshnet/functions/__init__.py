@@ -1 +1 @@
-
+"""Column expressions: chemistry and features."""

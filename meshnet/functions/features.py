@@ -7,13 +7,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshnet.functions.chem import mole_to_mass
+from meshnet.functions.chem import mole_to_mass, species_of
 
 #: Species of the ready-made sets.
 SPECIES_SETS = {
     "major": ["O2", "OH", "H2O", "CH4", "H2"],
     "coord": ["OH", "O", "H"],
     "reduced_set": ["OH", "H", "O", "CO2", "CO", "NO"],
+    "pure_h2": ["O2", "OH", "H2O", "H2", "H", "O", "H2O2", "HO2", "N2"],
+    "ammonia": ["O2", "NH3", "OH", "NO", "H2", "NO2", "O", "H"],
 }
 #: Factors from metres to the units of decks, and around the axis.
 M3_TO_CM3, M_TO_MM, TWO_PI = 1e6, 1e3, 6.283185307179586
@@ -48,6 +50,26 @@ def square_roots(values: Sequence[Column]) -> list[Column]:
     return [F.sqrt(v) for v in values]
 
 
+def species_features(df: DataFrame, dataset: str, temperature: str, coordinates: Sequence[str] = ()) -> DataFrame:
+    """``df`` with ``features``: temperature, and the species of a set that are columns of ``df``, by label.
+
+    A column's label is the part after its last hyphen, in capitals. ``all`` takes every column with such a prefix;
+    ``coord`` puts the first two ``coordinates`` in front, ``ammonia`` takes square roots.
+    """
+    labels = {species_of(c): c for c in df.columns if "-" in c or species_of(c) == c}
+    if dataset == "all":
+        chosen = [c for c in df.columns if "-" in c]
+    elif dataset in SPECIES_SETS:
+        chosen = [labels[s] for s in SPECIES_SETS[dataset] if s in labels]
+    else:
+        raise ValueError(f"no set {dataset!r}")
+    columns = [F.col(f"`{c}`") for c in chosen]
+    if dataset == "ammonia":
+        columns = square_roots(columns)
+    front = [F.col(c) for c in coordinates[:2]] if dataset == "coord" else [F.col(temperature)]
+    return df.withColumn("features", F.array(*(c.cast("double") for c in (*front, *columns))))
+
+
 def log_scale(x: Column) -> Column:
     """``ln |x|``, and -100 for 0."""
     return F.when(x == 0, F.lit(-100.0)).otherwise(F.ln(F.abs(x)))

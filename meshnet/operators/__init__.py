@@ -1 +1 @@
-
+"""Operators on cells, faces, clusters and reactor networks."""

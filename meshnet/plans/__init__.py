@@ -1 +1 @@
-
+"""Reading tables and cutting plans."""
