@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshnet.plans.scratch import ship_package
+
 
 def moments(df: DataFrame, features: str = "features", cluster: str | None = None) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
     """Count, sum and sum of outer products of ``features`` by cluster (all in 0 if none).
@@ -37,6 +39,7 @@ def moments(df: DataFrame, features: str = "features", cluster: str | None = Non
                 ["k", "n", "s", "p"],
             )
 
+    ship_package(df.sparkSession)
     rows = df.where(F.col(features).isNotNull()).select(key.alias("k"), F.col(features).cast("array<double>").alias("x"))
     out: dict[int, tuple[float, np.ndarray, np.ndarray]] = {}
     for r in rows.mapInArrow(run, "k long, n double, s array<double>, p array<double>").collect():

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshnet.operators.pca import PCA, moments
+from meshnet.plans.scratch import ship_package
 
 INITS = ("kmeans", "random", "uniform", "bins", "score")
 
@@ -45,6 +46,7 @@ def assign(df: DataFrame, models: dict[int, PCA], features: str = "features", ke
                 [*keep, "cluster", "error"],
             )
 
+    ship_package(df.sparkSession)
     rows = df.where(F.col(features).isNotNull()).select(*keep, F.col(features).cast("array<double>").alias("__x"))
     schema = df.select(*keep, F.lit(0).alias("cluster"), F.lit(0.0).alias("error")).schema
     return rows.mapInArrow(run, schema)
@@ -75,6 +77,7 @@ def _pass(df: DataFrame, models: dict[int, PCA], features: str) -> tuple[dict[in
                 ["k", "n", "s", "p", "e"],
             )
 
+    ship_package(df.sparkSession)
     rows = df.where(F.col(features).isNotNull()).select(F.col(features).cast("array<double>").alias("x"))
     found: dict[int, list] = {}
     for r in rows.mapInArrow(run, "k long, n double, s array<double>, p array<double>, e double").collect():
@@ -208,6 +211,7 @@ class VQPCA:
                     [*keep, "cluster", features],
                 )
 
+        ship_package(df.sparkSession)
         rows = df.where(F.col(features).isNotNull()).select(*keep, F.col(features).cast("array<double>").alias("__x"))
         schema = df.select(*keep, F.lit(0).alias("cluster"), F.col(features).cast("array<double>").alias(features)).schema
         return rows.mapInArrow(run, schema)

@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,11 +48,29 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once a context, wherever the driver found it.
+
+    The archive is handed to Spark, which serves it; nothing else reads the file.
+    """
+    sc, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if sc.applicationId in _SHIPPED or not root.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="meshnet-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    _SHIPPED.add(sc.applicationId)
+
+
 def bound_arrow_batches(spark: SparkSession, max_bytes: int = 16 << 20) -> None:
     """Bound what one Arrow batch holds by bytes, so very long texts don't pile up.
 
-    A lower limit that the session already has is left alone.
+    A lower limit that the session already has is left alone. Operators that run
+    Python call this, so the package is shipped here too.
     """
+    ship_package(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     try:
         now = int(spark.conf.get(key, "2147483647"))

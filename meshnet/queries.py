@@ -436,7 +436,7 @@ def _network(spark, d):
 @query("network_reactors", _NET + """SELECT CAST(cluster AS INTEGER) AS rid, round(CAST(volume AS DOUBLE), 4) AS volume, CAST(NULL AS DOUBLE) AS tau,
 round(coalesce(Mf, 0), 4) AS Mf, round(T, 4) AS T, false AS isinput, coalesce(outlet > 0, false) AS isoutput
 FROM r LEFT JOIN mf ON mf.rid = cluster LEFT JOIN ext ON ext.rid = cluster
-UNION ALL SELECT new, NULL, 1e-6, round(inlet, 4), NULL, true, false FROM e""")
+UNION ALL SELECT CAST(new AS INTEGER), NULL, 1e-6, round(inlet, 4), NULL, true, false FROM e""")
 def network_reactors(spark, d):
     return rounded(rounded(_network(spark, d)[0].select("rid", "volume", "tau", "Mf", "T", "isinput", "isoutput"), 4, "volume", "T"), 4, "Mf")
 
@@ -449,7 +449,7 @@ def network_flows(spark, d):
 @query("reactor_decks", _NET + """SELECT CAST(cluster AS INTEGER) AS rid, printf('input.cstr.%d.dic', cluster) AS file,
 printf('Dictionary PerfectlyStirredReactor \n { \n     @Type     Isothermal-ConstantPressure;\n     @KineticsFolder     dummy;\n     @Volume    %e m3;\n     @MassFlowRate    %e kg/s;\n} \n',
        CAST(volume AS DOUBLE), coalesce(Mf, 0::DOUBLE)) AS deck FROM r LEFT JOIN mf ON rid = cluster
-UNION ALL SELECT new, printf('input.cstr.%d.dic', new),
+UNION ALL SELECT CAST(new AS INTEGER), printf('input.cstr.%d.dic', new),
 printf('Dictionary PerfectlyStirredReactor \n { \n     @Type     Isothermal-ConstantPressure;\n     @KineticsFolder     dummy;\n     @ResidenceTime    %e s;\n     @MassFlowRate    %e kg/s;\n} \n',
        1e-6::DOUBLE, inlet) FROM e""".replace("\\n", "' || chr(10) || '"))
 def reactor_decks(spark, d):
@@ -879,7 +879,7 @@ def _folder_rows(spark, d) -> DataFrame:
     return raw.select(F.regexp_extract(F.col("_metadata.file_path"), r"/Reactor\.(\d+)/", 1).cast("int").alias("rid"), F.col("value").alias("text"))
 
 
-@query("solver_outputs", _SOLVER + "SELECT rid, 1000.0 + rid AS T, 101325.0::DOUBLE AS P, " + ", ".join(f"round({s}, 8) AS {s}" for s in WEIGHTS) + " FROM n")
+@query("solver_outputs", _SOLVER + "SELECT rid, CAST(1000 + rid AS DOUBLE) AS T, 101325.0::DOUBLE AS P, " + ", ".join(f"round({s}, 8) AS {s}" for s in WEIGHTS) + " FROM n")
 def solver_outputs(spark, d):
     last = solver.states(solver.table_rows(_folder_rows(spark, d)))
     return rounded(last.select("rid", "T", "P", *(F.col("X")[s].alias(s) for s in WEIGHTS)), 8, *WEIGHTS)
