@@ -141,7 +141,7 @@ def train(
 
         for batch in batches:
             texts, langs = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), object)
-            for lo, hi in slices(texts, 4 << 20):
+            for lo, hi in slices(texts, 1 << 20):
                 doc, key, counts = trigrams(texts[lo:hi])
                 spoken = langs[lo:hi][doc] if len(doc) else np.zeros(0, object)
                 for lang in sorted(set(spoken)):
@@ -193,7 +193,7 @@ def label_language(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(len(kept)).to_pylist()]
-            for lo, hi in slices(texts, 4 << 20):
+            for lo, hi in slices(texts, 1 << 20):
                 names, score = prototypes.predict(texts[lo:hi])
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(

@@ -13,8 +13,8 @@ import heapq
 import json
 import re
 import unicodedata
+from collections.abc import Iterable
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -186,21 +186,26 @@ class WordCache:
     bounds memory and changes no result.
     """
 
-    def __init__(self, encode, most: int = 600_000):
+    def __init__(self, encode, most: int = 300_000):
         self.encode, self.most = encode, most
         self._empty()
 
     def _empty(self) -> None:
         self.words, self.tokens, self.starts = WordIds(), np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def __call__(self, texts_of_words: list[list]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all the texts in a row, and the number of ids of each text."""
+    def __call__(self, texts_of_words: Iterable[list]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all the texts in a row, and the number of ids of each text.
+
+        Texts are taken one by one, so the words of one text alone are in memory besides the distinct ones.
+        """
         if len(self.words) > self.most:
             self._empty()
         known = len(self.words)
         number = self.words.__getitem__
-        counts = np.fromiter(map(len, texts_of_words), np.int64, len(texts_of_words))
-        which = np.fromiter(map(number, chain.from_iterable(texts_of_words)), np.int64, int(counts.sum()))
+        numbered = [np.fromiter(map(number, words), np.int32, len(words)) for words in texts_of_words]
+        counts = np.fromiter(map(len, numbered), np.int64, len(numbered))
+        which = np.concatenate(numbered) if numbered else np.zeros(0, np.int32)
+        del numbered
         if len(self.words) > known:
             fresh = list(self.words)[known:] if known else list(self.words)
             tokens, starts = self.encode(fresh)
@@ -264,10 +269,10 @@ class TextEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the number of ids of each."""
-        return self._cache([self.words(t) for t in texts])
+        return self._cache(map(self.words, texts))
 
 
-def slices(texts: list[str], most: int = 8 << 20):
+def slices(texts: list[str], most: int = 4 << 20):
     """Ranges of rows with about ``most`` characters each, so that arrays stay small."""
     lo = size = 0
     for i, t in enumerate(texts):
