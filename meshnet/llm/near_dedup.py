@@ -16,7 +16,13 @@ by a matrix product, then alignment of words in a band, only between texts not
 yet connected. So a chunk returns a spanning forest of its links, never all
 pairs, and a hot bucket is spread over many tasks. A group beyond one chunk
 compares every member with the smallest, and members of a chunk with each other.
-Components of the links are the classes.
+
+If that leaves such a group in several components, its members are filed under
+their rarest shingles, a fifth of them and one more: two texts of similarity 0.8
+share one of those (prefix filter). Texts filed under one shingle are compared
+with each other unless all are connected; beyond one chunk, by tasks of two
+half chunks each, for every two halves that aren't of one component. So no pair
+of a group goes unseen, whatever its size. Components of all links are the classes.
 
 Cases: a text without words (null, empty, signs only) is near to identical
 texts alone, null being empty. Texts under five words are near to texts of the
@@ -163,8 +169,11 @@ def banded_distance(a: list[int], b: list[int], limit: int) -> int | None:
     return None
 
 
-def links(texts: list[str], threshold: float = SIMILARITY) -> list[tuple[int, int]]:
-    """A spanning forest of the near pairs among ``texts``, as positions."""
+def links(texts: list[str], known: list[int], threshold: float = SIMILARITY) -> list[tuple[int, int]]:
+    """A spanning forest of the near pairs among ``texts``, as positions.
+
+    Texts of one number in ``known`` are connected from the start.
+    """
     words = [words_of(t) for t in texts]
     sets = [np.unique(shingles(w)) for w in words]
     sizes = np.array([len(s) for s in sets])
@@ -187,7 +196,8 @@ def links(texts: list[str], threshold: float = SIMILARITY) -> list[tuple[int, in
     union = sizes[:, None] + sizes[None, :] - common.astype(np.int64)
     x, y = np.nonzero(np.triu((common > 0) & (common >= threshold * union - 1e-9), 1))
     best = np.argsort(-common[x, y] / union[x, y], kind="stable")
-    root = list(range(len(texts)))
+    first: dict[int, int] = {}
+    root = [first.setdefault(c, i) for i, c in enumerate(known)]
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -227,30 +237,116 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``leader, salt, id, text`` sorted by the first two, to links ``src, dst``."""
+    """Rows ``leader, salt, known, id, text`` sorted by the first two, to links ``src, dst``."""
 
-    def done(ids: list[int], texts: list[str]) -> pa.RecordBatch | None:
-        if len(ids) < 2:
+    def done(ids: list[int], known: list[int], texts: list[str]) -> pa.RecordBatch | None:
+        if len(set(known)) < 2:
             return None
-        found = [(ids[i], ids[j]) for i, j in links(texts)]
+        found = [(ids[i], ids[j]) for i, j in links(texts, known)]
         if not found:
             return None
         a, b = (np.array(c, np.int64) for c in zip(*found, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["src", "dst"])
 
-    group, ids, texts = None, [], []
+    group, ids, connected, texts = None, [], [], []
     for batch in batches:
-        for leader, salt, i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for leader, salt, known, i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (leader, salt) != group:
-                if out := done(ids, texts):
+                if out := done(ids, connected, texts):
                     yield out
-                group, ids, texts = (leader, salt), [], []
+                group, ids, connected, texts = (leader, salt), [], [], []
             ids.append(i)
+            connected.append(known)
             texts.append(text)
-    if out := done(ids, texts):
+    if out := done(ids, connected, texts):
         yield out
 
 
+def _verified(named: DataFrame, places: DataFrame) -> DataFrame:
+    """Links among the texts of each ``leader, salt`` of ``places``, which has ``rep, known`` besides."""
+    places = places.groupBy("rep", "known").agg(F.collect_list(F.struct("leader", "salt")).alias("places"))
+    return (
+        named.dropDuplicates(["id"])
+        .join(places, named.id == places.rep)
+        .select("id", "known", "text", F.explode("places").alias("place"))
+        .select("place.leader", "place.salt", "known", "id", "text")
+        .repartition("leader", "salt")
+        .sortWithinPartitions("leader", "salt", "id")
+        .mapInArrow(_verify, "src long, dst long")
+    )
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id, text`` to ``id, shingles``, each once."""
+    for batch in batches:
+        sets = [np.unique(shingles(words_of(t))).view(np.int64) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+
+
+def _filed(named: DataFrame, members: DataFrame) -> DataFrame:
+    """``key, rep``: each of ``members`` under its rarest shingles, without those of one text alone."""
+    texts = named.dropDuplicates(["id"]).join(members.select("rep"), F.col("id") == F.col("rep"), "left_semi")
+    sets = materialize(texts.select("id", "text").mapInArrow(_shingle_sets, "id long, shingles array<long>"), "shingles")
+    each = sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    # Texts differ in at most a fifth of the larger, so of one more than that the first in common is one.
+    # Shingles of one text are its rarest: they take places of that number, but lead nowhere.
+    places = F.floor((1 - SIMILARITY) * F.col("n") + 1e-9) + 1 - F.col("n") + F.size("ordered")
+    return (
+        each.join(shared, "key")
+        .groupBy("id", "n")
+        .agg(F.sort_array(F.collect_list(F.struct("texts", "key"))).alias("ordered"))
+        .select("id", "ordered", places.cast("int").alias("places"))
+        .where("places > 0")
+        .select(F.explode(F.slice("ordered", F.lit(1), F.col("places"))).alias("entry"), F.col("id").alias("rep"))
+        .select("entry.key", "rep")
+    )
+
+
+def _across(named: DataFrame, groups: DataFrame, components: DataFrame, chunk: int) -> DataFrame | None:
+    """Links that ``groups`` (``leader, rep``) still lack between chunks; None if each is one component."""
+    groups = groups.unionByName(groups.select("leader", F.col("leader").alias("rep")).distinct())
+    groups = groups.join(components, F.col("rep") == F.col("node"), "left").select(
+        "leader", "rep", F.coalesce("component", "rep").alias("known")
+    )
+    several = groups.groupBy("leader").agg(F.min("known").alias("lo"), F.max("known").alias("hi")).where("lo < hi")
+    members = materialize(groups.join(several, "leader", "left_semi").select("rep", "known").distinct(), "open")
+    if members.limit(1).count() == 0:
+        return None
+    filed = materialize(_filed(named, members).join(members, "rep"), "filed")
+    # Neighbouring shingles often have the very same texts: one of them will do.
+    x, y = F.bit_xor(F.xxhash64("rep")), F.bit_xor(F.xxhash64("rep", F.lit(1)))
+    keys = (
+        filed.groupBy("key")
+        .agg(F.count(F.lit(1)).alias("n"), x.alias("x"), y.alias("y"), F.min("known").alias("lo"), F.max("known").alias("hi"))
+        .where("lo < hi")
+        .groupBy("n", "x", "y")
+        .agg(F.min("key").alias("key"))
+    )
+    filed = materialize(filed.join(keys.select("key", "n"), "key"), "keyed")
+    small = filed.where(F.col("n") <= chunk).select("rep", "known", F.col("key").alias("leader"), F.lit("").alias("salt"))
+    hot = filed.where(F.col("n") > chunk)
+    # Halves of a chunk: of one component where that fills one, of the others together.
+    sizes = hot.groupBy("key", "known").agg(F.count(F.lit(1)).alias("own"))
+    hot = hot.join(sizes, ["key", "known"]).withColumn("whole", F.when(F.col("own") * 2 > chunk, F.col("known")))
+    counts = hot.groupBy("key", "whole").agg(F.ceil(F.count(F.lit(1)) * 2 / chunk).alias("halves"))
+    counts = counts.withColumnsRenamed({"key": "k", "whole": "w"})
+    number = F.pmod(F.xxhash64("rep"), F.col("halves"))
+    hot = hot.join(counts, (F.col("key") == F.col("k")) & F.col("whole").eqNullSafe(F.col("w"))).select(
+        "key", "rep", "known", "whole", F.concat_ws(":", F.coalesce(F.col("whole").cast("string"), F.lit("")), number).alias("half")
+    )
+    hot = materialize(hot, "halves")
+    halves = hot.select("key", "whole", "half").distinct()
+    other = halves.select("key", F.col("whole").alias("whole_b"), F.col("half").alias("half_b"))
+    tasks = (
+        halves.join(other, "key")
+        .where((F.col("half") < F.col("half_b")) & F.coalesce(F.col("whole") != F.col("whole_b"), F.lit(True)))
+        .select("key", F.concat_ws(" ", "half", "half_b").alias("salt"), F.explode(F.array("half", "half_b")).alias("half"))
+    )
+    large = hot.join(tasks, ["key", "half"]).select("rep", "known", F.col("key").alias("leader"), "salt")
+    return materialize(_verified(named, small.unionByName(large)), "links")
+
+
 def near_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK
 ) -> DataFrame:
@@ -282,17 +378,13 @@ def near_classes(
     leaders = salts.select(
         F.col("leader").alias("rep"), "leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
     )
-    places = members.unionByName(leaders).groupBy("rep").agg(F.collect_list(F.struct("leader", "salt")).alias("places"))
-    found = (
-        named.dropDuplicates(["id"])
-        .join(places, named.id == places.rep)
-        .select("id", "text", F.explode("places").alias("place"))
-        .select("place.leader", "place.salt", "id", "text")
-        .repartition("leader", "salt")
-        .sortWithinPartitions("leader", "salt", "id")
-        .mapInArrow(_verify, "src long, dst long")
-    )
-    components = connected_components(materialize(found, "links"))
+    places = members.unionByName(leaders).withColumn("known", F.col("rep"))
+    found = materialize(_verified(named, places), "links")
+    components = connected_components(found)
+    groups = pairs.join(salts.where("salts > 1"), "leader").select("leader", "rep")
+    more = _across(named, groups, components, chunk)
+    if more is not None and more.limit(1).count():
+        components = connected_components(found.unionByName(more))
     classes = (
         reps.select("digest", "rep")
         .join(components, F.col("rep") == F.col("node"), "left")

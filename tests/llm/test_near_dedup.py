@@ -98,6 +98,27 @@ def test_large_group_is_one_class(spark):
     assert {c for _, c, _ in result(df, chunk=64)} == {0}
 
 
+def form_letters(rng, n, words=60, slots=4, values=12):
+    """Texts of one form, alike where most slots have the same value; value k is taken as 1/k. The first is like none."""
+    form = prose(rng, "en", words).split(" ")
+    out = [" ".join([*form[:30], *prose(rng, "fr", 20).split(" "), *form[30:]])]
+    for _ in range(n - 1):
+        own = list(form)
+        for s in range(slots):
+            own[(s + 1) * words // (slots + 1)] = f"s{s}v{int(values ** rng.random())}"
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("chunk", [4, 16])
+def test_groups_beyond_a_chunk_miss_no_link(spark, chunk):
+    rows = list(enumerate(form_letters(random.Random(chunk), 250)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute(rows)
+    assert 2 < len({c for _, c, _ in want}) < 250
+    assert result(df, chunk=chunk) == want
+
+
 def test_long_texts_and_shared_passage(spark):
     rng = random.Random(4)
     passage, long = prose(rng, "en", 60), prose(rng, "fr", 8000)
