@@ -1,12 +1,17 @@
 """The pipeline's rows against plain Python, stage by stage, each on its own input."""
 
+import random
+from functools import partial
+
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from meshnet.llm import near_dedup
 
 from . import test_line_dedup, test_near_dedup
+from .conftest import SCHEMA, rows_of
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
 
@@ -68,3 +73,13 @@ def test_empty_table(spark, empty):
 def test_run(spark, sf):
     rows = corpus_pipeline.run(spark, f"/root/testdata/{sf}")
     assert rows.columns[:2] == ["doc_id", "start"] and rows.count() > 100
+
+
+def test_near_dedup_stage_on_a_group_beyond_a_chunk(spark, monkeypatch):
+    """The stage leaves the chunk at its default, which is small here."""
+    monkeypatch.setattr(near_dedup, "near_classes", partial(near_dedup.near_classes, chunk=16))
+    rows = rows_of(test_near_dedup.form_letters(random.Random(16), 250))
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA).repartition(4), "unused")
+    want = [i for i, _, kept in test_near_dedup.brute([r[:2] for r in rows]) if kept]
+    assert 1 < len(want) < len(rows)
+    assert sorted(r.doc_id for r in out.select("doc_id").collect()) == sorted(want)
