@@ -25,12 +25,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Drop documents whose language can't be told: those without a letter.
 
     Prototypes are learned from all labelled documents of ``docs``. A null
-    ``lang`` of a kept document becomes the predicted one.
+    ``lang`` of a kept document becomes the predicted one, which is ``und`` if
+    nothing could be learned.
     """
     columns = docs.columns
     labelled = language_id.label_language(
-        docs, language_id.train(docs), lang_out="__lang_pred", score_out="__lang_score"
-    ).where(F.col("__lang_pred") != language_id.UNKNOWN)
+        docs, language_id.train(docs), lang_out="__lang_pred", score_out="__lang_score", lettered=True
+    )
     return labelled.withColumn("lang", F.coalesce("lang", "__lang_pred")).select(*(F.col(f"`{c}`") for c in columns))
 
 

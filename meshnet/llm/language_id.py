@@ -83,6 +83,11 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc[real], key[real], counts[real]
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter to tell its language by."""
+    return bool(_numbers()[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any())
+
+
 def bundle(texts: list[str], dimensions: int, group: int = 64) -> np.ndarray:
     """The vectors of texts, one a row; a few texts at a time share their bound trigrams."""
     doc, key, counts = trigrams(texts)
@@ -181,9 +186,12 @@ def train(
 
 def label_language(
     df: DataFrame, prototypes: Prototypes, text_col: str = "text", lang_out: str = "lang_pred",
-    score_out: str = "score", keep: list[str] | None = None,
+    score_out: str = "score", keep: list[str] | None = None, lettered: bool = False,
 ) -> DataFrame:
-    """The columns ``keep`` of ``df`` (all by default) and the predicted language and score."""
+    """The columns ``keep`` of ``df`` (all by default) and the predicted language and score.
+
+    With ``lettered``, only rows whose text has a letter.
+    """
     bound_arrow_batches(df.sparkSession)
     kept = df.columns if keep is None else keep
     if {lang_out, score_out} & set(kept):
@@ -196,10 +204,11 @@ def label_language(
             for lo, hi in slices(texts, 1 << 20):
                 names, score = prototypes.predict(texts[lo:hi])
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays(
+                out = pa.RecordBatch.from_arrays(
                     [*(part.column(i) for i in range(len(kept))), pa.array(names, pa.string()), pa.array(score, pa.float64())],
                     [*kept, lang_out, score_out],
                 )
+                yield out.filter(pa.array(map(has_letter, texts[lo:hi]), pa.bool_())) if lettered else out
 
     schema = rows.select(*(F.col(f"`{c}`") for c in kept), F.lit("").alias(lang_out), F.lit(0.0).alias(score_out)).schema
     return rows.mapInArrow(run, schema)

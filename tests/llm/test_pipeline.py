@@ -83,3 +83,12 @@ def test_near_dedup_stage_on_a_group_beyond_a_chunk(spark, monkeypatch):
     want = [i for i, _, kept in test_near_dedup.brute([r[:2] for r in rows]) if kept]
     assert 1 < len(want) < len(rows)
     assert sorted(r.doc_id for r in out.select("doc_id").collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("labels", [(), ("12 34",), ("some words",)])
+def test_documents_with_letters_stay_whatever_is_learned(spark, labels):
+    """No label, one that nothing can be learned from, or one by the name of the unknown."""
+    texts = ["some words", "other words", "é", "12 34", "", None]
+    rows = rows_of(texts, ["und" if t in labels else None for t in texts])
+    out = corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, SCHEMA), "unused")
+    assert sorted((r.doc_id, r.lang) for r in out.collect()) == [(0, "und"), (1, "und"), (2, "und")]
