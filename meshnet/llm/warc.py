@@ -22,8 +22,10 @@ Other columns, whatever their names, are not read.
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterator
 from datetime import datetime, timezone
+from itertools import chain
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -37,6 +39,8 @@ from meshnet.plans.tables import read_table
 REVISIT_BYTES = 1000
 #: Up to so many winners are broadcast; more are joined by a shuffle.
 BROADCAST_WINNERS = 20_000
+#: Rows of each run that a merge holds.
+CURSOR_ROWS = 256
 END = "\r\n"
 #: Fixed value: the profile of a revisit by payload digest.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -233,27 +237,62 @@ class LoserTree:
             self._climb(run)
 
 
+def _key(row: tuple, at: list[int]) -> tuple:
+    """Nulls sort first and never meet a value in a comparison."""
+    return tuple((v is not None, v) if v is not None else (False,) for v in (row[i] for i in at))
+
+
+def _write_runs(batches: Iterator[pa.RecordBatch], run_at: int, folder: str) -> list[str]:
+    """One Arrow file a run in ``folder``, in order of run; rows come sorted by run."""
+    paths, last, writer = [], None, None
+    for batch in batches:
+        runs = batch.column(run_at).to_pylist()
+        edges = [0, *(i for i in range(1, len(runs)) if runs[i] != runs[i - 1]), len(runs)]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            if lo == hi:
+                continue
+            if writer is None or runs[lo] != last:
+                if writer is not None:
+                    writer.close()
+                last = runs[lo]
+                paths.append(f"{folder}/{len(paths)}")
+                writer = pa.ipc.new_stream(paths[-1], batch.schema)
+            writer.write_table(pa.Table.from_batches([batch.slice(lo, hi - lo)]), max_chunksize=CURSOR_ROWS)
+    if writer is not None:
+        writer.close()
+    return paths
+
+
+def _cursor(path: str, number: int, at: list[int]) -> Iterator[tuple]:
+    """``key, run number, place, row`` of a run's file, of which few rows are held."""
+    i = 0
+    with pa.OSFile(path) as source:
+        for batch in pa.ipc.open_stream(source):
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield _key(row, at), number, i, row
+                i += 1
+
+
 def merge_index(entries: DataFrame) -> DataFrame:
-    """Index entries in global order of url key, time and id: ``segment`` and ``position`` are added."""
+    """Index entries in global order of url key, time and id: ``segment`` and ``position`` are added.
+
+    Spark sorts a range by run and key, spilling as it needs; a task writes its
+    runs to files and merges cursors on them, so it holds some rows a run.
+    """
     names = entries.columns
     order = ("url_key", "capture_ts", "page_id")
     at = [names.index(c) for c in order]
     run_at = names.index("run")
-    dealt = entries.repartitionByRange(*(F.col(c).asc_nulls_first() for c in order))
+    by = [F.col(c).asc_nulls_first() for c in order]
+    dealt = entries.repartitionByRange(*by).sortWithinPartitions("run", *by)
     schema = entries.select("*", F.lit(0).alias("segment"), F.lit(0).cast("long").alias("position")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment, position, kinds = TaskContext.get().partitionId(), 0, None
-        runs: dict[int, list[tuple]] = {}
-        for batch in batches:
-            kinds = batch.schema
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                # Nulls sort first and never meet a value in a comparison.
-                key = tuple((v is not None, v) if v is not None else (False,) for v in (row[i] for i in at))
-                runs.setdefault(row[run_at], []).append((key, row))
-        for rows in runs.values():
-            rows.sort(key=lambda r: r[0])  # one pass if the shuffle kept the run's order
-        merged = LoserTree([iter([(k, r[run_at], i, r) for i, (k, r) in enumerate(rows)]) for _, rows in sorted(runs.items())])
+        segment, position = TaskContext.get().partitionId(), 0
+        first = next(batches, None)
+        if first is None:
+            return
+        kinds = first.schema
         out: list[tuple] = []
 
         def batch_of() -> pa.RecordBatch:
@@ -263,12 +302,14 @@ def merge_index(entries: DataFrame) -> DataFrame:
                 [*columns, pa.array([segment] * len(out), pa.int32()), pa.array(here, pa.int64())], [*names, "segment", "position"]
             )
 
-        for *_, row in merged:
-            out.append(row)
-            position += 1
-            if len(out) == 5000:
-                yield batch_of()
-                out = []
+        with tempfile.TemporaryDirectory(prefix="meshnet-") as folder:
+            paths = _write_runs(chain([first], batches), run_at, folder)
+            for *_, row in LoserTree([_cursor(path, number, at) for number, path in enumerate(paths)]):
+                out.append(row)
+                position += 1
+                if len(out) == 5000:
+                    yield batch_of()
+                    out = []
         if out:
             yield batch_of()
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +77,17 @@ def test_loser_tree(k):
     rng = random.Random(k)
     runs = [sorted(rng.choices(range(30), k=rng.randint(0, 12))) for _ in range(k)]
     assert list(op.LoserTree([iter(r) for r in runs])) == sorted(x for r in runs for x in r)
+
+
+def test_merge_streams_runs_that_spark_sorted(spark, tmp_path):
+    """Runs are sorted by Spark, not in the task, and a cursor holds a few rows of its file."""
+    df = spark.createDataFrame([(f"u{i % 7}", i % 3, i, i % 4) for i in range(2000)], "url_key string, capture_ts int, page_id long, run long")
+    merged = op.merge_index(df.repartition(3))
+    assert "Sort [run" in merged._jdf.queryExecution().toString()
+    rows = sorted(merged.collect(), key=lambda r: (r.segment, r.position))
+    assert [r[:3] for r in rows] == sorted(r[:3] for r in df.collect())
+    batch = pa.record_batch({"run": [1] * 9000 + [2] * 1000, "k": list(range(10_000))})
+    one, two = op._write_runs(iter([batch.slice(0, 3000), batch.slice(3000)]), 0, str(tmp_path))
+    assert max(b.num_rows for b in pa.ipc.open_stream(one)) <= op.CURSOR_ROWS
+    assert [row for *_, row in op._cursor(one, 0, [1])] == [(1, k) for k in range(9000)]
+    assert sum(1 for _ in op._cursor(two, 1, [1])) == 1000
