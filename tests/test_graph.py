@@ -1,11 +1,13 @@
 import random
 from collections import Counter, defaultdict
+from itertools import pairwise
 
 import pytest
 from pyspark.sql import functions as F
 
-from meshnet.operators import graph
+from meshnet.operators import components, graph
 from meshnet.operators.components import connected_components
+from meshnet.plans.scratch import materialize
 
 
 def plain_components(nodes, edges):
@@ -79,6 +81,21 @@ def test_components(spark):
     got = connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()
     assert {r.node: r.component for r in got} == plain_components(nodes, edges)
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+    loops = spark.createDataFrame([(1, 1), (2, 2), (2, 3), (4, 4), (5, 4), (1, 1)], "src long, dst long")
+    assert sorted(tuple(r) for r in connected_components(loops).collect()) == [(1, 1), (2, 2), (3, 2), (4, 4), (5, 4)]
+
+
+def test_rounds_follow_the_logarithm(spark, monkeypatch):
+    """Paths of 4096 nodes: numbers in order, at random, and small ones at both ends."""
+    n, rounds = 4096, []
+    monkeypatch.setattr(components, "materialize", lambda df, label: rounds.append(label) or materialize(df, label))
+    mixed = random.Random(4).sample(range(n), n)
+    ends = [2 * i if i < n // 2 else 2 * (n - 1 - i) + 1 for i in range(n)]
+    for order in (range(n), mixed, ends):
+        rounds.clear()
+        got = connected_components(spark.createDataFrame(list(pairwise(order)), "src long, dst long"))
+        assert got.count() == n and got.where("component <> 0").count() == 0
+        assert len(rounds) <= 16
 
 
 def test_cluster_components_and_study(spark):
