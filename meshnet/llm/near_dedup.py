@@ -1,34 +1,45 @@
 """Near-duplicate classes by Order MinHash, verified by banded alignment.
 
-A text is its words, lower-cased; its k-mers are shingles of five words, each
-labelled with its occurrence so that repeats count. A sketch takes the
-``PICKS`` k-mers of least hash and keeps them in text order; two texts share it
-with a probability near similarity to the power ``PICKS``, less if parts are
-moved. At similarity 0.8, ``SKETCHES`` sketches miss a pair with a probability
-of 2e-7. Of short texts a few k-mers are the whole text, so those have sketches
-of two k-mers besides, which miss a pair with a probability of 1e-7 at most.
+A text is its words, lower-cased. Two texts are near when their edit similarity
+is at least 0.8: the edits that turn one's words into the other's are at most a
+fifth of the longer one's words. Banded alignment alone decides that.
+
+Candidates come from Order MinHash. K-mers are shingles of five words, each
+labelled with its occurrence so that repeats count. A sketch takes the ``PICKS``
+k-mers of least hash and keeps them in text order; two texts share it with a
+probability near the Jaccard similarity of their k-mers to the power ``PICKS``,
+less if parts are moved. A changed word costs five shingles, so at an edit
+similarity of 0.9 by scattered changes that Jaccard similarity is 0.42, and
+``SKETCHES`` sketches miss a pair with a probability of 5e-6; at 0.85 it is
+0.005 and at the bound of 0.8 it is 0.08. Changes next to each other cost less.
+In short texts a few changes meet all shingles, so those have sketches of k-mers of
+three words besides, and texts of under ten words, which are near when one edit
+apart, are found exactly: by their words, and by those without one of them.
 
 Texts of equal words are one representative from the start. Representatives
-that share a sketch form a bucket; each joins the group of the bucket's
-smallest member, so every pair that shares a bucket meets in a group. A group
-is compared in chunks of bounded size: exact Jaccard similarity of shingle sets
-by a matrix product, then alignment of words in a band, only between texts not
-yet connected. So a chunk returns a spanning forest of its links, never all
-pairs, and a hot bucket is spread over many tasks. A group beyond one chunk
-compares every member with the smallest, and members of a chunk with each other.
-
-If that leaves such a group in several components, its members are filed under
-their rarest shingles, a fifth of them and one more: two texts of similarity 0.8
-share one of those (prefix filter). Texts filed under one shingle are compared
-with each other unless all are connected; beyond one chunk, by tasks of two
-half chunks each, for every two halves that aren't of one component. So no pair
-of a group goes unseen, whatever its size. Components of all links are the classes.
+that share a sketch form a bucket; each joins the group of the bucket's first
+member, so every pair that shares a bucket meets in a group. A group is compared
+in chunks bounded in texts and in words: all with the first text, then those it
+left over with all others. Pairs that can't be near by the words they have in
+common, or that are connected already, are not aligned. So a chunk returns a
+spanning forest of its links, never all pairs, and a hot bucket is spread over
+many tasks.
+
+If that leaves a group beyond one chunk in several components, its members are
+filed under their rarest pairs of neighbouring words, two fifths of them and one
+more: near texts share one of those (prefix filter: an edit costs two pairs of
+words). Texts filed under one pair are compared with each other unless all are
+connected; beyond one chunk, by tasks of two half chunks each, for every two
+halves that aren't of one component. So no pair of a group goes unseen, whatever
+its size. Components of all links are the classes.
 
 Cases: a text without words (null, empty, signs only) is near to identical
 texts alone, null being empty. Texts under five words are near to texts of the
 same words. A row with a null id takes no part: its class is null and it stays.
-Rows repeated with one id are one document and stay or go together. An empty
-table gives an empty result. Other columns, whatever their names, are not read.
+Rows repeated with one id are one document and stay or go together, whatever
+their texts. A text of any length is sketched and aligned whole; one beyond a
+chunk's words is a chunk with each other member. An empty table gives an empty
+result. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -39,7 +50,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshnet.operators.components import connected_components
@@ -48,13 +59,15 @@ from meshnet.plans.tables import read_table
 
 SHINGLE = 5
 SIMILARITY = 0.8
-PICKS, SKETCHES = 5, 40
-#: Texts of up to so many shingles also have sketches of two k-mers: where a single
-#: shingle is a fifth of the text, five picks often can't all agree.
-SHORT = 25
-SHORT_PICKS, SHORT_SKETCHES = 2, 20
-#: Members that one task compares with each other.
-CHUNK = 1024
+PICKS, SKETCHES = 2, 64
+#: Texts of up to so many words also have sketches of shorter k-mers.
+SHORT, SHORT_SHINGLE, SHORT_SKETCHES = 64, 3, 24
+#: Members that one task compares with each other, and their words.
+CHUNK, CHUNK_WORDS = 1024, 1 << 20
+#: Up to so many candidates are broadcast to find their texts; more are joined by a shuffle.
+BROADCAST_TEXTS = 1_000_000
+#: Bytes of row masks that an alignment of very long texts keeps.
+MASK_BYTES = 32 << 20
 _WORD = re.compile(r"\w+")
 
 
@@ -99,27 +112,34 @@ def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return _mix(total)
 
 
-def order_minhash(kmers: np.ndarray, picks: int = PICKS, sketches: int = SKETCHES, first_sketch: int = 0) -> np.ndarray:
-    """One key a sketch: the least occurrence-labelled k-mers, hashed in text order."""
-    n = len(kmers)
-    order = np.argsort(kmers, kind="stable")
-    ordered = kmers[order]
+def labelled(items: np.ndarray) -> np.ndarray:
+    """Hashes of ``items``, each with the number of its equals before it."""
+    order = np.argsort(items, kind="stable")
+    ordered = items[order]
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    occurrence = np.empty(n, np.uint64)
-    occurrence[order] = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
-    base = _mix(kmers + occurrence * np.uint64(0x9E3779B97F4A7C15))
+    occurrence = np.empty(len(items), np.uint64)
+    occurrence[order] = np.arange(len(items)) - np.repeat(first, np.diff(np.append(first, len(items))))
+    return _mix(items + occurrence * np.uint64(0x9E3779B97F4A7C15))
+
+
+def order_minhash(kmers: np.ndarray, sketches: int = SKETCHES, first_sketch: int = 0, picks: int = PICKS) -> np.ndarray:
+    """One key a sketch: the least occurrence-labelled k-mers, hashed in text order."""
+    n, base = len(kmers), labelled(kmers)
     picks = min(picks, n)
     keys = np.empty(sketches, np.uint64)
     block = max(1, (1 << 20) // n)  # sketches at a time, so that a very long text needs little memory
     for lo in range(0, sketches, block):
         salt = np.arange(lo + 1, min(lo + block, sketches) + 1, dtype=np.uint64) + np.uint64(first_sketch)
-        salt = _mix(salt * np.uint64(0xD1342543DE82EF95))
-        weight = _mix(base[None, :] ^ salt[:, None])
-        least = np.sort(np.argpartition(weight, picks - 1, axis=1)[:, :picks], axis=1)
-        chosen = kmers[least]
+        salt = _mix(salt * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
+        weight = base[None, :] * salt[:, None]  # odd factors permute the 64 bits, which are spread already
+        each, least = np.arange(len(salt)), np.empty((picks, len(salt)), np.int64)
+        for pick in least:
+            pick[:] = weight.argmin(axis=1)
+            weight[each, pick] = np.iinfo(np.uint64).max
+        least.sort(axis=0)
         key = salt
-        for i in range(picks):
-            key = _mix(key ^ (chosen[:, i] * _ODD[i]))
+        for i, pick in enumerate(least):
+            key = _mix(key ^ (kmers[pick] * _ODD[i]))
         keys[lo : lo + len(salt)] = key
     return keys
 
@@ -128,74 +148,116 @@ def sketch_keys(words: np.ndarray) -> np.ndarray | None:
     """The keys by which a text meets others; None under ``SHINGLE`` words."""
     if len(words) < SHINGLE:
         return None
-    kmers = shingles(words)
-    keys = order_minhash(kmers)
-    if len(kmers) <= SHORT:
-        keys = np.concatenate([keys, order_minhash(kmers, SHORT_PICKS, SHORT_SKETCHES, SKETCHES)])
-    return keys.view(np.int64)
-
+    keys = [order_minhash(shingles(words))]
+    if len(words) <= SHORT:
+        keys.append(order_minhash(shingles(words, SHORT_SHINGLE), SHORT_SKETCHES, SKETCHES))
+    if most_edits(len(words)) == 1:  # one edit apart: equal, or equal without a word
+        keys.append(np.concatenate([shingles(w, len(w)) for w in (words, *(np.delete(words, i) for i in range(len(words))))]))
+    return np.concatenate(keys).view(np.int64)
+
+
+class _LongRows(dict):
+    """Symbol to the mask of its places in a long text, made when asked for and forgotten beyond MASK_BYTES."""
+
+    def __init__(self, text: np.ndarray):
+        super().__init__()
+        self.size, self.order = len(text) + 1, np.argsort(text, kind="stable")
+        self.ordered = text[self.order]
+
+    def get(self, symbol: int, default: int = 0) -> int:
+        if symbol in self:
+            return self[symbol]
+        lo, hi = (np.searchsorted(self.ordered, symbol, side) for side in ("left", "right"))
+        if lo == hi:
+            return default
+        bits = np.zeros(self.size, bool)
+        bits[self.order[lo:hi] + 1] = True
+        if (len(self) + 1) * self.size // 8 > MASK_BYTES:
+            self.clear()
+        self[symbol] = mask = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+        return mask
 
-def banded_distance(a: list[int], b: list[int], limit: int) -> int | None:
-    """Edit distance of two sequences if at most ``limit``, else None.
 
-    For 0, 1, 2, ... edits it keeps how far each diagonal reaches; diagonals
-    beyond ``limit`` are outside the band and never looked at.
-    """
-    lo = 0
-    while lo < len(a) and lo < len(b) and a[lo] == b[lo]:
-        lo += 1
-    ha, hb = len(a), len(b)
-    while ha > lo and hb > lo and a[ha - 1] == b[hb - 1]:
-        ha, hb = ha - 1, hb - 1
-    a, b = a[lo:ha], b[lo:hb]
-    n, m = len(a), len(b)
-    if abs(n - m) > limit:
-        return None
-    reach = {0: 0}  # diagonal (place in b less place in a) to place in a
-    for edits in range(limit + 1):
-        if edits:
-            wider = {}
-            for k in range(-edits, edits + 1):
-                i = max(reach.get(k, -2) + 1, reach.get(k - 1, -2), reach.get(k + 1, -2) + 1)
-                if i >= 0 and abs(m - n - k) <= limit - edits:
-                    wider[k] = min(i, n, m - k)
-            reach = wider
-        for k, i in reach.items():
-            while i < n and i + k < m and a[i] == b[i + k]:
-                i += 1
-            reach[k] = i
-        if reach.get(m - n, -1) >= n:
-            return edits
-    return None
+def most_edits(longer: int, threshold: float = SIMILARITY) -> int:
+    """The edits that near texts may differ in."""
+    return int((1 - threshold) * longer + 1e-9)
 
 
-def links(texts: list[str], known: list[int], threshold: float = SIMILARITY) -> list[tuple[int, int]]:
-    """A spanning forest of the near pairs among ``texts``, as positions.
+def banded_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
+    """Edit distance of two sequences if at most ``limit``, else None.
 
-    Texts of one number in ``known`` are connected from the start.
+    Only the band of diagonals that ``limit`` edits can reach is computed, a
+    column at a time, its vertical differences being the bits of two integers.
+    Costs never fall along a diagonal, so the last cell's diagonal tells when to stop.
     """
-    words = [words_of(t) for t in texts]
-    sets = [np.unique(shingles(w)) for w in words]
-    sizes = np.array([len(s) for s in sets])
-    whole = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(texts)), sizes)
+    if len(a) > len(b):
+        a, b = b, a
+    extra = len(b) - len(a)
+    if extra > limit:
+        return None
+    differ = np.flatnonzero(a != b[: len(a)])
+    lo = int(differ[0]) if len(differ) else len(a)
+    differ = np.flatnonzero(a[lo:] != b[lo + extra :])
+    hi = lo + (int(differ[-1]) + 1 if len(differ) else 0)
+    a, b = a[lo:hi], b[lo : hi + extra].tolist()
+    if not len(a):
+        return extra
+    slack = (limit - extra) // 2
+    width = extra + 2 * slack + 1
+    band = (1 << width) - 1
+    if len(a) > 1 << 14:
+        rows = _LongRows(a)
+    else:
+        rows = {}
+        for i, x in enumerate(a.tolist(), 1):
+            rows[x] = rows.get(x, 0) | 1 << i
+    # Bit t stands for row top + t. Rows above the first cost as much as it does.
+    rises, falls = band & ~((1 << (extra + slack)) - 1), 0
+    cost, top = extra, -(extra + slack)
+    for j, x in enumerate(b, 1):
+        top += 1
+        same = rows.get(x, 0)
+        if same:
+            same = (same >> top if top >= 0 else same << -top) & band
+        free = (((same & rises) + rises) ^ rises | same | falls) & band  # as cheap as the cell diagonally before
+        right = falls | (band & ~(free | rises))  # dearer than the cell before in the row
+        left = free & rises
+        if j > extra and not free >> slack & 1:
+            cost += 1
+            if cost > limit:
+                return None
+        free >>= 1
+        rises = (left | ~(free | right)) & band
+        falls = free & right
+    return cost
+
+
+def common_words(words: list[np.ndarray], rest: list[int]) -> np.ndarray:
+    """How many words, repeats counted, each text of ``rest`` has in common with each text."""
+    whole = np.concatenate([labelled(w) for w in words])
+    owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
     order = np.argsort(whole, kind="stable")
     whole, owner = whole[order], owner[order]
-    new = np.concatenate([[True], whole[1:] != whole[:-1]])
-    number = np.cumsum(new) - 1
+    number = np.cumsum(np.concatenate([[True], whole[1:] != whole[:-1]])) - 1
     shared = np.bincount(number)[number] > 1  # only these can be common
     owner, number = owner[shared], np.unique(number[shared], return_inverse=True)[1]
-    common = np.zeros((len(texts), len(texts)), np.float32)
+    common = np.zeros((len(rest), len(words)), np.float32)
     top = int(number[-1]) + 1 if len(number) else 0
     for lo in range(0, top, 4096):
         a, b = np.searchsorted(number, [lo, lo + 4096])
-        table = np.zeros((len(texts), min(4096, top - lo)), np.float32)
+        table = np.zeros((len(words), min(4096, top - lo)), np.float32)
         table[owner[a:b], number[a:b] - lo] = 1
-        common += table @ table.T
-    # Whole numbers, so the comparison is exact: |A & B| >= t |A or B|.
-    union = sizes[:, None] + sizes[None, :] - common.astype(np.int64)
-    x, y = np.nonzero(np.triu((common > 0) & (common >= threshold * union - 1e-9), 1))
-    best = np.argsort(-common[x, y] / union[x, y], kind="stable")
+        common += table[rest] @ table.T
+    return common.astype(np.int64)  # whole numbers, so comparisons are exact
+
+
+def links(texts: list[str], known: list[int], threshold: float = SIMILARITY) -> list[tuple[int, int]]:
+    """A spanning forest of the near pairs among ``texts``, as positions.
+
+    Texts of one number in ``known`` are connected from the start.
+    """
+    words = [words_of(t) for t in texts]
+    sizes = np.array([len(w) for w in words])
     first: dict[int, int] = {}
     root = [first.setdefault(c, i) for i, c in enumerate(known)]
 
@@ -205,135 +267,168 @@ def links(texts: list[str], known: list[int], threshold: float = SIMILARITY) ->
             i = root[i]
         return i
 
-    out, plain = [], {}
-    for i, j in zip(x[best].tolist(), y[best].tolist(), strict=True):
-        if (ri := find(i)) == (rj := find(j)):
-            continue
-        for p in (i, j):
-            if p not in plain:
-                plain[p] = words[p].tolist()
-        longest = max(len(plain[i]), len(plain[j]))
-        if banded_distance(plain[i], plain[j], int((1 - threshold) * longest + 1e-9)) is not None:
-            root[rj] = ri
-            out.append((i, j))
+    out = []
+
+    def meet(i: int, j: int) -> None:
+        if (ri := find(i)) != (rj := find(j)):
+            longest = int(max(sizes[i], sizes[j]))
+            if banded_distance(words[i], words[j], most_edits(longest, threshold)) is not None:
+                root[rj] = ri
+                out.append((i, j))
+
+    for j in range(1, len(texts)):
+        meet(0, j)
+    rest = [j for j in range(1, len(texts)) if find(j) != find(0)]
+    if not rest:
+        return out
+    common = common_words(words, rest)
+    longer = np.maximum(sizes[rest][:, None], sizes[None, :])
+    at = np.full(len(texts), -1)
+    at[rest] = np.arange(len(rest))
+    # An edit takes away one word in common at most; pairs among the rest count once, the first text has met all.
+    x, y = np.nonzero((longer - common <= (1 - threshold) * longer + 1e-9) & (at[None, :] < np.arange(len(rest))[:, None]))
+    x, y = x[y > 0], y[y > 0]
+    for k in np.argsort(-common[x, y] / longer[x, y], kind="stable").tolist():
+        meet(int(y[k]), rest[x[k]])
     return out
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``id, text`` to ``id, digest, keys``."""
+    """``id, th, text`` to ``id, th, digest, words, keys``."""
     for batch in batches:
-        digests, keys = [], []
-        for text in batch.column(1).to_pylist():
+        digests, sizes, keys = [], [], []
+        for text in batch.column(2).to_pylist():
             words = words_of(text)
+            sizes.append(len(words))
             if len(words):
                 digests.append(xxhash.xxh3_128_digest(words.tobytes()))
             else:  # no word has this length of digest
                 digests.append(b"-" + xxhash.xxh3_128_digest((text or "").encode()))
             keys.append(sketch_keys(words))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-            ["id", "digest", "keys"],
-        )
+            [
+                batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()),
+                pa.array(keys, pa.list_(pa.int64())),
+            ],
+            ["id", "th", "digest", "words", "keys"],
+        )
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``leader, salt, known, id, text`` sorted by the first two, to links ``src, dst``."""
+    """Rows ``leader, salt, known, node, text`` sorted by the first two, to links ``src, dst``."""
 
-    def done(ids: list[int], known: list[int], texts: list[str]) -> pa.RecordBatch | None:
+    def done(nodes: list[int], known: list[int], texts: list[str]) -> pa.RecordBatch | None:
         if len(set(known)) < 2:
             return None
-        found = [(ids[i], ids[j]) for i, j in links(texts, known)]
+        found = [(nodes[i], nodes[j]) for i, j in links(texts, known)]
         if not found:
             return None
         a, b = (np.array(c, np.int64) for c in zip(*found, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["src", "dst"])
 
-    group, ids, connected, texts = None, [], [], []
+    group, nodes, connected, texts = None, [], [], []
     for batch in batches:
-        for leader, salt, known, i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for leader, salt, known, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (leader, salt) != group:
-                if out := done(ids, connected, texts):
+                if out := done(nodes, connected, texts):
                     yield out
-                group, ids, connected, texts = (leader, salt), [], [], []
-            ids.append(i)
+                group, nodes, connected, texts = (leader, salt), [], [], []
+            nodes.append(node)
             connected.append(known)
             texts.append(text)
-    if out := done(ids, connected, texts):
+    if out := done(nodes, connected, texts):
         yield out
 
 
-def _verified(named: DataFrame, places: DataFrame) -> DataFrame:
-    """Links among the texts of each ``leader, salt`` of ``places``, which has ``rep, known`` besides."""
-    places = places.groupBy("rep", "known").agg(F.collect_list(F.struct("leader", "salt")).alias("places"))
+def _texts(named: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, text`` of each of ``nodes(node, id, th)``, once, whatever rows repeat."""
+    wanted = nodes.select("node", F.col("id").alias("i"), F.col("th").alias("h"))
+    if wanted.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS:
+        wanted = F.broadcast(wanted)
+    found = named.join(wanted, (F.col("id") == F.col("i")) & (F.col("th") == F.col("h")))
+    return found.select("node", "text").dropDuplicates(["node"])
+
+
+def _verified(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """Links among the ``texts`` of each ``leader, salt`` of ``places``, which has ``node, known`` besides."""
+    places = places.groupBy("node", "known").agg(F.collect_list(F.struct("leader", "salt")).alias("places"))
     return (
-        named.dropDuplicates(["id"])
-        .join(places, named.id == places.rep)
-        .select("id", "known", "text", F.explode("places").alias("place"))
-        .select("place.leader", "place.salt", "known", "id", "text")
+        texts.join(places, "node")
+        .select("node", "known", "text", F.explode("places").alias("place"))
+        .select("place.leader", "place.salt", "known", "node", "text")
         .repartition("leader", "salt")
-        .sortWithinPartitions("leader", "salt", "id")
+        .sortWithinPartitions("leader", "salt", "node")
         .mapInArrow(_verify, "src long, dst long")
     )
 
 
-def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``id, text`` to ``id, shingles``, each once."""
+def _word_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node, text`` to ``node, pairs``: neighbouring words, labelled with their occurrence."""
     for batch in batches:
-        sets = [np.unique(shingles(words_of(t))).view(np.int64) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+        pairs = [labelled(shingles(words_of(t), 2)).view(np.int64) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pairs, pa.list_(pa.int64()))], ["node", "pairs"])
 
 
-def _filed(named: DataFrame, members: DataFrame) -> DataFrame:
-    """``key, rep``: each of ``members`` under its rarest shingles, without those of one text alone."""
-    texts = named.dropDuplicates(["id"]).join(members.select("rep"), F.col("id") == F.col("rep"), "left_semi")
-    sets = materialize(texts.select("id", "text").mapInArrow(_shingle_sets, "id long, shingles array<long>"), "shingles")
-    each = sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+def _filed(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """``key, node``: each of ``members`` under its rarest word pairs, without those of one text alone."""
+    own = texts.join(members.select("node"), "node", "left_semi")
+    sets = materialize(own.select("node", "text").mapInArrow(_word_pairs, "node long, pairs array<long>"), "word_pairs")
+    each = sets.select("node", F.size("pairs").alias("n"), F.explode("pairs").alias("key"))
     shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
-    # Texts differ in at most a fifth of the larger, so of one more than that the first in common is one.
-    # Shingles of one text are its rarest: they take places of that number, but lead nowhere.
-    places = F.floor((1 - SIMILARITY) * F.col("n") + 1e-9) + 1 - F.col("n") + F.size("ordered")
+    # Of n + 1 words, near texts share at least 0.6 (n + 1) - 1 pairs, so of this many of the rarest one is common.
+    # Pairs of one text are its rarest: they take places of that number, but lead nowhere.
+    places = F.floor(2 * (1 - SIMILARITY) * (F.col("n") + 1) + 1e-9) + 1 - F.col("n") + F.size("ordered")
     return (
         each.join(shared, "key")
-        .groupBy("id", "n")
+        .groupBy("node", "n")
         .agg(F.sort_array(F.collect_list(F.struct("texts", "key"))).alias("ordered"))
-        .select("id", "ordered", places.cast("int").alias("places"))
+        .select("node", "ordered", places.cast("int").alias("places"))
         .where("places > 0")
-        .select(F.explode(F.slice("ordered", F.lit(1), F.col("places"))).alias("entry"), F.col("id").alias("rep"))
-        .select("entry.key", "rep")
+        .select(F.explode(F.slice("ordered", F.lit(1), F.col("places"))).alias("entry"), "node")
+        .select("entry.key", "node")
     )
 
 
-def _across(named: DataFrame, groups: DataFrame, components: DataFrame, chunk: int) -> DataFrame | None:
-    """Links that ``groups`` (``leader, rep``) still lack between chunks; None if each is one component."""
-    groups = groups.unionByName(groups.select("leader", F.col("leader").alias("rep")).distinct())
-    groups = groups.join(components, F.col("rep") == F.col("node"), "left").select(
-        "leader", "rep", F.coalesce("component", "rep").alias("known")
+def _parts(limit: int, texts: Column, words: Column) -> Column:
+    """Parts of up to ``limit`` texts, and of its share of a chunk's words."""
+    return F.greatest(F.ceil(texts / limit), F.ceil(words / (CHUNK_WORDS * limit / CHUNK)), F.lit(1)).cast("int")
+
+
+def _across(texts: DataFrame, groups: DataFrame, components: DataFrame, chunk: int) -> DataFrame | None:
+    """Links that ``groups`` (``leader, node, words``) still lack between chunks; None if each is one component."""
+    components = components.select(F.col("node").alias("c"), "component")
+    groups = groups.join(components, F.col("node") == F.col("c"), "left").select(
+        "leader", "node", "words", F.coalesce("component", "node").alias("known")
     )
     several = groups.groupBy("leader").agg(F.min("known").alias("lo"), F.max("known").alias("hi")).where("lo < hi")
-    members = materialize(groups.join(several, "leader", "left_semi").select("rep", "known").distinct(), "open")
+    members = materialize(groups.join(several, "leader", "left_semi").select("node", "words", "known").distinct(), "open")
     if members.limit(1).count() == 0:
         return None
-    filed = materialize(_filed(named, members).join(members, "rep"), "filed")
-    # Neighbouring shingles often have the very same texts: one of them will do.
-    x, y = F.bit_xor(F.xxhash64("rep")), F.bit_xor(F.xxhash64("rep", F.lit(1)))
+    filed = materialize(_filed(texts, members).join(members, "node"), "filed")
+    # Neighbouring pairs often have the very same texts: one of them will do.
+    x, y = F.bit_xor(F.xxhash64("node")), F.bit_xor(F.xxhash64("node", F.lit(1)))
     keys = (
         filed.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("n"), x.alias("x"), y.alias("y"), F.min("known").alias("lo"), F.max("known").alias("hi"))
+        .agg(
+            F.count(F.lit(1)).alias("n"), F.sum("words").alias("total"), x.alias("x"), y.alias("y"),
+            F.min("known").alias("lo"), F.max("known").alias("hi"),
+        )
         .where("lo < hi")
-        .groupBy("n", "x", "y")
+        .groupBy("n", "total", "x", "y")
         .agg(F.min("key").alias("key"))
-    )
-    filed = materialize(filed.join(keys.select("key", "n"), "key"), "keyed")
-    small = filed.where(F.col("n") <= chunk).select("rep", "known", F.col("key").alias("leader"), F.lit("").alias("salt"))
-    hot = filed.where(F.col("n") > chunk)
+        .withColumn("parts", _parts(chunk, F.col("n"), F.col("total")))
+    )
+    filed = materialize(filed.join(keys.select("key", "parts"), "key"), "keyed")
+    small = filed.where("parts = 1").select("node", "known", F.col("key").alias("leader"), F.lit("").alias("salt"))
+    hot = filed.where("parts > 1")
     # Halves of a chunk: of one component where that fills one, of the others together.
     sizes = hot.groupBy("key", "known").agg(F.count(F.lit(1)).alias("own"))
     hot = hot.join(sizes, ["key", "known"]).withColumn("whole", F.when(F.col("own") * 2 > chunk, F.col("known")))
-    counts = hot.groupBy("key", "whole").agg(F.ceil(F.count(F.lit(1)) * 2 / chunk).alias("halves"))
-    counts = counts.withColumnsRenamed({"key": "k", "whole": "w"})
-    number = F.pmod(F.xxhash64("rep"), F.col("halves"))
+    halves = _parts(max(1, chunk // 2), F.count(F.lit(1)), F.sum("words"))
+    counts = hot.groupBy(F.col("key").alias("k"), F.col("whole").alias("w")).agg(halves.alias("halves"))
+    number = F.pmod(F.xxhash64("node"), F.col("halves"))
     hot = hot.join(counts, (F.col("key") == F.col("k")) & F.col("whole").eqNullSafe(F.col("w"))).select(
-        "key", "rep", "known", "whole", F.concat_ws(":", F.coalesce(F.col("whole").cast("string"), F.lit("")), number).alias("half")
+        "key", "node", "known", "whole", F.concat_ws(":", F.coalesce(F.col("whole").cast("string"), F.lit("")), number).alias("half")
     )
     hot = materialize(hot, "halves")
     halves = hot.select("key", "whole", "half").distinct()
@@ -343,8 +438,17 @@ def _across(named: DataFrame, groups: DataFrame, components: DataFrame, chunk: i
         .where((F.col("half") < F.col("half_b")) & F.coalesce(F.col("whole") != F.col("whole_b"), F.lit(True)))
         .select("key", F.concat_ws(" ", "half", "half_b").alias("salt"), F.explode(F.array("half", "half_b")).alias("half"))
     )
-    large = hot.join(tasks, ["key", "half"]).select("rep", "known", F.col("key").alias("leader"), "salt")
-    return materialize(_verified(named, small.unionByName(large)), "links")
+    large = hot.join(tasks, ["key", "half"]).select("node", "known", F.col("key").alias("leader"), "salt")
+    return materialize(_verified(texts, small.unionByName(large)), "links")
+
+
+def _same_id(sketches: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links between the texts of one id; most ids have one."""
+    several = sketches.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi")
+    texts = sketches.join(several.select("id"), "id", "left_semi").select("id", "digest").distinct()
+    nodes = texts.join(reps.select("digest", "node"), "digest").select("id", "node")
+    least = nodes.groupBy(F.col("id").alias("i")).agg(F.min("node").alias("src"))
+    return nodes.join(least, F.col("id") == F.col("i")).where("node <> src").select("src", F.col("node").alias("dst"))
 
 
 def near_classes(
@@ -355,40 +459,59 @@ def near_classes(
     The class is the smallest id in it, and that document is kept.
     """
     bound_arrow_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     named = rows.where("id is not null")
-    sketches = materialize(named.mapInArrow(_sketch, "id long, digest binary, keys array<long>"), "sketches")
+    sketches = materialize(
+        named.mapInArrow(_sketch, "id long, th long, digest binary, words long, keys array<long>"), "sketches"
+    )
+    # A node for each different text, numbered in an order that does not follow that of the rows.
+    reps = sketches.groupBy("digest").agg(
+        F.min(F.struct("id", "th")).alias("row"), F.any_value("words").alias("words"), F.any_value("keys").alias("keys")
+    )
     reps = materialize(
-        sketches.groupBy("digest").agg(F.min("id").alias("rep"), F.min_by("keys", "id").alias("keys")), "reps"
+        reps.sortWithinPartitions("digest").select(
+            F.monotonically_increasing_id().alias("node"), "digest", "row.id", "row.th", "words", "keys"
+        ),
+        "reps",
     )
-    entries = reps.select("rep", F.explode("keys").alias("key"))
+    entries = reps.select("node", F.explode("keys").alias("key"))
     buckets = (
         entries.groupBy("key")
-        .agg(F.min("rep").alias("leader"), F.max("rep").alias("most"))
+        .agg(F.min("node").alias("leader"), F.max("node").alias("most"))
         .where(F.col("leader") < F.col("most"))
         .select("key", "leader")
     )
-    pairs = materialize(
-        entries.join(buckets, "key").where(F.col("rep") != F.col("leader")).select("leader", "rep").distinct(), "pairs"
-    )
-    salts = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("salts"))
+    pairs = entries.join(buckets, "key").where(F.col("node") != F.col("leader")).select("leader", "node").distinct()
+    sizes = reps.select("node", "words")
+    pairs = materialize(pairs.join(sizes, "node"), "pairs")
+    salts = pairs.groupBy("leader").agg(_parts(chunk, F.count(F.lit(1)), F.sum("words")).alias("salts"))
+    salts = materialize(salts, "salts")
     members = pairs.join(salts, "leader").select(
-        "rep", "leader", F.pmod(F.xxhash64("rep", "leader"), F.col("salts")).cast("int").alias("salt")
+        "node", "leader", F.pmod(F.xxhash64("node", "leader"), F.col("salts")).cast("int").alias("salt")
     )
     leaders = salts.select(
-        F.col("leader").alias("rep"), "leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
+        F.col("leader").alias("node"), "leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
     )
-    places = members.unionByName(leaders).withColumn("known", F.col("rep"))
-    found = materialize(_verified(named, places), "links")
+    places = members.unionByName(leaders).withColumn("known", F.col("node"))
+    candidates = pairs.select("node").unionByName(salts.select(F.col("leader").alias("node"))).distinct()
+    texts = _texts(named, materialize(reps.select("node", "id", "th").join(candidates, "node", "left_semi"), "candidates"))
+    found = materialize(_verified(texts, places).unionByName(_same_id(sketches, reps)), "links")
     components = connected_components(found)
-    groups = pairs.join(salts.where("salts > 1"), "leader").select("leader", "rep")
-    more = _across(named, groups, components, chunk)
+    groups = pairs.join(salts.where("salts > 1"), "leader").select("leader", "node", "words")
+    groups = groups.unionByName(
+        groups.select("leader").distinct().join(sizes, F.col("leader") == F.col("node")).select("leader", "node", "words")
+    )
+    more = _across(texts, groups, components, chunk)
     if more is not None and more.limit(1).count():
         components = connected_components(found.unionByName(more))
+    linked = components.join(reps.select("node", "id"), "node")
+    names = linked.groupBy(F.col("component").alias("c")).agg(F.min("id").alias("class_id"))
+    named_nodes = linked.join(names, F.col("component") == F.col("c")).select(F.col("node").alias("n"), "class_id")
     classes = (
-        reps.select("digest", "rep")
-        .join(components, F.col("rep") == F.col("node"), "left")
-        .select("digest", F.coalesce("component", "rep").alias("class_id"))
+        reps.select("digest", "node", F.col("id").alias("rep"))
+        .join(named_nodes, F.col("node") == F.col("n"), "left")
+        .select("digest", F.coalesce("class_id", "rep").alias("class_id"))
     )
     out = sketches.select("id", "digest").join(classes, "digest").select(
         F.col("id").alias("doc_id"), "class_id", (F.col("id") == F.col("class_id")).alias("kept")

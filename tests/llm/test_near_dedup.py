@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from meshnet.llm import near_dedup as op
 
@@ -46,12 +47,13 @@ def brute(rows):
     for ids in texts.values():
         for i in ids:
             join(min(ids), i)
-    sets = [frozenset(zip(*(w[k:] for k in range(5)), strict=False)) for w, _ in keys]
+    bags = [Counter(w) for w, _ in keys]
     for x in range(len(keys)):
         for y in range(x):
-            if sets[x] and sets[y] and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]) - 1e-9:
-                a, b = keys[x][0], keys[y][0]
-                if distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9):
+            a, b = keys[x][0], keys[y][0]
+            most = int(0.2 * max(len(a), len(b)) + 1e-9)
+            if min(len(a), len(b)) >= 5 and (bags[x] & bags[y]).total() >= max(len(a), len(b)) - most:
+                if distance(a, b) <= most:
                     join(texts[keys[x]][0], texts[keys[y]][0])
     return sorted(((i, None if i is None else find(i), i is None or find(i) == i) for i, _ in rows), key=str)
 
@@ -79,7 +81,7 @@ def test_same_as_brute_force(spark):
     rng = random.Random(8)
     texts = families(rng, 40) + ["", None, "...", "...", "one two", "One, two!", "a b c d e", "a b c d e f"]
     halves = prose(rng, "en", 80).split(" ")
-    texts += [" ".join(halves), " ".join(halves[40:] + halves[:40])]  # near by shingles, far by edits
+    texts += [" ".join(halves), " ".join(halves[40:] + halves[:40])]  # near by its words, far by edits
     rows = list(enumerate(texts))
     rng.shuffle(rows)
     rows += [rows[0], (None, texts[0]), (None, None)]
@@ -87,7 +89,61 @@ def test_same_as_brute_force(spark):
     got = result(df)
     assert got == brute(rows)
     assert 1 < len({c for _, c, _ in got}) < len(got)
-    assert result(df, chunk=3)[0] is not None  # chunks so small that a group is cut still give classes
+    assert result(df, chunk=3) == got  # groups cut into chunks
+    assert result(df.orderBy(F.desc("doc_id")).repartition(7)) == got
+
+
+def test_texts_under_one_id(spark):
+    """An id of two texts joins the classes of both, in any order of rows."""
+    rng = random.Random(9)
+    a, b = prose(rng, "en", 60), prose(rng, "de", 60)
+    rows = [(5, a), (5, b), (7, a.replace(" ", " new ", 1)), (8, b.replace(" ", " neu ", 1)), (9, prose(rng, "fr", 60)), (5, a)]
+    want = [(5, 5, True)] * 3 + [(7, 5, False), (8, 5, False), (9, 9, True)]
+    for order in (rows, rows[::-1], rows[1:] + rows[:1]):
+        assert result(spark.createDataFrame(order, "doc_id long, text string").repartition(3)) == want
+    assert brute(rows) == want
+
+
+@pytest.mark.parametrize(("share", "least"), [(0.01, 1.0), (0.03, 1.0), (0.05, 1.0), (0.1, 0.99), (0.15, 0.95), (0.2, 0.85)])
+def test_recall_of_scattered_changes(share, least):
+    """Pairs whose words differ at random places, alignment being the judge, share a sketch."""
+    rng, found, near = np.random.default_rng(int(share * 100)), 0, 0
+    for _ in range(150):
+        a = rng.integers(1 << 60, size=rng.integers(100, 400)).astype(np.uint64)
+        b = a.copy()
+        b[rng.choice(len(a), int(share * len(a)), replace=False)] += np.uint64(1)
+        near += op.banded_distance(a, b, op.most_edits(len(a))) is not None
+        found += bool((op.sketch_keys(a) == op.sketch_keys(b)).any())
+    assert near == 150 and found >= least * near
+
+
+def test_tiny_texts_are_found_exactly():
+    rng = random.Random(1)
+    for _ in range(300):
+        a = [rng.randrange(9) for _ in range(rng.randint(5, 9))]
+        b = list(a)
+        at = rng.randrange(len(a))
+        b[at : at + rng.randint(0, 1)] = [rng.randrange(9)] * rng.randint(0, 1)
+        if len(b) >= 5:
+            x, y = (set(op.sketch_keys(np.array(t, np.uint64)).tolist()) for t in (a, b))
+            assert (distance(a, b) <= op.most_edits(max(len(a), len(b)))) <= bool(x & y)
+
+
+def test_links_of_a_group(spark):
+    """A group's forest connects what pairs connect, whichever text comes first."""
+    rng = random.Random(12)
+    texts = [t for t in families(rng, 12) if len(words(t)) >= 5]
+    texts += [prose(rng, "en", 200) for _ in range(2)] + [prose(rng, "en", 3000)]
+    for _ in range(3):
+        rng.shuffle(texts)
+        want = brute(list(enumerate(texts)))
+        root = list(range(len(texts)))
+        for i, j in op.links(texts, list(range(len(texts)))):
+            root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+        digest = {}
+        for i, t in enumerate(texts):  # equal words are one text before links() is called
+            digest.setdefault(tuple(words(t)), root[i])
+        assert {(i, c) for i, c, _ in want} == {(i, digest[tuple(words(t))]) for i, t in enumerate(texts)}
 
 
 def test_large_group_is_one_class(spark):
@@ -98,14 +154,15 @@ def test_large_group_is_one_class(spark):
     assert {c for _, c, _ in result(df, chunk=64)} == {0}
 
 
-def form_letters(rng, n, words=60, slots=4, values=12):
-    """Texts of one form, alike where most slots have the same value; value k is taken as 1/k. The first is like none."""
+def form_letters(rng, n, words=120, slots=8, values=12):
+    """Texts of one form, near where half the phrases in its slots agree; phrase k is taken as 1/k. The first is like none."""
     form = prose(rng, "en", words).split(" ")
-    out = [" ".join([*form[:30], *prose(rng, "fr", 20).split(" "), *form[30:]])]
+    out = [" ".join([*form[:30], *prose(rng, "fr", 60).split(" "), *form[30:]])]
     for _ in range(n - 1):
         own = list(form)
         for s in range(slots):
-            own[(s + 1) * words // (slots + 1)] = f"s{s}v{int(values ** rng.random())}"
+            at, value = s * words // slots, int(values ** rng.random())
+            own[at : at + 6] = [f"s{s}v{value}w{i}" for i in range(6)]
         out.append(" ".join(own))
     return out
 
@@ -135,8 +192,22 @@ def test_empty(empty):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=14), st.lists(st.integers(0, 3), max_size=14), st.integers(0, 8))
 def test_banded_distance(a, b, limit):
-    d = distance(a, b)
-    assert op.banded_distance(a, b, limit) == (d if d <= limit else None)
+    d, x, y = distance(a, b), np.array(a, np.uint64), np.array(b, np.uint64)
+    assert op.banded_distance(x, y, limit) == (d if d <= limit else None)
+    with pytest.MonkeyPatch.context() as m:  # masks of very long texts, forgotten at once
+        m.setattr(op, "MASK_BYTES", -1)
+        rows = op._LongRows(x)
+        for v in range(4):
+            assert rows.get(v, 0) == sum(1 << i for i, z in enumerate(a, 1) if z == v) and len(rows) <= 1
+
+
+def test_alignment_of_very_long_texts():
+    rng = np.random.default_rng(3)
+    a = rng.integers(3000, size=20_000).astype(np.uint64)
+    b = np.delete(a, np.arange(0, 20_000, 40))
+    assert op.banded_distance(a, b, 4000) == op.banded_distance(b, a, 500) == 500
+    assert op.banded_distance(a, b, 499) is None
+    assert op.banded_distance(a, np.concatenate([a[10_000:], a[:10_000]]), 4000) is None
 
 
 def test_sketches_depend_on_order_and_repeats():
