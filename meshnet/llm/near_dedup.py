@@ -4,16 +4,18 @@ A text is its words, lower-cased. Two texts are near when their edit similarity
 is at least 0.8: the edits that turn one's words into the other's are at most a
 fifth of the longer one's words. Banded alignment alone decides that.
 
-Candidates come from Order MinHash. K-mers are shingles of five words, each
+Candidates come from Order MinHash. K-mers are runs of three words, each
 labelled with its occurrence so that repeats count. A sketch takes the ``PICKS``
 k-mers of least hash and keeps them in text order; two texts share it with a
 probability near the Jaccard similarity of their k-mers to the power ``PICKS``,
-less if parts are moved. A changed word costs five shingles, so at an edit
-similarity of 0.9 by scattered changes that Jaccard similarity is 0.42, and
-``SKETCHES`` sketches miss a pair with a probability of 5e-6; at 0.85 it is
-0.005 and at the bound of 0.8 it is 0.08. Changes next to each other cost less.
-In short texts a few changes meet all shingles, so those have sketches of k-mers of
-three words besides, and texts of under ten words, which are near when one edit
+less if parts are moved. A changed word costs three k-mers, so at an edit
+similarity of 0.9 by scattered changes that Jaccard similarity is 0.57, and
+``SKETCHES`` sketches miss a pair with a probability of 1e-6; at 0.85 it is
+0.003 and at the bound of 0.8 it is 0.07. Changes next to each other cost less.
+K-mers of five words could not do this: texts that differ in every fifth word
+have an edit similarity of 0.8 and no run of five words in common.
+In short texts a few changes meet most k-mers, so those have sketches of two
+k-mers besides, and texts of under ten words, which are near when one edit
 apart, are found exactly: by their words, and by those without one of them.
 
 Texts of equal words are one representative from the start. Representatives
@@ -25,13 +27,14 @@ common, or that are connected already, are not aligned. So a chunk returns a
 spanning forest of its links, never all pairs, and a hot bucket is spread over
 many tasks.
 
-If that leaves a group beyond one chunk in several components, its members are
-filed under their rarest pairs of neighbouring words, two fifths of them and one
-more: near texts share one of those (prefix filter: an edit costs two pairs of
-words). Texts filed under one pair are compared with each other unless all are
-connected; beyond one chunk, by tasks of two half chunks each, for every two
-halves that aren't of one component. So no pair of a group goes unseen, whatever
-its size. Components of all links are the classes.
+If that leaves a group beyond one chunk in several components, and it has no more
+than ``TILED`` chunks, all its half chunks are compared, two a task, but for
+those of one component. The members of larger groups are filed under their
+rarest pairs of neighbouring words, two fifths of them and one more: near texts
+share one of those (prefix filter: an edit costs two pairs of words). Texts filed
+under one pair are compared with each other unless all are connected; beyond one
+chunk, by halves as above. So no pair of a group goes unseen, whatever its size.
+Components of all links are the classes.
 
 Cases: a text without words (null, empty, signs only) is near to identical
 texts alone, null being empty. Texts under five words are near to texts of the
@@ -46,6 +49,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -57,15 +61,18 @@ from meshnet.operators.components import connected_components
 from meshnet.plans.scratch import bound_arrow_batches, materialize
 from meshnet.plans.tables import read_table
 
-SHINGLE = 5
+SHINGLE = 3
 SIMILARITY = 0.8
-PICKS, SKETCHES = 2, 64
-#: Texts of up to so many words also have sketches of shorter k-mers.
-SHORT, SHORT_SHINGLE, SHORT_SKETCHES = 64, 3, 24
+PICKS, SKETCHES = 3, 64
+#: Texts of up to so many words also have sketches of fewer k-mers; under LEAST words they have none.
+SHORT, SHORT_PICKS, SHORT_SKETCHES = 32, 2, 24
+LEAST = 5
 #: Members that one task compares with each other, and their words.
 CHUNK, CHUNK_WORDS = 1024, 1 << 20
+#: Groups of up to so many chunks are compared half by half; it is less work than filing them.
+TILED = 16
 #: Up to so many candidates are broadcast to find their texts; more are joined by a shuffle.
-BROADCAST_TEXTS = 1_000_000
+BROADCAST_TEXTS = 250_000
 #: Bytes of row masks that an alignment of very long texts keeps.
 MASK_BYTES = 32 << 20
 _WORD = re.compile(r"\w+")
@@ -145,12 +152,13 @@ def order_minhash(kmers: np.ndarray, sketches: int = SKETCHES, first_sketch: int
 
 
 def sketch_keys(words: np.ndarray) -> np.ndarray | None:
-    """The keys by which a text meets others; None under ``SHINGLE`` words."""
-    if len(words) < SHINGLE:
+    """The keys by which a text meets others; None under ``LEAST`` words."""
+    if len(words) < LEAST:
         return None
-    keys = [order_minhash(shingles(words))]
+    kmers = shingles(words)
+    keys = [order_minhash(kmers)]
     if len(words) <= SHORT:
-        keys.append(order_minhash(shingles(words, SHORT_SHINGLE), SHORT_SKETCHES, SKETCHES))
+        keys.append(order_minhash(kmers, SHORT_SKETCHES, SKETCHES, SHORT_PICKS))
     if most_edits(len(words)) == 1:  # one edit apart: equal, or equal without a word
         keys.append(np.concatenate([shingles(w, len(w)) for w in (words, *(np.delete(words, i) for i in range(len(words))))]))
     return np.concatenate(keys).view(np.int64)
@@ -232,23 +240,46 @@ def banded_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
     return cost
 
 
-def common_words(words: list[np.ndarray], rest: list[int]) -> np.ndarray:
-    """How many words, repeats counted, each text of ``rest`` has in common with each text."""
+def close_pairs(words: list[np.ndarray], rest: np.ndarray, threshold: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a text of ``rest`` and any text that may be near by their words, repeats counted, the closest first.
+
+    An edit takes away one word in common at most, so no near pair is left out.
+    """
+    sizes = np.array([len(w) for w in words])
+    by_size = np.argsort(sizes, kind="stable")
+    place = np.empty(len(words), np.int64)
+    place[by_size] = np.arange(len(words))
     whole = np.concatenate([labelled(w) for w in words])
-    owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    owner = np.repeat(place, sizes)
     order = np.argsort(whole, kind="stable")
     whole, owner = whole[order], owner[order]
     number = np.cumsum(np.concatenate([[True], whole[1:] != whole[:-1]])) - 1
     shared = np.bincount(number)[number] > 1  # only these can be common
     owner, number = owner[shared], np.unique(number[shared], return_inverse=True)[1]
-    common = np.zeros((len(rest), len(words)), np.float32)
     top = int(number[-1]) + 1 if len(number) else 0
+    rows, ordered = np.sort(place[rest]), sizes[by_size]
+    # Texts whose lengths differ by more than the edits allow are not compared: blocks of rows meet a range of columns.
+    blocks = []
+    for lo in range(0, len(rows), 64):
+        block = rows[lo : lo + 64]
+        least, most = ordered[block[0]], ordered[block[-1]]
+        span = np.searchsorted(ordered, [threshold * least - 1e-6, most / threshold + 1e-6])
+        blocks.append((block, int(span[0]), np.zeros((len(block), span[1] - span[0]), np.float32)))
     for lo in range(0, top, 4096):
         a, b = np.searchsorted(number, [lo, lo + 4096])
         table = np.zeros((len(words), min(4096, top - lo)), np.float32)
         table[owner[a:b], number[a:b] - lo] = 1
-        common += table[rest] @ table.T
-    return common.astype(np.int64)  # whole numbers, so comparisons are exact
+        for block, first, common in blocks:
+            common += table[block] @ table[first : first + common.shape[1]].T
+    x, y, share = [], [], []
+    for block, first, common in blocks:
+        longer = np.maximum(ordered[block][:, None], ordered[first : first + common.shape[1]][None, :])
+        i, j = np.nonzero(longer - common.astype(np.int64) <= (1 - threshold) * longer + 1e-9)
+        x.append(block[i])
+        y.append(first + j)
+        share.append(common[i, j] / longer[i, j])
+    best = np.argsort(-np.concatenate(share), kind="stable")
+    return by_size[np.concatenate(x)[best]], by_size[np.concatenate(y)[best]]
 
 
 def links(texts: list[str], known: list[int], threshold: float = SIMILARITY) -> list[tuple[int, int]]:
@@ -281,15 +312,12 @@ def links(texts: list[str], known: list[int], threshold: float = SIMILARITY) ->
     rest = [j for j in range(1, len(texts)) if find(j) != find(0)]
     if not rest:
         return out
-    common = common_words(words, rest)
-    longer = np.maximum(sizes[rest][:, None], sizes[None, :])
-    at = np.full(len(texts), -1)
-    at[rest] = np.arange(len(rest))
-    # An edit takes away one word in common at most; pairs among the rest count once, the first text has met all.
-    x, y = np.nonzero((longer - common <= (1 - threshold) * longer + 1e-9) & (at[None, :] < np.arange(len(rest))[:, None]))
-    x, y = x[y > 0], y[y > 0]
-    for k in np.argsort(-common[x, y] / longer[x, y], kind="stable").tolist():
-        meet(int(y[k]), rest[x[k]])
+    left = np.zeros(len(texts), bool)
+    left[rest] = True
+    x, y = close_pairs(words, np.array(rest), threshold)
+    once = (y > 0) & ~(left[y] & (y >= x))  # pairs of two left over count once; the first text has met all
+    for i, j in zip(y[once].tolist(), x[once].tolist(), strict=True):
+        meet(i, j)
     return out
 
 
@@ -394,16 +422,32 @@ def _parts(limit: int, texts: Column, words: Column) -> Column:
     return F.greatest(F.ceil(texts / limit), F.ceil(words / (CHUNK_WORDS * limit / CHUNK)), F.lit(1)).cast("int")
 
 
-def _across(texts: DataFrame, groups: DataFrame, components: DataFrame, chunk: int) -> DataFrame | None:
-    """Links that ``groups`` (``leader, node, words``) still lack between chunks; None if each is one component."""
-    components = components.select(F.col("node").alias("c"), "component")
-    groups = groups.join(components, F.col("node") == F.col("c"), "left").select(
-        "leader", "node", "words", F.coalesce("component", "node").alias("known")
+def _halves(hot: DataFrame, chunk: int) -> DataFrame:
+    """Places of ``hot(key, node, known, words)``: each task takes two half chunks of the texts of one key.
+
+    A component that fills half a chunk has halves of its own, which don't meet; the others share theirs.
+    """
+    sizes = hot.groupBy("key", "known").agg(F.count(F.lit(1)).alias("own"))
+    hot = hot.join(sizes, ["key", "known"]).withColumn("whole", F.when(F.col("own") * 2 > chunk, F.col("known")))
+    halves = _parts(max(1, chunk // 2), F.count(F.lit(1)), F.sum("words"))
+    counts = hot.groupBy(F.col("key").alias("k"), F.col("whole").alias("w")).agg(halves.alias("halves"))
+    number = F.pmod(F.xxhash64("node"), F.col("halves"))
+    hot = hot.join(counts, (F.col("key") == F.col("k")) & F.col("whole").eqNullSafe(F.col("w"))).select(
+        "key", "node", "known", "whole", F.concat_ws(":", F.coalesce(F.col("whole").cast("string"), F.lit("")), number).alias("half")
     )
-    several = groups.groupBy("leader").agg(F.min("known").alias("lo"), F.max("known").alias("hi")).where("lo < hi")
-    members = materialize(groups.join(several, "leader", "left_semi").select("node", "words", "known").distinct(), "open")
-    if members.limit(1).count() == 0:
-        return None
+    hot = materialize(hot, "halves")
+    halves = hot.select("key", "whole", "half").distinct()
+    other = halves.select("key", F.col("whole").alias("whole_b"), F.col("half").alias("half_b"))
+    tasks = (
+        halves.join(other, "key")
+        .where((F.col("half") < F.col("half_b")) & F.coalesce(F.col("whole") != F.col("whole_b"), F.lit(True)))
+        .select("key", F.concat_ws(" ", "half", "half_b").alias("salt"), F.explode(F.array("half", "half_b")).alias("half"))
+    )
+    return hot.join(tasks, ["key", "half"]).select("node", "known", F.col("key").alias("leader"), "salt")
+
+
+def _by_rare_pairs(texts: DataFrame, members: DataFrame, chunk: int) -> DataFrame:
+    """Places of ``members(node, words, known)`` by the word pairs they are filed under."""
     filed = materialize(_filed(texts, members).join(members, "node"), "filed")
     # Neighbouring pairs often have the very same texts: one of them will do.
     x, y = F.bit_xor(F.xxhash64("node")), F.bit_xor(F.xxhash64("node", F.lit(1)))
@@ -420,26 +464,35 @@ def _across(texts: DataFrame, groups: DataFrame, components: DataFrame, chunk: i
     )
     filed = materialize(filed.join(keys.select("key", "parts"), "key"), "keyed")
     small = filed.where("parts = 1").select("node", "known", F.col("key").alias("leader"), F.lit("").alias("salt"))
-    hot = filed.where("parts > 1")
-    # Halves of a chunk: of one component where that fills one, of the others together.
-    sizes = hot.groupBy("key", "known").agg(F.count(F.lit(1)).alias("own"))
-    hot = hot.join(sizes, ["key", "known"]).withColumn("whole", F.when(F.col("own") * 2 > chunk, F.col("known")))
-    halves = _parts(max(1, chunk // 2), F.count(F.lit(1)), F.sum("words"))
-    counts = hot.groupBy(F.col("key").alias("k"), F.col("whole").alias("w")).agg(halves.alias("halves"))
-    number = F.pmod(F.xxhash64("node"), F.col("halves"))
-    hot = hot.join(counts, (F.col("key") == F.col("k")) & F.col("whole").eqNullSafe(F.col("w"))).select(
-        "key", "node", "known", "whole", F.concat_ws(":", F.coalesce(F.col("whole").cast("string"), F.lit("")), number).alias("half")
-    )
-    hot = materialize(hot, "halves")
-    halves = hot.select("key", "whole", "half").distinct()
-    other = halves.select("key", F.col("whole").alias("whole_b"), F.col("half").alias("half_b"))
-    tasks = (
-        halves.join(other, "key")
-        .where((F.col("half") < F.col("half_b")) & F.coalesce(F.col("whole") != F.col("whole_b"), F.lit(True)))
-        .select("key", F.concat_ws(" ", "half", "half_b").alias("salt"), F.explode(F.array("half", "half_b")).alias("half"))
+    return small.unionByName(_halves(filed.where("parts > 1"), chunk))
+
+
+def _across(
+    texts: DataFrame, groups: DataFrame, components: DataFrame, chunk: int, tiled: int = TILED
+) -> DataFrame | None:
+    """Links that ``groups`` (``leader, node, words``) still lack between chunks; None if each is one component."""
+    components = components.select(F.col("node").alias("c"), "component")
+    groups = groups.join(components, F.col("node") == F.col("c"), "left").select(
+        "leader", "node", "words", F.coalesce("component", "node").alias("known")
     )
-    large = hot.join(tasks, ["key", "half"]).select("node", "known", F.col("key").alias("leader"), "salt")
-    return materialize(_verified(texts, small.unionByName(large)), "links")
+    several = (
+        groups.groupBy("leader")
+        .agg(
+            F.min("known").alias("lo"), F.max("known").alias("hi"),
+            (_parts(chunk, F.count(F.lit(1)), F.sum("words")) <= tiled).alias("tiled"),
+        )
+        .where("lo < hi")
+        .select(F.col("leader").alias("key"), "tiled")
+    )
+    members = materialize(groups.join(several, F.col("leader") == F.col("key")).drop("leader"), "open")
+    which = {r.tiled for r in members.select("tiled").distinct().collect()}
+    places = []
+    if True in which:
+        places.append(_halves(members.where("tiled").drop("tiled"), chunk))
+    if False in which:
+        places.append(_by_rare_pairs(texts, members.where("not tiled").select("node", "words", "known").distinct(), chunk))
+    found = [materialize(_verified(texts, p), "links") for p in places]
+    return reduce(DataFrame.unionByName, found) if found else None
 
 
 def _same_id(sketches: DataFrame, reps: DataFrame) -> DataFrame:
@@ -452,7 +505,7 @@ def _same_id(sketches: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def near_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, tiled: int = TILED
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, class_id, kept``.
 
@@ -502,7 +555,7 @@ def near_classes(
     groups = groups.unionByName(
         groups.select("leader").distinct().join(sizes, F.col("leader") == F.col("node")).select("leader", "node", "words")
     )
-    more = _across(texts, groups, components, chunk)
+    more = _across(texts, groups, components, chunk, tiled)
     if more is not None and more.limit(1).count():
         components = connected_components(found.unionByName(more))
     linked = components.join(reps.select("node", "id"), "node")

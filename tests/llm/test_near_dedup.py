@@ -167,13 +167,13 @@ def form_letters(rng, n, words=120, slots=8, values=12):
     return out
 
 
-@pytest.mark.parametrize("chunk", [4, 16])
-def test_groups_beyond_a_chunk_miss_no_link(spark, chunk):
+@pytest.mark.parametrize(("chunk", "tiled"), [(4, 1000), (16, 3), (16, 0)])
+def test_groups_beyond_a_chunk_miss_no_link(spark, chunk, tiled):
     rows = list(enumerate(form_letters(random.Random(chunk), 250)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     want = brute(rows)
     assert 2 < len({c for _, c, _ in want}) < 250
-    assert result(df, chunk=chunk) == want
+    assert result(df, chunk=chunk, tiled=tiled) == want
 
 
 def test_long_texts_and_shared_passage(spark):
@@ -213,10 +213,9 @@ def test_alignment_of_very_long_texts():
 def test_sketches_depend_on_order_and_repeats():
     rng = np.random.default_rng(0)
     kmers = rng.integers(0, 1 << 60, 400).astype(np.uint64)
-    share = lambda x: np.mean(op.order_minhash(kmers, sketches=400) == op.order_minhash(x, sketches=400))
+    share = lambda x: np.mean(op.order_minhash(kmers, 400, picks=5) == op.order_minhash(x, 400, picks=5))
     moved = np.concatenate([kmers[200:], kmers[:200]])
     assert share(kmers) == 1 and share(moved) < 0.2 and share(kmers[40:]) > 0.4
     assert share(np.concatenate([kmers, kmers[:100]])) < 1
-    with pytest.MonkeyPatch.context() as m:  # blocks of sketches change nothing
-        m.setattr(op, "SKETCHES", 40)
-        assert Counter(op.order_minhash(np.tile(kmers, 4000), sketches=3).tolist()).total() == 3
+    long = np.tile(kmers, 4000)  # so long that sketches are taken one at a time
+    assert op.order_minhash(long, 3).tolist() == [op.order_minhash(long, 1, i)[0] for i in range(3)]
