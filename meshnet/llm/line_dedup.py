@@ -4,8 +4,11 @@ Documents are taken in batches of ascending id. The distinct line keys of a
 batch are merge-joined against every run so far: keys that no run holds become
 a new run at level 0, the others were seen before. When a level has ``fanout``
 runs they are compacted into one run of the next level, so a batch meets a
-logarithmic number of runs. Runs are bucketed and sorted by key and are read by
-a merge join without another shuffle. Only DataFrame functions run.
+logarithmic number of runs. Runs are bucketed and sorted by key, one file a
+bucket, so that joins and compactions merge them without a shuffle or a sort.
+Runs live in a folder with a manifest: a later call that names the folder meets
+the runs of earlier ones, whose documents own their lines. Only DataFrame
+functions run.
 
 Within a batch a key belongs to the smallest id that holds it; since batches
 ascend, that is the smallest id over all. Keys are reduced map-side to one row
@@ -15,14 +18,15 @@ sees a hot key, in a sort-merge join that adaptive execution can split.
 Cases: a null or empty text is one empty line. A row with a null id takes no
 part: its lines stay and do not count. Rows repeated with one id are one
 document, each judged by its own text. Keys are compared by 128 bits of hash.
-An empty table gives an empty result. Other columns, whatever their names, do
-not matter.
+A text is split whole, whatever its length; a row must fit in memory. An empty
+table gives an empty result. Other columns, whatever their names, do not matter.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +34,10 @@ from meshnet.plans.scratch import materialize, new_path
 from meshnet.plans.tables import read_table
 
 MIN_CHARS = 10
-BATCHES = 4
+#: Batches: one for so many bytes of text, within bounds.
+BATCH_BYTES, LEAST_BATCHES, MOST_BATCHES = 1 << 41, 4, 64
 FANOUT = 2
+_MANIFEST = "version long, level int, buckets int, path string"
 #: Fixed value: the white space stripped from a key, [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -47,63 +53,125 @@ def line_key(line: Column) -> Column:
 
 
 class LineRuns:
-    """Levelled runs of line keys ``k1, k2``; ``add`` takes one batch."""
+    """Levelled runs of line keys ``k1, k2`` in ``folder``; ``add`` takes one batch, ``close`` ends the use of them.
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
+    The catalog holds a run's table while it is open, since it alone tells Spark
+    of buckets; the files and the manifest stay in the folder.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = FANOUT):
         self.spark, self.fanout = spark, fanout
-        self.levels: list[list[DataFrame]] = []
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.folder = folder.rstrip("/") if folder else new_path(spark, "line_runs")
+        self.buckets, self.version = int(spark.conf.get("spark.sql.shuffle.partitions")), 0
+        self.levels: list[list[tuple[str, str]]] = []  # table and path of each run
+        self.tables: list[str] = []
+        self._open()
+
+    def _open(self) -> None:
+        try:
+            rows = self.spark.read.schema(_MANIFEST).json(f"{self.folder}/manifest").collect()
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return
+        self.version = max(r.version for r in rows)
+        for r in rows:  # runs are merged bucket by bucket, so their number is that of the first
+            if r.version == self.version:
+                self.buckets = r.buckets
+                self._level(r.level).append((self._table(r.path), r.path))
+
+    def _level(self, level: int) -> list[tuple[str, str]]:
+        while len(self.levels) <= level:
+            self.levels.append([])
+        return self.levels[level]
 
-    def _write(self, df: DataFrame) -> DataFrame:
+    def _table(self, path: str) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
-        (
-            df.write.bucketBy(self.buckets, "k1", "k2")
-            .sortBy("k1", "k2")
-            .option("compression", "zstd")
-            .option("path", new_path(self.spark, "run"))
-            .saveAsTable(name)
+        self.spark.sql(
+            f"CREATE TABLE {name} (k1 BIGINT, k2 BIGINT, seen BOOLEAN) USING parquet "
+            f"CLUSTERED BY (k1, k2) SORTED BY (k1, k2) INTO {self.buckets} BUCKETS LOCATION '{path}'"
         )
-        return self.spark.table(name)
+        self.tables.append(name)
+        return name
+
+    def _write(self, df: DataFrame) -> tuple[str, str]:
+        """Write ``df`` in buckets sorted by key; the table's name and path."""
+        name, path = f"line_run_{uuid.uuid4().hex}", f"{self.folder}/{uuid.uuid4().hex}"
+        order = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+        before = self.spark.conf.get(order, "false")
+        self.spark.conf.set(order, "true")  # a bucket is one sorted file, so scans of runs need no sort
+        try:
+            writer = df.write.bucketBy(self.buckets, "k1", "k2").sortBy("k1", "k2").option("compression", "zstd")
+            writer.option("path", path).saveAsTable(name)
+        finally:
+            self.spark.conf.set(order, before)
+        self.tables.append(name)
+        return name, path
+
+    def keys(self, table: str) -> DataFrame:
+        """``k1, k2`` of a run: the keys that were new in their batch."""
+        return self.spark.table(table).where("not seen").select("k1", "k2")
 
     def add(self, lines: DataFrame) -> DataFrame:
         """Take ``lines(id, k1, k2)``; return the repeated keys: ``k1, k2, lo`` (null: seen in a run)."""
         keys = lines.groupBy("k1", "k2").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-        marks = []
-        for run in (run for level in self.levels for run in level):
-            mark = f"in_run_{len(marks)}"
-            marks.append(F.col(mark).isNotNull())
-            keys = keys.join(run.select("k1", "k2", F.lit(True).alias(mark)), ["k1", "k2"], "left")
         seen = F.lit(False)
-        for mark in marks:
-            seen = seen | mark
-        judged = self._write(
+        for i, (table, _) in enumerate(run for level in self.levels for run in level):
+            mark = f"in_run_{i}"
+            keys = keys.join(self.keys(table).withColumn(mark, F.lit(True)), ["k1", "k2"], "left")
+            seen = seen | F.col(mark).isNotNull()
+        judged, path = self._write(
             keys.select("k1", "k2", "lo", seen.alias("seen"), (seen | (F.col("lo") != F.col("hi"))).alias("repeated"))
         )
-        self._push(0, judged.where(~F.col("seen")).select("k1", "k2"))
-        return judged.where("repeated").select(
-            "k1", "k2", F.when(~F.col("seen"), F.col("lo")).alias("lo")
-        )
+        self._push(0, (judged, path))
+        self._record()
+        found = self.spark.read.schema("k1 long, k2 long, lo long, seen boolean, repeated boolean").parquet(path)
+        return found.where("repeated").select("k1", "k2", F.when(~F.col("seen"), F.col("lo")).alias("lo"))
 
-    def _push(self, level: int, run: DataFrame) -> None:
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(run)
-        if len(self.levels[level]) >= self.fanout:
-            runs, self.levels[level] = self.levels[level], []
-            merged = runs[0]
-            for other in runs[1:]:
-                merged = merged.unionByName(other)
-            self._push(level + 1, self._write(merged.repartition(self.buckets, "k1", "k2")))
-
-
-def _batch_of(docs: DataFrame, id_col: str, batches: int) -> Column:
-    """The batch of a row: ids ascend over batches of about equal size."""
-    shares = [k / batches for k in range(1, batches)]
-    cuts = docs.agg(F.percentile_approx(id_col, shares, 10_000).alias("cuts")).first().cuts if shares else []
+    def _push(self, level: int, run: tuple[str, str]) -> None:
+        runs = self._level(level)
+        runs.append(run)
+        if len(runs) >= self.fanout:
+            self.levels[level] = []
+            merged = self.keys(runs[0][0])
+            for table, _ in runs[1:]:  # no key is in two runs: a full outer merge join is their union
+                merged = merged.join(self.keys(table), ["k1", "k2"], "full")
+            self._push(level + 1, self._write(merged.withColumn("seen", F.lit(False))))
+
+    def _record(self) -> None:
+        """Add a version to the manifest; a reader takes the last."""
+        self.version += 1
+        runs = [
+            F.struct(
+                F.lit(self.version).cast("long").alias("version"), F.lit(level).alias("level"),
+                F.lit(self.buckets).alias("buckets"), F.lit(path).alias("path"),
+            )
+            for level, found in enumerate(self.levels)
+            for _, path in found
+        ]
+        one = self.spark.range(1).coalesce(1).select(F.explode(F.array(*runs)).alias("run")).select("run.*")
+        one.write.mode("append").json(f"{self.folder}/manifest")
+
+    def close(self) -> None:
+        """Take the tables out of the catalog; they are external, so the files stay."""
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.tables = []
+
+
+def _batches_of(docs: DataFrame, id_col: str, text_col: str, batches: int | None) -> tuple[Column, int]:
+    """The batch of a row, and their number: ids ascend over batches of about equal size."""
+    steps = [k / 256 for k in range(1, 256)]
+    seen = docs.agg(
+        F.sum(F.octet_length(text_col)).alias("bytes"), F.percentile_approx(id_col, steps, 10_000).alias("cuts")
+    ).first()
+    if batches is None:
+        batches = min(MOST_BATCHES, max(LEAST_BATCHES, -(-(seen.bytes or 0) // BATCH_BYTES)))
     batch = F.lit(0)
-    for cut in cuts or []:
-        batch = batch + (F.col(id_col) > cut).cast("int")
-    return batch
+    for k in range(1, batches):
+        if seen.cuts:
+            batch = batch + (F.col(id_col) > seen.cuts[max(0, 256 * k // batches - 1)]).cast("int")
+    return batch, batches
 
 
 def dedup_lines(
@@ -111,54 +179,58 @@ def dedup_lines(
     id_col: str = "doc_id",
     text_col: str = "text",
     min_chars: int = MIN_CHARS,
-    batches: int = BATCHES,
+    batches: int | None = None,
     fanout: int = FANOUT,
+    folder: str | None = None,
 ) -> DataFrame:
-    """``docs`` with its columns, plus ``_n_lines``, ``_n_dropped`` and ``_kept``, the remaining text.
+    """``row`` (the columns of ``docs``), ``n_lines``, ``n_dropped`` and ``kept``, the remaining text.
 
     A key of at least ``min_chars`` code points that two documents hold loses
-    all its lines but those of the smallest id.
+    all its lines but those of the smallest id. With a ``folder`` the keys stay
+    there, and documents of later calls that name it lose lines known by then;
+    their ids are taken to be larger.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    slim = slim.where("id is not null")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text")
+    )
+    slim = rows.select("id", "th", "text").where("id is not null")
+    batch, batches = _batches_of(slim, "id", "text", batches)
     lines = (
-        slim.select("id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+        slim.select("id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
         .select("id", "th", "pos", line_key(F.col("line")).alias("key"))
         .where(F.char_length("key") >= min_chars)
         .select(
             "id", "th", "pos", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), F.col("key")).alias("k2"),
-            _batch_of(slim, "id", batches).alias("batch"),
+            batch.alias("batch"),
         )
-    )
+    )
     lines = materialize(lines, "lines", ["batch"])
-    runs, repeated = LineRuns(spark, fanout), None
-    for b in range(batches):
-        found = runs.add(lines.where(F.col("batch") == b)).withColumn("batch", F.lit(b))
-        repeated = found if repeated is None else repeated.unionByName(found)
+    runs, repeated = LineRuns(spark, folder, fanout), None
+    try:
+        for b in range(batches):
+            found = runs.add(lines.where(F.col("batch") == b)).withColumn("batch", F.lit(b))
+            repeated = found if repeated is None else repeated.unionByName(found)
+    finally:
+        runs.close()
     lost = (
         lines.join(repeated, ["k1", "k2", "batch"])
         .where(F.col("lo").isNull() | (F.col("id") != F.col("lo")))
-        .groupBy("id", "th")
-        .agg(F.collect_set("pos").alias("_lost"))
-        .withColumnRenamed("id", "_id")
-        .withColumnRenamed("th", "_th")
-    )
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    parts = F.split(text, "\n")
-    joined = docs.join(
-        lost, (F.col(id_col).cast("long") == F.col("_id")) & (F.xxhash64(text) == F.col("_th")), "left"
+        .groupBy(F.col("id").alias("lost_id"), F.col("th").alias("lost_th"))
+        .agg(F.collect_set("pos").alias("lost"))
     )
-    n_lost = F.coalesce(F.size("_lost"), F.lit(0))
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_lost"))
-    kept = F.when(F.col("_lost").isNull(), text).otherwise(
+    parts = F.split("text", "\n")
+    joined = rows.join(lost, (F.col("id") == F.col("lost_id")) & (F.col("th") == F.col("lost_th")), "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("lost"))
+    kept = F.when(F.col("lost").isNull(), F.col("text")).otherwise(
         F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
     )
     return joined.select(
-        *docs.columns,
-        F.size(parts).cast("long").alias("_n_lines"),
-        F.when(F.col("_lost").isNull(), F.lit(0)).otherwise(n_lost).cast("long").alias("_n_dropped"),
-        kept.alias("_kept"),
+        "row",
+        F.size(parts).cast("long").alias("n_lines"),
+        F.when(F.col("lost").isNull(), F.lit(0)).otherwise(F.size("lost")).cast("long").alias("n_dropped"),
+        kept.alias("kept"),
     )
 
 
@@ -166,10 +238,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every whole text of ``documents``."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select(
-        "doc_id",
-        F.col("_n_lines").alias("n_lines"),
-        F.col("_n_dropped").alias("n_dropped"),
-        F.sha2(F.col("_kept").cast("binary"), 256).alias("kept_sha256"),
+        "row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
     )
 
 

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from meshnet.llm import line_dedup as op
 
@@ -27,7 +28,7 @@ def brute(rows, least=10):
 
 
 def result(df, **how):
-    got = op.dedup_lines(df, **how).select("doc_id", "_n_lines", "_n_dropped", "_kept").collect()
+    got = op.dedup_lines(df, **how).select("row.doc_id", "n_lines", "n_dropped", "kept").collect()
     return sorted((tuple(r) for r in got), key=str)
 
 
@@ -51,22 +52,64 @@ def test_keys(spark):
     assert ("3", "") in [(str(i), t) for i, _, _, t in result(df)]
 
 
-def test_columns_pass_through(docs):
-    assert op.dedup_lines(docs).columns[: len(docs.columns)] == docs.columns
+def test_columns_of_any_name(docs):
+    names = ["_id", "_th", "_lost", "id", "th", "text_", "k1", "batch", "lost", "kept", "row", "a.b", "n_lines"]
+    wide = docs.select("*", *(F.lit(i).alias(n) for i, n in enumerate(names) if n not in docs.columns))
+    out = op.dedup_lines(wide)
+    assert out.select("row.*").columns == wide.columns and out.columns == ["row", "n_lines", "n_dropped", "kept"]
+    assert result(wide) == result(docs)
 
 
 def test_empty(empty):
     assert op.dedup_lines(empty).count() == 0
 
 
+def held(runs):
+    return [tuple(r) for level in runs.levels for table, _ in level for r in runs.keys(table).collect()]
+
+
 def test_levels_hold_few_runs(spark):
     runs = op.LineRuns(spark, fanout=2)
     for b in range(5):
         lines = spark.createDataFrame([(b * 10 + i, i + b, i) for i in range(3)], "id long, k1 long, k2 long")
         runs.add(lines)
     assert [len(level) for level in runs.levels] == [1, 0, 1]
-    held = [tuple(r) for level in runs.levels for run in level for r in run.collect()]
-    assert len(held) == len(set(held))
+    before = held(runs)
+    assert len(before) == len(set(before)) == len({(i + b, i) for b in range(5) for i in range(3)})
+    runs.close()
+    assert not spark.sql("SHOW TABLES").where("tableName LIKE 'line_run_%'").count()
+    again = op.LineRuns(spark, runs.folder)
+    assert [len(level) for level in again.levels] == [1, 0, 1] and sorted(held(again)) == sorted(before)
+    again.close()
+
+
+def test_later_calls_meet_the_runs_of_earlier_ones(spark, tmp_path):
+    rows = [(i, f"the first line of all\nline number {i % 7} of some\nonly in {i} of them") for i in range(40)]
+    whole = brute(rows)
+    folder, got = f"file://{tmp_path}/runs", []
+    for lo in (0, 15, 30):
+        df = spark.createDataFrame(rows[lo : lo + 15], "doc_id long, text string")
+        got += result(df, folder=folder, batches=2)
+    assert sorted(got, key=str) == whole
+
+
+def test_runs_are_merged_without_sorting_them(spark):
+    runs = op.LineRuns(spark)
+    lines = spark.range(1000).selectExpr("id", "id % 700 AS k1", "id % 700 AS k2")
+    runs.add(lines)
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        (table, _), = runs.levels[0]
+        plan = runs.keys(table).join(runs.keys(table).withColumnRenamed("k2", "other"), "k1")._jdf.queryExecution().toString()
+        merged = runs.keys(table).join(runs.keys(table).withColumn("mark", F.lit(1)), ["k1", "k2"], "full")
+        assert "Exchange" in plan  # by one of the two columns the buckets are of no use
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Sort " not in plan and "SortMergeJoin" in plan
+    finally:
+        spark.conf.unset("spark.sql.legacy.bucketedTableScan.outputOrdering")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        runs.close()
 
 
 def test_plan_has_no_python(docs):
