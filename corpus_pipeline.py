@@ -13,7 +13,7 @@ it follows the text. An empty table gives an empty result.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshnet.llm import language_id, line_dedup, near_dedup, packing
@@ -21,6 +21,12 @@ from meshnet.plans.scratch import materialize
 from meshnet.plans.tables import read_table
 
 
+def _columns(docs: DataFrame, **new: Column) -> list[Column]:
+    """The fields of the column ``row``, in the order of ``docs``, some replaced by ``new``."""
+    row = F.col("row")
+    return [new[c].cast(docs.schema[c].dataType).alias(c) if c in new else row.getField(c).alias(c) for c in docs.columns]
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language can't be told: those without a letter.
 
@@ -28,11 +34,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     ``lang`` of a kept document becomes the predicted one, which is ``und`` if
     nothing could be learned.
     """
-    columns = docs.columns
-    labelled = language_id.label_language(
-        docs, language_id.train(docs), lang_out="__lang_pred", score_out="__lang_score", lettered=True
-    )
-    return labelled.withColumn("lang", F.coalesce("lang", "__lang_pred")).select(*(F.col(f"`{c}`") for c in columns))
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    labelled = language_id.label_language(rows, language_id.train(docs), keep=["row"], lettered=True)
+    return labelled.select(*_columns(docs, lang=F.coalesce("row.lang", "lang_pred")))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,22 +45,21 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Every document stays, one that loses all its lines with an empty text: the
     next stage keeps one of those.
     """
-    columns = docs.columns
-    out = line_dedup.dedup_lines(docs)
-    out = out.withColumn("text", F.when(F.col("_n_dropped") > 0, F.col("_kept")).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        chars = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, chars).otherwise(F.col("n_chars")))
-    return out.select(*(F.col(f"`{c}`") for c in columns))
+    lost = F.col("n_dropped") > 0
+    new = {"text": F.when(lost, F.col("kept")).otherwise(F.col("row.text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(lost, F.char_length("kept")).otherwise(F.col("row.n_chars"))
+    return line_dedup.dedup_lines(docs).select(*_columns(docs, **new))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of the smallest id of each class of near-duplicates."""
     classes = near_dedup.near_classes(docs)
-    # Ids that stay in none of their rows go; texts under one id stay or go by the id's best row.
-    lost = classes.groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select(F.col("doc_id").alias("__id"))
-    lost = materialize(lost, "near_duplicates")
-    return docs.join(lost, docs.doc_id.cast("long") == F.col("__id"), "left_anti")
+    # Ids that stay in none of their rows go; texts under one id stay or go together.
+    lost = classes.groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept"))
+    lost = materialize(lost.select(F.col("doc_id").alias("lost_id")), "near_duplicates")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    return rows.join(lost, F.col("id") == F.col("lost_id"), "left_anti").select(*_columns(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
