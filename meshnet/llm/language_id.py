@@ -6,13 +6,14 @@ a text is the sum of its trigrams, and so is a language over its labelled
 texts. The language whose prototype has the largest cosine with the text wins.
 
 Training counts trigrams over all labelled documents, sums them map-side, and
-bundles the counts where they are; only one vector a language and task reaches
-the driver. Counts and sums are whole numbers, so results depend on no order.
+bundles the counts where they are; only one vector a language reaches the
+driver, and more than MOST_LANGUAGES are an error. Counts and sums are whole numbers, so results depend on no order.
 
 Cases: a text that is null, or has no letter, is ``und`` with score 0, and so is
 every text if nothing could be learned. Equal cosines go to the first language
 by name. A row with a null id is predicted but not learned from, and is not held
-out. Rows repeated count as often as they occur. An empty table gives an empty
+out. A text of any length is counted whole, in some 40 bytes a letter. Rows
+repeated count as often as they occur. An empty table gives an empty
 result. Columns of any other name pass through untouched.
 """
 
@@ -37,6 +38,7 @@ DIMENSIONS = 1024
 SEED = 7
 UNKNOWN = "und"
 FOLDS = 5
+MOST_LANGUAGES = 1000
 #: Letters below this code point have a number of their own, others share the numbers up to LETTERS.
 OWN, LETTERS = 0x250, 1024
 
@@ -177,9 +179,14 @@ def train(
     )
     counts = labelled.mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "trigrams")
-    sums: dict[str, np.ndarray] = {}
-    for row in counts.mapInArrow(vectors, "lang string, vector array<double>").collect():
-        sums[row.lang] = sums.get(row.lang, 0) + np.array(row.vector)
+    # Vectors of tasks are added up where they are; whole numbers, so their order does not matter.
+    parts = counts.mapInArrow(vectors, "lang string, vector array<double>").select("lang", F.posexplode("vector").alias("at", "x"))
+    cells = parts.groupBy("lang", "at").agg(F.sum("x").alias("x"))
+    whole = cells.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("cells"))
+    rows = whole.limit(MOST_LANGUAGES + 1).collect()
+    if len(rows) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: is {lang_col} the right column?")
+    sums = {row.lang: np.array([x for _, x in row.cells]) for row in rows}
     names = tuple(sorted(k for k, v in sums.items() if v.any()))
     return Prototypes(names, np.array([sums[k] / np.sqrt((sums[k] ** 2).sum()) for k in names]))
 

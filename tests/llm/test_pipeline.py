@@ -5,6 +5,7 @@ from functools import partial
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -62,6 +63,17 @@ def test_stages_keep_columns_and_decide(spark, docs):
     assert sum(p.length for p in pieces) == tokens
 
 
+def test_columns_of_any_name(spark, docs):
+    names = ["_id", "_th", "_lost", "__id", "id", "lost_id", "row", "__lang_pred", "lang_pred", "score", "_kept", "kept", "n_dropped", "a.b"]
+    wide = docs.select("*", *(F.lit(k).alias(n) for k, n in enumerate(names) if n not in docs.columns))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out, plain_out = stage(spark, wide, "unused"), stage(spark, docs, "unused")
+        assert out.columns == wide.columns and out.select(plain_out.columns).schema == plain_out.schema
+        assert sorted(map(str, out.select(plain_out.columns).collect())) == sorted(map(str, plain_out.collect()))
+        assert out.select("_id", "`a.b`").distinct().count() == 1
+    assert corpus_pipeline.pack_sequences(spark, wide, "unused").count() > 0
+
+
 def test_empty_table(spark, empty):
     out = empty
     for _, stage in corpus_pipeline.STAGES:
