@@ -7,12 +7,18 @@ and smallest value of each component (the term maxima; values have signs). For a
 query, the sum of the larger of ``q * max`` and ``q * min`` over the components
 bounds every score in a block. Blocks are taken in descending order of bound and
 scored through the forward index until the bound falls below the k-th score.
+Bounds are raised by what rounding may have taken from them.
+
+A query is a row, so the task that makes its block scores it against that block
+first: the k-th score there is a floor that goes with the query everywhere. No
+block below it is scored, and no row below it is returned.
 
 Queries and blocks meet in groups of bounded size, a segment of blocks by a
 block of queries, so neither side need fit in one task. Each group returns at
 most k rows a query. The result is exact whatever the bounds are; with dense
 vectors of many components they are loose and prune little, but groups of
-copies are pruned.
+copies are pruned. Work grows with queries times blocks. A task sorts vectors of
+up to ``SORTED`` components together at a time.
 
 Cases: a vector that is null, or holds a null, NaN or infinity, takes no part,
 nor does a null id. A shorter vector counts as if followed by zeros. Rows with
@@ -38,9 +44,13 @@ from meshnet.plans.tables import read_table
 
 K = 10
 SCALE = 1024
-BLOCK, SEGMENT, QUERIES, SORTED = 256, 64, 2048, 32_768
+BLOCK, SEGMENT, QUERIES, SORTED = 256, 64, 2048, 1 << 22
 PROJECTIONS = 16
-_BLOCK_SCHEMA = "block long, dim int, ids binary, forward binary, most binary, least binary"
+_BLOCK_SCHEMA = (
+    "block long, dim int, ids binary, forward binary, most binary, least binary, "
+    "queries array<struct<id: long, vector: array<double>, floor: long>>"
+)
+_NONE = np.iinfo(np.int64).min
 
 
 def _usable(vectors: list) -> np.ndarray:
@@ -56,46 +66,65 @@ def _matrix(vectors: list, scale: float) -> np.ndarray:
     return out
 
 
-def _blocks(scale: float, size: int):
-    """mapInArrow function: ``id, vector`` to blocks of ranges of the task's own order."""
+def _floors(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, table: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best score of each query among the other rows of a block, the least number if there are fewer."""
+    score = _scores(queries, table)
+    score[query_ids[:, None] == ids[None, :]] = _NONE
+    return np.sort(score, axis=1)[:, -k] if len(ids) >= k else np.full(len(query_ids), _NONE)
+
+
+def _blocks(scale: float, size: int, k: int):
+    """mapInArrow function: ``id, vector, is_query`` to blocks of ranges of the task's own order."""
+    kinds = pa.schema(
+        [
+            ("block", pa.int64()), ("dim", pa.int32()), *((c, pa.binary()) for c in ("ids", "forward", "most", "least")),
+            ("queries", pa.list_(pa.struct([("id", pa.int64()), ("vector", pa.list_(pa.float64())), ("floor", pa.int64())]))),
+        ]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, made = TaskContext.get().partitionId(), 0
+        task, made, held = TaskContext.get().partitionId(), 0, 0
         ids: list[int] = []
-        vectors: list = []
+        vectors: list[np.ndarray] = []
+        asked: list[bool] = []
 
         def cut() -> Iterator[pa.RecordBatch]:
-            nonlocal made
-            own, table = np.array(ids, np.int64), _matrix(vectors, scale)
+            nonlocal made, held
+            own, table, query = np.array(ids, np.int64), _matrix(vectors, scale), np.array(asked, bool)
             planes = np.random.default_rng(11).standard_normal((table.shape[1], PROJECTIONS))
             code = (table @ planes > 0) @ (1 << np.arange(PROJECTIONS)[::-1])
             order = np.lexsort((own, code))
-            own, table = own[order], table[order]
-            rows = []
             for lo in range(0, len(own), size):
-                part = table[lo : lo + size]
-                rows.append(
-                    {
-                        "block": (task << 32) + made, "dim": table.shape[1], "ids": own[lo : lo + size].tobytes(),
-                        "forward": part.tobytes(), "most": part.max(axis=0).tobytes(), "least": part.min(axis=0).tobytes(),
-                    }
-                )
+                at = order[lo : lo + size]
+                part, mine = table[at], at[query[at]]
+                floors = _floors(own[mine], table[mine], own[at], part, k)
+                row = {
+                    "block": (task << 32) + made, "dim": table.shape[1], "ids": own[at].tobytes(), "forward": part.tobytes(),
+                    "most": part.max(axis=0).tobytes(), "least": part.min(axis=0).tobytes(),
+                    "queries": [
+                        {"id": int(own[i]), "vector": vectors[i].tolist(), "floor": int(f)} for i, f in zip(mine, floors, strict=True)
+                    ],
+                }
                 made += 1
+                yield pa.RecordBatch.from_pylist([row], kinds)
             ids.clear()
             vectors.clear()
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("block", pa.int64()), ("dim", pa.int32()), *((c, pa.binary()) for c in ("ids", "forward", "most", "least"))]))
+            asked.clear()
+            held = 0
 
         for batch in batches:
             values = batch.column(1).to_pylist()
             good = _usable(values)
-            for i, v, ok in zip(batch.column(0).to_pylist(), values, good.tolist(), strict=True):
+            for i, v, q, ok in zip(batch.column(0).to_pylist(), values, batch.column(2).to_pylist(), good.tolist(), strict=True):
                 if ok:
                     ids.append(i)
-                    vectors.append(v)
-            if len(ids) >= SORTED:
+                    vectors.append(np.array(v, np.float64))
+                    asked.append(bool(q))
+                    held += len(v)
+            if held >= SORTED:
                 yield from cut()
-        yield from cut()
+        if ids:
+            yield from cut()
 
     return run
 
@@ -112,22 +141,33 @@ def _scores(queries: np.ndarray, forward: np.ndarray) -> np.ndarray:
     ).reshape(len(queries), len(forward))
 
 
-_NONE = np.iinfo(np.int64).min
+def _bounds(queries: np.ndarray, most: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """No score of a block is above these, rounding or not."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        bound = np.maximum(queries, 0) @ most.T + np.minimum(queries, 0) @ least.T
+        # The error of a sum follows its terms, which may cancel, not its value.
+        terms = np.abs(queries) @ np.maximum(np.abs(most), np.abs(least)).T
+        bound = bound + terms * (4 * (queries.shape[1] + 2) * np.finfo(float).eps)
+        return np.where(np.isfinite(bound), bound, np.inf)  # never prune by NaN
+
 
+def search(
+    query_ids: np.ndarray, queries: np.ndarray, blocks: list[tuple], k: int, floors: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, int]:
+    """The k best scores and ids of each query over ``blocks``, and the number of query-block pairs scored.
 
-def search(query_ids: np.ndarray, queries: np.ndarray, blocks: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The k best scores and ids of each query over ``blocks``, and the number of query-block pairs scored."""
+    Scores below a query's floor may be missing.
+    """
     n = len(query_ids)
+    floors = np.full(n, _NONE) if floors is None else floors
     best, who = np.full((n, k), _NONE), np.full((n, k), np.iinfo(np.int64).max)
-    most, least = (np.stack([b[i] for b in blocks]) for i in (2, 3))
-    with np.errstate(over="ignore", invalid="ignore"):
-        bound = np.maximum(queries, 0) @ most.T + np.minimum(queries, 0) @ least.T
-        # Beyond 53 bits a sum in floating point may be rounded down: leave room, and never prune by NaN.
-        bound = np.where(np.isfinite(bound), bound + np.abs(bound) * 1e-9, np.inf)
+    bound = _bounds(queries, *(np.stack([b[i] for b in blocks]) for i in (2, 3)))
     order, scored = np.argsort(-bound, axis=1, kind="stable"), 0
     for step in range(len(blocks)):
         pick = order[:, step]
-        active = bound[np.arange(n), pick] >= best[:, -1]
+        need = np.maximum(best[:, -1], floors)
+        # A score may be rounded up as a floating number; the one before is not above it.
+        active = bound[np.arange(n), pick] >= np.nextafter(need.astype(float), -np.inf)
         if not active.any():
             break
         for b in np.unique(pick[active]):
@@ -137,7 +177,7 @@ def search(query_ids: np.ndarray, queries: np.ndarray, blocks: list[tuple], k: i
             score = _scores(queries[rows], forward)
             own = query_ids[rows][:, None] == ids[None, :]
             score[own] = _NONE
-            hit = score.max(axis=1) >= best[rows, -1]
+            hit = score.max(axis=1) >= need[rows]
             rows, score = rows[hit], score[hit]
             score = np.concatenate([best[rows], score], axis=1)
             name = np.concatenate([who[rows], np.broadcast_to(ids, (len(rows), len(ids)))], axis=1)
@@ -165,8 +205,9 @@ def _group(k: int, scale: float):
         ]
         table = _matrix(vectors, scale)
         table = np.pad(table, ((0, 0), (0, dim - table.shape[1])))
-        best, who, _ = search(query_ids, table, index, k)
-        real = best != _NONE
+        floors = right.column("floor").to_numpy()
+        best, who, _ = search(query_ids, table, index, k, floors)
+        real = (best != _NONE) & (best >= floors[:, None])
         return pa.table(
             {"query_id": np.repeat(query_ids, k)[real.ravel()], "vec_id": who[real], "score": best[real]}, kinds
         )
@@ -184,17 +225,16 @@ def top_k(
     rows = df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull())
     # dim 0 has no bytes to cut: such vectors get one zero.
     padded = F.when(F.size(vector) == 0, F.array(F.lit(0.0))).otherwise(vector)
-    blocks = materialize(
-        rows.select(F.col(id_col).cast("long").alias("id"), padded.alias("vector")).mapInArrow(_blocks(scale, BLOCK), _BLOCK_SCHEMA),
-        "blocks",
-    )
-    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    own = rows.select(F.col(id_col).cast("long").alias("id"), padded.alias("vector"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    blocks = materialize(own.mapInArrow(_blocks(scale, BLOCK, k), _BLOCK_SCHEMA), "blocks")
     queries = (
-        rows.where(is_query & finite)
-        .groupBy(F.col(id_col).cast("long").alias("id"))
-        .agg(F.min(vector).alias("vector"))
+        blocks.select(F.explode("queries").alias("q"))
+        .groupBy("q.id")
+        .agg(F.min(F.struct("q.vector", "q.floor")).alias("q"))
+        .select("id", "q.vector", "q.floor")
     )
     queries = materialize(queries, "queries")
+    blocks = blocks.drop("queries")
     n_blocks, n_queries = blocks.count(), queries.count()
     n_segments, n_parts = max(1, -(-n_blocks // SEGMENT)), max(1, -(-n_queries // QUERIES))
     # Neighbouring blocks of one task stay together; a hash deals the rest out evenly.

@@ -2,6 +2,8 @@ import math
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from meshnet.llm import exact_topk as op
@@ -52,12 +54,49 @@ def test_odd_vectors(spark):
 
 
 def test_small_groups(spark, monkeypatch):
-    for name, value in (("BLOCK", 4), ("SEGMENT", 3), ("QUERIES", 2), ("SORTED", 40)):
+    for name, value in (("BLOCK", 16), ("SEGMENT", 3), ("QUERIES", 2), ("SORTED", 240)):
         monkeypatch.setattr(op, name, value)
     rows = list(enumerate(floats(np.random.default_rng(0).normal(0, 0.2, (700, 6)))))
     assert result(frame(spark, rows)) == brute(rows)
 
 
+def test_terms_that_cancel(spark):
+    """A bound far below the terms of its sum: rounding takes more than the bound itself."""
+    big = 2.0**21
+    rows = [(0, [big, 1 / 1024, big]), (1, [big, 300 / 1024, -big]), (2, [0.0, 100 / 1024, 0.0]), (3, [0.0, 200 / 1024, 0.0])]
+    assert result(frame(spark, rows)) == brute(rows)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 6), st.integers(1, 4))
+def test_search_of_large_components(seed, dim, k):
+    """Components up to 2^40 in pairs that cancel, so that scores are small beside their terms."""
+    rng = np.random.default_rng(seed)
+    half = np.floor(rng.normal(0, 2.0 ** rng.integers(0, 41), (24, dim)))
+    table = np.concatenate([half, -half + rng.integers(-3, 4, half.shape)], axis=1)[rng.permutation(24)]
+    table[:, :dim], table[:, dim:] = (table[:, rng.permutation(2 * dim)][:, c] for c in (slice(dim), slice(dim, None)))
+    queries = np.tile(np.floor(rng.normal(0, 2.0 ** rng.integers(0, 41), (2, dim))), 2)
+    blocks = [(np.arange(i, i + 4), table[i : i + 4], table[i : i + 4].max(axis=0), table[i : i + 4].min(axis=0)) for i in range(0, 24, 4)]
+    clip = lambda x: max(-(2**63) + 1, min(2**63 - 1, x))
+    for floored in (False, True):
+        floors = op._floors(np.array([-1, 5]), queries, blocks[1][0], blocks[1][1], k) if floored else None
+        best, who, _ = op.search(np.array([-1, 5]), queries, blocks, k, floors)
+        for q, own, scores, names in zip(queries, (-1, 5), best.tolist(), who.tolist(), strict=True):
+            every = sorted((-clip(sum(int(a) * int(b) for a, b in zip(q, v, strict=True))), i) for i, v in enumerate(table) if i != own)
+            assert [(-s, i) for s, i in zip(scores, names, strict=True)] == every[:k]
+
+
+def test_floors_go_with_queries(spark, monkeypatch):
+    """Copies fill a query's own block, so its floor leaves out all other blocks."""
+    rng = np.random.default_rng(2)
+    rows = list(enumerate(floats(rng.normal(0, 0.01, (1500, 8)))))
+    rows += [(2000 + i, [1.0] * 8) for i in range(300)]
+    assert result(frame(spark, rows)) == brute(rows)
+    table = np.array([[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]])
+    got = op._floors(np.array([7]), np.array([[1.0, 1.0]]), np.array([7, 8, 9]), table, 2)
+    assert got.tolist() == [7] and op._floors(np.array([7]), table[:1], np.array([7]), table[:1], 2).tolist() == [op._NONE]
+
+
 def test_blocks_beyond_the_bound_are_not_scored():
     rng = np.random.default_rng(4)
     blocks = []
