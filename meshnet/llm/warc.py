@@ -1,33 +1,42 @@
 """WARC archives, and their index by external merge.
 
-Pages become WARC/1.1 records, one archive file a task, sorted by url key and
-time within the file: a run. Of equal payloads one is a response and the others
-revisit it. Reading walks each archive by Content-Length, checks payload
-digests, and yields index entries. Index runs are dealt by ranges of url key,
-time and id; in each range a loser tree merges the runs, so captures are in
-global order: by ``segment``, then ``position``.
-
-Archives are written and read through Spark, in gzip, in any store it reaches;
-a file is never held in memory. Records are told apart by their length alone,
-so a payload may hold anything.
+Pages become WARC/1.1 records, each a gzip member of its own, in ``.warc.gz``
+files sorted by url key and time within. Every file begins with a warcinfo
+record. Of equal payloads one is a response and the others revisit it. Reading
+walks each file member by member, checks lengths and payload digests, and
+yields index entries with file, offset and length, by which one capture can be
+read alone. Entries are dealt by ranges of url key, time and id; in each range
+a loser tree merges sorted runs, an equal share of the files each, so captures
+are in global order: by ``segment``, then ``position``.
+
+Files are written and read as streams, in any store that Arrow reaches; memory
+follows the largest record. A task writes under a name of its own, and the
+table ``files`` beside the archives names those of tasks that ended well: files
+of lost attempts are not in it and not read.
 
 Cases: a null html is an empty payload. A null url has an empty url key and no
 target header. A null id is written without an id header; it never is the
 response of a group that has an id. Rows repeated with the id of the response
 are responses too. An empty table gives an empty result. Payloads of equal
 SHA-1 and length are equal. Line ends in a url are percent-encoded in headers.
-Other columns, whatever their names, are not read.
+Captures of equal url key, time and id stay in the order of their runs. A very
+long payload is one record, held once. Other columns, whatever their names, are
+not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
+import zlib
 from collections.abc import Iterator
 from datetime import datetime, timezone
 from itertools import chain
+from typing import BinaryIO
 
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,13 +50,20 @@ REVISIT_BYTES = 1000
 BROADCAST_WINNERS = 20_000
 #: Rows of each run that a merge holds.
 CURSOR_ROWS = 256
+#: Fixed value: files tell no time of writing, so that equal pages make equal files.
+WRITTEN = "2020-01-01T00:00:00Z"
+#: A file is ended at so many bytes.
+FILE_BYTES = 1 << 30
+#: Runs that a merge takes at most, and rows of a range that it merges.
+MOST_RUNS, RANGE_ROWS = 128, 2_000_000
 END = "\r\n"
 #: Fixed value: the profile of a revisit by payload digest.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _INDEX = (
     "url_key string, capture_ts timestamp, page_id long, payload_bytes long, payload_digest string, "
-    "record_type string, refers_to long, run long, ordinal long"
+    "record_type string, refers_to long, file string, ordinal long, offset long, length long"
 )
+_FILES = "file string, records long, bytes long"
 
 
 def url_key(url: Column) -> Column:
@@ -58,102 +74,143 @@ def url_key(url: Column) -> Column:
     return F.coalesce(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), path), F.lit(""))
 
 
-def _header(*fields: tuple[str, Column]) -> Column:
-    """Header lines; a field whose value is null is left out."""
-    return F.concat(*(F.coalesce(F.concat(F.lit(name + ": "), value, F.lit(END)), F.lit("")) for name, value in fields))
+def _record(fields: list[tuple[str, str | None]], block: bytes) -> bytes:
+    """A record as a gzip member; a field whose value is None is left out."""
+    head = "".join(f"{name}: {value}{END}" for name, value in fields if value is not None)
+    gzip = zlib.compressobj(6, zlib.DEFLATED, 31)
+    raw = f"WARC/1.1{END}{head}Content-Length: {len(block)}{END}{END}".encode()
+    return gzip.compress(raw) + gzip.compress(block) + gzip.compress(b"\r\n\r\n") + gzip.flush()
+
 
+def _write_files(folder: str, most_bytes: int):
+    """mapInArrow function: pages in order, with what they refer to, to files; yields ``file, records, bytes``."""
 
-def write_archives(pages: DataFrame, path: str, ts: Column, id_col: str, url_col: str, html_col: str) -> None:
-    """One record per row of ``pages`` under ``path``."""
+    def urn(name: str) -> str:
+        return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = FileSystem.from_uri(folder)
+        out, name, records, size = None, "", 0, 0
+
+        def done() -> pa.RecordBatch:
+            out.close()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([name]), pa.array([records], pa.int64()), pa.array([size], pa.int64())], ["file", "records", "bytes"]
+            )
+
+        for batch in batches:
+            for page, url, date, digest, length, of, of_url, of_date, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if out is None:
+                    name, records, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
+                    store.create_dir(base, recursive=True)
+                    out = store.open_output_stream(f"{base}/{name}", compression=None)
+                    info = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", urn(name)), ("WARC-Date", WRITTEN), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")]
+                    size += out.write(_record(info, f"software: meshnet{END}format: WARC File Format 1.1{END}".encode()))
+                revisit = of is not None
+                http = f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: {length}{END}{END}".encode()
+                fields = [
+                    ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", urn(f"{name}/{records}")),
+                    ("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-Warcinfo-ID", urn(name)),
+                    ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Profile", PROFILE if revisit else None),
+                    ("WARC-Refers-To-Target-URI", of_url), ("WARC-Refers-To-Date", of_date),
+                    ("Page-ID", page), ("Refers-To-Page-ID", of), ("Content-Type", "application/http;msgtype=response"),
+                ]
+                size += out.write(_record(fields, http if revisit else http + html.encode()))
+                records += 1
+                if size >= most_bytes:
+                    yield done()
+                    out = None
+        if out is not None:
+            yield done()
+
+    return run
+
+
+def write_archives(pages: DataFrame, path: str, ts: Column, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """One record per row of ``pages`` in files under ``path``; returns the table ``files`` that names them."""
+    spark = pages.sparkSession
+    bound_arrow_batches(spark)
+    when = F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    url = F.col(url_col)
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"),
-        F.col(url_col).alias("url"),
-        ts.alias("ts"),
+        F.replace(F.replace(url, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")).alias("url"),
+        when.alias("date"),
         F.coalesce(F.col(html_col), F.lit("")).alias("html"),
+        url_key(url).alias("key"),
+        ts.alias("ts"),
     )
     rows = rows.select("*", F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").cast("long").alias("size"))
+    page = F.struct("page_id", "url", "date")
     winners = materialize(
         rows.where(F.col("size") >= REVISIT_BYTES)
         .groupBy("digest", "size")
-        .agg(F.max("page_id").alias("winner"), F.count(F.lit(1)).alias("n"))
-        .where((F.col("n") > 1) & F.col("winner").isNotNull())
-        .select("digest", "size", "winner"),
+        .agg(F.max(F.when(F.col("page_id").isNotNull(), page)).alias("of"), F.count(F.lit(1)).alias("n"))
+        .where((F.col("n") > 1) & F.col("of").isNotNull())
+        .select("digest", "size", "of"),
         "winners",
     )
     small = winners.limit(BROADCAST_WINNERS + 1).count() <= BROADCAST_WINNERS
     rows = rows.join(F.broadcast(winners) if small else winners, ["digest", "size"], "left")
-    revisit = F.col("winner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("winner"))
-    http = F.concat(
-        F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "),
-        F.col("size").cast("string"),
-        F.lit(END + END),
-    )
-    block = F.when(revisit, http).otherwise(F.concat(http, "html"))
-    safe_url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    when = F.date_format(F.to_utc_timestamp("ts", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
-    record = F.concat(
-        F.lit("WARC/1.1" + END),
-        _header(
-            ("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-            ("WARC-Record-ID", F.coalesce(urn(F.col("page_id")), F.lit("<urn:page:none>"))),
-            ("WARC-Date", when),
-            ("WARC-Target-URI", safe_url),
-            ("WARC-Warcinfo-ID", F.concat(F.lit("<urn:run:"), F.spark_partition_id().cast("string"), F.lit(">"))),
-            ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
-            ("WARC-Profile", F.when(revisit, PROFILE)),
-            ("WARC-Refers-To", F.when(revisit, urn(F.col("winner")))),
-            ("Content-Type", F.lit("application/http;msgtype=response")),
-            ("Content-Length", F.octet_length(block).cast("string")),
-        ),
-        F.lit(END),
-        block,
-    )
-    (
-        rows.withColumn("key", url_key(F.col("url")))
-        .sortWithinPartitions("key", "ts", "page_id")
-        .select(record.alias("value"))
-        .write.option("compression", "gzip")
-        .option("lineSep", END + END)
-        .text(path)
-    )
+    of = F.when(F.col("of").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("of.page_id")), F.col("of"))
+    rows = rows.withColumn("of", of)
+    html = F.when(F.col("of").isNull(), F.col("html"))  # a revisit has no payload
+    ordered = rows.sortWithinPartitions("key", "ts", "page_id").select(
+        F.col("page_id").cast("string").alias("page"), "url", "date", "digest", "size", F.col("of.page_id").cast("string").alias("of_page"),
+        F.col("of.url").alias("of_url"), F.col("of.date").alias("of_date"), html.alias("html"),
+    )
+    files = f"{path}/files"
+    ordered.mapInArrow(_write_files(path, FILE_BYTES), _FILES).write.mode("append").parquet(files)
+    return spark.read.schema(_FILES).parquet(files)
 
 
 class ArchiveError(ValueError):
     """An archive that does not hold what its headers say."""
 
 
-def read_records(lines: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record; ``lines`` are without their line feed."""
-    while True:
-        first = next(lines, None)
-        if first is None:
-            return
-        if first != b"WARC/1.1\r":
-            raise ArchiveError(f"no record begins with {first[:40]!r}")
-        headers = {}
-        for line in lines:
-            if line == b"\r":
-                break
-            name, _, value = line.decode().partition(": ")
-            headers[name] = value.removesuffix("\r")
-        need = int(headers["Content-Length"]) + 4
-        parts, have = [], 0
-        while have < need:
-            line = next(lines, None)
-            if line is None:
+def _members(source: BinaryIO) -> Iterator[tuple[int, int, bytes]]:
+    """Offset, length and content of each gzip member of a stream."""
+    offset, data = 0, source.read(1 << 16)
+    while data:
+        gunzip, parts, length = zlib.decompressobj(31), [], 0
+        while not gunzip.eof:
+            if not data:
                 raise ArchiveError("an archive ends within a record")
-            parts.append(line)
-            have += len(line) + 1
-        whole = b"\n".join(parts) + b"\n"
-        if have != need or not whole.endswith(b"\r\n\r\n"):
-            raise ArchiveError("a record is not as long as its header says")
-        yield headers, whole[:-4]
-
-
-def _urn(text: str | None) -> int | None:
-    tail = (text or "").removesuffix(">").rpartition(":")[2]
-    return int(tail) if tail.lstrip("-").isdigit() else None
+            try:
+                parts.append(gunzip.decompress(data))
+            except zlib.error as e:
+                raise ArchiveError(f"no record at {offset}: {e}") from e
+            length += len(data) - len(gunzip.unused_data)
+            data = gunzip.unused_data if gunzip.eof else source.read(1 << 16)
+        yield offset, length, b"".join(parts)
+        offset += length
+        data = data or source.read(1 << 16)
+
+
+def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
+    """Headers and block of a record."""
+    head, found, rest = raw.partition(b"\r\n\r\n")
+    first, *fields = head.decode().split(END)
+    if first != "WARC/1.1" or not found:
+        raise ArchiveError(f"no record begins with {raw[:40]!r}")
+    headers = dict(f.split(": ", 1) for f in fields)
+    block = rest[:-4]
+    if not rest.endswith(b"\r\n\r\n") or len(block) != int(headers["Content-Length"]):
+        raise ArchiveError("a record is not as long as its header says")
+    return headers, block
+
+
+def read_capture(path: str, file: str, offset: int, length: int) -> tuple[dict[str, str], bytes]:
+    """Headers and payload of the one record that an index entry names; nothing else is read."""
+    store, base = FileSystem.from_uri(path)
+    with store.open_input_file(f"{base}/{file}") as source:
+        source.seek(offset)
+        headers, block = parse_record(zlib.decompress(source.read(length), 31))
+    return headers, block.partition(b"\r\n\r\n")[2]
+
+
+def _number(text: str | None) -> int | None:
+    return None if text is None else int(text)
 
 
 def _surt(url: str | None) -> str:
@@ -165,40 +222,53 @@ def _surt(url: str | None) -> str:
     return ",".join(reversed(rest[:cut].lower().split("."))) + ")" + rest[cut:]
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines of archives to index entries."""
-    lines = (line for batch in batches for line in batch.column(0).to_pylist())
-    rows, nth = [], {}
+def _entries(folder: str):
+    """mapInArrow function: names of files to index entries."""
     names = [f.split()[0] for f in _INDEX.split(", ")]
+    strings = ("url_key", "payload_digest", "record_type", "file")
     kinds = pa.schema(
-        [(n, pa.string() if n in ("url_key", "payload_digest", "record_type") else pa.timestamp("us", "UTC") if n == "capture_ts" else pa.int64()) for n in names]
+        [(n, pa.string() if n in strings else pa.timestamp("us", "UTC") if n == "capture_ts" else pa.int64()) for n in names]
     )
-    for headers, block in read_records(lines):
-        head, _, payload = block.partition(b"\r\n\r\n")
-        kind, digest = headers["WARC-Type"], headers["WARC-Payload-Digest"].removeprefix("sha1:")
-        size = int(next(h for h in head.split(b"\r\n") if h.startswith(b"Content-Length: "))[16:])
-        if kind == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
-            raise ArchiveError(f"the payload of {headers['WARC-Record-ID']} is not what its digest says")
-        run = _urn(headers["WARC-Warcinfo-ID"])
-        nth[run] = nth.get(run, -1) + 1
-        ts = headers.get("WARC-Date")
-        ts = datetime.strptime(ts, "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=timezone.utc) if ts else None
-        rows.append(
-            (_surt(headers.get("WARC-Target-URI")), ts, _urn(headers["WARC-Record-ID"]), size, digest, kind,
-             _urn(headers.get("WARC-Refers-To")), run, nth[run])
-        )
-        if len(rows) == 5000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
-            rows = []
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = FileSystem.from_uri(folder)
+        rows: list[tuple] = []
+
+        def batch_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+
+        for name in (n for batch in batches for n in batch.column(0).to_pylist()):
+            with store.open_input_stream(f"{base}/{name}", compression=None) as source:
+                for nth, (offset, length, raw) in enumerate(_members(source), -1):
+                    headers, block = parse_record(raw)
+                    kind = headers["WARC-Type"]
+                    if kind == "warcinfo":
+                        continue
+                    digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
+                    head, _, payload = block.partition(b"\r\n\r\n")
+                    size = int(next(h for h in head.split(b"\r\n") if h.startswith(b"Content-Length: "))[16:])
+                    if kind == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
+                        raise ArchiveError(f"the payload of {headers['WARC-Record-ID']} is not what its digest says")
+                    ts = headers.get("WARC-Date")
+                    ts = datetime.strptime(ts, "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=timezone.utc) if ts else None
+                    rows.append(
+                        (_surt(headers.get("WARC-Target-URI")), ts, _number(headers.get("Page-ID")), size, digest, kind,
+                         _number(headers.get("Refers-To-Page-ID")), name, nth, offset, length)
+                    )
+                    if len(rows) == 5000:
+                        yield batch_of()
+                        rows = []
+        if rows:
+            yield batch_of()
+
+    return run
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Index entries of the archives under ``path``, each checked against its digest."""
+    """Index entries of the archives under ``path``, each checked against its digest; a task reads about a file."""
     bound_arrow_batches(spark)
-    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary"))
-    return lines.mapInArrow(_entries, _INDEX)
+    files = spark.read.schema(_FILES).parquet(f"{path}/files")
+    return files.select("file").repartition(max(1, files.count())).mapInArrow(_entries(path), _INDEX)
 
 
 class LoserTree:
@@ -284,7 +354,9 @@ def merge_index(entries: DataFrame) -> DataFrame:
     at = [names.index(c) for c in order]
     run_at = names.index("run")
     by = [F.col(c).asc_nulls_first() for c in order]
-    dealt = entries.repartitionByRange(*by).sortWithinPartitions("run", *by)
+    least = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(least, -(-entries.count() // RANGE_ROWS))
+    dealt = entries.repartitionByRange(ranges, *by).sortWithinPartitions("run", *by)
     schema = entries.select("*", F.lit(0).alias("segment"), F.lit(0).cast("long").alias("position")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,7 +395,9 @@ def archive(
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
     write_archives(pages, path, ts, id_col, url_col, html_col)
-    return merge_index(materialize(read_archives(spark, path), "index"))
+    # Many files are few runs: a merge has a cursor open for each.
+    run = F.pmod(F.xxhash64("file"), F.lit(MOST_RUNS))
+    return merge_index(materialize(read_archives(spark, path), "index").withColumn("run", run)).drop("run")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

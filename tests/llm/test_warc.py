@@ -1,5 +1,10 @@
+import gzip
 import hashlib
+import io
 import random
+import zlib
+from itertools import pairwise
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
@@ -46,11 +51,37 @@ def test_round_trip(spark, rows):
     key = lambda r: (r.url_key, r.capture_ts is not None, r.capture_ts, r.page_id is not None, r.page_id)
     keys = [key(r) for r in order if None not in key(r)]
     assert keys == sorted(keys)
-    assert len({r.run for r in index}) == 3
-    # A run is sorted within its file.
-    for run in {r.run for r in index}:
-        own = [r.url_key for r in sorted(index, key=lambda r: r.ordinal) if r.run == run]
-        assert own == sorted(own)
+    assert len({r.file for r in index}) == 3
+    for file in {r.file for r in index}:
+        own = [r for r in sorted(index, key=lambda r: r.ordinal) if r.file == file]
+        assert [r.url_key for r in own] == sorted(r.url_key for r in own)
+        assert [r.ordinal for r in own] == list(range(len(own)))
+        # Records follow each other without gaps, after the warcinfo, in a file that gzip reads as a whole.
+        assert all(a.offset + a.length == b.offset for a, b in pairwise(own))
+        raw = Path(path.removeprefix("file://"), file).read_bytes()
+        assert own[-1].offset + own[-1].length == len(raw)
+        assert gzip.decompress(raw).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n")
+    html = {i: (h or "").encode() for i, _, h in rows}
+    records = [(r, *op.read_capture(path, r.file, r.offset, r.length)) for r in index]
+    for r, headers, payload in records:
+        assert headers["WARC-Type"] == r.record_type and headers.get("Page-ID") == (None if r.page_id is None else str(r.page_id))
+        assert r.page_id is None or payload == (b"" if r.record_type == "revisit" else html[r.page_id])
+    assert len({headers["WARC-Record-ID"] for _, headers, _ in records}) == len(rows)
+    dates = {r.page_id: headers["WARC-Date"] for r, headers, _ in records if r.page_id is not None}
+    again = [(r, headers) for r, headers, _ in records if r.record_type == "revisit"]
+    assert again and all(headers["WARC-Refers-To-Date"] == dates[r.refers_to] for r, headers in again)
+
+
+def test_files_end_at_their_size_and_lost_ones_are_not_read(spark, rows, monkeypatch):
+    monkeypatch.setattr(op, "FILE_BYTES", 2000)
+    path = op.new_path(spark, "test")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    index = op.archive(df, F.timestamp_seconds("page_id"), path)
+    before = sorted(map(str, index.collect()))
+    files = sorted(Path(path.removeprefix("file://")).glob("*.warc.gz"))
+    assert 1 < len(files) == len({r.file for r in index.select("file").distinct().collect()})
+    files[0].with_name("lost.warc.gz").write_bytes(files[0].read_bytes()[:-9])
+    assert op.read_archives(spark, path).count() == len(before) == len(rows)
 
 
 def test_many_winners_are_joined_by_a_shuffle(spark, rows, monkeypatch):
@@ -66,10 +97,15 @@ def test_empty(spark):
 
 
 def test_damage_is_noticed():
-    with pytest.raises(op.ArchiveError):
-        list(op.read_records(iter([b"WARC/1.1\r", b"Content-Length: 9\r", b"\r", b"abc\r", b"\r"])))
-    with pytest.raises(op.ArchiveError):
-        list(op.read_records(iter([b"junk"])))
+    member = op._record([("WARC-Type", "response")], b"abc")
+    assert [(o, n) for o, n, _ in op._members(io.BytesIO(member * 2))] == [(0, len(member)), (len(member), len(member))]
+    assert op.parse_record(zlib.decompress(member, 31)) == ({"WARC-Type": "response", "Content-Length": "3"}, b"abc")
+    for broken in (member[:-1], b"junk" + member, member + b"junk"):
+        with pytest.raises(op.ArchiveError):
+            list(op._members(io.BytesIO(broken)))
+    for raw in (b"junk", b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n"):
+        with pytest.raises(op.ArchiveError):
+            op.parse_record(raw)
 
 
 @pytest.mark.parametrize("k", [0, 1, 2, 3, 5, 8, 13])
