@@ -1,20 +1,22 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
-A rule is a regular expression with the literal tokens that any url it fits
-must hold. Tokens are counted over the whole table once; each rule is filed
-under its rarest token, and a url runs only the rules filed under its own
-tokens. Host and path rules (allow or block) come first, the longest wins; a
-url that none of them fits gets the verdict of the block patterns.
+Rules are host and path rules (allow or block, the longest wins) and, for urls
+that none of those fits, the patterns of a rule file: host anchors, wildcards
+and regular expressions that block, or allow what others block. From each
+expression the literal tokens are derived that any url it fits must hold. Tokens
+are counted over the whole table once; each rule is filed under its rarest
+token, and a url runs only the rules filed under its own tokens.
 
 Tokens are runs of ASCII letters and digits, lower-cased. Rules and counts are
-as large as the rule list, never as the table.
+as large as the rule list, never as the table. A rule without a token, as one of
+digits alone, is a candidate of every url.
 
 Cases: a null url, or one without ``://``, has an empty host and path; no host
 rule fits it, and a null url fits no pattern: it is allowed. Rows repeated, or
 with a null id, are judged like any other. An empty table gives an empty
 result, and its rules are indexed as if all counts were 0. Ties in the count go
-to the longer token, then to the alphabet. Other columns, whatever their names,
-are not read.
+to the longer token, then to the alphabet. A url of any length is judged whole.
+Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +25,9 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
+from re import _constants as kind
+from re import _parser
 
 import numpy as np
 import pyarrow as pa
@@ -41,46 +46,139 @@ HOST_RULES = [
     ("com/fr/", ALLOW),
     ("com/de/", BLOCK),
 ]
-#: Block patterns for urls that no host rule fits: unwanted subjects as whole words of the url.
-BLOCK_WORDS = [
-    "adult", "bet", "betting", "bingo", "camgirl", "casino", "escort", "gambling", "hentai", "jackpot",
-    "nsfw", "poker", "porn", "roulette", "sex", "slots", "torrent", "viagra", "warez", "webcam", "xxx",
-]
+#: The rules of the query for urls that no host and path rule fits.
+RULE_FILE = Path(__file__).with_name("url_rules.txt")
 _TOKEN = re.compile("[0-9a-z]+")
+_FLAGS = re.I | re.A | re.S
 _AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_TOKEN_CHARS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _takes_token_char(items: list) -> bool:
+    """Whether a class like ``[^/?#]`` takes any character of tokens."""
+    negated, found = False, set()
+    for op, arg in items:
+        if op is kind.NEGATE:
+            negated = True
+        elif op is kind.LITERAL:
+            found.add(chr(arg).lower())
+        elif op is kind.RANGE:
+            found |= {c.lower() for c in _TOKEN_CHARS if arg[0] <= ord(c) <= arg[1]}
+        else:
+            return True  # a category: \w, \d, \S and their opposites are not looked into
+    taken = {c for c in _TOKEN_CHARS.lower() if c in found}
+    return bool(set(_TOKEN_CHARS.lower()) - taken) if negated else bool(taken)
+
+
+def _parts_tokens(op, arg) -> bool:
+    """Whether a part of an expression stands between tokens: an end of the text, or characters of no token."""
+    if op is kind.AT:
+        return arg in (kind.AT_BEGINNING, kind.AT_BEGINNING_STRING, kind.AT_END, kind.AT_END_STRING)
+    if op is kind.LITERAL:
+        return chr(arg) not in _TOKEN_CHARS
+    if op is kind.IN:
+        return not _takes_token_char(arg)
+    if op is kind.BRANCH:
+        return all(len(way) > 0 and all(_parts_tokens(*part) for part in way) for way in arg[1])
+    if op is kind.SUBPATTERN:
+        return len(arg[3]) > 0 and all(_parts_tokens(*part) for part in arg[3])
+    if op in (kind.MAX_REPEAT, kind.MIN_REPEAT):
+        return arg[0] > 0 and all(_parts_tokens(*part) for part in arg[2])
+    return False
+
+
+def _ends_apart(parts) -> bool:
+    """Whether what comes after ``parts`` begins a token."""
+    if not len(parts):
+        return False
+    op, arg = parts[-1]
+    return _ends_apart(arg[3]) if op is kind.SUBPATTERN else _parts_tokens(op, arg)
+
+
+def necessary_tokens(pattern: str) -> tuple[str, ...]:
+    """Tokens that every text holds in which ``pattern`` is found.
+
+    A run of literal letters and digits is one if the expression itself ends it
+    on both sides; what alternatives, repetitions and look-arounds hold is not used.
+    """
+    found: dict[str, None] = {}
+    run, whole = "", False
+
+    def end(parted: bool) -> None:
+        nonlocal run, whole
+        if run and whole and parted:
+            found[run] = None
+        run, whole = "", parted
+
+    def walk(parts) -> None:
+        nonlocal run
+        for op, arg in parts:
+            if op is kind.LITERAL and chr(arg) in _TOKEN_CHARS:
+                run += chr(arg).lower()
+            elif op is kind.SUBPATTERN and not arg[1] and not arg[2]:
+                walk(arg[3])
+            elif op in (kind.MAX_REPEAT, kind.MIN_REPEAT) and whole and not run and _ends_apart(arg[2]):
+                pass  # there or not, the next token begins behind it
+            else:
+                end(_parts_tokens(op, arg))
+
+    walk(_parser.parse(pattern, _FLAGS))
+    end(False)
+    return tuple(found)
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` is searched in the url whose host is lower-cased; ``tokens`` are in every url it fits."""
+    """``pattern`` is searched in the url, or for host rules in ``.host/path``; of those that fit the heaviest wins."""
 
     name: str
     verdict: str
     pattern: str
-    tokens: tuple[str, ...]
-    weight: int  # of host rules that fit, the largest wins; patterns have 0
+    weight: int = 0  # 0 for patterns of urls
+
+    @property
+    def tokens(self) -> tuple[str, ...]:
+        return necessary_tokens(self.pattern)
 
 
 def host_rule(rule: str, verdict: str) -> Rule:
     """A rule like ``example.org/es/``: the host and its subdomains, and paths that start so."""
     host, slash, rest = rule.partition("/")
-    path = slash + rest
     host = host.translate(_AZ)
-    pattern = rf"\A(?:(?!://).)*://(?:[^/?#]*\.)?{re.escape(host)}(?=[/?#]|\Z){re.escape(path)}"
-    # The path may go on after the rule, so its last word is no whole token; those of the host are.
-    words = _TOKEN.findall(path.translate(_AZ))
-    if words and path[-1].isalnum():
-        words.pop()
-    return Rule(rule, verdict, pattern, tuple(dict.fromkeys([*_TOKEN.findall(host), *words])), len(host + path))
-
-
-def word_rule(word: str, verdict: str = BLOCK) -> Rule:
-    """A pattern that fits urls with ``word`` as a whole token in any case."""
-    return Rule(word, verdict, rf"(?ai)(?<![0-9a-z]){re.escape(word)}(?![0-9a-z])", (word,), 0)
+    # Hosts are lower-cased and hold no slash; paths are compared as they are.
+    return Rule(rule, verdict, rf"\A[^/]*\.{re.escape(host)}{re.escape(slash + rest)}", len(host + slash + rest))
+
+
+def url_rule(line: str) -> Rule:
+    """A line of a rule file; the signs are explained there. Its expression also runs in RE2."""
+    name, verdict = line, BLOCK
+    if line.startswith("@@"):
+        line, verdict = line[2:], ALLOW
+    if len(line) > 2 and line[0] == line[-1] == "/" and set(line) & set("\\[({"):
+        return Rule(name, verdict, line[1:-1])
+    pattern = ""
+    if line.startswith("||"):
+        line, pattern = line[2:], r"\A[^/?#]*://(?:[^/?#]*\.)?"
+    elif line.startswith("|"):
+        line, pattern = line[1:], r"\A"
+    for i, c in enumerate(line):
+        if c == "*":
+            pattern += ".*"
+        elif c == "^":
+            pattern += "(?:^|[^0-9a-z])" if i == 0 else "(?:[^0-9a-z]|$)"
+        else:
+            pattern += re.escape(c)
+    return Rule(name, verdict, pattern)
+
+
+def read_rules(path: Path | str) -> list[Rule]:
+    """The rules of a file, without empty lines and comments."""
+    lines = [line.strip() for line in Path(path).read_text("utf-8").splitlines()]
+    return [url_rule(line) for line in lines if line and not line.startswith("!")]
 
 
 def default_rules() -> list[Rule]:
-    return [*(host_rule(r, v) for r, v in HOST_RULES), *map(word_rule, BLOCK_WORDS)]
+    return [*(host_rule(r, v) for r, v in HOST_RULES), *read_rules(RULE_FILE)]
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -103,9 +201,9 @@ class RuleIndex:
         self.by_token: dict[str, list[tuple[Rule, re.Pattern]]] = defaultdict(list)
         self.always: list[tuple[Rule, re.Pattern]] = []
         for rule in rules:
-            entry = (rule, re.compile(rule.pattern, re.S))
-            if rule.tokens:
-                rarest = min(rule.tokens, key=lambda t: (counts.get(t, 0), -len(t), t))
+            entry = (rule, re.compile(rule.pattern, re.S if rule.weight else _FLAGS))
+            if tokens := rule.tokens:
+                rarest = min(tokens, key=lambda t: (counts.get(t, 0), -len(t), t))
                 self.by_token[rarest].append(entry)
             else:
                 self.always.append(entry)
@@ -115,18 +213,16 @@ class RuleIndex:
         host, path = split_url(url)
         if url is None:
             return host, path, None, ALLOW, 0
-        # Lower-case the host only: paths are compared as they are.
-        at = url.find("://")
-        text = url if at < 0 else url[: at + 3] + host + url[at + 3 + len(host) :]
         candidates = list(self.always)
-        for token in tokens_of(text) & self.by_token.keys():
+        for token in tokens_of(url) & self.by_token.keys():
             candidates += self.by_token[token]
-        fit = [rule for rule, pattern in candidates if pattern.search(text)]
+        place = f".{host}{path}"
+        fit = [rule for rule, pattern in candidates if pattern.search(place if rule.weight else url)]
         best = max((r for r in fit if r.weight), key=lambda r: (r.weight, r.name), default=None)
         if best:
             return host, path, best.name, best.verdict, len(candidates)
-        blocked = any(r.verdict == BLOCK for r in fit)
-        return host, path, None, BLOCK if blocked else ALLOW, len(candidates)
+        verdicts = {r.verdict for r in fit}
+        return host, path, None, BLOCK if verdicts == {BLOCK} else ALLOW, len(candidates)
 
 
 def count_tokens(df: DataFrame, rules: list[Rule], url_col: str = "url") -> dict[str, int]:
@@ -178,6 +274,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RULE_ROWS = ", ".join(
     f"('{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{v}', {len(r)})" for r, v in HOST_RULES
 )
+_URL_ROWS = ", ".join(f"('(?is){r.pattern}', '{r.verdict}')" for r in read_rules(RULE_FILE))
 SQL = rf"""
 WITH parts AS (
   SELECT page_id, url,
@@ -192,9 +289,13 @@ WITH parts AS (
   SELECT n, arg_max(rule, weight) AS rule, arg_max(verdict, weight) AS verdict
   FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
   GROUP BY n
+), patterns AS (
+  SELECT * FROM (VALUES {_URL_ROWS}) AS p(pattern, verdict)
+), found AS (
+  SELECT n, CASE WHEN bool_and(verdict = 'block') THEN 'block' ELSE 'allow' END AS verdict
+  FROM parts JOIN patterns ON regexp_matches(url, pattern)
+  GROUP BY n
 )
-SELECT page_id, host, path, rule,
-       coalesce(verdict, CASE WHEN regexp_matches(url, '(?i)(^|[^0-9a-z])({"|".join(BLOCK_WORDS)})($|[^0-9a-z])')
-                              THEN 'block' ELSE 'allow' END) AS verdict
-FROM parts LEFT JOIN fit USING (n)
+SELECT page_id, host, path, fit.rule, coalesce(fit.verdict, found.verdict, 'allow') AS verdict
+FROM parts LEFT JOIN fit USING (n) LEFT JOIN found USING (n)
 """
