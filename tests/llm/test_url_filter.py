@@ -125,7 +125,7 @@ def test_rarest_token_and_few_expressions():
     assert {r.name for r, _ in index.by_token["es"]} == {"example.org/es/"}
     assert {r.name for r, _ in index.by_token["example"]} == {"example.org/en/1"}
     assert {r.name for r, _ in index.by_token["fr"]} == {"com/fr/"}
-    assert index.judge("http://x.net/a/b/c")[4] == len(index.always) < 16
+    assert index.judge("ftp://x.net/a/b/c")[4] == len(index.always) < 16
 
 
 def test_counts_are_of_all_urls(spark):
