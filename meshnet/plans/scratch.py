@@ -29,7 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not sc.master.startswith("local[") and sc.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _LOCAL.setdefault(sc.applicationId, "file://" + tempfile.mkdtemp(prefix="meshnet-"))
+    if sc.applicationId not in _LOCAL:
+        _LOCAL[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="meshnet-")
+    return _LOCAL[sc.applicationId]
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -58,8 +60,9 @@ def ship_package(spark: SparkSession) -> None:
         return
     archive = Path(tempfile.mkdtemp(prefix="meshnet-")) / f"{root.name}.zip"
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
-        for path in sorted(root.rglob("*.py")):
-            out.write(path, path.relative_to(root.parent))
+        for path in sorted(root.rglob("*")):
+            if path.suffix in (".py", ".txt"):  # code, and rules that are read as text
+                out.write(path, path.relative_to(root.parent))
     sc.addPyFile(str(archive))
     _SHIPPED.add(sc.applicationId)
 
