@@ -25,7 +25,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from pathlib import Path
+from importlib.resources import files
 from re import _constants as kind
 from re import _parser
 
@@ -47,7 +47,7 @@ HOST_RULES = [
     ("com/de/", BLOCK),
 ]
 #: The rules of the query for urls that no host and path rule fits.
-RULE_FILE = Path(__file__).with_name("url_rules.txt")
+RULE_FILE = files("meshnet.llm").joinpath("url_rules.txt")
 _TOKEN = re.compile("[0-9a-z]+")
 _FLAGS = re.I | re.A | re.S
 _AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -171,14 +171,14 @@ def url_rule(line: str) -> Rule:
     return Rule(name, verdict, pattern)
 
 
-def read_rules(path: Path | str) -> list[Rule]:
-    """The rules of a file, without empty lines and comments."""
-    lines = [line.strip() for line in Path(path).read_text("utf-8").splitlines()]
+def read_rules(text: str) -> list[Rule]:
+    """The rules of a rule file's text, without empty lines and comments."""
+    lines = [line.strip() for line in text.splitlines()]
     return [url_rule(line) for line in lines if line and not line.startswith("!")]
 
 
 def default_rules() -> list[Rule]:
-    return [*(host_rule(r, v) for r, v in HOST_RULES), *read_rules(RULE_FILE)]
+    return [*(host_rule(r, v) for r, v in HOST_RULES), *read_rules(RULE_FILE.read_text("utf-8"))]
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -274,7 +274,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RULE_ROWS = ", ".join(
     f"('{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{v}', {len(r)})" for r, v in HOST_RULES
 )
-_URL_ROWS = ", ".join(f"('(?is){r.pattern}', '{r.verdict}')" for r in read_rules(RULE_FILE))
+_URL_ROWS = ", ".join(f"('(?is){r.pattern}', '{r.verdict}')" for r in default_rules() if not r.weight)
 SQL = rf"""
 WITH parts AS (
   SELECT page_id, url,

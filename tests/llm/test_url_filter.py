@@ -25,7 +25,7 @@ def brute(url):
             best = (rule, verdict)
     if best:
         return host, path, *best
-    fit = {r.verdict for r in op.read_rules(op.RULE_FILE) if url is not None and re.search(r.pattern, url, re.I | re.A | re.S)}
+    fit = {r.verdict for r in op.default_rules() if not r.weight and url is not None and re.search(r.pattern, url, re.I | re.A | re.S)}
     return host, path, None, "block" if fit == {"block"} else "allow"
 
 
