@@ -68,7 +68,7 @@ PICKS, SKETCHES = 3, 64
 SHORT, SHORT_PICKS, SHORT_SKETCHES = 32, 2, 24
 LEAST = 5
 #: Members that one task compares with each other, and their words.
-CHUNK, CHUNK_WORDS = 1024, 1 << 20
+CHUNK, CHUNK_WORDS = 1024, 1 << 18
 #: Groups of up to so many chunks are compared half by half; it is less work than filing them.
 TILED = 16
 #: Up to so many candidates are broadcast to find their texts; more are joined by a shuffle.
@@ -82,7 +82,7 @@ class _WordHashes(dict):
     """Word to a 64-bit hash, kept for words seen before."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 200_000:  # about 100 MB
+        if len(self) >= 100_000:  # about 50 MB
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -511,7 +511,7 @@ def near_classes(
 
     The class is the smallest id in it, and that document is kept.
     """
-    bound_arrow_batches(docs.sparkSession)
+    bound_arrow_batches(docs.sparkSession, 8 << 20)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     named = rows.where("id is not null")
