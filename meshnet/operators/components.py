@@ -38,11 +38,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         edges.where(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct(), "links"
     )
     while not _is_forest_of_stars(links):
-        large = (
-            links.join(_least(links), F.col("lo") == F.col("node"), "left")
-            .select("hi", F.coalesce("least", "lo").alias("lo"))
-            .distinct()
-        )
+        large = links.join(_least(links), F.col("lo") == F.col("node"), "left")
+        large = materialize(large.select("hi", F.coalesce("least", "lo").alias("lo")).distinct(), "links")  # read twice
         least = _least(large)
         small = large.join(least, F.col("hi") == F.col("node")).where("lo <> least").select(F.col("lo").alias("hi"), F.col("least").alias("lo"))
         own = least.select(F.col("node").alias("hi"), F.col("least").alias("lo"))

@@ -67,7 +67,7 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def bound_arrow_batches(spark: SparkSession, max_bytes: int = 16 << 20) -> None:
+def bound_arrow_batches(spark: SparkSession, max_bytes: int = 8 << 20) -> None:
     """Bound what one Arrow batch holds by bytes, so very long texts don't pile up.
 
     A lower limit that the session already has is left alone. Operators that run
