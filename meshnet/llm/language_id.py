@@ -208,7 +208,7 @@ def label_language(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(len(kept)).to_pylist()]
-            for lo, hi in slices(texts, 1 << 20):
+            for lo, hi in slices(texts, 1 << 18):
                 names, score = prototypes.predict(texts[lo:hi])
                 part = batch.slice(lo, hi - lo)
                 out = pa.RecordBatch.from_arrays(

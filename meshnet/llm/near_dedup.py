@@ -343,15 +343,28 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``leader, salt, known, node, text`` sorted by the first two, to links ``src, dst``."""
+    """Rows ``leader, salt, known, node, text`` sorted by the first two, to links ``src, dst``.
+
+    Nodes that groups before have connected in this task stay so: a task's links are a forest.
+    """
+    root: dict[int, int] = {}
+
+    def find(node: int) -> int:
+        while (up := root.get(node, node)) != node:
+            root[node] = root.get(up, up)
+            node = up
+        return node
 
     def done(nodes: list[int], known: list[int], texts: list[str]) -> pa.RecordBatch | None:
+        known = [find(k) for k in known]
         if len(set(known)) < 2:
             return None
-        found = [(nodes[i], nodes[j]) for i, j in links(texts, known)]
+        found = links(texts, known)
         if not found:
             return None
-        a, b = (np.array(c, np.int64) for c in zip(*found, strict=True))
+        for i, j in found:
+            root[find(known[j])] = find(known[i])
+        a, b = (np.array([nodes[i] for i in end], np.int64) for end in zip(*found, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["src", "dst"])
 
     group, nodes, connected, texts = None, [], [], []
@@ -511,7 +524,7 @@ def near_classes(
 
     The class is the smallest id in it, and that document is kept.
     """
-    bound_arrow_batches(docs.sparkSession, 8 << 20)
+    bound_arrow_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     named = rows.where("id is not null")
@@ -557,7 +570,8 @@ def near_classes(
     )
     more = _across(texts, groups, components, chunk, tiled)
     if more is not None and more.limit(1).count():
-        components = connected_components(found.unionByName(more))
+        stars = components.select(F.col("node").alias("src"), F.col("component").alias("dst"))
+        components = connected_components(stars.unionByName(more))
     linked = components.join(reps.select("node", "id"), "node")
     names = linked.groupBy(F.col("component").alias("c")).agg(F.min("id").alias("class_id"))
     named_nodes = linked.join(names, F.col("component") == F.col("c")).select(F.col("node").alias("n"), "class_id")
