@@ -192,10 +192,9 @@ def dedup_lines(
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
-        F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text")
-    )
-    slim = rows.select("id", "th", "text").where("id is not null")
+    keys = [F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th")]
+    rows = docs.select(F.struct("*").alias("row"), *keys)  # texts travel once, in their rows
+    slim = docs.select(*keys, text.alias("text")).where("id is not null")
     batch, batches = _batches_of(slim, "id", "text", batches)
     lines = (
         slim.select("id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
@@ -220,10 +219,11 @@ def dedup_lines(
         .groupBy(F.col("id").alias("lost_id"), F.col("th").alias("lost_th"))
         .agg(F.collect_set("pos").alias("lost"))
     )
-    parts = F.split("text", "\n")
+    text = F.coalesce(F.col("row").getField(text_col), F.lit(""))
+    parts = F.split(text, "\n")
     joined = rows.join(lost, (F.col("id") == F.col("lost_id")) & (F.col("th") == F.col("lost_th")), "left")
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("lost"))
-    kept = F.when(F.col("lost").isNull(), F.col("text")).otherwise(
+    kept = F.when(F.col("lost").isNull(), text).otherwise(
         F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
     )
     return joined.select(
