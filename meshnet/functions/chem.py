@@ -95,14 +95,23 @@ def beta_of(masses: Mapping[str, float]) -> float:
     return 2 * element_share(masses, "C") / 12 + 0.5 * element_share(masses, "H")
 
 
-def mixture_fraction(masses: Mapping[str, Column], fuel: Mapping[str, float]) -> Column:
-    """Bilger's mixture fraction of mass fractions against air."""
+def mixture_fraction(masses: Mapping[str, Column], fuel: Mapping[str, float], oxidiser: Mapping[str, float] | None = None) -> Column:
+    """Bilger's mixture fraction of mass fractions; without an ``oxidiser`` (by mass) against air.
+
+    With one, the oxygen of both streams counts.
+    """
     beta = (
         element_fraction(masses, "C") * F.lit(2 / 12)
         + element_fraction(masses, "H") * F.lit(0.5)
         - element_fraction(masses, "O") * F.lit(1 / 16)
     )
-    return (beta - F.lit(BETA_AIR)) / F.lit(beta_of(fuel) - BETA_AIR)
+    if oxidiser is None:
+        low, high = BETA_AIR, beta_of(fuel)
+    else:
+        low, high = (beta_of(s) - element_share(s, "O") / 16 for s in (oxidiser, fuel))
+        if low == high:
+            raise ValueError("fuel and oxidiser are alike")
+    return (beta - F.lit(low)) / F.lit(high - low)
 
 
 def progress_variable(values: Mapping[str, Column], spec: str) -> Column:

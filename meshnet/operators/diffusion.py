@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshnet.functions import chem
 from meshnet.functions.features import around_axis
 from meshnet.operators.mesh import centroids, face_clusters
 
@@ -27,7 +28,7 @@ def shared_area(faces: DataFrame, labels: DataFrame, dim: int = 3) -> DataFrame:
 def face_areas(faces: DataFrame, areas: DataFrame) -> DataFrame:
     """``faces`` with the ``area`` of the entry that has the same two cells, in either order."""
     key = lambda df: df.select("*", F.least("c_id0", "c_id1").alias("__a"), F.greatest("c_id0", "c_id1").alias("__b"))
-    known = key(areas).select("__a", "__b", "area").dropDuplicates(["__a", "__b"])
+    known = key(areas).groupBy("__a", "__b").agg(F.min("area").alias("area"))  # the least of several
     return key(faces).join(known, ["__a", "__b"], "left").drop("__a", "__b")
 
 
@@ -39,15 +40,19 @@ def centroid_distances(centres: DataFrame, variables: Sequence[str], pairs: Data
 
 
 def diffusive_fluxes(
-    cells: DataFrame, faces: DataFrame, coordinates: Sequence[str], species: Sequence[str], dim: int = 3, viscosity: str = "viscosity"
+    cells: DataFrame, faces: DataFrame, coordinates: Sequence[str], species: Sequence[str], dim: int = 3, viscosity: str = "viscosity",
+    basis: str = "mass",
 ) -> DataFrame:
     """``src, dst, species, flux``: area times viscosity over Schmidt's number times the gradient of mean composition.
 
-    ``cells`` has ``cell_id, cluster``, coordinates, viscosity and a column for each species.
+    ``cells`` has ``cell_id, cluster``, coordinates, viscosity and a column for each species, named by its
+    formula if the ``basis`` is ``mole``: mean mole fractions then become mass fractions.
     """
     labels = cells.select("cell_id", "cluster")
     means = centroids(cells, [*coordinates, *species, viscosity])
     links = centroid_distances(means.select("cluster", *coordinates), coordinates, shared_area(faces, labels, dim))
+    if basis == "mole":
+        means = means.withColumns(chem.mole_to_mass({s: F.col(s) for s in species}))
     long = means.unpivot(["cluster", viscosity], list(species), "species", "y")
     here = long.select(F.col("cluster").alias("src"), "species", F.col("y").alias("y_src"))
     there = long.select(F.col("cluster").alias("dst"), "species", F.col("y").alias("y_dst"), F.col(viscosity).alias("mu"))

@@ -10,16 +10,20 @@ by component.
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterable
 from dataclasses import dataclass, field
+from heapq import heapify, heappop, heappush
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshnet.operators.components import connected_components
+from meshnet.operators.pca import moments
 from meshnet.plans.scratch import materialize
 
 #: Components and links that the driver takes; more are an error, not a slow death.
-MOST_PARTS, MOST_LINKS = 1_000_000, 5_000_000
+MOST_PARTS, MOST_LINKS = 500_000, 5_000_000
 
 
 def undirected(faces: DataFrame) -> DataFrame:
@@ -100,17 +104,32 @@ class Quotient:
     volume: dict[int, float]
     links: dict[int, dict[int, int]] = field(default_factory=dict)
     least_neighbour: dict[int, int] = field(default_factory=dict)
+    #: Sums of the features of a part's cells, where moving goes by distance.
+    sums: dict[int, np.ndarray] = field(default_factory=dict)
+
+    def __post_init__(self):
+        self.alias: dict[int, int] = {}
+        self.own: dict[int, set[int]] = {}
+        for part, k in self.cluster.items():
+            self.own.setdefault(k, set()).add(part)
 
     def members(self) -> dict[int, list[int]]:
-        out: dict[int, list[int]] = {}
-        for part in sorted(self.cluster):
-            out.setdefault(self.cluster[part], []).append(part)
-        return out
+        return {k: sorted(parts) for k, parts in self.own.items()}
+
+    def move(self, part: int, cluster: int) -> None:
+        self._leave(part)
+        self.cluster[part] = cluster
+        self.own.setdefault(cluster, set()).add(part)
+
+    def _leave(self, part: int) -> None:
+        parts = self.own[self.cluster[part]]
+        parts.discard(part)
+        if not parts:
+            del self.own[self.cluster[part]]
 
     def merge_connected(self, cluster: int) -> None:
         """Join parts of ``cluster`` that touch into one, named by the least."""
-        parts = [p for p in self.cluster if self.cluster[p] == cluster]
-        left = set(parts)
+        left = set(self.own[cluster])
         while left:
             root = min(left)
             left.discard(root)
@@ -127,17 +146,17 @@ class Quotient:
     def _absorb(self, root: int, part: int) -> None:
         self.size[root] += self.size.pop(part)
         self.volume[root] += self.volume.pop(part)
+        if self.sums:
+            self.sums[root] = self.sums[root] + self.sums.pop(part)
         for other, n in self.links.pop(part, {}).items():
             self.links[other].pop(part, None)
             if other != root:
                 self.links.setdefault(root, {})[other] = self.links.get(root, {}).get(other, 0) + n
                 self.links[other][root] = self.links[other].get(root, 0) + n
         self.alias[part] = root
+        self._leave(part)
         del self.cluster[part]
 
-    def __post_init__(self):
-        self.alias: dict[int, int] = {}
-
     def votes(self, parts: list[int]) -> dict[int, int]:
         """Faces that ``parts`` share with each other cluster."""
         own, out = {self.cluster[p] for p in parts}, {}
@@ -153,6 +172,15 @@ class Quotient:
         return self.cluster[part]
 
 
+def _nearest(graph: Quotient, part: int, clusters: Iterable[int]) -> int | None:
+    """Of ``clusters`` the one whose centroid is nearest to that of ``part``, the least on ties."""
+    own, far = graph.sums[part] / graph.size[part], {}
+    for k in clusters:
+        centre = sum(graph.sums[p] for p in graph.own[k]) / sum(graph.size[p] for p in graph.own[k])
+        far[k] = float(((centre - own) ** 2).sum())
+    return min(far, key=lambda k: (far[k], k)) if far else None
+
+
 def _winner(votes: dict[int, int]) -> int | None:
     return min(votes, key=lambda k: (-votes[k], k)) if votes else None
 
@@ -189,65 +217,88 @@ def _joined_back(graph: Quotient, parts: list[int], cells: DataFrame) -> DataFra
     return cells.join(final, "component").select("cell_id", "cluster")
 
 
-def reassign_parts(graph: Quotient, method: str, most_cells: int, share: float, passes: int) -> None:
+def reassign_parts(
+    graph: Quotient, method: str, most_cells: int, share: float, passes: int, criterion: str = "neighbour"
+) -> None:
     """Move the second largest component of the first cluster in several parts, until none is.
 
     A small one goes to the cluster with most shared faces (the least on ties),
     a single cell to that of its least neighbour, a large one becomes a cluster.
+    By the ``euclidean`` criterion both small ones go to the adjacent cluster of nearest centroid.
     """
-    total = sum(graph.volume.values())
+    total, top = sum(graph.volume.values()), max(graph.cluster.values(), default=0)
+    split = [k for k, parts in graph.own.items() if len(parts) > 1]
+    heapify(split)
+    ordered: dict[int, list[int]] = {}  # parts of a cluster from the smallest on, until it takes others in
     for _ in range(passes):
-        split = next(((k, parts) for k, parts in sorted(graph.members().items()) if len(parts) > 1), None)
-        if split is None:
+        while split and len(graph.own.get(split[0], ())) < 2:
+            heappop(split)
+        if not split:
             return
-        k, parts = split
-        moving = sorted(parts, key=lambda p: (-graph.size[p], p))[1]
+        k = split[0]
+        if k not in ordered:
+            ordered[k] = sorted(graph.own[k], key=lambda p: (graph.size[p], -p))
+        moving = ordered[k].pop(-2)
         small = graph.size[moving] < most_cells if method == "cells" else graph.volume[moving] < share * total
         target = None
-        if graph.size[moving] == 1 and moving in graph.least_neighbour:
+        if criterion == "euclidean":
+            if small or graph.size[moving] == 1:
+                target = _nearest(graph, moving, graph.votes([moving]))
+        elif graph.size[moving] == 1 and moving in graph.least_neighbour:
             near = graph.least_neighbour[moving]
             target = graph.final(near)
             if target == k:
                 target = _winner(graph.votes([moving]))
         elif small:
             target = _winner(graph.votes([moving]))
-        graph.cluster[moving] = max(graph.cluster.values()) + 1 if target is None else target
+        if target is None:
+            top += 1
+        graph.move(moving, top if target is None else target)
         if target is not None:
             graph.merge_connected(target)
+            ordered.pop(target, None)
+            if len(graph.own[target]) > 1:
+                heappush(split, target)
     warnings.warn("clusters are still in parts after the last pass", stacklevel=2)
 
 
 def reassign_nodes(
     faces: DataFrame, labels: DataFrame, volumes: DataFrame | None = None, method: str = "cells",
-    passes: int = 1000, most_cells: int = 1000, share: float = 1e-6,
+    passes: int = 1000, most_cells: int = 1000, share: float = 1e-6, features: DataFrame | None = None,
 ) -> DataFrame:
-    """``labels`` with every cluster connected, numbered densely. ``method`` is ``cells`` or ``volume``."""
+    """``labels`` with every cluster connected, numbered densely. ``method`` is ``cells`` or ``volume``.
+
+    With ``features(cell_id, features)`` parts move by the distance of centroids, else by shared faces.
+    """
     if method not in ("cells", "volume"):
         raise ValueError("method is cells or volume")
     graph, cells = quotient(faces, labels, volumes)
     parts = list(graph.cluster)
-    reassign_parts(graph, method, most_cells, share, passes)
+    if features is not None:
+        graph.sums = {k: s for k, (_, s, _) in moments(cells.join(features, "cell_id"), cluster="component").items()}
+    reassign_parts(graph, method, most_cells, share, passes, "neighbour" if features is None else "euclidean")
     return dense_labels(_joined_back(graph, parts, cells))
 
 
 def merge_smallest(graph: Quotient, wanted: int) -> None:
     """Merge the cluster of least volume into the neighbour with most shared faces, until ``wanted`` are left."""
-    while len(members := graph.members()) > wanted:
-        volume = {k: sum(graph.volume[p] for p in parts) for k, parts in members.items()}
+    volume = {k: sum(graph.volume[p] for p in sorted(parts)) for k, parts in graph.own.items()}
+    while len(graph.own) > wanted:
         for k in sorted(volume, key=lambda k: (volume[k], k)):
-            if (target := _winner(graph.votes(members[k]))) is not None:
+            if (target := _winner(graph.votes(sorted(graph.own[k])))) is not None:
                 break
         else:
             raise ValueError("no two clusters touch")
-        for p in members[k]:
-            graph.cluster[p] = target
+        for p in sorted(graph.own[k]):
+            graph.move(p, target)
+        volume[target] += volume.pop(k)
 
 
 def match_clusters(faces: DataFrame, labels: DataFrame, volumes: DataFrame, wanted: int) -> DataFrame:
     """``labels`` merged to ``wanted`` clusters; fewer stay as they are, with a warning."""
     graph, cells = quotient(faces, labels, volumes)
     parts = list(graph.cluster)
-    if len(graph.members()) < wanted:
+    if len(graph.own) < wanted:
         warnings.warn(f"there are fewer than {wanted} clusters", stacklevel=2)
     merge_smallest(graph, wanted)
     return dense_labels(_joined_back(graph, parts, cells))
@@ -258,14 +309,15 @@ def remove_small_clusters(faces: DataFrame, labels: DataFrame, volumes: DataFram
     graph, cells = quotient(faces, labels, volumes)
     parts = list(graph.cluster)
     stuck: set[int] = set()
+    volume = {k: sum(graph.volume[p] for p in sorted(own)) for k, own in graph.own.items()}
     while True:
-        members = graph.members()
-        small = [k for k in sorted(members) if k not in stuck and sum(graph.volume[p] for p in members[k]) < least]
-        if not small:
+        small = min((k for k in volume if k not in stuck and volume[k] < least), default=None)
+        if small is None:
             return dense_labels(_joined_back(graph, parts, cells))
-        target = _winner(graph.votes(members[small[0]]))
+        target = _winner(graph.votes(sorted(graph.own[small])))
         if target is None:
-            stuck.add(small[0])
+            stuck.add(small)
             continue
-        for p in members[small[0]]:
-            graph.cluster[p] = target
+        for p in sorted(graph.own[small]):
+            graph.move(p, target)
+        volume[target] += volume.pop(small)

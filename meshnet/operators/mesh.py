@@ -186,6 +186,17 @@ def axial_extent(cells: DataFrame, x: str = "x") -> DataFrame:
     )
 
 
+def residence_time(cells: DataFrame, flows: DataFrame, external: DataFrame) -> DataFrame:
+    """``cluster, mass, Mf, tau``: mass in the cells (density times volume) over what flows in; null where nothing does."""
+    mass = cells.groupBy("cluster").agg(F.sum(F.col("density") * F.col("volume")).alias("mass"))
+    taken = flows.select(F.col("dst").alias("cluster"), F.col("mass").alias("m")).unionByName(
+        external.select(F.col("rid").alias("cluster"), F.col("inlet").alias("m"))
+    )
+    through = taken.groupBy("cluster").agg(F.sum("m").alias("Mf"))
+    joined = mass.join(through, "cluster", "left").withColumn("Mf", F.coalesce("Mf", F.lit(0.0)))
+    return joined.withColumn("tau", F.try_divide("mass", "Mf"))
+
+
 def turn_faces(faces: DataFrame, dim: int) -> DataFrame:
     """Faces of a 2-D case, whose flow and area are per radian."""
     own = [c for c in ("mass_flowrate", "area") if c in faces.columns]

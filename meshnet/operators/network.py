@@ -7,6 +7,7 @@ tens to thousands of reactors, and more than ``MOST_REACTORS`` is an error.
 from __future__ import annotations
 
 import warnings
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -184,6 +185,53 @@ def assemble(attributes: DataFrame, flows: DataFrame, external: DataFrame, corre
     return real.unionByName(pseudo), grown
 
 
+def check_network(reactors: DataFrame, flows: DataFrame) -> None:
+    """An error unless reactors are numbered 0, 1, ... once each, and flows go between them alone, none below 0."""
+    seen = reactors.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("rid").alias("ids"), F.min("rid").alias("lo"), F.max("rid").alias("hi")).first()
+    if not seen.n or seen.n != seen.ids or (seen.lo, seen.hi) != (0, seen.n - 1):
+        raise ValueError(f"{seen.n} reactors have {seen.ids} numbers from {seen.lo} to {seen.hi}")
+    ends = flows.select(F.explode(F.array("src", "dst")).alias("rid"))
+    if lost := ends.join(reactors.select("rid"), "rid", "left_anti").limit(1).collect():
+        raise ValueError(f"a flow names reactor {lost[0].rid}, which is none")
+    if flows.where("mass < 0 or mass is null").limit(1).count():
+        raise ValueError("a flow is below 0 or null")
+
+
+def given_network(
+    spark: SparkSession, inlets: Sequence[float], outlets: Sequence[float], flows: Sequence[Sequence[float]],
+    volumes: Sequence[float], temperatures: Sequence[float], adapt: bool = True,
+) -> tuple[DataFrame, DataFrame]:
+    """Reactors and flows of a network that the caller brings as vectors and a square matrix.
+
+    With ``adapt`` the flows keep their split and are solved anew for the inlets; else they must balance.
+    """
+    n = len(volumes)
+    sizes = {"inlets": len(inlets), "outlets": len(outlets), "flows": len(flows), "temperatures": len(temperatures)}
+    if wrong := [f"{k} are {v}" for k, v in sizes.items() if v != n]:
+        raise ValueError(f"there are {n} reactors, but {', '.join(wrong)}")
+    if any(len(row) != n for row in flows):
+        raise ValueError("the matrix of flows is not square")
+    if min([*inlets, *outlets, *(x for row in flows for x in row)], default=0) < 0:
+        raise ValueError("a flow is below 0")
+    external = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(inlets, outlets, strict=True))], "rid int, inlet double, outlet double")
+    links = _sparse(spark, np.array(flows, float).reshape(n, n))
+    if adapt:
+        links = adapt_flows(mass_split(links, external), external, n)
+        external = _net_outlets(links, external)
+    check_balance(links, external, 1e-2)
+    cells = spark.createDataFrame([(i, float(v), float(t)) for i, (v, t) in enumerate(zip(volumes, temperatures, strict=True))], "cluster int, volume double, T double")
+    reactors, links = assemble(cells, links, external)
+    check_network(reactors, links)
+    return reactors, links
+
+
+def _net_outlets(flows: DataFrame, external: DataFrame) -> DataFrame:
+    """``external`` with what each reactor takes beyond what it gives as its outlet."""
+    net = totals(flows, external.withColumn("outlet", F.lit(0.0)))
+    out = F.col("incoming") + F.col("inlet") - F.col("outgoing")
+    return net.select("rid", "inlet", F.when(F.abs(out) < 1e-12, F.lit(0.0)).otherwise(out).alias("outlet"))
+
+
 @dataclass
 class LayeredNetwork:
     """A network drawn layer by layer: each new node takes an equal share from every node before it."""
@@ -219,7 +267,7 @@ class LayeredNetwork:
         return self
 
     def connected_layer(self, n: int, rtype: str = "PSR", params: list[dict] | None = None, tau: float = 1e-3, length: float = 1.0, diameter: float = 0.01) -> LayeredNetwork:
-        return self._connect([f"H{len(self.layers)}{i}" for i in range(n)], rtype, params, tau, length, diameter)
+        return self._connect([f"H{len(self.layers) - 1}{i}" for i in range(n)], rtype, params, tau, length, diameter)
 
     def output_layer(self, n: int, rtype: str = "PSR", params: list[dict] | None = None, tau: float = 1e-3, length: float = 1.0, diameter: float = 0.01) -> LayeredNetwork:
         return self._connect([f"O{i}" for i in range(n)], rtype, params, tau, length, diameter)
@@ -238,6 +286,22 @@ class LayeredNetwork:
             raise Unbalanced("a node lets out more than it takes")
         return out, net.withColumn("outlet", F.when(F.abs("outlet") < 1e-12, F.lit(0.0)).otherwise(F.col("outlet")))
 
+    def tables(self, spark: SparkSession, isothermal: bool = True) -> tuple[DataFrame, DataFrame]:
+        """Reactors and flows as decks take them; the nodes' parameters are columns (tau, volume, L, D, T, P, ...)."""
+        flows, external = self.flows(spark)
+        names = sorted({c for _, _, own in self.nodes.values() for c in own})
+        rows = [(number, rtype, *(float(own[c]) if c in own else None for c in names)) for number, rtype, own in self.nodes.values()]
+        reactors = spark.createDataFrame(rows, ", ".join(["rid int, rtype string", *(f"{c} double" for c in names)]))
+        for kind, need in (("PSR", ("tau", "volume")), ("PFR", ("L",))):
+            given = F.coalesce(*(F.col(c) if c in names else F.lit(None).cast("double") for c in need))
+            if bad := reactors.where((F.col("rtype") == kind) & given.isNull()).limit(1).collect():
+                raise ValueError(f"reactor {bad[0].rid} is a {kind} without {' or '.join(need)}")
+        taken = totals(flows, external).select("rid", (F.col("incoming") + F.col("inlet")).alias("Mf"))
+        ends = external.select("rid", (F.col("inlet") > 0).alias("isinput"), (F.col("outlet") > 0).alias("isoutput"))
+        reactors = reactors.drop("Mf").join(taken, "rid").join(ends, "rid").withColumn("isothermal", F.lit(isothermal))
+        check_network(reactors, flows)
+        return reactors, flows
+
     def check(self, spark: SparkSession) -> None:
         """Local balance within 1 %, global within 1e-12."""
         flows, external = self.flows(spark)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,46 +13,92 @@ from pyspark.sql import functions as F
 from meshnet.plans.scratch import ship_package
 
 
-def moments(df: DataFrame, features: str = "features", cluster: str | None = None) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
-    """Count, sum and sum of outer products of ``features`` by cluster (all in 0 if none).
+#: Tasks that add up what others counted; the driver takes a row a cluster from each.
+ADDERS = 16
+_PARTS = "k long, n double, s array<double>, c array<double>, e double"
+#: Count, sum and sum of outer products about the mean.
+Moments = tuple[float, np.ndarray, np.ndarray]
 
-    Each task returns one row a cluster, whatever its number of rows; the driver adds them up.
+
+def matrix(values: pa.Array) -> np.ndarray:
+    """Lists of equal length as rows."""
+    sizes = np.unique(values.value_lengths().to_numpy(zero_copy_only=False))
+    if len(sizes) > 1:
+        raise ValueError(f"rows have {sizes.tolist()} features")
+    return values.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(values), -1)
+
+
+def moments_of(x: np.ndarray) -> Moments:
+    mean = x.mean(axis=0)
+    return float(len(x)), x.sum(axis=0), (x - mean).T @ (x - mean)
+
+
+def added(a: Moments, b: Moments) -> Moments:
+    """Moments of both; products stay about a mean, so digits of a small variance don't cancel."""
+    d = b[1] / b[0] - a[1] / a[0]
+    return a[0] + b[0], a[1] + b[1], a[2] + b[2] + np.outer(d, d) * (a[0] * b[0] / (a[0] + b[0]))
+
+
+class Tally(dict):
+    """Cluster to its moments and the sum of its errors."""
+
+    def add(self, k: int, part: Moments, error: float) -> None:
+        if k in self:
+            old, before = self[k]
+            part, error = added(old, part), before + error
+        self[k] = (part, error)
+
+    def batch(self) -> pa.RecordBatch:
+        rows = [(k, n, s.tolist(), c.ravel().tolist(), e) for k, ((n, s, c), e) in self.items()]
+        kinds = [pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64()]
+        columns = zip(*rows, strict=True) if rows else [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(columns, kinds, strict=True)], ["k", "n", "s", "c", "e"])
+
+    def take(self, k: list, n: list, s: list, c: list, e: list) -> None:
+        for key, count, total, products, error in zip(k, n, s, c, e, strict=True):
+            self.add(key, (count, np.array(total), np.array(products).reshape(len(total), -1)), error)
+
+
+def tally(rows: DataFrame, judge: Callable[[pa.RecordBatch, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> Tally:
+    """Moments by cluster of ``rows``, whose last column is the features; ``judge`` gives cluster and error of each row.
+
+    A task returns a row a cluster; ``ADDERS`` tasks add those up before the driver does.
     """
-    key = F.col(cluster).cast("long") if cluster else F.lit(0).cast("long")
+    ship_package(rows.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, list] = {}
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = Tally()
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(batch.column(batch.num_columns - 1))
+                k, errors = judge(batch, x)
+                for c in np.unique(k):
+                    total.add(int(c), moments_of(x[k == c]), float(errors[k == c].sum()))
+        yield total.batch()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = Tally()
         for batch in batches:
-            k = batch.column(0).to_numpy(zero_copy_only=False)
-            values = batch.column(1)
-            if not len(k):
-                continue
-            x = values.flatten().to_numpy(zero_copy_only=False).reshape(len(k), -1)
-            for c in np.unique(k):
-                own = x[k == c]
-                part = [float(len(own)), own.sum(axis=0), own.T @ own]
-                total[int(c)] = [a + b for a, b in zip(total[int(c)], part, strict=True)] if int(c) in total else part
-        if total:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(total), pa.int64()), pa.array([t[0] for t in total.values()]), pa.array([t[1].tolist() for t in total.values()]),
-                 pa.array([t[2].ravel().tolist() for t in total.values()])],
-                ["k", "n", "s", "p"],
-            )
-
-    ship_package(df.sparkSession)
+            total.take(*(column.to_pylist() for column in batch.columns))
+        yield total.batch()
+
+    found = Tally()
+    for r in rows.mapInArrow(count, _PARTS).repartition(ADDERS).mapInArrow(add, _PARTS).collect():
+        found.take(*([v] for v in r))
+    return found
+
+
+def moments(df: DataFrame, features: str = "features", cluster: str | None = None) -> dict[int, Moments]:
+    """Count, sum and sum of outer products about the mean of ``features``, by cluster (all in 0 if none)."""
+    key = F.col(cluster).cast("long") if cluster else F.lit(0).cast("long")
     rows = df.where(F.col(features).isNotNull()).select(key.alias("k"), F.col(features).cast("array<double>").alias("x"))
-    out: dict[int, tuple[float, np.ndarray, np.ndarray]] = {}
-    for r in rows.mapInArrow(run, "k long, n double, s array<double>, p array<double>").collect():
-        s, p = np.array(r.s), np.array(r.p).reshape(len(r.s), -1)
-        n0, s0, p0 = out.get(r.k, (0.0, 0.0, 0.0))
-        out[r.k] = (n0 + r.n, s0 + s, p0 + p)
-    return dict(sorted(out.items()))
+    found = tally(rows, lambda batch, x: (batch.column(0).to_numpy(zero_copy_only=False), np.zeros(len(x))))
+    return {k: part for k, (part, _) in sorted(found.items())}
 
 
-def covariance(n: float, s: np.ndarray, p: np.ndarray, ddof: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def covariance(n: float, s: np.ndarray, c: np.ndarray, ddof: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Mean and covariance of moments."""
-    mean = s / n
-    return mean, (p - n * np.outer(mean, mean)) / max(n - ddof, 1)
+    return s / n, c / max(n - ddof, 1)
 
 
 def spectrum(cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

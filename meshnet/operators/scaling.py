@@ -64,11 +64,11 @@ class Scaler:
 
 
 def scale(df: DataFrame, columns: Sequence[str], method: str = "auto", center: bool = True, by: Sequence[str] = ()) -> DataFrame:
-    """Scale within the whole table or, by ``by``, within groups: statistics join back as one small table."""
+    """Scale within the whole table or, by ``by``, within groups: statistics join back, one row or one a group."""
     stats = df.groupBy(*by).agg(
         *(e.alias(f"__{c}_{i}") for c in columns for i, e in enumerate(_statistics(c)))
     )
-    joined = df.join(F.broadcast(stats), list(by)) if by else df.crossJoin(F.broadcast(stats))
+    joined = df.join(stats, list(by)) if by else df.crossJoin(F.broadcast(stats))
     out = {}
     for c in columns:
         mean, std, low, high, size, kurt = (F.col(f"__{c}_{i}") for i in range(6))

@@ -9,21 +9,19 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshnet.operators.pca import PCA, moments
-from meshnet.plans.scratch import ship_package
+from meshnet.operators.pca import PCA, added, matrix, moments, tally
+from meshnet.plans.scratch import materialize, ship_package
 
-INITS = ("kmeans", "random", "uniform", "bins", "score")
-
-
-def _matrix(values: pa.Array, n: int) -> np.ndarray:
-    return values.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
+INITS = ("kmeans", "random", "uniform", "bins", "score", "sorted", "best")
+#: Random starts of which ``best`` takes the one of least error.
+STARTS = 100
 
 
 def error_table(models: dict[int, PCA], x: np.ndarray) -> np.ndarray:
@@ -39,7 +37,7 @@ def assign(df: DataFrame, models: dict[int, PCA], features: str = "features", ke
         for batch in batches:
             if not batch.num_rows:
                 continue
-            errors = error_table(models, _matrix(batch.column(len(keep)), batch.num_rows))
+            errors = error_table(models, matrix(batch.column(len(keep))))
             best = errors.argmin(axis=1)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(len(keep))), pa.array(names[best].astype(np.int32)), pa.array(errors[np.arange(len(best)), best])],
@@ -56,36 +54,15 @@ def _pass(df: DataFrame, models: dict[int, PCA], features: str) -> tuple[dict[in
     """Moments of the rows by best basis, the mean error, and the mean error by cluster."""
     names = np.array(list(models), np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, list] = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column(0), batch.num_rows)
-            errors = error_table(models, x)
-            best = errors.argmin(axis=1)
-            least = errors[np.arange(len(best)), best]
-            for b in np.unique(best):
-                own = x[best == b]
-                part = [float(len(own)), own.sum(axis=0), own.T @ own, float(least[best == b].sum())]
-                k = int(names[b])
-                total[k] = [a + c for a, c in zip(total[k], part, strict=True)] if k in total else part
-        if total:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(total), pa.int64()), pa.array([t[0] for t in total.values()]), pa.array([t[1].tolist() for t in total.values()]),
-                 pa.array([t[2].ravel().tolist() for t in total.values()]), pa.array([t[3] for t in total.values()])],
-                ["k", "n", "s", "p", "e"],
-            )
+    def judge(_: pa.RecordBatch, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        errors = error_table(models, x)
+        best = errors.argmin(axis=1)
+        return names[best], errors[np.arange(len(best)), best]
 
-    ship_package(df.sparkSession)
-    rows = df.where(F.col(features).isNotNull()).select(F.col(features).cast("array<double>").alias("x"))
-    found: dict[int, list] = {}
-    for r in rows.mapInArrow(run, "k long, n double, s array<double>, p array<double>, e double").collect():
-        part = [r.n, np.array(r.s), np.array(r.p).reshape(len(r.s), -1), r.e]
-        found[r.k] = [a + b for a, b in zip(found[r.k], part, strict=True)] if r.k in found else part
-    n = sum(f[0] for f in found.values())
-    stats = {k: tuple(f[:3]) for k, f in sorted(found.items())}
-    return stats, sum(f[3] for f in found.values()) / max(n, 1), {k: f[3] / f[0] for k, f in sorted(found.items())}
+    found = tally(df.where(F.col(features).isNotNull()).select(F.col(features).cast("array<double>").alias("x")), judge)
+    stats = {k: part for k, (part, _) in sorted(found.items())}
+    n = sum(part[0] for part in stats.values())
+    return stats, sum(e for _, e in found.values()) / max(n, 1), {k: e / part[0] for k, (part, e) in sorted(found.items())}
 
 
 @dataclass
@@ -106,6 +83,8 @@ class VQPCA:
     ctol: float = 1e-6
     both: bool = False
     mode: str = "unsupervised"
+    #: What the first pass is judged by: ``local`` bases of the start, or its ``identity``, that is distances to its centres.
+    first: str = "local"
     models: dict[int, PCA] = field(default_factory=dict)
     used: dict[int, PCA] = field(default_factory=dict)
     stats: dict[int, tuple] = field(default_factory=dict)
@@ -124,13 +103,15 @@ class VQPCA:
             vectors = rows.withColumn("__v", array_to_vector(F.col(features).cast("array<double>")))
             model = KMeans(k=self.k, seed=0, initMode="random", featuresCol="__v", predictionCol="__k").fit(vectors)
             return moments(model.transform(vectors), features, "__k")
+        if init == "best":
+            return self._best_start(rows, features, id_col)
         if init == "random":
             return moments(rows.withColumn("__k", F.pmod(F.xxhash64(id_col, F.lit(1000)), F.lit(self.k))), features, "__k")
         if init == "uniform":  # blocks of about equal size in order of id, from quantiles rather than a sort
             column = F.col(id_col).cast("double")
-        elif init == "bins":
+        elif init in ("bins", "sorted"):  # sorted: blocks of about equal size in order of z
             if z is None:
-                raise ValueError("bins need the column z")
+                raise ValueError(f"{init} needs the column z")
             column = F.col(z).cast("double")
         else:
             first = PCA.of(*moments(rows, features)[0], rule="n_eigs", level=1)
@@ -145,6 +126,27 @@ class VQPCA:
             label = sum(((column > c).cast("int") for c in cuts[: self.k - 1]), F.lit(0))
         return moments(rows.withColumn("__k", label), features, "__k")
 
+    def _best_start(self, rows: DataFrame, features: str, id_col: str) -> dict[int, tuple]:
+        """Of ``STARTS`` sets of ``k`` rows as centres, the one whose nearest centres are least far, all sets in one scan."""
+        from meshnet.operators.kmeans import nearest
+
+        order = F.xxhash64(F.col(id_col), F.lit(77))
+        picked = rows.select(F.col(features).cast("array<double>").alias("x"), order.alias("o")).orderBy("o").limit(self.k * STARTS)
+        x = np.array([r.x for r in picked.collect()])
+        sets = [x[i : i + self.k] for i in range(0, len(x) - self.k + 1, self.k)] or [x]
+
+        def total(batches):
+            far = np.zeros(len(sets))
+            for own in (matrix(b.column(0)) for b in batches if b.num_rows):
+                far += [((own[:, None, :] - c[None]) ** 2).sum(axis=2).min(axis=1).sum() for c in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sets))), pa.array(far)], ["i", "far"])
+
+        ship_package(rows.sparkSession)
+        values = rows.select(F.col(features).cast("array<double>").alias("x"))
+        sums = values.mapInArrow(total, "i long, far double").groupBy("i").agg(F.sum("far").alias("far"))
+        best = sums.orderBy("far", "i").first().i
+        return moments(nearest(rows, sets[best], features), features, "cluster")
+
     def _bases(self, rule: str, level: float) -> dict[int, PCA]:
         p = len(next(iter(self.stats.values()))[1])
         big = {k: s for k, s in self.stats.items() if s[0] > p} or dict([max(self.stats.items(), key=lambda x: x[1][0])])
@@ -156,7 +158,11 @@ class VQPCA:
         self.stats = self._initial(df, init, features, id_col, z)
         if not self.stats:
             raise ValueError("no rows")
+        if self.first not in ("local", "identity"):
+            raise ValueError("first is local or identity")
         self.models = self._bases("n_eigs", n_start)
+        if self.first == "identity":  # nothing is projected out: the error is the distance to the centre
+            self.models = {k: replace(m, basis=m.basis[:, :0], values=m.values) for k, m in self.models.items()}
         centres = {k: s[1] / s[0] for k, s in self.stats.items()}
         self.errors, self.converged = [], False
         for step in range(1 if self.mode == "supervised" else self.itmax):
@@ -200,7 +206,7 @@ class VQPCA:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                x = _matrix(batch.column(len(keep)), batch.num_rows)
+                x = matrix(batch.column(len(keep)))
                 best = error_table(models, x).argmin(axis=1)
                 back = np.empty_like(x)
                 for b in np.unique(best):
@@ -238,7 +244,7 @@ class VQPCA:
             scores = []
             for j in own:
                 if i != j:
-                    union = tuple(a + b for a, b in zip(self.stats[i], self.stats[j], strict=True))
+                    union = added(self.stats[i], self.stats[j])
                     together = PCA.of(*union, rule=self.rule, level=self.q).expected_error(*union)
                     scores.append((own[i] + own[j]) / max(together, 1e-300))
             worst.append(max(scores, default=0.0))
@@ -271,8 +277,16 @@ def silhouette(df: DataFrame, features: str = "features", cluster: str = "cluste
 
 
 def block_labels(df: DataFrame, k: int, id_col: str = "cell_id") -> DataFrame:
-    """Contiguous blocks of equal size in order of id, the rest in the last; exact, by a global order of ids alone."""
-    n = df.count()
-    size = max(1, n // k)
-    place = F.row_number().over(Window.orderBy(id_col)) - 1
-    return df.select(id_col, F.least(F.floor(place / size), F.lit(k - 1)).cast("int").alias("cluster"))
+    """Contiguous blocks of equal size in order of id, the rest in the last; exact, by ranges of ids and their sizes."""
+    ordered = materialize(df.select(id_col).orderBy(id_col).withColumn("__at", F.monotonically_increasing_id()), "ordered")
+    part, within = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    sizes = {r.p: r.n for r in ordered.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a range
+    size, before, offsets = max(1, sum(sizes.values()) // k), 0, []
+    for p in sorted(sizes):
+        offsets.append((p, before))
+        before += sizes[p]
+    table = df.sparkSession.createDataFrame(offsets, "__p long, __before long")
+    place = F.col("__before") + within
+    return ordered.join(F.broadcast(table), part == F.col("__p")).select(
+        id_col, F.least(F.floor(place / size), F.lit(k - 1)).cast("int").alias("cluster")
+    )

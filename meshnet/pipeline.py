@@ -40,12 +40,14 @@ class NetworkBuilder:
                 warnings.warn(f"cells have no {name}", stacklevel=2)
         return self
 
-    def set_graph(self, faces: DataFrame | None = None, path: str | None = None, pairs: Sequence[tuple[int, int]] | None = None, flows: Sequence[float] | None = None) -> NetworkBuilder:
-        """Interior faces of a table, a file, or pairs of cells; a mesh in several parts is warned of."""
+    def set_graph(self, faces: DataFrame | None = None, path: str | None = None, pairs: Sequence[tuple[int, int]] | None = None, flows: Sequence[float] | None = None, connected: bool = False) -> NetworkBuilder:
+        """Interior faces of a table, a file, or pairs of cells; a mesh in several parts is warned of, or an error."""
         if faces is None:
             faces = fields.read_faces(self.spark, path) if path else fields.faces_from_pairs(self.spark, list(pairs or []), list(flows) if flows else None)
         self.faces = materialize(filters.split_boundary(faces)[0], "faces")
         if not graph.is_connected(self.faces):
+            if connected:
+                raise ValueError("the mesh is in several parts")
             warnings.warn("the mesh is in several parts", stacklevel=2)
         return self
 
@@ -151,8 +153,20 @@ def progress_variable(cells: DataFrame, spec: str) -> DataFrame:
     return cells.withColumn("progress", chem.progress_variable({c: F.col(c) for c in cells.columns}, spec))
 
 
-def mixture_fraction(cells: DataFrame, species: Sequence[str], fuel: str, basis: str = "mole") -> DataFrame:
-    """``cells`` with Bilger's ``mixture_fraction`` of species columns; ``fuel`` is a composition by mass."""
-    columns = {s: F.col(s) for s in species}
+def mixture_fraction(
+    cells: DataFrame, species: Sequence[str], fuel: str, basis: str = "mole", oxidiser: str | None = None, prefix: str = ""
+) -> DataFrame:
+    """``cells`` with Bilger's ``mixture_fraction`` of species columns, named by ``prefix`` and formula.
+
+    ``fuel`` and ``oxidiser`` (air if none) are compositions by mass.
+    """
+    columns = {s: F.col(f"`{prefix}{s}`") for s in species}
     masses = chem.mole_to_mass(columns) if basis == "mole" else columns
-    return cells.withColumn("mixture_fraction", chem.mixture_fraction(masses, chem.parse_composition(fuel)))
+    other = chem.parse_composition(oxidiser) if oxidiser else None
+    return cells.withColumn("mixture_fraction", chem.mixture_fraction(masses, chem.parse_composition(fuel), other))
+
+
+def mixture_fraction_of_reactors(results: DataFrame, species: Sequence[str], fuel: str, oxidiser: str | None = None) -> DataFrame:
+    """``rid, mixture_fraction`` of the solver's mole fractions ``rid, X``, a map by species."""
+    x = results.select("rid", *(F.coalesce(F.try_element_at("X", F.lit(s)), F.lit(0.0)).alias(s) for s in species))
+    return mixture_fraction(x, species, fuel, "mole", oxidiser).select("rid", "mixture_fraction")

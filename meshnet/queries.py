@@ -17,7 +17,7 @@ from meshnet.functions import chem, features
 from meshnet.operators import compare, diffusion, filters, graph, kmeans, mesh, network, pca, scaling, vqpca
 from meshnet.plans.scratch import new_path
 from meshnet.plans.tables import read_table
-from meshnet.sources import decks, fields, solver
+from meshnet.sources import decks, fields, results, solver
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -467,6 +467,55 @@ def coded_reactor_decks(spark, d):
     return decks.cgs_decks(decks.coded_reactors(rows, trade_flows(spark, d), external(spark, d), heat=5e4, outlet_t=1200.0))
 
 
+@query("layered_reactors", """SELECT * FROM (VALUES (0, 'PSR', 1.0::DOUBLE, true, false), (1, 'PSR', 3.0, true, false), (2, 'PSR', 2.0, false, false),
+  (3, 'PSR', 2.0, false, false), (4, 'PFR', 4.0, false, true)) t(rid, rtype, Mf, isinput, isoutput)""")
+def layered_reactors(spark, d):
+    """A layered network as the tables that decks are written from."""
+    net = network.LayeredNetwork().input_layer([1.0, 3.0]).connected_layer(2).output_layer(1, "PFR")
+    return rounded(net.tables(spark)[0].select("rid", "rtype", "Mf", "isinput", "isoutput"), 6, "Mf")
+
+
+@query("residence_times", f"""WITH {PARTS}, {TOTALS}, m AS (SELECT CAST(substr(cluster, 7) AS INTEGER) % 25 AS cluster, sum(density * volume) AS mass FROM parts GROUP BY 1)
+SELECT cluster, round(mass, 4) AS mass, round(coalesce(incoming + inlet, 0), 4) AS Mf, round(mass / nullif(incoming + inlet, 0), 8) AS tau
+FROM m LEFT JOIN tot ON tot.rid = m.cluster""")
+def residence_times(spark, d):
+    cells = parts(spark, d).withColumn("cluster", F.substring("cluster", 7, 2).cast("int") % 25)  # brands stand for nations
+    out = mesh.residence_time(cells, trade_flows(spark, d), external(spark, d))
+    return rounded(rounded(out, 4, "mass", "Mf"), 8, "tau")
+
+
+@query("block_labels", "WITH o AS (SELECT o_orderkey AS cell_id, row_number() OVER (ORDER BY o_orderkey) - 1 AS place, count(*) OVER () AS n FROM orders) "
+       "SELECT cell_id, CAST(least(place // (n // 7), 6) AS INTEGER) AS cluster FROM o")
+def block_labels(spark, d):
+    return vqpca.block_labels(read_table(spark, d, "orders").select(F.col("o_orderkey").alias("cell_id")), 7)
+
+
+@query("mixture_fraction_of_streams", f"""WITH {MASSES}, e AS (SELECT brand, CH4 * 12 / 16 + CO2 * 12 / 44 + CO * 12 / 28 AS c, CH4 * 4 / 16 + H2O * 2 / 18 AS h,
+  O2 + CO2 * 32 / 44 + H2O * 16 / 18 + CO * 16 / 28 AS o FROM mass)
+SELECT brand, round((2 * c / 12 + 0.5 * h - o / 16 + 0.4 / 16) / (2 * 0.75 / 12 + 0.5 * 0.25 + 0.4 / 16), 8) AS z FROM e""")
+def mixture_fraction_of_streams(spark, d):
+    """Against an oxidiser other than air."""
+    z = chem.mixture_fraction(chem.mole_to_mass(moles()), {"CH4": 1.0}, {"O2": 0.4, "N2": 0.6})
+    return rounded(composition(spark, d).select("brand", z.alias("z")), 8, "z")
+
+
+@query("saved_clustering", "SELECT vec_id + 1 AS cell_id, label AS cluster FROM embeddings")
+def saved_clustering(spark, d):
+    """Labels written as a result of clustering and read back."""
+    folder = new_path(spark, "clustering")
+    results.save_clustering(folder, lattice(spark, d)[0].select("cell_id", "cluster"))
+    return results.load_table(spark, folder, "labels")
+
+
+@query("faces_by_position", f"WITH {LATTICE} SELECT c_id0, c_id1, mass_flowrate, area FROM faces")
+def faces_by_position(spark, d):
+    """Faces under headers of no meaning: cells, flow and area come after three coordinates."""
+    path, zero = new_path(spark, "faces"), F.lit(0.0)
+    rows = lattice(spark, d)[1].select(zero.alias("p"), zero.alias("q"), zero.alias("r"), F.col("c_id0").alias("s"), F.col("c_id1").alias("t"), F.col("mass_flowrate").alias("u"), F.col("area").alias("v"))
+    rows.write.option("header", True).option("sep", "\t").csv(path)
+    return fields.read_faces(spark, path)
+
+
 @query("network_deck")
 def network_deck(spark, d):
     reactors, flows = _network(spark, d)
@@ -718,6 +767,21 @@ def reassigned_nodes(spark, d):
     return graph.reassign_nodes(*_labels(spark, d), method="cells", passes=100_000)
 
 
+@query("reassigned_by_distance")
+def reassigned_by_distance(spark, d):
+    cells, _ = lattice(spark, d)
+    return graph.reassign_nodes(*_labels(spark, d), method="cells", passes=100_000, features=cells.select("cell_id", "features"))
+
+
+@query("reassigned_is_connected", "SELECT 0::BIGINT AS clusters_in_parts, (SELECT count(*) FROM embeddings) AS cells, true AS dense")
+def reassigned_is_connected(spark, d):
+    """What reassignment promises, whatever it moves: connected clusters of all cells, numbered without gaps."""
+    faces, labels, volumes = _labels(spark, d)
+    out = graph.reassign_nodes(faces, labels, volumes, passes=100_000)
+    parts = graph.components_per_cluster(faces, out).agg(F.count_if(F.col("n_components") > 1).alias("clusters_in_parts"))
+    return parts.crossJoin(out.agg(F.count(F.lit(1)).alias("cells"), (F.max("cluster") + 1 == F.count_distinct("cluster")).alias("dense")))
+
+
 @query("matched_clusters")
 def matched_clusters(spark, d):
     faces, labels, volumes = _labels(spark, d)
@@ -829,7 +893,7 @@ def line_widths(spark, d):
     return rounded(compare.network_drawing(empty, trade_flows(spark, d))[1], 6, "width")
 
 
-@query("cell_files", f"WITH {PARTS} SELECT cell_id, volume AS x, tau AS y, T AS TEMPERATURE, density AS CH4, volume FROM parts".replace("TEMPERATURE", "temperature"))
+@query("cell_files", f"WITH {PARTS} SELECT cell_id, volume AS x, tau AS y, T AS temperature, density AS CH4, volume FROM parts")
 def cell_files(spark, d):
     """Cells written as exports of a flow solver, and scanned."""
     rows, paths = parts(spark, d), {}

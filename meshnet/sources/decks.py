@@ -244,8 +244,3 @@ def write_decks(decks: DataFrame, folder: str) -> None:
     """Each deck as text under ``folder/rid=N/``, through Spark, in any store it reaches."""
     decks.select("rid", F.col("deck").alias("value")).repartition("rid").write.partitionBy("rid").option("lineSep", "\n").text(folder)
 
-
-def save_model(models: dict, folder: str, spark) -> None:
-    """Bases of a local-PCA model as a table: ``cluster, mean, values, components``."""
-    rows = [(int(k), m.mean.tolist(), m.values.tolist(), m.basis.T.tolist()) for k, m in models.items()]
-    spark.createDataFrame(rows, "cluster int, mean array<double>, values array<double>, components array<array<double>>").write.parquet(folder)

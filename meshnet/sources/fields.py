@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 REQUIRED = ("volume", "solution")
+#: The exports that a whole case has.
+ALL_FIELDS = ("volume", "solution", "density", "velocity", "angle", "tau")
 COORDINATES = ("x", "y", "z")
 BOUNDARY_SCHEMA = "cell_id double, zone_id double, mass_flowrate double, area double, heat_flux double"
 
@@ -33,12 +35,15 @@ def read_field(spark: SparkSession, path: str, dim: int, sep: str = ",", coordin
     return raw.select(*(F.col(f"c{i}").cast("long" if i == 0 else "double").alias(own[i]) for i in keep))
 
 
-def read_cells(spark: SparkSession, files: Mapping[str, str], dim: int, sep: str = ",", assert_rows: bool = True) -> DataFrame:
+def read_cells(
+    spark: SparkSession, files: Mapping[str, str], dim: int, sep: str = ",", assert_rows: bool = True, required: Sequence[str] = REQUIRED
+) -> DataFrame:
     """All exports joined by cell: fields of one column take the field's name, others keep their headers'.
 
-    The first file gives the coordinates. Every file must have the same cells.
+    The first file gives the coordinates. Every file must have the same cells:
+    one scan of the full outer join tells. ``required`` may be ``ALL_FIELDS``.
     """
-    if missing := [f for f in REQUIRED if f not in files]:
+    if missing := [f for f in required if f not in files]:
         raise ValueError(f"no file for {', '.join(missing)}")
     out = None
     for i, (name, path) in enumerate(files.items()):
@@ -46,19 +51,26 @@ def read_cells(spark: SparkSession, files: Mapping[str, str], dim: int, sep: str
         values = [c for c in field.columns if c not in ("cell_id", *COORDINATES)]
         if len(values) == 1:
             field = field.withColumnRenamed(values[0], name)
-        if out is None:
-            out = field
-            continue
-        joined = out.join(field, "cell_id")
-        if assert_rows and not (out.count() == field.count() == joined.count()):
-            raise ValueError(f"{path} has other cells than the files before it")
-        out = joined
-    return out
+        field = field.withColumn(f"__in_{name}", F.lit(1))
+        out = field if out is None else out.join(field, "cell_id", "full" if assert_rows else "inner")
+    marks = [f"__in_{name}" for name in files]
+    if assert_rows:
+        lacking = out.agg(*(F.count_if(F.col(m).isNull()).alias(m) for m in marks), F.count(F.lit(1)).alias("n"), F.count_distinct("cell_id").alias("ids")).first()
+        if bad := [files[name] for name, m in zip(files, marks, strict=True) if lacking[m]]:
+            raise ValueError(f"{', '.join(bad)} lack cells that other files have")
+        if lacking.n != lacking.ids:
+            raise ValueError("a file names a cell twice")
+    return out.drop(*marks)
 
 
 def read_faces(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """``c_id0, c_id1, mass_flowrate`` and, if there, ``area``: columns by name wherever they stand."""
+    """``c_id0, c_id1, mass_flowrate`` and, if there, ``area``: columns by name wherever they stand.
+
+    A file of other headers is read by position: after three coordinates come the cells, the flow and the area.
+    """
     names = _header(spark, path, sep)
+    if not {"c_id0", "c_id1", "mass_flowrate"} & set(names):
+        names = [f"__{i}" for i in range(3)] + ["c_id0", "c_id1", "mass_flowrate", "area"][: len(names) - 3]
     schema = T.StructType([T.StructField(n or f"c{i}", T.DoubleType()) for i, n in enumerate(names)])
     raw = spark.read.schema(schema).option("sep", sep).option("header", True).option("enforceSchema", True).csv(path)
     own = [("c_id0", "long"), ("c_id1", "long"), ("mass_flowrate", "double"), ("area", "double")]

@@ -164,3 +164,14 @@ def test_volume_method_and_limits(spark, monkeypatch):
     monkeypatch.setattr(graph, "MOST_PARTS", 1)
     with pytest.raises(ValueError):
         graph.reassign_nodes(faces, own, volumes)
+
+
+def test_parts_move_to_the_nearest_centroid(spark):
+    """A row of cells 0 0 1 0 2 2: the lone 0 touches 1 and 2 and is like 2."""
+    labels = dict(enumerate([0, 0, 1, 0, 2, 2]))
+    faces, own, volumes = frames(spark, [(i, i + 1) for i in range(5)], labels)
+    like = spark.createDataFrame([(c, [x, 0.0]) for c, x in enumerate([0.0, 0.0, 5.0, 9.0, 10.0, 10.0])], "cell_id long, features array<double>")
+    got = {r.cell_id: r.cluster for r in graph.reassign_nodes(faces, own, volumes, features=like).collect()}
+    assert got == dict(enumerate([0, 0, 1, 2, 2, 2]))
+    got = {r.cell_id: r.cluster for r in graph.reassign_nodes(faces, own, volumes).collect()}
+    assert got == dict(enumerate([0, 0, 1, 1, 2, 2]))

@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from meshnet.operators import kmeans, pca, scaling, vqpca
+from meshnet.sources import results
 
 
 @pytest.fixture(scope="module")
@@ -28,9 +29,10 @@ def same_partition(a, b):
 def test_moments_and_pca(blobs):
     df, x, truth = blobs
     n, s, p = pca.moments(df)[0]
-    assert n == len(x) and np.allclose(s, x.sum(axis=0)) and np.allclose(p, x.T @ x)
+    centred = lambda x: (x - x.mean(axis=0)).T @ (x - x.mean(axis=0))
+    assert n == len(x) and np.allclose(s, x.sum(axis=0)) and np.allclose(p, centred(x))
     by = pca.moments(df, cluster="truth")
-    assert sorted(by) == [0, 1, 2] and np.allclose(by[1][2], x[truth == 1].T @ x[truth == 1])
+    assert sorted(by) == [0, 1, 2] and np.allclose(by[1][2], centred(x[truth == 1]))
     mean, cov = pca.covariance(n, s, p)
     assert np.allclose(cov, np.cov(x.T))
     full = pca.fit_pca(df, level=1.0)
@@ -184,3 +186,60 @@ def test_condition(spark):
     assert closed == [(0.0, 0), (0.25, 0), (0.5, 0), (0.5, 1), (0.75, 1), (1.0, 1)]
     half = sorted((r.z, r.bin) for r in scaling.condition(df, "z", [0.0, 0.5, 1.0], closed=False).collect())
     assert half == [(0.0, 0), (0.25, 0), (0.5, 1), (0.75, 1), (1.0, 1)]
+
+
+def test_moments_keep_the_digits_of_a_small_variance(spark):
+    """Values near 2000 K, a millionth of a kelvin apart: raw products would hold none of it."""
+    rng = np.random.default_rng(5)
+    x = 2000 + rng.normal(0, 1e-6, (400, 2))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "cell_id long, features array<double>").repartition(5)
+    assert np.allclose(pca.covariance(*pca.moments(df)[0])[1], np.cov(x.T), rtol=1e-3, atol=1e-15)
+
+
+def test_rows_of_unequal_length_are_an_error(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0, 3.0]), (1, [1.0])], "cell_id long, features array<double>").coalesce(1)
+    with pytest.raises(Exception, match=r"rows have \[1, 3\] features"):
+        pca.moments(df)
+
+
+@pytest.mark.parametrize("init", ["best", "sorted"])
+def test_other_starts(blobs, init):
+    df, x, truth = blobs
+    start = vqpca.VQPCA(k=3)._initial(df.withColumn("z", F.col("truth")), init, "features", "cell_id", "z")
+    assert len(start) == 3 and sum(s[0] for s in start.values()) == len(x)
+    if init == "best":  # the best of a hundred starts has a centre in each blob
+        near = {int(truth[((x - s[1] / s[0]) ** 2).sum(axis=1).argmin()]) for s in start.values()}
+        assert near == {0, 1, 2}
+    with pytest.raises(ValueError):
+        vqpca.VQPCA(k=3)._initial(df, "sorted", "features", "cell_id", None)
+
+
+def test_first_pass_by_distance_to_centres(blobs):
+    df, x, truth = blobs
+    model = vqpca.VQPCA(k=3, first="identity", mode="supervised").fit(df, init="best")
+    got = {r.cell_id: r.cluster for r in model.labels(df).collect()}
+    assert same_partition([got[i] for i in range(len(x))], truth.tolist())
+    assert all(m.basis.shape[1] == 0 for m in model.used.values()) and all(m.basis.shape[1] > 0 for m in model.models.values())
+    with pytest.raises(ValueError):
+        vqpca.VQPCA(k=2, first="other").fit(df)
+
+
+@pytest.mark.parametrize("form", ["parquet", "csv"])
+def test_results_are_saved_and_read_back(spark, blobs, tmp_path, form):
+    df, x, _ = blobs
+    model = vqpca.VQPCA(k=3).fit(df, init="best")
+    labels = model.labels(df).select("cell_id", "cluster")
+    centres = spark.createDataFrame([(k, float(m.mean[0])) for k, m in model.models.items()], "cluster int, f0 double")
+    folder = f"file://{tmp_path}/{form}"
+    for _ in range(2):  # a second time replaces the first
+        results.save_clustering(folder, labels, centres, model.models, model.errors, form)
+    back = results.load_table(spark, folder, "labels", form)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, labels.collect()))
+    assert [r.error for r in results.load_table(spark, folder, "errors", form).orderBy("pass").collect()] == pytest.approx(model.errors)
+    assert results.load_table(spark, folder, "centroids", form).count() == len(model.models)
+    if form == "parquet":
+        again = results.load_models(spark, folder)
+        assert again.keys() == model.models.keys()
+        assert all(np.allclose(again[k].errors(x), m.errors(x)) for k, m in model.models.items())
+    with pytest.raises(ValueError):
+        results.save_clustering(folder, labels, form="h5")

@@ -4,6 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from meshnet import pipeline
 from meshnet.functions import chem, features
 from meshnet.operators import filters, network
 from meshnet.sources import decks, solver
@@ -72,7 +73,7 @@ def test_layers(spark):
     net.check(spark)
     flows, external = net.flows(spark)
     assert flows.agg(F.sum("mass")).first()[0] == pytest.approx(8.0)
-    assert {n: (t, p.get("tau"), p.get("L")) for n, (_, t, p) in net.nodes.items()}["H10"] == ("PFR", None, 1.0)
+    assert {n: (t, p.get("tau"), p.get("L")) for n, (_, t, p) in net.nodes.items()}["H00"] == ("PFR", None, 1.0)
     leaky = network.LayeredNetwork(round4=True).input_layer([1.0]).output_layer(3)
     with pytest.raises(network.Unbalanced):
         leaky.check(spark)
@@ -198,3 +199,52 @@ def test_solver_files(spark, tmp_path):
     assert [tuple(r) for r in solver.outlet_species(spark, path, f"{path}/input.dic", ["no"]).collect()] == [(10, "NO", 1e-05)]
     with pytest.raises(ValueError):
         solver.read_variable(spark, path, "XX")
+
+
+def test_layers_as_decks(spark):
+    net = network.LayeredNetwork().input_layer([1.0, 3.0]).connected_layer(2, "PFR", length=2.0).output_layer(1, params=[{"volume": 0.5, "T": 900.0}])
+    reactors, flows = net.tables(spark)
+    rows = {r.rid: r for r in reactors.collect()}
+    assert [rows[i].isinput for i in range(5)] == [True, True, False, False, False] and rows[4].isoutput and rows[2].L == 2.0
+    assert [rows[i].Mf for i in range(5)] == pytest.approx([1.0, 3.0, 2.0, 2.0, 4.0])
+    texts = {r.rid: r.deck for r in decks.reactor_decks(reactors).collect()}
+    assert "PlugFlowReactor" in texts[2] and "@Length    2.000000e+00 m" in texts[2] and "@Volume" in texts[4]
+    deck = decks.network_deck(reactors, flows, "kin", "thermo")
+    assert "input.pfr.2.dic" in deck and "input.cstr.4.dic" in deck
+    with pytest.raises(ValueError, match="without L"):
+        network.LayeredNetwork().input_layer([1.0]).output_layer(1, "PFR", params=[{"D": 1.0}]).tables(spark)
+
+
+def test_networks_that_are_given(spark):
+    flows = [[0, 2.0], [1.0, 0]]
+    reactors, links = network.given_network(spark, [2.0, 0], [0, 2.0], flows, [1.0, 2.0], [300.0, 900.0])
+    assert {(r.src, r.dst): r.mass for r in links.collect()} == pytest.approx({(0, 1): 3.0, (1, 0): 1.0, (2, 0): 2.0})
+    assert {r.rid: r.isoutput for r in reactors.collect()} == {0: False, 1: True, 2: False}
+    with pytest.raises(network.Unbalanced):
+        network.given_network(spark, [2.0, 0], [0, 2.0], [[0, 9.0], [1.0, 0]], [1.0, 2.0], [300.0, 900.0], adapt=False)
+    for wrong in ({"inlets": [1.0]}, {"flows": [[0, 1.0]]}, {"flows": [[0, 1.0], [0]]}, {"temperatures": []}, {"outlets": [0, -1.0]}):
+        own = {"inlets": [2.0, 0], "outlets": [0, 2.0], "flows": flows, "volumes": [1.0, 2.0], "temperatures": [300.0, 900.0]} | wrong
+        with pytest.raises(ValueError):
+            network.given_network(spark, **own)
+
+
+@pytest.mark.parametrize(
+    ("rids", "links"), [([0, 2], []), ([0, 0], []), ([1, 2], []), ([0, 1], [(0, 2, 1.0)]), ([0, 1], [(0, 1, -1.0)]), ([0, 1], [(0, 1, None)]), ([], [])]
+)
+def test_reactors_and_flows_fit(spark, rids, links):
+    with pytest.raises(ValueError):
+        network.check_network(table(spark, [(r,) for r in rids], "rid int"), table(spark, links, "src int, dst int, mass double"))
+
+
+def test_mixture_fraction_between_two_streams(spark):
+    """0 in the oxidiser, 1 in the fuel, linear in between, with oxygen in both."""
+    fuel, air = {"CH4": 0.8, "O2": 0.2}, {"O2": 0.3, "N2": 0.7}
+    rows = [(z, z * 0.8, z * 0.2 + (1 - z) * 0.3, (1 - z) * 0.7) for z in (0.0, 0.25, 1.0)]
+    df = table(spark, rows, "z double, CH4 double, O2 double, N2 double")
+    out = df.select("z", chem.mixture_fraction({c: F.col(c) for c in ("CH4", "O2", "N2")}, fuel, air).alias("got")).collect()
+    assert [r.got for r in out] == pytest.approx([r.z for r in out])
+    with pytest.raises(ValueError):
+        chem.mixture_fraction({"CH4": F.col("CH4")}, fuel, fuel)
+    solved = table(spark, [(0, {"CH4": 1.0}), (1, {"O2": 0.21, "N2": 0.79})], "rid int, X map<string,double>")
+    got = {r.rid: r.mixture_fraction for r in pipeline.mixture_fraction_of_reactors(solved, ["CH4", "O2", "N2"], "CH4:1", "O2:0.233, N2:0.767").collect()}
+    assert got == pytest.approx({0: 1.0, 1: 0.0}, abs=2e-3)
