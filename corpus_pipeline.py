@@ -34,8 +34,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     ``lang`` of a kept document becomes the predicted one, which is ``und`` if
     nothing could be learned.
     """
-    rows = docs.select(F.struct("*").alias("row"), "text")
-    labelled = language_id.label_language(rows, language_id.train(docs), keep=["row"], lettered=True)
+    rows = docs.select(F.struct("*").alias("row"))
+    labelled = language_id.label_language(rows, language_id.train(docs), "row.text", keep=["row"], lettered=True)
     return labelled.select(*_columns(docs, lang=F.coalesce("row.lang", "lang_pred")))
 
 

@@ -197,17 +197,21 @@ def label_language(
 ) -> DataFrame:
     """The columns ``keep`` of ``df`` (all by default) and the predicted language and score.
 
-    With ``lettered``, only rows whose text has a letter.
+    With ``lettered``, only rows whose text has a letter. A text that is a field of a kept struct,
+    as ``row.text``, goes to Python within it alone.
     """
     bound_arrow_batches(df.sparkSession)
     kept = df.columns if keep is None else keep
     if {lang_out, score_out} & set(kept):
         raise ValueError(f"{lang_out} or {score_out} is a column already")
-    rows = df.select(*(F.col(f"`{c}`") for c in kept), F.col(text_col).alias("__text"))
+    outer, _, inner = text_col.partition(".")
+    inside = bool(inner) and outer in kept
+    rows = df.select(*(F.col(f"`{c}`") for c in kept), *([] if inside else [F.col(text_col).alias("__text")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(len(kept)).to_pylist()]
+            column = batch.column(kept.index(outer)).field(inner) if inside else batch.column(len(kept))
+            texts = [t or "" for t in column.to_pylist()]
             for lo, hi in slices(texts, 1 << 18):
                 names, score = prototypes.predict(texts[lo:hi])
                 part = batch.slice(lo, hi - lo)

@@ -36,6 +36,23 @@ def test_patterns_hold_the_histogram(histogram):
             at += n
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 12), max_size=15), st.sampled_from([40, 64, 100]))
+def test_same_packs_as_piece_by_piece(histogram, size):
+    """Each piece, longest first, into the pack with the most room; packs of equal room are alike from there on."""
+    filled = []
+    for length in sorted((n for n, many in histogram.items() for _ in range(many)), reverse=True):
+        least = min(range(len(filled)), key=filled.__getitem__, default=None)
+        if least is not None and filled[least] + length <= size:
+            filled[least] += length
+        else:
+            filled.append(length)
+    got = Counter()
+    for count, lengths in op.shortest_pack_first(histogram, size):
+        got[sum(lengths)] += count
+    assert got == Counter(filled)
+
+
 def test_longest_first_into_most_room():
     # 6 and 5 open packs; 4 goes where 5 left most room, 3 then where 6 did.
     assert sorted(op.shortest_pack_first({6: 1, 5: 1, 4: 1, 3: 1}, 10)) == [(1, (5, 4)), (1, (6, 3))]
