@@ -31,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshnet.llm.near_dedup import _ODD, _WORD, SHINGLE, _mix, shingles, words_of
+from meshnet.llm.near_dedup import _ODD, _WORD, _mix, shingles, words_of
 from meshnet.plans.scratch import bound_arrow_batches
 from meshnet.plans.tables import read_table
 
+#: Words of a shingle; near-duplicates have a width of their own.
+SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 48
 #: Shingles of a text whose minima are taken at once.
@@ -97,7 +99,7 @@ class Templates:
             words = words_of(text)
             if len(words) < SHINGLE:
                 raise ValueError(f"template {name} has under {SHINGLE} words")
-            own = np.unique(shingles(words))
+            own = np.unique(shingles(words, SHINGLE))
             size = 1 << (len(own) - 1).bit_length()
             self.sets[name] = own
             self.classes[size].append(name)
@@ -188,7 +190,7 @@ def scan_licenses(
                 words = words_of(text)
                 if len(words) < SHINGLE:
                     continue
-                found = known.matches(shingles(words))
+                found = known.matches(shingles(words, SHINGLE))
                 if found:
                     low = text.lower()
                     at = [m.span() for m in _WORD.finditer(low)]

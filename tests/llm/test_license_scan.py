@@ -14,7 +14,7 @@ def known():
 
 def found(known, text):
     words = words_of(text)
-    return known.matches(shingles(words)) if len(words) >= 5 else []
+    return known.matches(shingles(words, 5)) if len(words) >= 5 else []
 
 
 @pytest.mark.parametrize("name", op.TEMPLATES)
@@ -44,7 +44,7 @@ def test_same_as_brute_force(known, corpus):
     for text in [t for t in corpus[0] if t]:
         words = text.split(" ")
         words.insert(rng.randint(0, len(words)), op.TEMPLATES[rng.choice(names)])
-        own = shingles(words_of(" ".join(words)))
+        own = shingles(words_of(" ".join(words)), 5)
         want = {n for n, t in known.sets.items() if np.isin(t, own).mean() >= 0.8}
         assert {m[0] for m in known.matches(own)} == want
 
@@ -66,6 +66,11 @@ def test_dataframe(spark, docs, empty):
     assert op.scan_licenses(docs).count() == 0 and op.scan_licenses(empty).count() == 0
 
 
+def test_shingles_have_five_words(known):
+    assert len(known.sets["MIT-notice"]) == 1
+    assert not found(known, "it was released under the mit licence and released under the mit terms")
+
+
 def test_short_template_is_refused():
     with pytest.raises(ValueError):
         op.Templates({"short": "only four words here"})
