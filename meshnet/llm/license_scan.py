@@ -13,7 +13,10 @@ least 0.25. The chance that all ``BANDS = 48`` minima differ is then at most
 
 A fetched template is verified: the share of its distinct shingles among those
 of the window, widened by ``s`` on both sides, must be at least ``THRESHOLD``.
-Matches of one template that overlap are one.
+The hits are then cut where the template begins anew: each run in its order
+that reaches the threshold is a match, so copies next to each other stay apart.
+Where none does, as when paragraphs have moved, the hits of the window are one
+match. Matches of one template that overlap are one.
 
 Cases: a null or empty text, or one under five words, has no match. Rows
 repeated, or with a null id, are scanned like any other. An empty table gives
@@ -79,6 +82,25 @@ TEMPLATES = {
     "notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the "
     "above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
     "materials provided with the distribution.",
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the "
+    "GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or "
+    "(at your option) any later version.",
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the "
+    "GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or "
+    "(at your option) any later version.",
+    "EPL-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public "
+    "License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "MIT-disclaimer": 'The software is provided "as is", without warranty of any kind, express or implied, including but not '
+    "limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall "
+    "the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, "
+    "tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software.",
+    "BSD-disclaimer": 'This software is provided by the copyright holders and contributors "as is" and any express or implied '
+    "warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose "
+    "are disclaimed. In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, "
+    "special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; "
+    "loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in "
+    "contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this "
+    "software, even if advised of the possibility of such damage.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
     "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for "
     "any purpose, commercial or non-commercial, and by any means.",
@@ -93,15 +115,18 @@ class Templates:
         self.factors = _mix(np.arange(1, bands + 1, dtype=np.uint64) * _ODD[7]) | np.uint64(1)
         self.bases = np.arange(bands, dtype=np.int64)[:, None] << 16
         self.sets: dict[str, np.ndarray] = {}
+        self.places: dict[str, list[list[int]]] = {}  # of each shingle of a set, ascending
         self.classes: dict[int, list[str]] = defaultdict(list)
         self.by_band: dict[int, dict[tuple[int, int], list[str]]] = defaultdict(lambda: defaultdict(list))
         for name, text in texts.items():
             words = words_of(text)
             if len(words) < SHINGLE:
                 raise ValueError(f"template {name} has under {SHINGLE} words")
-            own = np.unique(shingles(words, SHINGLE))
+            own, which = np.unique(shingles(words, SHINGLE), return_inverse=True)
             size = 1 << (len(own) - 1).bit_length()
-            self.sets[name] = own
+            self.sets[name], self.places[name] = own, [[] for _ in own]
+            for place, i in enumerate(which.tolist()):
+                self.places[name][i].append(place)
             self.classes[size].append(name)
             for band, least in enumerate(self._hashes(own).min(axis=1).tolist()):
                 self.by_band[size][band, least].append(name)
@@ -142,9 +167,23 @@ class Templates:
                         seen.add((name, at))
                         yield name, at * block, at * block + (3 * block if size > 1 else 1), size
 
+    def _copies(self, name: str, hits: list[tuple[int, int]]) -> Iterator[tuple[int, int, float]]:
+        """First word, end word and share of each run of ``hits`` (shingle of the text, of the set) in the template's order."""
+        begin, last = 0, -1
+        for i in range(len(hits) + 1):
+            place = next((p for p in self.places[name][hits[i][1]] if p > last), None) if i < len(hits) else None
+            if place is None and i > begin:
+                share = len({at for _, at in hits[begin:i]}) / len(self.sets[name])
+                if share >= self.threshold:
+                    yield hits[begin][0], hits[i - 1][0] + SHINGLE, share
+                if i < len(hits):
+                    begin, place = i, self.places[name][hits[i][1]][0]
+            last = place
+
     def matches(self, kmers: np.ndarray) -> list[tuple[str, int, int, float]]:
         """``template, first word, end word, containment``, sorted; overlapping ones are one."""
         spans: dict[str, list[tuple[int, int, float]]] = defaultdict(list)
+        loose: dict[str, list[tuple[int, int, float]]] = defaultdict(list)
         step = STRETCH
         for begin in range(0, max(1, len(kmers)), step):
             part = kmers[begin : begin + step + 3 * self.largest]
@@ -158,20 +197,31 @@ class Templates:
                 inside = np.flatnonzero(own[at] == kmers[lo:hi])
                 share = len(np.unique(at[inside])) / len(own)
                 if share >= self.threshold:
-                    spans[name].append((lo + int(inside[0]), lo + int(inside[-1]) + SHINGLE, share))
+                    hits = list(zip((lo + inside).tolist(), at[inside].tolist(), strict=True))
+                    if copies := list(self._copies(name, hits)):
+                        spans[name] += copies
+                    else:
+                        loose[name].append((hits[0][0], hits[-1][0] + SHINGLE, share))
         out = []
-        for name, found in spans.items():
-            found.sort()
-            merged = [found[0]]
-            for lo, hi, share in found[1:]:
-                if lo < merged[-1][1]:
-                    merged[-1] = (merged[-1][0], max(hi, merged[-1][1]), max(share, merged[-1][2]))
-                else:
-                    merged.append((lo, hi, share))
-            out += [(name, *span) for span in merged]
+        for name in spans.keys() | loose.keys():
+            copies = _joined(spans[name])
+            # A window with less than a copy of its own may see parts of copies beside it.
+            rest = [x for x in _joined(loose[name]) if not any(x[0] < hi and lo < x[1] for lo, hi, _ in copies)]
+            out += [(name, *span) for span in copies + rest]
         return sorted(out, key=lambda m: (m[1], m[0]))
 
 
+def _joined(spans: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """Spans in order, overlapping ones as one of the largest share."""
+    out: list[tuple[int, int, float]] = []
+    for lo, hi, share in sorted(spans):
+        if out and lo < out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]), max(share, out[-1][2]))
+        else:
+            out.append((lo, hi, share))
+    return out
+
+
 def scan_licenses(
     docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD,
     id_col: str = "doc_id", text_col: str = "text",

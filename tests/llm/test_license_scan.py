@@ -38,6 +38,22 @@ def test_changed_template(known):
     assert not found(known, " ".join(words))
 
 
+@pytest.mark.parametrize("name", op.TEMPLATES)
+@pytest.mark.parametrize("gap", [1, 3, 60])
+def test_copies_beside_each_other_stay_apart(known, name, gap):
+    n, between = len(words_of(op.TEMPLATES[name])), " ".join(f"w{i}" for i in range(gap))
+    text = f" {between} ".join([op.TEMPLATES[name]] * 3)
+    spans = [m[1:] for m in found(known, text) if m[0] == name]
+    assert spans == [(i * (n + gap), i * (n + gap) + n, 1.0) for i in range(3)]
+
+
+def test_moved_halves_are_one_match(known):
+    words = op.TEMPLATES["Apache-2.0"].split()
+    text = " ".join(["start", *words[30:], "middle", *words[:30], "end"])
+    spans = [m[1:3] for m in found(known, text) if m[0] == "Apache-2.0"]
+    assert len(spans) == 1 and spans[0][0] == 1 and spans[0][1] == len(words_of(text)) - 1
+
+
 def test_same_as_brute_force(known, corpus):
     rng = random.Random(2)
     names = list(op.TEMPLATES)
