@@ -7,6 +7,7 @@ faces, parts are cells. Every query runs over its whole tables.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 import numpy as np
@@ -403,13 +404,21 @@ def split_residual(spark, d):
     return rounded(network.residual(through, network.mass_split(trade_flows(spark, d), ext), ext), 2, "residual")
 
 
-@query("adapted_flows")
+# Throughput as a sum of waves: what the inlets send, what its receivers send on, and so forth.
+_SOLVED = "WITH RECURSIVE " + SPLIT + """, kept AS (SELECT src, dst, ratio FROM split WHERE ratio >= {least}), waves AS (
+  SELECT rid, inlet AS M, 0 AS t FROM ext
+  UNION ALL SELECT dst, sum(ratio * M), any_value(t) + 1 FROM waves JOIN kept ON src = rid WHERE t < 400 GROUP BY dst),
+through AS (SELECT rid, sum(M) AS M FROM waves GROUP BY 1)
+SELECT CAST(src AS INTEGER) AS src, CAST(dst AS INTEGER) AS dst, round(ratio * M, 2) AS mass FROM kept JOIN through ON rid = src"""
+
+
+@query("adapted_flows", _SOLVED.replace("{least}", "0"))
 def adapted_flows(spark, d):
     ext = external(spark, d)
     return rounded(network.adapt_flows(network.mass_split(trade_flows(spark, d), ext), ext), 2, "mass")
 
 
-@query("adjusted_flows")
+@query("adjusted_flows", _SOLVED.replace("{least}", "0.02"))
 def adjusted_flows(spark, d):
     return rounded(network.adjust_flows(trade_flows(spark, d), external(spark, d), 0.02), 2, "mass")
 
@@ -420,6 +429,24 @@ def balanced_flows(spark, d):
     return rounded(network.balance_flows(trade_flows(spark, d), ext, tol=1e-4), 2, "mass")
 
 
+@query("balanced_residual", f"WITH {EXTERNAL} SELECT rid, 0.0::DOUBLE AS lack FROM ext")
+def balanced_residual(spark, d):
+    """What balanced flows promise: every reactor takes what it gives."""
+    ext = external(spark, d).withColumn("outlet", F.col("inlet"))
+    taken = network.totals(network.balance_flows(trade_flows(spark, d), ext, tol=1e-4), ext)
+    return rounded(taken.select("rid", (F.col("incoming") + F.col("inlet") - F.col("outgoing") - F.col("outlet")).alias("lack")), 2, "lack")
+
+
+@query("unbalanced_reactors", f"""WITH {TOTALS}, b AS (SELECT rid, incoming + inlet AS total_in, outgoing + outlet AS total_out FROM tot)
+SELECT rid, round(total_in, 4) AS total_in, round(total_out, 4) AS total_out, round((total_in - total_out) / greatest(total_in, total_out), 8) AS imbalance
+FROM b WHERE abs(total_in - total_out) > 0.05 * greatest(total_in, total_out)""")
+def unbalanced_reactors(spark, d):
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # the warning is the point of the function, not of the query
+        off = network.warn_balance(trade_flows(spark, d), external(spark, d), 0.05)
+    return rounded(rounded(off, 4, "total_in", "total_out"), 8, "imbalance")
+
+
 _NET = f"""WITH {TOTALS}, r AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 1 AS cluster, sum(p_size) AS volume, avg(p_retailprice) AS T
   FROM part GROUP BY 1), e AS (SELECT rid, inlet, row_number() OVER (ORDER BY rid) - 1 + (SELECT max(cluster) + 1 FROM r) AS new FROM ext WHERE inlet <> 0),
 g AS (SELECT src, dst, mass FROM flows UNION ALL SELECT new, rid, inlet FROM e),
@@ -456,7 +483,21 @@ def reactor_decks(spark, d):
     return decks.reactor_decks(_network(spark, d)[0].withColumn("isothermal", F.lit(True)))
 
 
-@query("coded_reactor_decks")
+_CODED = f"""WITH {TOTALS}, m AS (SELECT rid, rid % 3 AS code, (incoming + inlet) * 10000 AS Mf FROM tot WHERE rid IN (SELECT rid FROM ext))
+SELECT CAST(rid AS INTEGER) AS rid, printf('input.%s.%d.dic', CASE code WHEN 1 THEN 'pfr' ELSE 'cstr' END, rid) AS file,
+CASE code WHEN 1 THEN 'Dictionary PlugFlowReactor \\n' ELSE 'Dictionary PerfectlyStirredReactor \\n' END
+|| '{{ \\n      @KineticsFolder     dummy; \\n      @InletStatus        Inlet-Mixture; \\n      @Type               NonIsothermal'
+|| CASE code WHEN 1 THEN '; \\n      @ConstantPressure   true; \\n' ELSE '-ConstantPressure; \\n' END
+|| CASE code WHEN 2 THEN printf('      @GlobalThermalExchangeCoefficient   %e W/m2/K; \\n      @ExchangeArea               %e m2; \\n      @EnvironmentTemperature     %e K;  \\n',
+     5e4::DOUBLE / 900, 1::DOUBLE, 300::DOUBLE) ELSE '' END
+|| CASE code WHEN 1 THEN printf('      @Diameter           %e mm; \\n      @Length             %e mm; \\n', 10::DOUBLE, 1000::DOUBLE)
+     ELSE printf('      @Volume             %e cm3; \\n', CAST(rid + 1 AS DOUBLE)) END
+|| printf('      @MassFlowRate      %e kg/s;   \\n', Mf)
+|| printf('}} \\n\\n Dictionary Inlet-Mixture \\n {{ \\n      @Pressure           %e Pa; \\n      @Temperature        %e K;  \\n', 101325::DOUBLE, 1500::DOUBLE)
+|| '      @Masses                 O2 0.232000\\n          N2 0.768000; \\n}} \\n' AS deck FROM m""".replace("\\n", "' || chr(10) || '")
+
+
+@query("coded_reactor_decks", _CODED)
 def coded_reactor_decks(spark, d):
     """Nations as adiabatic tanks, tubes and cooled tanks by turns, in the older dialect."""
     air = F.array(*(F.struct(F.lit(s).alias("species"), F.lit(y).alias("y")) for s, y in (("O2", 0.232), ("N2", 0.768))))
@@ -516,12 +557,36 @@ def faces_by_position(spark, d):
     return fields.read_faces(spark, path)
 
 
-@query("network_deck")
+def _network_deck_sql(enabled: str, link: str) -> str:
+    """SQL of a network's deck: a line after ``@KineticsPreProcessor``, and the line of each connection of ``g``."""
+    return _NET + f""", ids AS (SELECT cluster AS rid FROM r UNION ALL SELECT new FROM e),
+net AS (SELECT rid, abs(sum(m)) AS m FROM (SELECT src AS rid, mass AS m FROM g UNION ALL SELECT dst, -mass FROM g) GROUP BY 1)
+SELECT 'Dictionary ReactorNetwork NL {{ NL@KineticsPreProcessor     kinetic-mechanism;NL{enabled}@MinIterations                     5;NL@MaxIterations                     500;NL'
+|| '@AtomicErrorThreshold              1.000000e-03;NL@NonIsothermalErrorThreshold       1.000000e-04;NL@MaxUnbalance                      5.000000e-02;NL'
+|| '@PerfectlyStirredReactors NL' || (SELECT string_agg(printf('%d       input.cstr.%d.dic', rid, rid), chr(10) ORDER BY rid) FROM ids)
+|| ';NL@InternalConnections     ' || (SELECT string_agg({link}, ' NL' ORDER BY src, dst) FROM g WHERE mass <> 0)
+|| ';NL@InputStreams     ' || (SELECT string_agg(printf('%d     %e', new, inlet), ' NL' ORDER BY new) FROM e)
+|| '; NL@OutputStreams     ' || (SELECT string_agg(printf('%d     %e', rid, coalesce(m, 0::DOUBLE)), ' NL' ORDER BY rid)
+   FROM r JOIN ext ON ext.rid = cluster LEFT JOIN net USING (rid) WHERE outlet > 0)
+|| '; NL@SpeciesToMonitor     NO' || chr(9) || 'CO' || chr(9) || ';NL@VerbosityLevel     1;NL}} NL NL'
+|| 'Dictionary kinetic-mechanism NL {{ NL@Kinetics          kinetics;NL@Thermodynamics    thermo;NL@Output     kinetics;NL}} NL' AS deck""".replace("NL", "' || chr(10) || '")
+
+
+@query("network_deck", _network_deck_sql("", "printf('%d     %d     %e', src, dst, mass)"))
 def network_deck(spark, d):
     reactors, flows = _network(spark, d)
     return spark.createDataFrame([(decks.network_deck(reactors, flows, "kinetics", "thermo"),)], "deck string")
 
 
+@query("network_deck_diffusion", _network_deck_sql("@DiffusionEnabled     true;NL", """printf('%d     %d     %e     %e     %e', src, dst, mass,
+  CASE WHEN src < dst THEN src + 1 ELSE 0 END::DOUBLE, CASE WHEN src < dst THEN dst - src ELSE 0 END::DOUBLE)"""))
+def network_deck_diffusion(spark, d):
+    """Only connections to a higher number have an area and a distance."""
+    reactors, flows = _network(spark, d)
+    links = flows.where("src < dst").select("src", "dst", (F.col("src") + 1.0).alias("area"), (F.col("dst") - F.col("src")).cast("double").alias("distance"))
+    return spark.createDataFrame([(decks.network_deck(reactors, flows, "kinetics", "thermo", diffusion=links),)], "deck string")
+
+
 @query("layered_network", """SELECT * FROM (VALUES (0, 2, 0.5::DOUBLE), (0, 3, 0.5), (1, 2, 1.5), (1, 3, 1.5), (2, 4, 2.0), (3, 4, 2.0)) t(src, dst, mass)""")
 def layered_network(spark, d):
     flows, _ = network.LayeredNetwork().input_layer([1.0, 3.0]).connected_layer(2).output_layer(1).flows(spark)
@@ -843,6 +908,20 @@ def principal_components(spark, d):
     return spark.createDataFrame(out, "component int, eigenvalue double, loadings array<double>")
 
 
+@query("principal_residual", "SELECT i AS component, 0.0::DOUBLE AS residual, 1.0::DOUBLE AS length, 4.0::DOUBLE AS trace FROM range(4) t(i)")
+def principal_residual(spark, d):
+    """Components of the scaled table are unit eigenvectors of its correlations, which Spark computes apart; values add up to 4."""
+    line = read_table(spark, d, "lineitem").select(*FOUR)
+    model = pca.fit_pca(scaling.Scaler("auto").fit(line, FOUR).transform(line).select(F.array(*FOUR).alias("features")), level=1.0)
+    corr = np.array(line.agg(*(F.corr(a, b) for a in FOUR for b in FOUR)).first()).reshape(4, 4)
+    n = line.count()
+    scale = n / (n - 1)  # scaled by the deviation over n, moments over n - 1
+    off = np.abs(corr @ model.basis - model.basis * (model.values / scale)).max(axis=0)
+    length, trace = np.linalg.norm(model.basis, axis=0), float((model.values / scale).sum())
+    out = [(i, float(off[i]), float(length[i]), trace) for i in range(4)]
+    return rounded(spark.createDataFrame(out, "component long, residual double, length double, trace double"), 6, "residual", "length", "trace")
+
+
 @query("vqpca_labels")
 def vqpca_labels(spark, d):
     cells = lattice(spark, d)[0].select("cell_id", "features")
@@ -893,6 +972,44 @@ def line_widths(spark, d):
     return rounded(compare.network_drawing(empty, trade_flows(spark, d))[1], 6, "width")
 
 
+@query("node_sizes", f"WITH {PARTS}, v AS (SELECT cluster, sum(volume) AS v FROM parts GROUP BY 1) SELECT cluster AS rid, round(greatest(ln(v) * ln(v), 0.1), 6) AS size FROM v")
+def node_sizes(spark, d):
+    reactors = parts(spark, d).groupBy(F.col("cluster").alias("rid")).agg(F.sum("volume").alias("volume"))
+    return rounded(compare.network_drawing(reactors, trade_flows(spark, d))[0], 6, "size")
+
+
+@query("cluster_points", f"WITH {LATTICE} SELECT x, y, cluster FROM cells")
+def cluster_points(spark, d):
+    return compare.cluster_points(lattice(spark, d)[0])
+
+
+@query("face_areas", f"WITH {LATTICE} SELECT c_id0, c_id1, round(mass_flowrate, 8) + 0.0 AS mass_flowrate, CASE WHEN c_id0 % 2 = 0 THEN area END AS area FROM faces")
+def face_areas(spark, d):
+    """Areas of half the faces, from entries of the other orientation."""
+    faces = lattice(spark, d)[1]
+    areas = faces.where("c_id0 % 2 = 0").select(F.col("c_id1").alias("c_id0"), F.col("c_id0").alias("c_id1"), "area")
+    return rounded(diffusion.face_areas(faces.drop("area"), areas).select("c_id0", "c_id1", "mass_flowrate", "area"), 8, "mass_flowrate")
+
+
+@query("turned_faces", f"WITH {LATTICE} SELECT c_id0, c_id1, round(mass_flowrate * 2 * pi(), 8) + 0.0 AS mass_flowrate, round(area * 2 * pi(), 8) AS area FROM faces")
+def turned_faces(spark, d):
+    return rounded(mesh.turn_faces(lattice(spark, d)[1], 2), 8, "mass_flowrate", "area")
+
+
+@query("species_set", f"WITH {PARTS} SELECT cell_id, T AS f0, density AS f1, tau AS f2 FROM parts")
+def species_set(spark, d):
+    """Temperature and those species of the set of major ones that are there."""
+    cells = parts(spark, d).select("cell_id", "T", F.col("density").alias("molef-o2"), F.col("tau").alias("molef-ch4"), F.col("volume").alias("molef-n2"))
+    rows = features.species_features(cells, "major", "T")
+    return rows.select("cell_id", *(F.get("features", i).alias(f"f{i}") for i in range(3)))
+
+
+@query("custom_features", f"WITH {PARTS} SELECT cell_id, T, volume * 2 AS own FROM parts")
+def custom_features(spark, d):
+    cells = parts(spark, d)
+    return features.custom_features(cells.select("cell_id", "T"), cells.select("cell_id", (F.col("volume") * 2).alias("own")))
+
+
 @query("cell_files", f"WITH {PARTS} SELECT cell_id, volume AS x, tau AS y, T AS temperature, density AS CH4, volume FROM parts")
 def cell_files(spark, d):
     """Cells written as exports of a flow solver, and scanned."""
@@ -919,36 +1036,86 @@ def boundary_files(spark, d):
     return fields.read_boundary(spark, path)
 
 
-def _solver_folder(spark, d) -> str:
-    """The last states of a solver, one folder a reactor: temperature is the mean price of a brand, shares its composition."""
-    folder = new_path(spark, "solver")
-    rows = graph.dense_labels(composition(spark, d).withColumnRenamed("brand", "cluster"))
-    names = list(WEIGHTS)
-    header = "t[s](1) T[K](5) P[Pa](6) " + " ".join(f"{s}_x({i + 10})" for i, s in enumerate(names)) + " " + " ".join(f"{s}_w({i + 20})" for i, s in enumerate(names))
-    line = F.concat_ws(" ", F.lit("0.5"), (F.lit(1000.0) + F.col("cluster")).cast("string"), F.lit("101325.0"), *(F.col(s).cast("string") for s in names), *(F.lit("0.5") for _ in names))
-    text = F.concat(F.lit(header + "\n" + "9 " * (3 + 2 * len(names)) + "\n"), line)
+def _solver_folder(spark, d, *files: str) -> str:
+    """Files of a solver, one folder a reactor: a temperature tells a brand's number, shares its composition."""
+    folder, names = new_path(spark, "solver"), list(WEIGHTS)
+    shares = [F.col(s).cast("string") for s in names]
+    columns = lambda tail, at: " ".join(f"{s}{tail}({i + at})" for i, s in enumerate(names))
+    hot = lambda t: (F.lit(t) + F.col("cluster")).cast("string")
+    spoiled = "9 " * (3 + 2 * len(names))  # an earlier row, which the last one replaces
+    text = {
+        "Output.out": F.concat(
+            F.lit(f"t[s](1) T[K](5) P[Pa](6) {columns('_x', 10)} {columns('_w', 20)}\n{spoiled}\n"),
+            F.concat_ws(" ", F.lit("0.5"), hot(1000.0), F.lit("101325.0"), *shares, *((F.col(s) / 2).cast("string") for s in names)),
+        ),
+        "log.inlet": F.concat(F.lit(f"Iteration(1) T[K](2) {columns('', 3)}\n{spoiled}\n"), F.concat_ws(" ", F.lit("7"), hot(500.0), *shares)),
+        "ROPA.out": F.concat(F.lit("CO2 total\nCO other 1 2 3 4 5\nCO2 1 2 3 4 5 "), F.col("CO2").cast("string"), F.lit(" 8\nCO2 again 2 3 4 5 6\n")),
+    }
+    rows = graph.dense_labels(composition(spark, d).withColumnRenamed("brand", "cluster")).select("cluster", *(text[f].alias(f) for f in files))
     # One folder a reactor, as the solver writes them: the network has tens of reactors.
-    for r in rows.select("cluster", text.alias("text")).collect():
-        spark.createDataFrame([(r.text,)], "value string").coalesce(1).write.text(f"{folder}/Reactor.{r.cluster}/Output.out")
+    for r in rows.collect():
+        for f in files:
+            spark.createDataFrame([(r[f],)], "value string").coalesce(1).write.text(f"{folder}/Reactor.{r.cluster}/{f}")
     return folder
 
 
 _SOLVER = f"WITH {COMPOSITION}, n AS (SELECT *, CAST(row_number() OVER (ORDER BY brand) - 1 AS INTEGER) AS rid FROM comp) "
+_SHARES = ", ".join(f"round({s}, 8) AS {s}" for s in WEIGHTS)
 
 
-def _folder_rows(spark, d) -> DataFrame:
-    """Spark writes a folder where the solver writes a file, so the scan goes one level deeper."""
-    path = _solver_folder(spark, d)
-    raw = spark.read.text(f"{path}/Reactor.*/Output.out", wholetext=True)
-    return raw.select(F.regexp_extract(F.col("_metadata.file_path"), r"/Reactor\.(\d+)/", 1).cast("int").alias("rid"), F.col("value").alias("text"))
-
-
-@query("solver_outputs", _SOLVER + "SELECT rid, CAST(1000 + rid AS DOUBLE) AS T, 101325.0::DOUBLE AS P, " + ", ".join(f"round({s}, 8) AS {s}" for s in WEIGHTS) + " FROM n")
+@query("solver_outputs", _SOLVER + f"SELECT rid, CAST(1000 + rid AS DOUBLE) AS T, 101325.0::DOUBLE AS P, {_SHARES} FROM n")
 def solver_outputs(spark, d):
-    last = solver.states(solver.table_rows(_folder_rows(spark, d)))
+    last = solver.read_outputs(spark, _solver_folder(spark, d, "Output.out"))
     return rounded(last.select("rid", "T", "P", *(F.col("X")[s].alias(s) for s in WEIGHTS)), 8, *WEIGHTS)
 
 
-@query("solver_table", _SOLVER + "SELECT rid, species AS variable, 'mass' AS basis, 0.5::DOUBLE AS value FROM n, (VALUES " + ", ".join(f"('{s}')" for s in WEIGHTS) + ") t(species)")
+@query("solver_table", _SOLVER + "SELECT rid, variable, basis, round(value, 8) AS value FROM (" + " UNION ALL ".join(
+    f"SELECT rid, '{s}' AS variable, '{b}' AS basis, {s} * {f} AS value FROM n" for s in WEIGHTS for b, f in (("mole", 1), ("mass", 0.5))) + ")")
 def solver_table(spark, d):
-    return solver.table_rows(_folder_rows(spark, d)).where("basis = 'mass'").select("rid", "variable", "basis", "value")
+    rows = solver.read_tables(spark, _solver_folder(spark, d, "Output.out")).where("basis is not null")
+    return rounded(rows.select("rid", "variable", "basis", "value"), 8, "value")
+
+
+@query("solver_inputs", _SOLVER + f"SELECT rid, CAST(500 + rid AS DOUBLE) AS T, {_SHARES} FROM n")
+def solver_inputs(spark, d):
+    last = solver.read_inputs(spark, _solver_folder(spark, d, "log.inlet"))
+    return rounded(last.select("rid", "T", *(F.col("X")[s].alias(s) for s in WEIGHTS)), 8, *WEIGHTS)
+
+
+@query("solver_variable", _SOLVER + "SELECT rid, round(CO2, 8) AS value FROM n")
+def solver_variable(spark, d):
+    return rounded(solver.read_variable(spark, _solver_folder(spark, d, "Output.out"), "CO2"), 8, "value")
+
+
+@query("solver_rates", _SOLVER + "SELECT rid, round(CO2, 8) AS rate FROM n")
+def solver_rates(spark, d):
+    return rounded(solver.read_rates(spark, _solver_folder(spark, d, "ROPA.out"), "CO2"), 8, "rate")
+
+
+@query("highest_temperature", _SOLVER + "SELECT CAST(1000 + max(rid) AS DOUBLE) AS T FROM n")
+def highest_temperature(spark, d):
+    return spark.createDataFrame([(solver.highest_temperature(spark, _solver_folder(spark, d, "Output.out")),)], "T double")
+
+
+def _deck_file(spark, d) -> str:
+    path = new_path(spark, "deck")
+    network_deck(spark, d).select(F.col("deck").alias("value")).coalesce(1).write.text(path)
+    return path
+
+
+@query("deck_outlets", _NET + """, net AS (SELECT rid, abs(sum(m)) AS m FROM (SELECT src AS rid, mass AS m FROM g UNION ALL SELECT dst, -mass FROM g) GROUP BY 1)
+SELECT CAST(rid AS INTEGER) AS rid, CAST(printf('%e', m) AS DOUBLE) AS mass FROM r JOIN ext ON ext.rid = cluster JOIN net USING (rid) WHERE outlet > 0""")
+def deck_outlets(spark, d):
+    return solver.outlet_reactors(spark, _deck_file(spark, d))
+
+
+@query("deck_flows", _NET + "SELECT CAST(src AS INTEGER) AS src, CAST(dst AS INTEGER) AS dst, CAST(printf('%e', mass) AS DOUBLE) AS mass FROM g WHERE mass <> 0")
+def deck_flows(spark, d):
+    return solver.deck_flows(spark, _deck_file(spark, d))
+
+
+@query("outlet_species", _SOLVER + f""", {EXTERNAL}, o AS (SELECT * FROM n JOIN ext USING (rid) WHERE outlet > 0)
+SELECT rid, 'CO' AS species, round(CO, 8) AS x FROM o UNION ALL SELECT rid, 'H2O', round(H2O, 8) FROM o""")
+def outlet_species(spark, d):
+    """Names match in any case."""
+    return rounded(solver.outlet_species(spark, _solver_folder(spark, d, "Output.out"), _deck_file(spark, d), ["co", "h2o"]), 8, "x")

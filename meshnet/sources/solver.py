@@ -12,9 +12,9 @@ _NAME = r"^(.*?)(\[[^\]]*\])?\(\d+\)$"
 
 
 def _files(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """``rid, text`` of the file ``name`` of every reactor's folder."""
+    """``rid, text`` of the file ``name`` of every reactor's folder; a folder of that name, as Spark writes, will do."""
     path = f"{folder}/Reactor.*/{name}"
-    rid = F.regexp_extract(F.col("_metadata.file_path"), r"/Reactor\.(\d+)/[^/]*$", 1).cast("int")
+    rid = F.regexp_extract(F.col("_metadata.file_path"), r"^.*/Reactor\.(\d+)/", 1).cast("int")
     return spark.read.text(path, wholetext=True).select(rid.alias("rid"), F.col("value").alias("text"))
 
 
