@@ -15,6 +15,7 @@ from meshnet.llm import (
     line_dedup,
     near_dedup,
     packing,
+    token_alignment,
     url_filter,
     warc,
 )
@@ -30,6 +31,7 @@ _MODULES = {
     "op8_language_id": language_id,
     "op9_packing": packing,
     "op10_near_dedup": near_dedup,
+    "op13_token_alignment": token_alignment,
 }
 
 
