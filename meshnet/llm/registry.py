@@ -13,6 +13,7 @@ from meshnet.llm import (
     language_id,
     license_scan,
     line_dedup,
+    lm_scoring,
     near_dedup,
     packing,
     token_alignment,
@@ -31,6 +32,7 @@ _MODULES = {
     "op8_language_id": language_id,
     "op9_packing": packing,
     "op10_near_dedup": near_dedup,
+    "op12_lm_scoring": lm_scoring,
     "op13_token_alignment": token_alignment,
 }
 
