@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from meshnet.llm import (
     bpe_codec,
+    conversation_repair,
     exact_dedup,
     exact_topk,
     language_id,
@@ -32,6 +33,7 @@ _MODULES = {
     "op8_language_id": language_id,
     "op9_packing": packing,
     "op10_near_dedup": near_dedup,
+    "op11_conversation_repair": conversation_repair,
     "op12_lm_scoring": lm_scoring,
     "op13_token_alignment": token_alignment,
 }
