@@ -102,10 +102,15 @@ def gmm_labels(df: DataFrame, k: int, features: str = "features", id_col: str =
 
 
 def cluster_rows(df: DataFrame, k: int, alg: str = "k-means", features: str = "features", id_col: str = "cell_id", **options) -> DataFrame:
-    """``id_col, cluster`` by ``k-means``, ``vqpca``, ``fpca`` (bins of ``z`` first, a fixed count of components) or ``gmm``."""
+    """``id_col, cluster`` by ``k-means``, ``vqpca``, ``fpca`` (bins of ``z`` first, a fixed count of components),
+    ``gmm`` (diagonal, regularised) or ``gmm-full``."""
+    from meshnet.operators.mixtures import diagonal_labels  # it takes its starts from here
+
     if alg == "k-means":
         return kmeans_labels(df, k, features, id_col, **options)
     if alg == "gmm":
+        return diagonal_labels(df, k, features, id_col, **options)
+    if alg == "gmm-full":
         return gmm_labels(df, k, features, id_col, **options)
     if alg in ("vqpca", "fpca"):
         fit = {c: options.pop(c) for c in ("init", "n_start", "z") if c in options}
@@ -114,7 +119,7 @@ def cluster_rows(df: DataFrame, k: int, alg: str = "k-means", features: str = "f
             options.setdefault("q", 2)
             fit.setdefault("init", "bins")
         return VQPCA(k, **options).fit(df, features=features, id_col=id_col, **fit).labels(df, features, (id_col,)).select(id_col, "cluster")
-    raise ValueError("alg is k-means, vqpca, fpca or gmm")
+    raise ValueError("alg is k-means, vqpca, fpca, gmm or gmm-full")
 
 
 def choose_k(df: DataFrame, spans: Sequence[int], alg: str = "k-means", features: str = "features", id_col: str = "cell_id", **options) -> tuple[int, dict[int, float]]:

@@ -6,11 +6,12 @@ Tables: ``faces(c_id0, c_id1, mass_flowrate[, area])``, ``labels(cell_id, cluste
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshnet.functions import chem
 from meshnet.functions.features import M_TO_MM, TWO_PI, around_axis
 
 #: Streams are a hand-written table of a few rows; above this many they are joined by a shuffle.
@@ -83,6 +84,24 @@ def mass_inlet(boundary: DataFrame) -> DataFrame:
     return boundary.where("mass_flowrate < 0").groupBy("zone_id").agg(F.sum(-F.col("mass_flowrate")).alias("mass"))
 
 
+def mix_streams_adiabatic(inlets: DataFrame, streams: DataFrame, key: str = "cluster", digits: int = 7, data: Mapping = chem.NASA7) -> DataFrame:
+    """``T, P, mass, Y`` of streams mixed without reaction or loss of heat: enthalpy, pressure and shares are means by mass.
+
+    ``Y`` are mass fractions; the temperature is where the mixture has the enthalpy that came in, which lies
+    between those of the streams. A stream alone keeps its own.
+    """
+    parts = inlets.join(streams.select("stream_id", "T", "P", "Y"), "stream_id").withColumn("gas", chem.gas_terms(F.col("Y"), data))
+    m = F.col("mass")
+    mean = lambda value: F.sum(m * value) / F.sum("mass")
+    state = parts.groupBy(key).agg(
+        F.min("T").alias("low"), F.max("T").alias("high"), mean(F.col("P")).alias("P"), mean(chem.enthalpy(F.col("gas"), F.col("T"))).alias("h"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    mixed = mix_streams(inlets, streams, key, digits).select(key, "mass", "Y").join(state, key).withColumn("gas", chem.gas_terms(F.col("Y"), data))
+    found = chem.temperature_of(F.col("gas"), F.col("h"), F.col("low"), F.col("high"))
+    return mixed.select(key, F.when(F.col("n") == 1, F.col("low")).otherwise(found).alias("T"), "P", "mass", "Y")
+
+
 def mix_streams(inlets: DataFrame, streams: DataFrame, key: str = "cluster", digits: int = 7) -> DataFrame:
     """``T, P, Y`` of the mixture of the streams of each ``key``: temperature and shares by mass, least pressure.
 

@@ -139,6 +139,11 @@ class NetworkBuilder:
         reactors = self._need(self.reactors, "reactors").withColumn("isothermal", F.lit(isothermal))
         return decks.network_deck(reactors, self.network_flows, kinfile, thermofile, species), decks.reactor_decks(reactors)
 
+    def write_network(self, folder: str, kinfile: str, thermofile: str, isothermal: bool = True, **options) -> None:
+        """Write the decks of the network and its reactors to ``folder``, by the names the solver looks for."""
+        reactors = self._need(self.reactors, "reactors").withColumn("isothermal", F.lit(isothermal))
+        decks.write_network(reactors, self.network_flows, folder, kinfile, thermofile, **options)
+
     def simulate(self, run: Callable[[str], None], folder: str) -> DataFrame:
         """Call a solver that the caller brings, and read what it wrote."""
         run(folder)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshnet.functions import chem, features
-from meshnet.operators import compare, diffusion, filters, graph, kmeans, mesh, network, pca, scaling, vqpca
+from meshnet.operators import compare, diffusion, filters, graph, kmeans, mesh, mixtures, network, pca, scaling, vqpca
 from meshnet.plans.scratch import new_path
 from meshnet.plans.tables import read_table
 from meshnet.sources import decks, fields, results, solver
@@ -240,6 +240,48 @@ def stream_mixtures(spark, d):
     return rounded(mixed.select("cluster", "T", "P", F.explode("Y").alias("species", "y")), 6, "T", "y")
 
 
+def _enthalpy_sql(shares: str, t: str) -> str:
+    """SQL of the enthalpy of a list of structs ``w, change, low, high, y`` at a temperature."""
+    c = lambda i: f"(CASE WHEN {t} < x.change THEN x.low[{i}] ELSE x.high[{i}] END)"
+    poly = f"{c(5)} / 5"
+    for i in (4, 3, 2, 1):
+        poly = f"({c(i)} / {i} + {t} * {poly})"
+    return f"{chem.GAS_CONSTANT} * list_sum(list_transform({shares}, lambda x: x.y * 1000 / x.w * ({c(6)} + {t} * {poly})))"
+
+
+_GASES = ", ".join(f"('{s}', {chem.molecular_weight(s)}, {change}::DOUBLE, {low[:6]}::DOUBLE[], {high[:6]}::DOUBLE[])" for s, (change, low, high) in chem.NASA7.items())
+_ADIABATIC = f"""WITH {INLETS}, s AS (SELECT * FROM (VALUES (0, 300.0::DOUBLE, 101325.0::DOUBLE), (1, 872.0, 101000.0)) t(stream_id, T, P)),
+y AS (SELECT * FROM (VALUES (0, 'CH4', 0.5::DOUBLE), (0, 'H2', 0.5), (1, 'N2', 0.79), (1, 'O2', 0.21)) t(stream_id, species, y)),
+gas AS (SELECT * FROM (VALUES {_GASES}) t(species, w, change, low, high)),
+state AS (SELECT cluster, sum(P * mass) / sum(mass) AS P, min(T) AS t0, max(T) AS t1, sum(mass) AS total FROM inlets JOIN s USING (stream_id) GROUP BY 1),
+came AS (SELECT stream_id, list({{'w': w, 'change': change, 'low': low, 'high': high, 'y': y}}) AS shares FROM y JOIN gas USING (species) GROUP BY 1),
+heat AS (SELECT cluster, sum(mass * h) / sum(mass) AS h FROM inlets JOIN (SELECT stream_id, {_enthalpy_sql("shares", "T")} AS h FROM came JOIN s USING (stream_id)) USING (stream_id) GROUP BY 1),
+parts AS (SELECT cluster, species, sum(mass * y) / any_value(total) AS y FROM inlets JOIN y USING (stream_id) JOIN state USING (cluster) GROUP BY 1, 2),
+mixed AS (SELECT cluster, list({{'w': w, 'change': change, 'low': low, 'high': high, 'y': y}}) AS shares FROM parts JOIN gas USING (species) GROUP BY 1),
+found AS (SELECT cluster, P, list_reduce(range(1, 61), lambda t, i: t + CASE WHEN {_enthalpy_sql("shares", "t")} < h THEN t1 - t0 ELSE t0 - t1 END / pow(2.0::DOUBLE, i + 1),
+  (t0 + t1) / 2) AS T FROM mixed JOIN state USING (cluster) JOIN heat USING (cluster))
+"""
+
+
+@query("adiabatic_mixtures", _ADIABATIC + "SELECT cluster, round(T, 6) AS T, round(P, 4) AS P, species, round(y, 6) AS y FROM found JOIN parts USING (cluster)")
+def adiabatic_mixtures(spark, d):
+    """Streams mixed at constant enthalpy and pressure."""
+    mixed = mesh.mix_streams_adiabatic(mesh.inlet_streams(*boundary(spark, d), streams(spark)), streams(spark), digits=12)
+    return rounded(rounded(mixed.select("cluster", "T", "P", F.explode("Y").alias("species", "y")), 6, "T", "y"), 4, "P")
+
+
+@query("adiabatic_residual", _ADIABATIC + """SELECT cluster, 0.0::DOUBLE AS lost, true AS between FROM found""")
+def adiabatic_residual(spark, d):
+    """Enthalpy that a mixture lacks of what its streams brought, as a share; whether its temperature lies between theirs."""
+    inlets, own = mesh.inlet_streams(*boundary(spark, d), streams(spark)), streams(spark)
+    mixed = mesh.mix_streams_adiabatic(inlets, own, digits=12).select("cluster", "T", "Y")
+    came = inlets.join(own.select("stream_id", F.col("T").alias("t"), F.col("Y").alias("ys")), "stream_id").groupBy("cluster").agg(
+        (F.sum(F.col("mass") * chem.enthalpy(chem.gas_terms(F.col("ys")), F.col("t"))) / F.sum("mass")).alias("h"), F.min("t").alias("low"), F.max("t").alias("high"))
+    has = chem.enthalpy(chem.gas_terms(F.col("Y")), F.col("T"))
+    rows = mixed.join(came, "cluster").select("cluster", ((has - F.col("h")) / F.abs("h")).alias("lost"), F.col("T").between(F.col("low"), F.col("high")).alias("between"))
+    return rounded(rows, 6, "lost")
+
+
 @query("zone_inlets", f"WITH {BOUNDARY} SELECT zone_id, round(sum(-mass_flowrate), 4) AS mass FROM boundary WHERE mass_flowrate < 0 GROUP BY 1")
 def zone_inlets(spark, d):
     return rounded(mesh.mass_inlet(boundary(spark, d)[0]), 4, "mass")
@@ -473,12 +515,15 @@ def network_flows(spark, d):
     return rounded(_network(spark, d)[1], 4, "mass")
 
 
-@query("reactor_decks", _NET + """SELECT CAST(cluster AS INTEGER) AS rid, printf('input.cstr.%d.dic', cluster) AS file,
+_REACTOR_DECKS = _NET + """SELECT CAST(cluster AS INTEGER) AS rid, printf('input.cstr.%d.dic', cluster) AS file,
 printf('Dictionary PerfectlyStirredReactor \n { \n     @Type     Isothermal-ConstantPressure;\n     @KineticsFolder     dummy;\n     @Volume    %e m3;\n     @MassFlowRate    %e kg/s;\n} \n',
        CAST(volume AS DOUBLE), coalesce(Mf, 0::DOUBLE)) AS deck FROM r LEFT JOIN mf ON rid = cluster
 UNION ALL SELECT CAST(new AS INTEGER), printf('input.cstr.%d.dic', new),
 printf('Dictionary PerfectlyStirredReactor \n { \n     @Type     Isothermal-ConstantPressure;\n     @KineticsFolder     dummy;\n     @ResidenceTime    %e s;\n     @MassFlowRate    %e kg/s;\n} \n',
-       1e-6::DOUBLE, inlet) FROM e""".replace("\\n", "' || chr(10) || '"))
+       1e-6::DOUBLE, inlet) FROM e""".replace("\\n", "' || chr(10) || '")
+
+
+@query("reactor_decks", _REACTOR_DECKS)
 def reactor_decks(spark, d):
     return decks.reactor_decks(_network(spark, d)[0].withColumn("isothermal", F.lit(True)))
 
@@ -497,15 +542,18 @@ CASE code WHEN 1 THEN 'Dictionary PlugFlowReactor \\n' ELSE 'Dictionary Perfectl
 || '      @Masses                 O2 0.232000\\n          N2 0.768000; \\n}} \\n' AS deck FROM m""".replace("\\n", "' || chr(10) || '")
 
 
-@query("coded_reactor_decks", _CODED)
-def coded_reactor_decks(spark, d):
-    """Nations as adiabatic tanks, tubes and cooled tanks by turns, in the older dialect."""
+def _coded_rows(spark, d):
     air = F.array(*(F.struct(F.lit(s).alias("species"), F.lit(y).alias("y")) for s, y in (("O2", 0.232), ("N2", 0.768))))
-    rows = external(spark, d).select(
+    return external(spark, d).select(
         F.col("rid").cast("int").alias("rid"), (F.col("rid") % 3).cast("int").alias("code"), F.lit(1500.0).alias("T"), F.lit(101325.0).alias("P"), air.alias("Y"),
         (F.col("rid") + 1.0).alias("volume"), F.lit(1000.0).alias("L"), F.lit(10.0).alias("D"),
     )
-    return decks.cgs_decks(decks.coded_reactors(rows, trade_flows(spark, d), external(spark, d), heat=5e4, outlet_t=1200.0))
+
+
+@query("coded_reactor_decks", _CODED)
+def coded_reactor_decks(spark, d):
+    """Nations as adiabatic tanks, tubes and cooled tanks by turns, in the older dialect."""
+    return decks.cgs_decks(decks.coded_reactors(_coded_rows(spark, d), trade_flows(spark, d), external(spark, d), heat=5e4, outlet_t=1200.0))
 
 
 @query("layered_reactors", """SELECT * FROM (VALUES (0, 'PSR', 1.0::DOUBLE, true, false), (1, 'PSR', 3.0, true, false), (2, 'PSR', 2.0, false, false),
@@ -575,7 +623,7 @@ SELECT 'Dictionary ReactorNetwork NL {{ NL@KineticsPreProcessor     kinetic-mech
 @query("network_deck", _network_deck_sql("", "printf('%d     %d     %e', src, dst, mass)"))
 def network_deck(spark, d):
     reactors, flows = _network(spark, d)
-    return spark.createDataFrame([(decks.network_deck(reactors, flows, "kinetics", "thermo"),)], "deck string")
+    return decks.whole_files(decks.network_pieces(reactors, flows, "kinetics", "thermo")).select("deck")
 
 
 @query("network_deck_diffusion", _network_deck_sql("@DiffusionEnabled     true;NL", """printf('%d     %d     %e     %e     %e', src, dst, mass,
@@ -584,7 +632,46 @@ def network_deck_diffusion(spark, d):
     """Only connections to a higher number have an area and a distance."""
     reactors, flows = _network(spark, d)
     links = flows.where("src < dst").select("src", "dst", (F.col("src") + 1.0).alias("area"), (F.col("dst") - F.col("src")).cast("double").alias("distance"))
-    return spark.createDataFrame([(decks.network_deck(reactors, flows, "kinetics", "thermo", diffusion=links),)], "deck string")
+    return decks.whole_files(decks.network_pieces(reactors, flows, "kinetics", "thermo", diffusion=links)).select("deck")
+
+
+@query("network_files", "SELECT 'input.dic' AS file, deck FROM (" + _network_deck_sql("", "printf('%d     %d     %e', src, dst, mass)") + ") UNION ALL SELECT file, deck FROM (" + _REACTOR_DECKS + ")")
+def network_files(spark, d):
+    """The folder of a network, written by name and read back."""
+    folder = new_path(spark, "network")
+    reactors, flows = _network(spark, d)
+    decks.write_network(reactors.withColumn("isothermal", F.lit(True)), flows, folder, "kinetics", "thermo")
+    return decks.read_decks(spark, folder)
+
+
+def _older_number(x: str) -> str:
+    return f"CASE WHEN {x} = floor({x}) THEN printf('%d', CAST({x} AS BIGINT)) ELSE printf('%e', {x}) END"
+
+
+def _older_list(rows: str, line: str, order: str, between: str) -> str:
+    return f"(SELECT string_agg({line}, '{between}' ORDER BY {order}) FROM {rows})"
+
+
+_OLDER_FILES = (
+    f"WITH {FLOWS}, {EXTERNAL}, g AS (SELECT src, dst, mass * 10000 AS mass FROM flows), x AS (SELECT rid, inlet * 10000 AS inlet, outlet * 10000 AS outlet FROM ext)\n"
+    "SELECT 'input.dic' AS file, 'Dictionary ReactorNetwork NL { NL@KineticsPreProcessor      kinetic-mechanism; NL@MinIterations            5;   NL@MaxIterations            500;  NL'"
+    " || '@AtomicErrorThreshold     1e-4;NL@NonIsothermalErrorThreshold' || chr(9) || '1e-4; NL@MaxUnbalance     0.05; NL@PlugFlowReactors     NL'"
+    " || " + _older_list("x WHERE rid % 3 = 1", "printf('%d        input.pfr.%d.dic', rid, rid)", "rid", "  NL") + " || ';  NL@PerfectlyStirredReactors     NL'"
+    " || " + _older_list("x WHERE rid % 3 <> 1", "printf('%d        input.cstr.%d.dic', rid, rid)", "rid", "  NL") + " || ';  NL@InternalConnections   '"
+    " || " + _older_list("g WHERE mass <> 0", f"printf('                  %d   %d   ', src, dst) || {_older_number('mass')}", "src, dst", " NL") + " || '; NL@InputStreams   '"
+    " || " + _older_list("x WHERE inlet > 0", f"printf('%d ', rid) || {_older_number('inlet')}", "rid", " NL") + " || '; NL@OutputStreams    '"
+    " || " + _older_list("x WHERE outlet > 0", f"printf('%d ', rid) || {_older_number('outlet')}", "rid", " NL") + " || '; NL@SpeciesToMonitor   NO  CO ; NL'"
+    " || '@VerbosityLevel   1; NL } NLDictionary kinetic-mechanism NL { NL@Kinetics kinetics; NL@Thermodynamics thermo; NL@Output kinetics; NL } NL' AS deck"
+).replace("NL", "' || chr(10) || '")
+
+
+@query("network_files_older", f"SELECT file, deck FROM ({_OLDER_FILES}) UNION ALL SELECT file, deck FROM ({_CODED})")
+def network_files_older(spark, d):
+    """The same in the older dialect: nations coded as tanks and tubes, one call for all files."""
+    folder = new_path(spark, "network")
+    coded = {"heat": 5e4, "outlet_t": 1200.0}
+    decks.write_network(_coded_rows(spark, d), trade_flows(spark, d), folder, "kinetics", "thermo", older=True, external=external(spark, d), coded=coded)
+    return decks.read_decks(spark, folder)
 
 
 @query("layered_network", """SELECT * FROM (VALUES (0, 2, 0.5::DOUBLE), (0, 3, 0.5), (1, 2, 1.5), (1, 3, 1.5), (2, 4, 2.0), (3, 4, 2.0)) t(src, dst, mass)""")
@@ -942,6 +1029,41 @@ def mixture_labels(spark, d):
     return kmeans.gmm_labels(rows, 3, passes=20)
 
 
+def _em(new: str, old: str) -> str:
+    """SQL of one pass of expectation and maximisation: long model ``old(k, i, m, v, w)`` to ``new``, by way of ``new``_r, the rows' shares."""
+    return f"""{new}_l AS (SELECT vec_id, k, ln(any_value(w)) - 0.5 * sum(ln(2 * pi() * v) + (x - m) * (x - m) / v) AS l FROM xs JOIN {old} USING (i) GROUP BY 1, 2),
+{new}_r AS (SELECT vec_id, k, exp(l - max(l) OVER p) / sum(exp(l - top)) OVER p AS r FROM (SELECT *, max(l) OVER (PARTITION BY vec_id) AS top FROM {new}_l) WINDOW p AS (PARTITION BY vec_id)),
+{new} AS (SELECT k, i, sum(r * x) / sum(r) AS m, sum(r * x * x) / sum(r) - pow(sum(r * x) / sum(r), 2) + 0.05 AS v, sum(r) / (SELECT count(*) FROM pts) AS w
+  FROM xs JOIN {new}_r USING (vec_id) GROUP BY 1, 2)"""
+
+
+_MIXTURE = f"""WITH {_POINTS}, xs AS (SELECT vec_id, unnest(range(1, 65)) AS i, unnest(e) AS x FROM pts), spread AS (SELECT i, var_pop(x) + 0.05 AS v FROM xs GROUP BY 1),
+m0 AS (SELECT CAST(vec_id AS INTEGER) AS k, i, x AS m, v, 1.0::DOUBLE / 3 AS w FROM xs JOIN spread USING (i) WHERE vec_id < 3), {_em("m1", "m0")}, {_em("m2", "m1")}, {_em("m3", "m2")}
+"""
+
+
+def _two_passes(spark, d):
+    cells = lattice(spark, d)[0].select("cell_id", "features")
+    first = cells.where("cell_id <= 3").orderBy("cell_id").collect()
+    start = mixtures.DiagonalMixture.start(cells, np.array([r.features for r in first]))
+    return cells, start.fit(cells, passes=2, tol=0.0)
+
+
+@query("diagonal_mixture", _MIXTURE + "SELECT k AS cluster, CAST(i AS INTEGER) AS feature, round(m, 6) + 0.0 AS mean, round(v, 6) AS variance, round(w, 6) AS weight FROM m2")
+def diagonal_mixture(spark, d):
+    """Weights, means and variances after two passes from the first three rows."""
+    _, model = _two_passes(spark, d)
+    k, p = model.means.shape
+    rows = [(c, i + 1, float(model.means[c, i]), float(model.variances[c, i]), float(model.weights[c])) for c in range(k) for i in range(p)]
+    return rounded(spark.createDataFrame(rows, "cluster int, feature int, mean double, variance double, weight double"), 6, "mean", "variance", "weight")
+
+
+@query("diagonal_mixture_labels", _MIXTURE + "SELECT vec_id + 1 AS cell_id, arg_max(k, r) AS cluster, round(max(r), 6) AS share FROM m3_r GROUP BY 1")
+def diagonal_mixture_labels(spark, d):
+    cells, model = _two_passes(spark, d)
+    return rounded(model.labels(cells), 6, "share")
+
+
 @query("kmeans_labels")
 def kmeans_labels(spark, d):
     return kmeans.kmeans_labels(lattice(spark, d)[0].select("cell_id", "features"), 10)

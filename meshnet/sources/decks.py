@@ -1,12 +1,14 @@
-"""Sinks: text decks of reactors and networks as one string column, and tables of results."""
+"""Sinks: text decks of reactors and networks, as columns and as the folder that the solver reads."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshnet.sources.named_files import read_named, write_named
+
 #: Columns that a deck can show and their types; those that ``reactors`` lacks are null.
 DECK_COLUMNS = {
     "rid": "int", "rtype": "string", "isothermal": "boolean", "volume": "double", "tau": "double", "Mf": "double", "L": "double", "D": "double",
@@ -111,53 +113,116 @@ SETTINGS = {
     "NonIsothermalErrorThreshold": ("@NonIsothermalErrorThreshold       %e;\n", 1e-4),
     "MaxUnbalance": ("@MaxUnbalance                      %e;\n", 0.05),
 }
+#: What a network's deck says around its lists; a list has what stands before, in a line, between lines and after.
+LAYOUT = {
+    "head": "Dictionary ReactorNetwork \n { \n@KineticsPreProcessor     kinetic-mechanism;\n",
+    "diffusion": "@DiffusionEnabled     true;\n",
+    "PSR": ("@PerfectlyStirredReactors \n", "%d       input.cstr.%d.dic", "\n", ";\n"),
+    "PFR": ("@PlugFlowReactors \n", "%d       input.pfr.%d.dic", "\n", ";\n"),
+    "links": ("@InternalConnections     ", "%d     %d     ", " \n", ";\n"),
+    "inputs": ("@InputStreams     ", "%d     ", " \n", "; \n"),
+    "outputs": ("@OutputStreams     ", "%d     ", " \n", "; \n"),
+    "species": ("@SpeciesToMonitor     ", "%s\t", ";\n"),
+    "tail": "@VerbosityLevel     1;\n} \n \n",
+    "kinetics": "Dictionary kinetic-mechanism \n { \n@Kinetics          %s;\n@Thermodynamics    %s;\n@Output     kinetics;\n} \n",
+}
+#: The same in the older dialect, whose settings are not to be changed.
+OLDER_LAYOUT = {
+    "head": "Dictionary ReactorNetwork \n { \n@KineticsPreProcessor      kinetic-mechanism; \n",
+    "settings": "@MinIterations            5;   \n@MaxIterations            500;  \n@AtomicErrorThreshold     1e-4;\n@NonIsothermalErrorThreshold\t1e-4; \n@MaxUnbalance     0.05; \n",
+    "diffusion": "@DiffusionEnabled     true; \n",
+    "PFR": ("@PlugFlowReactors     \n", "%d        input.pfr.%d.dic", "  \n", ";  \n"),
+    "PSR": ("@PerfectlyStirredReactors     \n", "%d        input.cstr.%d.dic", "  \n", ";  \n"),
+    "links": ("@InternalConnections   ", "                  %d   %d   ", " \n", "; \n"),
+    "inputs": ("@InputStreams   ", "%d ", " \n", "; \n"),
+    "outputs": ("@OutputStreams    ", "%d ", " \n", "; \n"),
+    "species": ("@SpeciesToMonitor ", "  %s", " ; \n"),
+    "tail": "@VerbosityLevel   1; \n } \n",
+    "kinetics": "Dictionary kinetic-mechanism \n { \n@Kinetics %s; \n@Thermodynamics %s; \n@Output kinetics; \n } \n",
+}
+NETWORK_FILE = "input.dic"
+_LAST = 2**62
 
 
-def _listed(rows: DataFrame, line: Column, order: Sequence[str], between: str) -> str:
-    """One string of a line a row, in order: a deck names every reactor, so it is as large as the network."""
-    found = rows.agg(F.array_sort(F.collect_list(F.struct(*order, line.alias("line")))).alias("all")).select(
-        F.array_join(F.transform("all", lambda r: r["line"]), between)
-    )
-    return found.first()[0]
+def _plain(value: Column) -> Column:
+    """A number as the older dialect shows it: whole ones without a fraction, others in powers of ten."""
+    return F.when(value == F.floor(value), F.format_string("%d", value.cast("long"))).otherwise(F.format_string("%e", value))
+
 
+def _list_of(place: int, rows: DataFrame, order: Sequence[str], line: Column, before: str, between: str, after: str) -> DataFrame:
+    """``place, a, b, text`` of a list of a line a row: what stands before it, its lines in order, what follows."""
+    keys = [F.col(c).cast("long") for c in order] + [F.lit(0).cast("long")] * (2 - len(order))
+    lines = rows.select(F.struct(*(k.alias(c) for k, c in zip(keys, "ab", strict=True))).alias("at"), line.alias("line"))
+    first = lines.agg(F.min("at")).first()[0]
+    lead = F.when((F.col("at.a") == F.lit(first.a)) & (F.col("at.b") == F.lit(first.b)), "").otherwise(F.lit(between)) if first else F.lit("")
+    listed = lines.select(F.lit(place).alias("place"), "at.a", "at.b", F.concat(lead, "line").alias("text"))
+    ends = [(place, -1, 0, before), (place, _LAST, 0, after)]
+    return listed.unionByName(rows.sparkSession.createDataFrame(ends, "place int, a long, b long, text string"))
 
-def network_deck(
-    reactors: DataFrame, flows: DataFrame, kinfile: str, thermofile: str, species: Sequence[str] = ("NO", "CO"),
-    diffusion: DataFrame | None = None, **settings: float,
-) -> str:
-    """The deck of a whole network; ``diffusion(src, dst, area, distance)`` adds both to each connection."""
-    if unknown := set(settings) - set(SETTINGS):
+
+def network_pieces(
+    reactors: DataFrame, flows: DataFrame, kinfile: str, thermofile: str, species: Sequence[str] = ("NO", "CO"), diffusion: DataFrame | None = None,
+    older: bool = False, external: DataFrame | None = None, **settings: float,
+) -> DataFrame:
+    """``file, place, a, b, text``: the deck of a whole network in pieces, whose order is that of the other columns.
+
+    ``diffusion(src, dst, area, distance)`` adds both to each connection. The ``older`` dialect takes inlets and
+    outlets from ``external(rid, inlet, outlet)``, has no settings, and lists tubes before tanks.
+    """
+    if unknown := set(settings) - set(() if older else SETTINGS):
         raise ValueError(f"no setting {', '.join(sorted(unknown))}")
-    ends = reactors.agg(F.max(F.col("isinput").cast("int")), F.max(F.col("isoutput").cast("int"))).first()
-    if not ends[0] or not ends[1]:
+    spark, layout = reactors.sparkSession, OLDER_LAYOUT if older else LAYOUT
+    number = _plain if older else lambda v: F.format_string("%e", v)
+    if external is not None:
+        inputs, outputs = external.where("inlet > 0").select("rid", F.col("inlet").alias("m")), external.where("outlet > 0").select("rid", F.col("outlet").alias("m"))
+    elif older:
+        raise ValueError("the older dialect needs external flows")
+    else:
+        net = (
+            flows.select(F.col("src").alias("rid"), F.col("mass").alias("m"))
+            .unionByName(flows.select(F.col("dst").alias("rid"), (-F.col("mass")).alias("m")))
+            .groupBy("rid").agg(F.abs(F.sum("m")).alias("m"))
+        )
+        inputs = reactors.where("isinput").select("rid", F.col("Mf").alias("m"))
+        outputs = reactors.where("isoutput and not coalesce(isinput, false)").join(net, "rid", "left").select("rid", F.coalesce("m", F.lit(0.0)).alias("m"))
+    if inputs.limit(1).count() == 0 or outputs.limit(1).count() == 0:
         raise ValueError("the network has no inlet or no outlet")
-    out = ["Dictionary ReactorNetwork \n { \n@KineticsPreProcessor     kinetic-mechanism;\n"]
-    if diffusion is not None:
-        out.append("@DiffusionEnabled     true;\n")
-    out += [pattern % settings.get(name, default) for name, (pattern, default) in SETTINGS.items()]
-    for kind, key, stem in (("PSR", "@PerfectlyStirredReactors", "cstr"), ("PFR", "@PlugFlowReactors", "pfr")):
+    head = layout["head"] + (layout["diffusion"] if diffusion is not None else "")
+    head += layout["settings"] if older else "".join(pattern % settings.get(name, default) for name, (pattern, default) in SETTINGS.items())
+    parts = []
+    kinds = ("PFR", "PSR") if older else ("PSR", "PFR")
+    for place, kind in enumerate(kinds, 1):
         own = reactors.where(F.col("rtype") == kind)
-        if listed := _listed(own, F.format_string(f"%d       input.{stem}.%d.dic", "rid", "rid"), ["rid"], "\n"):
-            out.append(f"{key} \n{listed};\n")
-    links = flows.where("mass <> 0")
-    line = F.format_string("%d     %d     %e", "src", "dst", "mass")
+        if own.limit(1).count():
+            before, line, between, after = layout[kind]
+            parts.append(_list_of(place, own, ["rid"], F.format_string(line, "rid", "rid"), before, between, after))
+    links, values = flows.where("mass <> 0"), [F.col("mass")]
     if diffusion is not None:
         links = links.join(diffusion.select("src", "dst", "area", "distance"), ["src", "dst"], "left")
-        zero = F.lit(0.0)
-        line = F.format_string("%d     %d     %e     %e     %e", "src", "dst", "mass", F.coalesce("area", zero), F.coalesce("distance", zero))
-    out.append(f"@InternalConnections     {_listed(links, line, ['src', 'dst'], ' ' + chr(10))};\n")
-    inputs = reactors.where("isinput")
-    out.append(f"@InputStreams     {_listed(inputs, F.format_string('%d     %e', 'rid', 'Mf'), ['rid'], ' ' + chr(10))}; \n")
-    net = (
-        flows.select(F.col("src").alias("rid"), F.col("mass").alias("m"))
-        .unionByName(flows.select(F.col("dst").alias("rid"), (-F.col("mass")).alias("m")))
-        .groupBy("rid").agg(F.abs(F.sum("m")).alias("m"))
-    )
-    outputs = reactors.where("isoutput and not coalesce(isinput, false)").join(net, "rid", "left")
-    out.append(f"@OutputStreams     {_listed(outputs, F.format_string('%d     %e', 'rid', F.coalesce('m', F.lit(0.0))), ['rid'], ' ' + chr(10))}; \n")
-    out.append(f"@SpeciesToMonitor     {''.join(s + chr(9) for s in species)};\n@VerbosityLevel     1;\n}} \n \n")
-    out.append(f"Dictionary kinetic-mechanism \n {{ \n@Kinetics          {kinfile};\n@Thermodynamics    {thermofile};\n@Output     kinetics;\n}} \n")
-    return "".join(out)
+        values += [F.coalesce("area", F.lit(0.0)), F.coalesce("distance", F.lit(0.0))]
+    before, line, between, after = layout["links"]
+    shown = F.concat(F.format_string(line, "src", "dst"), F.concat_ws("   " if older else "     ", *map(number, values)))
+    parts.append(_list_of(3, links, ["src", "dst"], shown, before, between, after))
+    for place, key, rows in ((4, "inputs", inputs), (5, "outputs", outputs)):
+        before, line, between, after = layout[key]
+        parts.append(_list_of(place, rows, ["rid"], F.concat(F.format_string(line, "rid"), number(F.col("m"))), before, between, after))
+    before, one, after = layout["species"]
+    tail = before + "".join(one % s for s in species) + after + layout["tail"] + layout["kinetics"] % (kinfile, thermofile)
+    out = spark.createDataFrame([(0, 0, 0, head), (6, 0, 0, tail)], "place int, a long, b long, text string")
+    for part in parts:
+        out = out.unionByName(part)
+    return out.select(F.lit(NETWORK_FILE).alias("file"), "place", "a", "b", "text")
+
+
+def whole_files(pieces: DataFrame) -> DataFrame:
+    """``file, deck`` of ``file, place, a, b, text``: a row a file, for files that fit in one."""
+    all_of = F.array_sort(F.collect_list(F.struct("place", "a", "b", "text")))
+    return pieces.groupBy("file").agg(all_of.alias("all")).select("file", F.array_join(F.transform("all", lambda r: r["text"]), "").alias("deck"))
+
+
+def network_deck(reactors: DataFrame, flows: DataFrame, kinfile: str, thermofile: str, *args, **options) -> str:
+    """The deck of a whole network as one string, for networks that fit in it; see :func:`network_pieces`."""
+    return whole_files(network_pieces(reactors, flows, kinfile, thermofile, *args, **options)).first().deck
 
 
 def exchange_coefficient(heat: Column, area: Column, outlet_t: Column, env_t: Column) -> Column:
@@ -240,7 +305,39 @@ def coded_reactors(
     )
 
 
-def write_decks(decks: DataFrame, folder: str) -> None:
-    """Each deck as text under ``folder/rid=N/``, through Spark, in any store it reaches."""
-    decks.select("rid", F.col("deck").alias("value")).repartition("rid").write.partitionBy("rid").option("lineSep", "\n").text(folder)
+def _deck_pieces(decks: DataFrame) -> DataFrame:
+    return decks.select("file", F.lit(0).alias("place"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.col("deck").alias("text"))
 
+
+def write_decks(decks: DataFrame, folder: str, mode: str = "append") -> None:
+    """Each of ``file, deck`` as the file of that name in ``folder``."""
+    write_named(_deck_pieces(decks), folder, ["place", "a", "b"], mode)
+
+
+def write_network(
+    reactors: DataFrame, flows: DataFrame, folder: str, kinfile: str, thermofile: str, older: bool = False, external: DataFrame | None = None,
+    mode: str = "append", **options,
+) -> None:
+    """The folder that the solver reads: the network's deck and those of its reactors, by their names, in one write.
+
+    In the ``older`` dialect ``reactors`` are as :func:`cgs_decks` takes them, with ``code`` as :func:`coded_reactors`
+    gives it (``options["coded"]`` has that function's further arguments), and flows bear its factor too.
+    """
+    if older:
+        coded = options.pop("coded", None)
+        if coded is not None:
+            factor = coded.get("factor", CODED_FACTOR)
+            reactors = coded_reactors(reactors, flows, external, **coded)
+            flows = flows.withColumn("mass", F.col("mass") * F.lit(factor))
+            external = external.withColumns({c: F.col(c) * F.lit(factor) for c in ("inlet", "outlet")})
+        typed = reactors if "rtype" in reactors.columns else reactors.withColumn("rtype", F.lit("PSR"))
+        own = cgs_decks(typed)
+        pieces = network_pieces(typed, flows, kinfile, thermofile, older=True, external=external, **options)
+    else:
+        own, pieces = reactor_decks(reactors), network_pieces(reactors, flows, kinfile, thermofile, external=external, **options)
+    write_named(pieces.unionByName(_deck_pieces(own)), folder, ["place", "a", "b"], mode)
+
+
+def read_decks(spark: SparkSession, folder: str) -> DataFrame:
+    """``file, deck`` of a folder of decks."""
+    return read_named(spark, folder, "*.dic").withColumnRenamed("text", "deck")

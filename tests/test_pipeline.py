@@ -116,6 +116,6 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in fields.read_faces(spark, str(tmp_path / "faces")).collect()] == [(1, 2, -1.5), (2, -1, 0.0)]
     (tmp_path / "boundary").write_text("17795\t3\t-0.5\t0.01\t12\n")
     assert tuple(fields.read_boundary(spark, str(tmp_path / "boundary")).first()) == (17795, 3, -0.5, 0.01, 12.0)
-    out = spark.createDataFrame([(0, "a\nb"), (1, "c")], "rid int, deck string")
+    out = spark.createDataFrame([(0, "r.0", "a\nb"), (1, "r.1", "c")], "rid int, file string, deck string")
     decks.write_decks(out, str(tmp_path / "decks"))
-    assert spark.read.text(str(tmp_path / "decks"), wholetext=True).count() == 2
+    assert {f.name: f.read_text() for f in (tmp_path / "decks").iterdir()} == {"r.0": "a\nb", "r.1": "c"}
