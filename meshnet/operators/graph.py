@@ -1,29 +1,27 @@
-"""Clusters as parts of the mesh graph: connectivity, and moving parts until clusters are connected.
-
-The cells are looked at once, in parallel: components of each cluster, their
-size and volume, and how many faces two components share. Every rule of moving
-or merging needs no more than that, so it runs on the driver over this quotient
-graph, whose size follows the number of components, and the outcome joins back
-by component.
+"""Clusters as parts of the mesh graph: connectivity, and moving and merging parts until clusters are connected.
+
+The cells are looked at once: components of each cluster, their size and volume,
+and how many faces two components share. Moving and merging need no more than
+that, and work in rounds on the tables of this quotient graph; no part reaches
+the driver. The rules name an order, first cluster first or least volume first.
+A step can only be changed by an earlier one beside it, so in each round all
+clusters go ahead that have no earlier one beside them, and the outcome is that
+of the rules one by one. The outcome joins back to the cells by component.
 """
 
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterable
-from dataclasses import dataclass, field
-from heapq import heapify, heappop, heappush
+from dataclasses import dataclass
 
-import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshnet.operators.components import connected_components
-from meshnet.operators.pca import moments
 from meshnet.plans.scratch import materialize
 
-#: Components and links that the driver takes; more are an error, not a slow death.
-MOST_PARTS, MOST_LINKS = 500_000, 5_000_000
+#: Tables of renamed parts that one plan joins; more are written on the way.
+JOINED = 8
 
 
 def undirected(faces: DataFrame) -> DataFrame:
@@ -95,171 +93,91 @@ def dense_labels(labels: DataFrame) -> DataFrame:
     return labels.join(known, "cluster").withColumn("cluster", F.col("__new")).select(*labels.columns)
 
 
+def _renamed(ids: DataFrame, column: str, rounds: list[DataFrame]) -> DataFrame:
+    """``ids`` with ``column`` taken through the tables ``old, new`` of ``rounds``, one after another."""
+    for i, names in enumerate(rounds, 1):
+        ids = ids.join(names.select(F.col("old").alias(column), F.col("new").alias("__new")), column, "left")
+        ids = ids.withColumn(column, F.coalesce("__new", column)).drop("__new")
+        if i % JOINED == 0:
+            ids = materialize(ids, "renamed")
+    return ids
+
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    """``a, b, n`` in both directions."""
+    return pairs.select("a", "b", "n").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+
+
 @dataclass
 class Quotient:
-    """Parts with their cluster, size, volume and links to other parts."""
-
-    cluster: dict[int, int]
-    size: dict[int, int]
-    volume: dict[int, float]
-    links: dict[int, dict[int, int]] = field(default_factory=dict)
-    least_neighbour: dict[int, int] = field(default_factory=dict)
-    #: Sums of the features of a part's cells, where moving goes by distance.
-    sums: dict[int, np.ndarray] = field(default_factory=dict)
-
-    def __post_init__(self):
-        self.alias: dict[int, int] = {}
-        self.own: dict[int, set[int]] = {}
-        for part, k in self.cluster.items():
-            self.own.setdefault(k, set()).add(part)
-
-    def members(self) -> dict[int, list[int]]:
-        return {k: sorted(parts) for k, parts in self.own.items()}
-
-    def move(self, part: int, cluster: int) -> None:
-        self._leave(part)
-        self.cluster[part] = cluster
-        self.own.setdefault(cluster, set()).add(part)
-
-    def _leave(self, part: int) -> None:
-        parts = self.own[self.cluster[part]]
-        parts.discard(part)
-        if not parts:
-            del self.own[self.cluster[part]]
-
-    def merge_connected(self, cluster: int) -> None:
-        """Join parts of ``cluster`` that touch into one, named by the least."""
-        left = set(self.own[cluster])
-        while left:
-            root = min(left)
-            left.discard(root)
-            todo, group = [root], [root]
-            while todo:
-                for other in self.links.get(todo.pop(), {}):
-                    if other in left:
-                        left.discard(other)
-                        todo.append(other)
-                        group.append(other)
-            for part in group[1:]:
-                self._absorb(root, part)
-
-    def _absorb(self, root: int, part: int) -> None:
-        self.size[root] += self.size.pop(part)
-        self.volume[root] += self.volume.pop(part)
-        if self.sums:
-            self.sums[root] = self.sums[root] + self.sums.pop(part)
-        for other, n in self.links.pop(part, {}).items():
-            self.links[other].pop(part, None)
-            if other != root:
-                self.links.setdefault(root, {})[other] = self.links.get(root, {}).get(other, 0) + n
-                self.links[other][root] = self.links[other].get(root, 0) + n
-        self.alias[part] = root
-        self._leave(part)
-        del self.cluster[part]
-
-    def votes(self, parts: list[int]) -> dict[int, int]:
-        """Faces that ``parts`` share with each other cluster."""
-        own, out = {self.cluster[p] for p in parts}, {}
-        for p in parts:
-            for other, n in self.links.get(p, {}).items():
-                if (k := self.cluster[other]) not in own:
-                    out[k] = out.get(k, 0) + n
-        return out
-
-    def final(self, part: int) -> int:
-        while part in self.alias:
-            part = self.alias[part]
-        return self.cluster[part]
-
-
-def _nearest(graph: Quotient, part: int, clusters: Iterable[int]) -> int | None:
-    """Of ``clusters`` the one whose centroid is nearest to that of ``part``, the least on ties."""
-    own, far = graph.sums[part] / graph.size[part], {}
-    for k in clusters:
-        centre = sum(graph.sums[p] for p in graph.own[k]) / sum(graph.size[p] for p in graph.own[k])
-        far[k] = float(((centre - own) ** 2).sum())
-    return min(far, key=lambda k: (far[k], k)) if far else None
-
-
-def _winner(votes: dict[int, int]) -> int | None:
-    return min(votes, key=lambda k: (-votes[k], k)) if votes else None
-
-
-def quotient(faces: DataFrame, labels: DataFrame, volumes: DataFrame | None = None) -> tuple[Quotient, DataFrame]:
-    """The quotient graph, and ``cell_id, component``."""
+    """The quotient graph as tables.
+
+    ``cells(cell_id, component)``; ``parts(part, cluster, size, volume, near[, sums])``, where ``near`` is the part of
+    a single cell's least neighbour and ``sums`` has the features of a part's cells added up; ``links(a, b, n)``, the
+    faces that two parts share, in both directions.
+    """
+
+    cells: DataFrame
+    parts: DataFrame
+    links: DataFrame
+
+
+def _sums(rows: DataFrame, key: str, values: str) -> DataFrame:
+    """``key, sums``: arrays of ``values`` added up place by place."""
+    places = rows.select(key, F.posexplode(values).alias("i", "x")).groupBy(key, "i").agg(F.sum("x").alias("x"))
+    return places.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("sums"))
+
+
+def quotient(faces: DataFrame, labels: DataFrame, volumes: DataFrame | None = None, features: DataFrame | None = None) -> Quotient:
+    """The quotient graph of the components of all clusters."""
     cells = cluster_components(faces, labels)
     cells = cells.join(volumes.select("cell_id", "volume"), "cell_id") if volumes is not None else cells.withColumn("volume", F.lit(1.0))
-    cells = materialize(cells, "parts")
-    sizes = cells.groupBy("component").agg(F.first("cluster").alias("cluster"), F.count(F.lit(1)).alias("n"), F.sum("volume").alias("v"))
+    cells = materialize(cells, "cell_parts")
+    sizes = cells.groupBy(F.col("component").alias("part")).agg(
+        F.first("cluster").cast("long").alias("cluster"), F.count(F.lit(1)).alias("size"), F.sum("volume").alias("volume")
+    )
     part = lambda end: cells.select(F.col("cell_id").alias(f"c_id{end}"), F.col("component").alias(f"p{end}"))
-    between = undirected(faces).join(part(0), "c_id0").join(part(1), "c_id1").where("p0 <> p1")
+    between = materialize(undirected(faces).join(part(0), "c_id0").join(part(1), "c_id1").where("p0 <> p1"), "part_faces")
     counts = between.groupBy(F.least("p0", "p1").alias("a"), F.greatest("p0", "p1").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    both = between.select(F.col("p0").alias("p"), F.col("c_id1").alias("c")).unionByName(between.select(F.col("p1").alias("p"), F.col("c_id0").alias("c")))
-    nearest = both.groupBy("p").agg(F.min("c").alias("c")).join(
-        cells.select(F.col("cell_id").alias("c"), F.col("component").alias("q")), "c"
-    )
-    counts = materialize(counts, "part_links")
-    n_parts, n_links = sizes.count(), counts.count()
-    if n_parts > MOST_PARTS or n_links > MOST_LINKS:
-        raise ValueError(f"{n_parts} components with {n_links} links are too many for the driver; cluster more coarsely")
-    rows = sizes.collect()
-    graph = Quotient({r.component: r.cluster for r in rows}, {r.component: r.n for r in rows}, {r.component: r.v for r in rows})
-    for r in counts.collect():
-        graph.links.setdefault(r.a, {})[r.b] = r.n
-        graph.links.setdefault(r.b, {})[r.a] = r.n
-    graph.least_neighbour = {r.p: r.q for r in nearest.collect()}
-    return graph, cells.select("cell_id", "component")
-
-
-def _joined_back(graph: Quotient, parts: list[int], cells: DataFrame) -> DataFrame:
-    spark = cells.sparkSession
-    final = spark.createDataFrame([(p, graph.final(p)) for p in parts], "component long, cluster int")
-    return cells.join(final, "component").select("cell_id", "cluster")
-
-
-def reassign_parts(
-    graph: Quotient, method: str, most_cells: int, share: float, passes: int, criterion: str = "neighbour"
-) -> None:
-    """Move the second largest component of the first cluster in several parts, until none is.
-
-    A small one goes to the cluster with most shared faces (the least on ties),
-    a single cell to that of its least neighbour, a large one becomes a cluster.
-    By the ``euclidean`` criterion both small ones go to the adjacent cluster of nearest centroid.
-    """
-    total, top = sum(graph.volume.values()), max(graph.cluster.values(), default=0)
-    split = [k for k, parts in graph.own.items() if len(parts) > 1]
-    heapify(split)
-    ordered: dict[int, list[int]] = {}  # parts of a cluster from the smallest on, until it takes others in
-    for _ in range(passes):
-        while split and len(graph.own.get(split[0], ())) < 2:
-            heappop(split)
-        if not split:
-            return
-        k = split[0]
-        if k not in ordered:
-            ordered[k] = sorted(graph.own[k], key=lambda p: (graph.size[p], -p))
-        moving = ordered[k].pop(-2)
-        small = graph.size[moving] < most_cells if method == "cells" else graph.volume[moving] < share * total
-        target = None
-        if criterion == "euclidean":
-            if small or graph.size[moving] == 1:
-                target = _nearest(graph, moving, graph.votes([moving]))
-        elif graph.size[moving] == 1 and moving in graph.least_neighbour:
-            near = graph.least_neighbour[moving]
-            target = graph.final(near)
-            if target == k:
-                target = _winner(graph.votes([moving]))
-        elif small:
-            target = _winner(graph.votes([moving]))
-        if target is None:
-            top += 1
-        graph.move(moving, top if target is None else target)
-        if target is not None:
-            graph.merge_connected(target)
-            ordered.pop(target, None)
-            if len(graph.own[target]) > 1:
-                heappush(split, target)
-    warnings.warn("clusters are still in parts after the last pass", stacklevel=2)
+    least = (
+        between.select(F.col("p0").alias("part"), F.struct(F.col("c_id1").alias("c"), F.col("p1").alias("p")).alias("by"))
+        .unionByName(between.select(F.col("p1").alias("part"), F.struct(F.col("c_id0").alias("c"), F.col("p0").alias("p")).alias("by")))
+        .groupBy("part").agg(F.min("by").alias("by"))
+    )
+    parts = sizes.join(least, "part", "left").select("part", "cluster", "size", "volume", F.when(F.col("size") == 1, F.col("by.p")).alias("near"))
+    if features is not None:
+        own = cells.select("cell_id", "component").join(features.select("cell_id", F.col("features").cast("array<double>").alias("x")), "cell_id")
+        parts = parts.join(_sums(own.withColumnRenamed("component", "part"), "part", "x"), "part", "left")
+    return Quotient(cells.select("cell_id", "component"), materialize(parts, "parts"), materialize(_both_ways(counts), "part_links"))
+
+
+def _most_shared(votes: Column, cluster: Column) -> Column:
+    """An aggregate: the cluster with most shared faces, the least on ties."""
+    return F.max_by(cluster, F.struct(votes, -cluster))
+
+
+def _ready(pending: DataFrame, touching: DataFrame, reach: int) -> DataFrame:
+    """Of ``pending(cluster, ...)`` those that no lesser pending cluster is beside, or within two steps if ``reach`` is 2."""
+    beside = touching.select(F.col("ka").alias("cluster"), F.col("kb").alias("other")).distinct()
+    if reach == 2:
+        beside = materialize(beside, "beside")
+        second = beside.join(beside.select(F.col("cluster").alias("other"), F.col("other").alias("third")), "other")
+        beside = beside.unionByName(second.select("cluster", F.col("third").alias("other"))).distinct()
+    waiting = pending.select(F.col("cluster").alias("other"))
+    blocked = beside.where("other < cluster").join(waiting, "other", "left_semi").select("cluster").distinct()
+    return pending.join(blocked, "cluster", "left_anti")
+
+
+def _winners(moving: DataFrame, touching: DataFrame, parts: DataFrame, by_distance: bool) -> DataFrame:
+    """``part, best``: the adjacent cluster with most shared faces, or of nearest centroid; the least on ties."""
+    votes = touching.join(moving.select(F.col("part").alias("a")), "a", "left_semi").groupBy("a", "kb").agg(F.sum("n").alias("n"))
+    if not by_distance:
+        return votes.groupBy(F.col("a").alias("part")).agg(_most_shared(F.col("n"), F.col("kb")).alias("best"))
+    counts = parts.groupBy("cluster").agg(F.sum("size").alias("cells"))
+    centres = _sums(parts, "cluster", "sums").join(counts, "cluster").select(F.col("cluster").alias("kb"), F.transform("sums", lambda x: x / F.col("cells")).alias("centre"))
+    own = parts.select(F.col("part").alias("a"), F.transform("sums", lambda x: x / F.col("size")).alias("own"))
+    far = F.aggregate(F.zip_with("centre", "own", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)
+    return votes.join(centres, "kb").join(own, "a").groupBy(F.col("a").alias("part")).agg(F.min_by("kb", F.struct(far, "kb")).alias("best"))
 
 
 def reassign_nodes(
@@ -268,56 +186,142 @@ def reassign_nodes(
 ) -> DataFrame:
     """``labels`` with every cluster connected, numbered densely. ``method`` is ``cells`` or ``volume``.
 
-    With ``features(cell_id, features)`` parts move by the distance of centroids, else by shared faces.
+    From the first cluster on, all components but the largest leave it. A small one goes to the adjacent cluster with
+    most shared faces (the least on ties), a single cell to that of its least neighbour, a large one becomes a
+    cluster. With ``features(cell_id, features)`` small ones and single cells go to the adjacent cluster of nearest
+    centroid. A moved component touches the cluster it goes to, so no cluster falls apart anew, and none is treated
+    twice. ``passes`` bounds the rounds.
     """
     if method not in ("cells", "volume"):
         raise ValueError("method is cells or volume")
-    graph, cells = quotient(faces, labels, volumes)
-    parts = list(graph.cluster)
-    if features is not None:
-        graph.sums = {k: s for k, (_, s, _) in moments(cells.join(features, "cell_id"), cluster="component").items()}
-    reassign_parts(graph, method, most_cells, share, passes, "neighbour" if features is None else "euclidean")
-    return dense_labels(_joined_back(graph, parts, cells))
-
-
-def merge_smallest(graph: Quotient, wanted: int) -> None:
-    """Merge the cluster of least volume into the neighbour with most shared faces, until ``wanted`` are left."""
-    volume = {k: sum(graph.volume[p] for p in sorted(parts)) for k, parts in graph.own.items()}
-    while len(graph.own) > wanted:
-        for k in sorted(volume, key=lambda k: (volume[k], k)):
-            if (target := _winner(graph.votes(sorted(graph.own[k])))) is not None:
-                break
-        else:
-            raise ValueError("no two clusters touch")
-        for p in sorted(graph.own[k]):
-            graph.move(p, target)
-        volume[target] += volume.pop(k)
+    q = quotient(faces, labels, volumes, features)
+    parts, links = q.parts, q.links
+    whole = parts.agg(F.sum("volume").alias("volume"), F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.count(F.lit(1)).alias("n")).first()
+    merged: list[DataFrame] = []
+    for _ in range(passes):
+        # The largest component stays, that of the least cell on ties.
+        stay = parts.groupBy("cluster").agg(F.max(F.struct("size", (-F.col("part")).alias("least"))).alias("top"), F.count(F.lit(1)).alias("n"))
+        pending = materialize(stay.where("n > 1").select("cluster", (-F.col("top.least")).alias("main")), "pending")
+        if not pending.limit(1).count():
+            break
+        side = lambda end: parts.select(F.col("part").alias(end), F.col("cluster").alias(f"k{end}"))
+        touching = materialize(links.join(side("a"), "a").join(side("b"), "b"), "touching")
+        moving = parts.join(_ready(pending, touching, 1 if features is None else 2), "cluster").where("part <> main")
+        small = F.col("size") < most_cells if method == "cells" else F.col("volume") < share * whole.volume
+        near = parts.select(F.col("part").alias("near"), F.col("cluster").alias("near_cluster"))
+        best = F.when(small | (F.col("size") == 1), F.col("best"))
+        if features is None:
+            best = F.coalesce(F.when(F.col("size") == 1, F.col("near_cluster")), F.when(small, F.col("best")))
+        found = moving.join(_winners(moving, touching, parts, features is not None), "part", "left").join(near, "near", "left")
+        moves = materialize(found.select("part", "cluster", "size", best.alias("target")), "moves")
+        # New clusters are numbered above all others, in the order of the clusters they leave and of their size.
+        rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("size"), "part"))
+        new = moves.where("target is null").withColumn("target", F.lit(whole.high) + (F.col("cluster") - F.lit(whole.low)) * F.lit(whole.n) + rank)
+        moved = materialize(moves.where("target is not null").unionByName(new).select("part", "target"), "moved")
+        joins = touching.join(moved.withColumnRenamed("part", "a"), "a").where("kb = target").select("a", "b")
+        names = materialize(
+            connected_components(joins, "a", "b").where("node <> component").select(F.col("node").alias("old"), F.col("component").alias("new")), "joined_parts"
+        )
+        merged.append(names)
+        placed = parts.join(moved, "part", "left").withColumn("cluster", F.coalesce("target", "cluster")).drop("target")
+        named = _renamed(_renamed(placed, "part", [names]), "near", [names])
+        sums = [F.first("cluster").alias("cluster"), F.sum("size").alias("size"), F.sum("volume").alias("volume"), F.first("near").alias("near")]
+        together = named.groupBy("part").agg(*sums)
+        if features is not None:
+            together = together.join(_sums(named, "part", "sums"), "part", "left")
+        parts = materialize(together, "parts")
+        ends = _renamed(_renamed(links, "a", [names]), "b", [names])
+        links = materialize(ends.where("a <> b").groupBy("a", "b").agg(F.sum("n").alias("n")), "part_links")
+    else:
+        warnings.warn("clusters are still in parts after the last pass", stacklevel=2)
+    final = _renamed(q.parts.select(F.col("part").alias("component"), "part"), "part", merged).join(parts.select("part", "cluster"), "part")
+    return _dense_ints(q.cells.join(final.select("component", "cluster"), "component").select("cell_id", "cluster"))
+
+
+def _dense_ints(labels: DataFrame) -> DataFrame:
+    return dense_labels(labels).withColumn("cluster", F.col("cluster").cast("int"))
+
+
+def cluster_graph(faces: DataFrame, labels: DataFrame, volumes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``cluster, volume``, and ``a, b, n``: the faces that two clusters share, in both directions."""
+    nodes = labels.join(volumes.select("cell_id", "volume"), "cell_id").groupBy(F.col("cluster").cast("long").alias("cluster")).agg(F.sum("volume").alias("volume"))
+    side = lambda end: labels.select(F.col("cell_id").alias(f"c_id{end}"), F.col("cluster").cast("long").alias(f"k{end}"))
+    between = undirected(faces).join(side(0), "c_id0").join(side(1), "c_id1").where("k0 <> k1")
+    counts = between.groupBy(F.least("k0", "k1").alias("a"), F.greatest("k0", "k1").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return materialize(nodes, "clusters"), materialize(_both_ways(counts), "cluster_links")
+
+
+def _beside(nodes: DataFrame, links: DataFrame, *more: Column) -> DataFrame:
+    """``cluster, volume, best`` of the clusters with a neighbour, and what ``more`` gathers of the neighbours ``b, volume_b``."""
+    other = nodes.select(F.col("cluster").alias("b"), F.col("volume").alias("volume_b"))
+    own = links.join(other, "b").groupBy(F.col("a").alias("cluster")).agg(_most_shared(F.col("n"), F.col("b")).alias("best"), *more)
+    return nodes.join(own, "cluster")
+
+
+def _contracted(nodes: DataFrame, links: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph after the clusters ``old`` of ``names`` have become ``new``."""
+    nodes = _renamed(nodes, "cluster", [names]).groupBy("cluster").agg(F.sum("volume").alias("volume"))
+    links = _renamed(_renamed(links, "a", [names]), "b", [names]).where("a <> b").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return materialize(nodes, "clusters"), materialize(links, "cluster_links")
+
+
+def _relabelled(labels: DataFrame, nodes: DataFrame, rounds: list[DataFrame]) -> DataFrame:
+    final = _renamed(nodes.select("cluster", F.col("cluster").alias("__to")), "__to", rounds)
+    own = labels.withColumn("cluster", F.col("cluster").cast("long")).join(final, "cluster")
+    return _dense_ints(own.select("cell_id", F.col("__to").alias("cluster")))
 
 
 def match_clusters(faces: DataFrame, labels: DataFrame, volumes: DataFrame, wanted: int) -> DataFrame:
-    """``labels`` merged to ``wanted`` clusters; fewer stay as they are, with a warning."""
-    graph, cells = quotient(faces, labels, volumes)
-    parts = list(graph.cluster)
-    if len(graph.own) < wanted:
+    """``labels`` merged to ``wanted`` clusters; fewer stay as they are, with a warning.
+
+    The cluster of least volume merges into the neighbour with most shared faces, again and again. A cluster less
+    than all its neighbours will be merged as it stands, whatever happens elsewhere, so each round takes all of
+    those; merges happen in the order of their volumes, and the first ones count.
+    """
+    first, links = cluster_graph(faces, labels, volumes)
+    nodes, have = first, first.count()
+    if have < wanted:
         warnings.warn(f"there are fewer than {wanted} clusters", stacklevel=2)
-    merge_smallest(graph, wanted)
-    return dense_labels(_joined_back(graph, parts, cells))
+    if have <= wanted:
+        return _dense_ints(labels)
+    turn = F.struct("volume", "old")
+    rounds: list[DataFrame] = []
+    known = None  # all merges found so far
+    while True:
+        least = F.min(F.struct(F.col("volume_b").alias("volume"), F.col("b").alias("cluster"))).alias("least")
+        beside = materialize(_beside(nodes, links, least), "beside")
+        ahead = beside.agg(F.min(F.struct("volume", F.col("cluster").alias("old"))).alias("at")).first().at
+        if ahead is None:
+            break
+        if known is not None and known.where(turn < F.struct(F.lit(ahead.volume).alias("volume"), F.lit(ahead.old).alias("old"))).count() >= have - wanted:
+            break  # what is left would come later than enough of these
+        rounds.append(
+            materialize(
+                beside.where(F.struct("volume", "cluster") < F.col("least")).select(F.col("cluster").alias("old"), F.col("best").alias("new"), "volume"), "merges"
+            )
+        )
+        known = rounds[-1] if known is None else known.unionByName(rounds[-1])
+        nodes, links = _contracted(nodes, links, rounds[-1])
+    if known is None or known.count() < have - wanted:
+        raise ValueError("no two clusters touch")
+    # One row a cluster stands in the window's single partition.
+    last = known.withColumn("nth", F.row_number().over(Window.orderBy("volume", "old"))).where(F.col("nth") == have - wanted).select("volume", "old").first()
+    in_time = turn <= F.struct(F.lit(last.volume).alias("volume"), F.lit(last.old).alias("old"))
+    return _relabelled(labels, first, [r.where(in_time) for r in rounds])
 
 
 def remove_small_clusters(faces: DataFrame, labels: DataFrame, volumes: DataFrame, least: float) -> DataFrame:
-    """While a cluster has less volume than ``least``, merge the first such into the neighbour with most shared faces."""
-    graph, cells = quotient(faces, labels, volumes)
-    parts = list(graph.cluster)
-    stuck: set[int] = set()
-    volume = {k: sum(graph.volume[p] for p in sorted(own)) for k, own in graph.own.items()}
+    """While a cluster has less volume than ``least``, merge the first such into the neighbour with most shared faces.
+
+    In a round all small clusters merge that have no small neighbour before them; one without a neighbour stays.
+    """
+    first, links = cluster_graph(faces, labels, volumes)
+    nodes, rounds = first, []
     while True:
-        small = min((k for k in volume if k not in stuck and volume[k] < least), default=None)
-        if small is None:
-            return dense_labels(_joined_back(graph, parts, cells))
-        target = _winner(graph.votes(sorted(graph.own[small])))
-        if target is None:
-            stuck.add(small)
-            continue
-        for p in sorted(graph.own[small]):
-            graph.move(p, target)
-        volume[target] += volume.pop(small)
+        before = F.max((F.col("b") < F.col("a")) & (F.col("volume_b") < least)).alias("waits")
+        small = _beside(nodes, links, before).where((F.col("volume") < least) & ~F.col("waits"))
+        names = materialize(small.select(F.col("cluster").alias("old"), F.col("best").alias("new")), "merges")
+        if not names.limit(1).count():
+            return _relabelled(labels, first, rounds)
+        rounds.append(names)
+        nodes, links = _contracted(nodes, links, names)
