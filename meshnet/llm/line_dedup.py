@@ -7,8 +7,12 @@ runs they are compacted into one run of the next level, so a batch meets a
 logarithmic number of runs. Runs are bucketed and sorted by key, one file a
 bucket, so that joins and compactions merge them without a shuffle or a sort.
 Runs live in a folder with a manifest: a later call that names the folder meets
-the runs of earlier ones, whose documents own their lines. Only DataFrame
-functions run.
+the runs of earlier ones, whose documents own their lines. Every version of the
+manifest names the call that wrote it, by default a digest of its documents, and
+the last one of a call says that it is done. A call starts from what was done
+before it, so one that failed between batches leaves nothing behind, and one
+that is repeated, soon or after others, gives the same rows again and adds no
+keys. One call at a time may write to a folder. Only DataFrame functions run.
 
 Within a batch a key belongs to the smallest id that holds it; since batches
 ascend, that is the smallest id over all. Keys are reduced map-side to one row
@@ -37,7 +41,7 @@ MIN_CHARS = 10
 #: Batches: one for so many bytes of text, within bounds.
 BATCH_BYTES, LEAST_BATCHES, MOST_BATCHES = 1 << 41, 4, 64
 FANOUT = 2
-_MANIFEST = "version long, level int, buckets int, path string"
+_MANIFEST = "version long, level int, buckets int, path string, call string, done boolean"
 #: Fixed value: the white space stripped from a key, [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,8 +63,9 @@ class LineRuns:
     of buckets; the files and the manifest stay in the folder.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = FANOUT):
-        self.spark, self.fanout = spark, fanout
+    def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = FANOUT, call: str | None = None):
+        """Without a name for the call, every batch counts as done for good."""
+        self.spark, self.fanout, self.call, self.recorded = spark, fanout, call, False
         self.folder = folder.rstrip("/") if folder else new_path(spark, "line_runs")
         self.buckets, self.version = int(spark.conf.get("spark.sql.shuffle.partitions")), 0
         self.levels: list[list[tuple[str, str]]] = []  # table and path of each run
@@ -75,8 +80,12 @@ class LineRuns:
                 raise
             return
         self.version = max(r.version for r in rows)
+        done = {r.version for r in rows if r.done in (None, True)}
+        own = [r.version for r in rows if self.call and r.call == self.call]
+        self.recorded = any(v in done for v in own)  # this call ended before: it starts where it did then
+        start = max((v for v in done if not self.recorded or v < min(own)), default=None)
         for r in rows:  # runs are merged bucket by bucket, so their number is that of the first
-            if r.version == self.version:
+            if r.version == start:
                 self.buckets = r.buckets
                 self._level(r.level).append((self._table(r.path), r.path))
 
@@ -112,8 +121,8 @@ class LineRuns:
         """``k1, k2`` of a run: the keys that were new in their batch."""
         return self.spark.table(table).where("not seen").select("k1", "k2")
 
-    def add(self, lines: DataFrame) -> DataFrame:
-        """Take ``lines(id, k1, k2)``; return the repeated keys: ``k1, k2, lo`` (null: seen in a run)."""
+    def add(self, lines: DataFrame, last: bool = True) -> DataFrame:
+        """Take ``lines(id, k1, k2)``; return the repeated keys: ``k1, k2, lo`` (null: seen in a run). ``last``: of its call."""
         keys = lines.groupBy("k1", "k2").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
         seen = F.lit(False)
         for i, (table, _) in enumerate(run for level in self.levels for run in level):
@@ -124,7 +133,7 @@ class LineRuns:
             keys.select("k1", "k2", "lo", seen.alias("seen"), (seen | (F.col("lo") != F.col("hi"))).alias("repeated"))
         )
         self._push(0, (judged, path))
-        self._record()
+        self._record(last or not self.call)
         found = self.spark.read.schema("k1 long, k2 long, lo long, seen boolean, repeated boolean").parquet(path)
         return found.where("repeated").select("k1", "k2", F.when(~F.col("seen"), F.col("lo")).alias("lo"))
 
@@ -138,13 +147,16 @@ class LineRuns:
                 merged = merged.join(self.keys(table), ["k1", "k2"], "full")
             self._push(level + 1, self._write(merged.withColumn("seen", F.lit(False))))
 
-    def _record(self) -> None:
-        """Add a version to the manifest; a reader takes the last."""
+    def _record(self, done: bool) -> None:
+        """Add a version to the manifest, unless this call has ended before."""
+        if self.recorded:
+            return
         self.version += 1
         runs = [
             F.struct(
                 F.lit(self.version).cast("long").alias("version"), F.lit(level).alias("level"),
                 F.lit(self.buckets).alias("buckets"), F.lit(path).alias("path"),
+                F.lit(self.call).cast("string").alias("call"), F.lit(done).alias("done"),
             )
             for level, found in enumerate(self.levels)
             for _, path in found
@@ -182,13 +194,15 @@ def dedup_lines(
     batches: int | None = None,
     fanout: int = FANOUT,
     folder: str | None = None,
+    call: str | None = None,
 ) -> DataFrame:
     """``row`` (the columns of ``docs``), ``n_lines``, ``n_dropped`` and ``kept``, the remaining text.
 
     A key of at least ``min_chars`` code points that two documents hold loses
     all its lines but those of the smallest id. With a ``folder`` the keys stay
     there, and documents of later calls that name it lose lines known by then;
-    their ids are taken to be larger.
+    their ids are taken to be larger. A ``call`` of the same name, or of the same
+    documents if none is given, is the same call.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -206,10 +220,14 @@ def dedup_lines(
         )
     )
     lines = materialize(lines, "lines", ["batch"])
-    runs, repeated = LineRuns(spark, folder, fanout), None
+    if folder and not call:
+        each = F.xxhash64("id", "th").cast("decimal(20)")
+        of = slim.agg(F.count(F.lit(1)).alias("n"), F.sum(each).alias("s"), F.bit_xor(F.xxhash64("th", "id")).alias("x")).first()
+        call = f"{of.n}-{of.s}-{of.x}"
+    runs, repeated = LineRuns(spark, folder, fanout, call), None
     try:
         for b in range(batches):
-            found = runs.add(lines.where(F.col("batch") == b)).withColumn("batch", F.lit(b))
+            found = runs.add(lines.where(F.col("batch") == b), b == batches - 1).withColumn("batch", F.lit(b))
             repeated = found if repeated is None else repeated.unionByName(found)
     finally:
         runs.close()

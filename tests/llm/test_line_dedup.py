@@ -93,6 +93,36 @@ def test_later_calls_meet_the_runs_of_earlier_ones(spark, tmp_path):
     assert sorted(got, key=str) == whole
 
 
+def test_calls_that_fail_or_are_repeated(spark, tmp_path, monkeypatch):
+    """The same call gives the same rows, at once, after a failure between batches, and after later calls."""
+    rows = [(i, f"the first line of all\nline number {i % 7} of some\nonly in {i} of them") for i in range(30)]
+    folder, whole = f"file://{tmp_path}/runs", brute(rows)
+    first, second = (spark.createDataFrame(r, "doc_id long, text string") for r in (rows[:15], rows[15:]))
+    add, calls = op.LineRuns.add, []
+
+    def failing(self, *args):
+        calls.append(1)
+        if len(calls) == 3:
+            raise OSError("the driver is lost")
+        return add(self, *args)
+
+    monkeypatch.setattr(op.LineRuns, "add", failing)
+    with pytest.raises(OSError):
+        result(first, folder=folder, batches=4)
+    monkeypatch.undo()
+    one = result(first, folder=folder, batches=4)
+    assert one == brute(rows[:15])
+    assert result(first.repartition(7), folder=folder, batches=2) == one  # in any order, in other batches
+    two = result(second, folder=folder, batches=2)
+    assert sorted(one + two, key=str) == whole
+    assert result(first, folder=folder, batches=4) == one and result(second, folder=folder, batches=2) == two
+    manifest = spark.read.json(f"{folder}/manifest")
+    assert manifest.where("done").select("call").distinct().count() == 2 and manifest.agg({"version": "max"}).first()[0] == 8
+    # Under another name the same documents are a new call, whose lines are known.
+    again = result(second, folder=folder, batches=2, call="other")
+    assert all(n == 3 for _, _, n, _ in again)
+
+
 def test_runs_are_merged_without_sorting_them(spark):
     runs = op.LineRuns(spark)
     lines = spark.range(1000).selectExpr("id", "id % 700 AS k1", "id % 700 AS k2")
