@@ -117,14 +117,38 @@ def test_recall_of_scattered_changes(share, least):
     assert near == 150 and found >= least * near
 
 
+@pytest.mark.parametrize("words", [5, 9, 10, 14, 15, 20, 30, 40, 50, 60, 80, 100, 101, 128, 129, 200, 400])
+def test_recall_at_the_bound_by_length(words):
+    """As many words changed as near texts may differ in, at random places."""
+    rng, found = np.random.default_rng(words), 0
+    for _ in range(200):
+        a = rng.integers(1 << 60, size=words).astype(np.uint64)
+        b = a.copy()
+        b[rng.choice(words, op.most_edits(words), replace=False)] += np.uint64(1)
+        assert op.banded_distance(a, b, op.most_edits(words)) is not None
+        found += len(np.intersect1d(op.sketch_keys(a), op.sketch_keys(b))) > 0
+    assert found >= (200 if words < 15 else 180)
+
+
+def test_near_pairs_of_the_table_are_in_one_class(spark):
+    """All pairs of the smallest table, aligned one by one."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: op.words_of(r.text) for r in docs.collect()}
+    classes = {r.doc_id: r.class_id for r in op.near_classes(docs).collect()}
+    pairs = [(a, b) for a in texts for b in texts if a < b and len(texts[a]) >= op.LEAST and len(texts[b]) >= op.LEAST]
+    near = [(a, b) for a, b in pairs if op.banded_distance(texts[a], texts[b], op.most_edits(max(len(texts[a]), len(texts[b])))) is not None]
+    assert near and all(classes[a] == classes[b] for a, b in near)
+
+
 def test_tiny_texts_are_found_exactly():
     rng = random.Random(1)
     for _ in range(300):
-        a = [rng.randrange(9) for _ in range(rng.randint(5, 9))]
+        a = [rng.randrange(9) for _ in range(rng.randint(5, 14))]
         b = list(a)
-        at = rng.randrange(len(a))
-        b[at : at + rng.randint(0, 1)] = [rng.randrange(9)] * rng.randint(0, 1)
-        if len(b) >= 5:
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randint(0, 1)] = [rng.randrange(9)] * rng.randint(0, 1)
+        if 5 <= len(b) <= 14:
             x, y = (set(op.sketch_keys(np.array(t, np.uint64)).tolist()) for t in (a, b))
             assert (distance(a, b) <= op.most_edits(max(len(a), len(b)))) <= bool(x & y)
 
