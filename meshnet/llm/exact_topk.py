@@ -21,7 +21,7 @@ copies are pruned. Work grows with queries times blocks. A task sorts vectors of
 up to ``SORTED`` components together at a time.
 
 Cases: a vector that is null, or holds a null, NaN or infinity, takes no part,
-nor does a null id. A shorter vector counts as if followed by zeros. Rows with
+nor does one with a component that is no finite double when scaled, nor a null id. A shorter vector counts as if followed by zeros. Rows with
 the query's id are its own; other repeated rows are candidates as often as they
 occur. Of several vectors under one query id the least is the query. Scores that
 need more than 53 bits are computed in whole numbers of any length and held to
@@ -53,8 +53,11 @@ _BLOCK_SCHEMA = (
 _NONE = np.iinfo(np.int64).min
 
 
-def _usable(vectors: list) -> np.ndarray:
-    return np.array([v is not None and all(x is not None for x in v) and bool(np.isfinite(v).all()) for v in vectors], bool)
+def _usable(vectors: list, scale: float) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.array(
+            [v is not None and all(x is not None for x in v) and bool(np.isfinite(scale * np.array(v, np.float64)).all()) for v in vectors], bool
+        )
 
 
 def _matrix(vectors: list, scale: float) -> np.ndarray:
@@ -114,7 +117,7 @@ def _blocks(scale: float, size: int, k: int):
 
         for batch in batches:
             values = batch.column(1).to_pylist()
-            good = _usable(values)
+            good = _usable(values, scale)
             for i, v, q, ok in zip(batch.column(0).to_pylist(), values, batch.column(2).to_pylist(), good.tolist(), strict=True):
                 if ok:
                     ids.append(i)

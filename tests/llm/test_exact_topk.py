@@ -50,6 +50,11 @@ def test_odd_vectors(spark):
     rows = [(0, [1.0, 2.0]), (100, [-1.0, 0.5, 3.0]), (200, [nan, 1.0]), (300, [inf]), (400, None), (500, []), (1, [None, 1.0]),
             (2, [0.25, 0.5]), (3, [0.25, 0.5]), (3, [0.25, 0.5]), (None, [9.0, 9.0]), (0, [1.0, 2.0]), (600, [2.0**40, -(2.0**40)]), (4, [2.0**40, 1.0])]
     assert result(frame(spark, rows)) == brute(rows)
+    wide = spark.createDataFrame([(*r, 0) for r in rows] if len(rows[0]) > 2 else rows, "vec_id long, embedding array<double>")
+    huge = spark.createDataFrame([(7, [1e306, 1.0]), (700, [-1.7e308]), (800, [1e-320, 5e305])], "vec_id long, embedding array<double>")
+    picked = F.col("vec_id") % 100 == 0
+    with_huge = op.top_k(wide.unionByName(huge), picked).collect()
+    assert sorted(map(tuple, with_huge)) == sorted(map(tuple, op.top_k(wide, picked).collect()))
     assert result(frame(spark, rows[:1])) == [] and result(frame(spark, [])) == []
 
 
