@@ -1,7 +1,7 @@
 """Reactor networks: balances, splits, linear solves and assembly.
 
-Flows are ``src, dst, mass`` rows. Only the solves leave Spark: a network has
-tens to thousands of reactors, and more than ``MOST_REACTORS`` is an error.
+Flows are ``src, dst, mass`` rows, and stay tables in the solves too, whatever
+the number of reactors.
 """
 
 from __future__ import annotations
@@ -10,18 +10,21 @@ import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshnet.operators.filters import significant
+from meshnet.operators.solvers import potentials, solve
+from meshnet.plans.scratch import materialize
 
-#: Reactors of which the driver takes the dense matrix.
-MOST_REACTORS = 5000
 #: Residence time of an inlet's pseudo-reactor, and the temperature below which kinetics are not corrected.
 INLET_TAU, LEAST_CORRECTED_T = 1e-6, 1000.0
 
 
+#: Share of what a reactor takes up to which its outlet is rounding.
+LEAST_OUTLET = 1e-10
+
+
 class Unbalanced(ValueError):
     """Mass that enters and leaves differ by more than the tolerance."""
 
@@ -77,38 +80,23 @@ def mass_split(flows: DataFrame, external: DataFrame | None = None) -> DataFrame
     return flows.join(out, "src").select("src", "dst", F.try_divide("mass", "total").alias("ratio"))
 
 
-def _dense(rows: DataFrame, value: str, n: int | None = None) -> np.ndarray:
-    if n is None:
-        top = rows.agg(F.max(F.greatest("src", "dst"))).first()[0]
-        n = 0 if top is None else top + 1
-    if n > MOST_REACTORS:
-        raise ValueError(f"{n} reactors are too many for a dense solve on the driver")
-    out = np.zeros((n, n))
-    for r in rows.groupBy("src", "dst").agg(F.sum(value).alias("v")).collect():
-        out[r.src, r.dst] = r.v
-    return out
-
-
-def _vector(spark_rows: DataFrame, value: str, n: int) -> np.ndarray:
-    out = np.zeros(n)
-    for r in spark_rows.select("rid", F.col(value).alias("v")).collect():
-        out[r.rid] += r.v
-    return out
-
-
-def _sparse(spark: SparkSession, matrix: np.ndarray) -> DataFrame:
-    rows = [(int(i), int(j), float(matrix[i, j])) for i, j in zip(*np.nonzero(matrix), strict=True)]
-    return spark.createDataFrame(rows, "src int, dst int, mass double")
+def throughput(ratios: DataFrame, external: DataFrame, n: int | None = None) -> DataFrame:
+    """``rid, M``: what passes each reactor when ``inlet`` enters and splits are ``ratios``: ``(I - ratio^T) M = inlet``."""
+    ends = ratios.select(F.col("src").alias("rid")).unionByName(ratios.select(F.col("dst").alias("rid"))).unionByName(external.select("rid"))
+    if n:
+        ends = ends.unionByName(ratios.sparkSession.range(n).select(F.col("id").cast(external.schema["rid"].dataType).alias("rid")))
+    into = external.groupBy("rid").agg(F.sum("inlet").alias("b"))
+    rhs = ends.distinct().join(into, "rid", "left").select("rid", F.coalesce("b", F.lit(0.0)).alias("b"))
+    entries = ratios.groupBy(F.col("dst").alias("row"), F.col("src").alias("col")).agg(F.sum("ratio").alias("value"))
+    return solve(materialize(entries, "splits"), rhs).withColumnRenamed("x", "M")
 
 
 def adapt_flows(ratios: DataFrame, external: DataFrame, n: int | None = None) -> DataFrame:
-    """Flows that keep the split ``ratios`` under new inlets: ``(I - ratio^T) M = inlet``."""
-    top = external.agg(F.max("rid")).first()[0]
-    last = ratios.agg(F.max(F.greatest("src", "dst"))).first()[0]
-    n = n or max(-1 if top is None else top, -1 if last is None else last) + 1
-    a = _dense(ratios, "ratio", n)
-    through = np.linalg.solve(np.eye(n) - a.T, _vector(external, "inlet", n)) if n else np.zeros(0)
-    return _sparse(ratios.sparkSession, a * through[:, None])
+    """Flows that keep the split ``ratios`` under new inlets (see :func:`throughput`)."""
+    through = throughput(ratios, external, n).withColumnRenamed("rid", "src")
+    shares = ratios.groupBy("src", "dst").agg(F.sum("ratio").alias("ratio")).where("ratio <> 0")
+    flows = shares.join(through, "src").select(F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"), (F.col("ratio") * F.col("M")).alias("mass"))
+    return flows.where("mass <> 0")
 
 
 def adjust_flows(flows: DataFrame, external: DataFrame, least: float = 1e-5) -> DataFrame:
@@ -117,22 +105,24 @@ def adjust_flows(flows: DataFrame, external: DataFrame, least: float = 1e-5) ->
 
 
 def balance_flows(flows: DataFrame, external: DataFrame, passes: int = 100, tol: float = 1e-12, least: float = 1e-5) -> DataFrame:
-    """The least change of the flows that balances every reactor; flows under ``least`` are dropped on the way."""
-    m = _dense(flows, "mass")
-    n = len(m)
-    net = _vector(external, "inlet", n) - _vector(external, "outlet", n)
-    m[np.abs(m) < least] = 0
+    """The least change of the flows that balances every reactor; flows under ``least``, or pressed below 0, are dropped on the way.
+
+    The least change is the difference of potentials at a flow's ends. What no flow can carry, that of a reactor
+    without any and that by which all inlets and outlets differ, stays.
+    """
+    own = flows.groupBy("src", "dst").agg(F.sum("mass").alias("mass")).where(F.abs("mass") >= least)
+    now = materialize(own, "balanced")
     for _ in range(passes):
-        src, dst = np.nonzero(m)
-        lack = m.sum(axis=0) + net - m.sum(axis=1)
-        if np.abs(lack).max(initial=0) <= tol:
+        t = totals(now, external).where("incoming <> 0 or outgoing <> 0")
+        lack = materialize(t.select("rid", (F.col("outgoing") + F.col("outlet") - F.col("incoming") - F.col("inlet")).alias("b")), "lack")
+        size = lack.agg(F.avg("b").alias("mean"), F.max("b").alias("high"), F.min("b").alias("low")).first()
+        if size.mean is None or max(size.high - size.mean, size.mean - size.low) <= tol:
             break
-        rows = np.zeros((n, len(src)))
-        rows[src, np.arange(len(src))] -= 1
-        rows[dst, np.arange(len(src))] += 1
-        m[src, dst] += np.linalg.lstsq(rows, -lack, rcond=None)[0]
-        m[m < 0] = 0
-    return _sparse(flows.sparkSession, m)
+        y = potentials(now, lack, tol / 4)
+        moved = now.join(y.select(F.col("rid").alias("src"), F.col("y").alias("from")), "src", "left").join(y.select(F.col("rid").alias("dst"), F.col("y").alias("to")), "dst", "left")
+        mass = F.col("mass") + F.coalesce(F.col("to") - F.col("from"), F.lit(0.0))
+        now = materialize(moved.select("src", "dst", mass.alias("mass")).where("mass > 0"), "balanced")
+    return now.select(F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"), "mass")
 
 
 def residual(through: DataFrame, ratios: DataFrame, external: DataFrame) -> DataFrame:
@@ -214,7 +204,7 @@ def given_network(
     if min([*inlets, *outlets, *(x for row in flows for x in row)], default=0) < 0:
         raise ValueError("a flow is below 0")
     external = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(inlets, outlets, strict=True))], "rid int, inlet double, outlet double")
-    links = _sparse(spark, np.array(flows, float).reshape(n, n))
+    links = spark.createDataFrame([(i, j, float(x)) for i, row in enumerate(flows) for j, x in enumerate(row) if x], "src int, dst int, mass double")
     if adapt:
         links = adapt_flows(mass_split(links, external), external, n)
         external = _net_outlets(links, external)
@@ -228,8 +218,9 @@ def given_network(
 def _net_outlets(flows: DataFrame, external: DataFrame) -> DataFrame:
     """``external`` with what each reactor takes beyond what it gives as its outlet."""
     net = totals(flows, external.withColumn("outlet", F.lit(0.0)))
-    out = F.col("incoming") + F.col("inlet") - F.col("outgoing")
-    return net.select("rid", "inlet", F.when(F.abs(out) < 1e-12, F.lit(0.0)).otherwise(out).alias("outlet"))
+    taken = F.col("incoming") + F.col("inlet")
+    out = taken - F.col("outgoing")
+    return net.select("rid", "inlet", F.when(F.abs(out) <= LEAST_OUTLET * taken, F.lit(0.0)).otherwise(out).alias("outlet"))
 
 
 @dataclass
@@ -278,13 +269,10 @@ class LayeredNetwork:
         ratios = spark.createDataFrame([(number[a], number[b], r) for a, b, r in self.links], "src int, dst int, ratio double")
         inlet = spark.createDataFrame([(number[a], float(m)) for a, m in self.inlets.items()], "rid int, inlet double")
         out = adapt_flows(ratios, inlet, len(self.nodes))
-        net = (
-            totals(out, inlet.withColumn("outlet", F.lit(0.0)))
-            .select("rid", "inlet", (F.col("incoming") + F.col("inlet") - F.col("outgoing")).alias("outlet"))
-        )
-        if net.where("outlet < -1e-9").limit(1).count():
+        net = _net_outlets(out, inlet)
+        if net.where("outlet < 0").limit(1).count():
             raise Unbalanced("a node lets out more than it takes")
-        return out, net.withColumn("outlet", F.when(F.abs("outlet") < 1e-12, F.lit(0.0)).otherwise(F.col("outlet")))
+        return out, net
 
     def tables(self, spark: SparkSession, isothermal: bool = True) -> tuple[DataFrame, DataFrame]:
         """Reactors and flows as decks take them; the nodes' parameters are columns (tau, volume, L, D, T, P, ...)."""

@@ -556,14 +556,6 @@ def coded_reactor_decks(spark, d):
     return decks.cgs_decks(decks.coded_reactors(_coded_rows(spark, d), trade_flows(spark, d), external(spark, d), heat=5e4, outlet_t=1200.0))
 
 
-@query("layered_reactors", """SELECT * FROM (VALUES (0, 'PSR', 1.0::DOUBLE, true, false), (1, 'PSR', 3.0, true, false), (2, 'PSR', 2.0, false, false),
-  (3, 'PSR', 2.0, false, false), (4, 'PFR', 4.0, false, true)) t(rid, rtype, Mf, isinput, isoutput)""")
-def layered_reactors(spark, d):
-    """A layered network as the tables that decks are written from."""
-    net = network.LayeredNetwork().input_layer([1.0, 3.0]).connected_layer(2).output_layer(1, "PFR")
-    return rounded(net.tables(spark)[0].select("rid", "rtype", "Mf", "isinput", "isoutput"), 6, "Mf")
-
-
 @query("residence_times", f"""WITH {PARTS}, {TOTALS}, m AS (SELECT CAST(substr(cluster, 7) AS INTEGER) % 25 AS cluster, sum(density * volume) AS mass FROM parts GROUP BY 1)
 SELECT cluster, round(mass, 4) AS mass, round(coalesce(incoming + inlet, 0), 4) AS Mf, round(mass / nullif(incoming + inlet, 0), 8) AS tau
 FROM m LEFT JOIN tot ON tot.rid = m.cluster""")
@@ -674,10 +666,34 @@ def network_files_older(spark, d):
     return decks.read_decks(spark, folder)
 
 
-@query("layered_network", """SELECT * FROM (VALUES (0, 2, 0.5::DOUBLE), (0, 3, 0.5), (1, 2, 1.5), (1, 3, 1.5), (2, 4, 2.0), (3, 4, 2.0)) t(src, dst, mass)""")
+# Layers: what the customers of each region spend enters, and goes through three nodes and two more in equal shares.
+_LAYERS = """WITH spent AS (SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS rid, sum(o_totalprice) AS m
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey),
+n AS (SELECT count(*) AS n, sum(m) AS m FROM spent)
+"""
+
+
+def _layers(spark, d) -> network.LayeredNetwork:
+    nation = read_table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
+    customer = read_table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    spent = read_table(spark, d, "orders").join(customer, "o_custkey").join(nation, "c_nationkey").groupBy("n_regionkey").agg(F.sum("o_totalprice").alias("m"))
+    return network.LayeredNetwork().input_layer([r.m for r in spent.orderBy("n_regionkey").collect()])
+
+
+@query("layered_network", _LAYERS + """SELECT CAST(rid AS INTEGER) AS src, CAST(n + i AS INTEGER) AS dst, round(spent.m / 3, 3) AS mass FROM spent, n, range(3) t(i)
+UNION ALL SELECT CAST(n + i AS INTEGER), CAST(n + 3 + j AS INTEGER), round(n.m / 3 / 2, 3) FROM n, range(3) t(i), range(2) u(j)""")
 def layered_network(spark, d):
-    flows, _ = network.LayeredNetwork().input_layer([1.0, 3.0]).connected_layer(2).output_layer(1).flows(spark)
-    return rounded(flows, 6, "mass")
+    flows, _ = _layers(spark, d).connected_layer(3).output_layer(2).flows(spark)
+    return rounded(flows, 3, "mass")
+
+
+@query("layered_reactors", _LAYERS + """SELECT CAST(rid AS INTEGER) AS rid, 'PSR' AS rtype, round(m, 3) AS Mf, true AS isinput, false AS isoutput FROM spent
+UNION ALL SELECT CAST(n + i AS INTEGER), 'PSR', round(m / 3, 3), false, false FROM n, range(3) t(i)
+UNION ALL SELECT CAST(n + 3 + j AS INTEGER), 'PFR', round(m / 2, 3), false, true FROM n, range(2) u(j)""")
+def layered_reactors(spark, d):
+    """A layered network as the tables that decks are written from."""
+    net = _layers(spark, d).connected_layer(3).output_layer(2, "PFR")
+    return rounded(net.tables(spark)[0].select("rid", "rtype", "Mf", "isinput", "isoutput"), 3, "Mf")
 
 
 # Scaling.
@@ -790,9 +806,11 @@ def species_labels(spark, d):
     return part.select("p_partkey", chem.species_label(F.concat(F.lit("   molef-"), F.lower("p_type"))).alias("label"))
 
 
-@query("molecular_weights", "SELECT * FROM (VALUES " + ", ".join(f"('{s}', CAST({w} AS INTEGER))" for s, w in WEIGHTS.items()) + ") t(species, weight)")
+@query("molecular_weights", f"WITH {COMPOSITION} SELECT brand, round({_TOTAL_MASS}, 8) AS weight FROM comp")
 def molecular_weights(spark, d):
-    return spark.createDataFrame([(s, chem.molecular_weight(s)) for s in FORMULAS.values()], "species string, weight int")
+    """The mean molecular weight of each brand's composition."""
+    weight = sum((F.col(s) * chem.molecular_weight(s) for s in WEIGHTS), F.lit(0.0))
+    return rounded(composition(spark, d).select("brand", weight.alias("weight")), 8, "weight")
 
 
 @query("mole_to_mass", f"WITH {MASSES} SELECT brand, " + ", ".join(f"round({s}, 8) AS {s}" for s in WEIGHTS) + " FROM mass")
