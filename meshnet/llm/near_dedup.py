@@ -354,6 +354,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ],
             ["id", "th", "digest", "words", "keys"],
         )
+    _HASHES.clear()  # the worker's next task may be another stage's
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,6 +394,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts.append(text)
     if out := done(nodes, connected, texts):
         yield out
+    _HASHES.clear()
 
 
 def _texts(named: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -422,6 +424,7 @@ def _word_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pairs = [labelled(shingles(words_of(t), 2)).view(np.int64) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pairs, pa.list_(pa.int64()))], ["node", "pairs"])
+    _HASHES.clear()
 
 
 def _filed(texts: DataFrame, members: DataFrame) -> DataFrame:

@@ -36,6 +36,8 @@ from meshnet.plans.tables import read_table
 
 SEQUENCE = 4096
 END_ID = 2
+#: Characters that are encoded at a time.
+SLICE = 1 << 20
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[int, list[int]]]:
@@ -121,7 +123,7 @@ def _pieces(path: str, size: int, end_id: int, with_ids: bool):
         seen = np.zeros(size + 1, np.int64)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for lo, hi in pair_bpe.slices(texts):
+            for lo, hi in pair_bpe.slices(texts, SLICE):
                 ids, counts = own.encode(texts[lo:hi])
                 stop = np.cumsum(counts)
                 ids = np.insert(ids, stop, end_id)
