@@ -958,11 +958,35 @@ def matched_clusters(spark, d):
     return graph.match_clusters(faces, graph.reassign_nodes(faces, labels, volumes, passes=100_000), volumes, 5)
 
 
-@query("small_clusters_removed")
+def _merging(which: str, order: str) -> str:
+    """SQL of merging clusters one by one: of the pairs ``src, dst, n, v`` that ``which`` allows, the first in ``order``, until there is none."""
+    return f"""WITH RECURSIVE {LATTICE}, nodes AS (SELECT cluster, sum(volume) AS v, row_number() OVER (ORDER BY cluster) AS pos FROM cells GROUP BY 1),
+one AS (SELECT DISTINCT least(c_id0, c_id1) AS a, greatest(c_id0, c_id1) AS b FROM faces WHERE c_id0 <> c_id1),
+two AS (SELECT a, b FROM one UNION ALL SELECT b, a FROM one),
+pairs AS (SELECT x.pos AS ia, y.pos AS ib, count(*) AS n FROM two JOIN cells p ON p.cell_id = two.a JOIN cells q ON q.cell_id = two.b
+  JOIN nodes x ON x.cluster = p.cluster JOIN nodes y ON y.cluster = q.cluster WHERE x.pos <> y.pos GROUP BY 1, 2),
+steps AS (
+  SELECT 0 AS step, (SELECT list(cluster ORDER BY pos) FROM nodes) AS m
+  UNION ALL
+  SELECT step + 1, list_transform(m, lambda x: CASE WHEN x = move.src THEN move.dst ELSE x END) FROM (
+    SELECT step, m, (SELECT {{'src': src, 'dst': dst}} FROM (SELECT m[ia] AS src, m[ib] AS dst, sum(n) AS n FROM pairs WHERE m[ia] <> m[ib] GROUP BY 1, 2)
+      JOIN (SELECT m[pos] AS k, sum(v) AS v FROM nodes GROUP BY 1) ON k = src WHERE {which} ORDER BY {order} LIMIT 1) AS move FROM steps)
+  WHERE move IS NOT NULL),
+last AS (SELECT arg_max(m, step) AS m FROM steps)
+SELECT cell_id, CAST(dense_rank() OVER (ORDER BY m[pos]) - 1 AS INTEGER) AS cluster FROM cells JOIN nodes USING (cluster), last"""
+
+
+@query("small_clusters_removed", _merging("v < 200", "src, n DESC, dst"))
 def small_clusters_removed(spark, d):
     return graph.remove_small_clusters(*_labels(spark, d), least=200.0)
 
 
+@query("merged_clusters", _merging("list_unique(m) > 4", "v, src, n DESC, dst"))
+def merged_clusters(spark, d):
+    """The clusters as they are, in parts or not, merged to four."""
+    return graph.match_clusters(*_labels(spark, d), 4)
+
+
 # Models.
 
 _POINTS = """pts AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)"""
@@ -988,6 +1012,24 @@ def kmeans_two_passes(spark, d):
     return rounded(near.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("distance2").alias("within")), 6, "within")
 
 
+def _swept(k: int) -> str:
+    """SQL of two passes from the first ``k`` rows and the index of the clusters they lead to, as ``k``K_i."""
+    a, b, c, d = (f"k{k}_{x}" for x in "abcd")
+    return f"""{a} AS (SELECT CAST(vec_id AS INTEGER) AS k, e AS c FROM pts WHERE vec_id < {k}), {_lloyd(b, a)}, {_lloyd(c, b)}, {_lloyd(d, c)},
+k{k}_s AS (SELECT k, any_value(c) AS c, avg(sqrt({_dist("e", "c")})) AS s FROM {d}_n JOIN {d} USING (k) GROUP BY 1),
+k{k}_i AS (SELECT avg(w) AS index FROM (SELECT a.k, max((a.s + b.s) / sqrt({_dist("a.c", "b.c")})) AS w FROM k{k}_s a JOIN k{k}_s b ON a.k <> b.k GROUP BY 1))"""
+
+
+@query("choice_of_k", f"""WITH {_POINTS}, {_swept(3)}, {_swept(6)}
+SELECT 3 AS k, round(index, 6) AS index FROM k3_i UNION ALL SELECT 6, round(index, 6) FROM k6_i""")
+def choice_of_k(spark, d):
+    """The index of two numbers of clusters, both in each scan."""
+    cells = lattice(spark, d)[0].select("cell_id", "features")
+    first = np.array([r.features for r in cells.where("cell_id <= 6").orderBy("cell_id").collect()])
+    found = kmeans.sweep(cells, [first[:3], first], passes=2, tol=0.0)
+    return spark.createDataFrame([(k, round(i, 6)) for k, (_, i) in zip((3, 6), found, strict=True)], "k int, index double")
+
+
 @query("davies_bouldin", f"""WITH {_POINTS}, c AS (SELECT label AS k, list_transform(range(1, 65), lambda i: list_avg(list_transform(es, lambda x: x[i]))) AS c
   FROM (SELECT label, list(e) AS es FROM pts GROUP BY 1)), s AS (SELECT label AS k, any_value(c) AS c, avg(sqrt({_dist("e", "c")})) AS s FROM pts JOIN c ON label = k GROUP BY 1),
 w AS (SELECT a.k, max((a.s + b.s) / sqrt({_dist("a.c", "b.c")})) AS w FROM s a JOIN s b ON a.k <> b.k GROUP BY 1)

@@ -134,3 +134,26 @@ def test_regularised_and_empty_components(spark):
     assert {r.cluster for r in model.labels(same).collect()} == {0} and np.isfinite(model.means).all()
     none = mixtures.DiagonalMixture(np.array([1.0]), np.zeros((1, 2)), np.ones((1, 2)))
     assert none.step(same.where(F.lit(False))).weights.tolist() == [1.0]
+
+
+def test_sweep_as_one_by_one(spark, monkeypatch):
+    """All numbers of clusters in one scan a pass, with the centres and indices of runs of their own."""
+    x, _, df, _, _ = blobs(spark)
+    scans = []
+    scan = kmeans._scan
+    monkeypatch.setattr(kmeans, "_scan", lambda *a: scans.append(1) or scan(*a))
+    found = kmeans.sweep(df, [x[:k] for k in (2, 3, 5)], passes=4, tol=0.0)
+    assert len(scans) == 6
+    for k, (centres, index) in zip((2, 3, 5), found, strict=True):
+        want = x[:k].copy()
+        for _ in range(4):
+            near = ((x[:, None] - want) ** 2).sum(axis=2).argmin(axis=1)
+            want = np.array([x[near == c].mean(axis=0) if (near == c).any() else want[c] for c in range(k)])
+        assert centres == pytest.approx(want)
+        near = ((x[:, None] - want) ** 2).sum(axis=2).argmin(axis=1)
+        mean = np.array([x[near == c].mean(axis=0) for c in range(k)])
+        spread = [np.sqrt(((x[near == c] - mean[c]) ** 2).sum(axis=1)).mean() for c in range(k)]
+        worst = [max((spread[i] + spread[j]) / np.linalg.norm(mean[i] - mean[j]) for j in range(k) if j != i) for i in range(k)]
+        assert index == pytest.approx(np.mean(worst))
+    best, index = kmeans.choose_k(df.where("features is not null"), [2, 3, 5], start="plus", passes=20)
+    assert set(index) == {2, 3, 5} and best == min(index, key=index.get)
