@@ -33,6 +33,13 @@ def undirected(faces: DataFrame) -> DataFrame:
     )
 
 
+def edge_weights(faces: DataFrame, order: Column | str, weight: str = "mass_flowrate") -> DataFrame:
+    """``c_id0 < c_id1, weight`` of the undirected graph: an edge given several times, either way round, has the weight it was given last in ``order``."""
+    last = F.max_by(F.struct(F.col(weight).alias("weight")), order)["weight"]
+    ends = F.least("c_id0", "c_id1").alias("c_id0"), F.greatest("c_id0", "c_id1").alias("c_id1")
+    return faces.where("c_id0 <> c_id1 and c_id0 <> -1 and c_id1 <> -1").groupBy(*ends).agg(last.alias("weight"))
+
+
 def adjacency(faces: DataFrame) -> DataFrame:
     """``cell_id, neighbour`` in both directions."""
     one = undirected(faces)

@@ -65,6 +65,12 @@ def boundary_flows(boundary: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def signed_flows(boundary: DataFrame, labels: DataFrame) -> DataFrame:
+    """``cluster, inlet, outlet`` with outlets below 0, of clusters that any mass enters or leaves through the boundary."""
+    found = boundary_flows(boundary.where("mass_flowrate <> 0"), labels)
+    return found.withColumn("outlet", F.when(F.col("outlet") == 0, F.lit(0.0)).otherwise(-F.col("outlet")))
+
+
 def inlet_streams(boundary: DataFrame, labels: DataFrame, streams: DataFrame) -> DataFrame:
     """``cluster, stream_id, mass`` of the streams that enter each cluster; zones without a stream are left out."""
     few = streams.select("zone_id", "stream_id")

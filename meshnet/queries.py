@@ -19,6 +19,7 @@ from meshnet.operators import compare, diffusion, filters, graph, kmeans, mesh,
 from meshnet.plans.scratch import new_path
 from meshnet.plans.tables import read_table
 from meshnet.sources import decks, fields, results, solver
+from meshnet.sources.named_files import write_named
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -221,6 +222,21 @@ def boundary_flows(spark, d):
     return rounded(mesh.boundary_flows(*boundary(spark, d)), 4, "inlet", "outlet")
 
 
+@query("signed_flows", f"""WITH {BOUNDARY}
+SELECT cluster, round(sum(CASE WHEN mass_flowrate > 0 THEN 0 ELSE -mass_flowrate END), 4) AS inlet,
+       round(-sum(CASE WHEN mass_flowrate > 0 THEN mass_flowrate ELSE 0 END), 4) + 0.0 AS outlet FROM boundary WHERE mass_flowrate <> 0 GROUP BY 1""")
+def signed_flows(spark, d):
+    return rounded(mesh.signed_flows(*boundary(spark, d)), 4, "inlet", "outlet")
+
+
+@query("edge_weights", """SELECT least(user_id, event_id % 40) AS c_id0, greatest(user_id, event_id % 40) AS c_id1, round(arg_max(value, event_id), 6) AS weight
+FROM events WHERE user_id <> event_id % 40 GROUP BY 1, 2""")
+def edge_weights(spark, d):
+    """Users and buckets of events as cells; the last event of a pair, either way round, gives its weight."""
+    faces = read_table(spark, d, "events").select(F.col("user_id").alias("c_id0"), (F.col("event_id") % 40).alias("c_id1"), F.col("value").alias("mass_flowrate"), "event_id")
+    return rounded(graph.edge_weights(faces, "event_id"), 6, "weight")
+
+
 INLETS = f"""{BOUNDARY}, inlets AS (
   SELECT cluster, zone_id - 3 AS stream_id, sum(-mass_flowrate) AS mass FROM boundary WHERE mass_flowrate < 0 AND zone_id IN (3, 4) GROUP BY 1, 2)"""
 
@@ -1234,10 +1250,8 @@ def _solver_folder(spark, d, *files: str) -> str:
         "ROPA.out": F.concat(F.lit("CO2 total\nCO other 1 2 3 4 5\nCO2 1 2 3 4 5 "), F.col("CO2").cast("string"), F.lit(" 8\nCO2 again 2 3 4 5 6\n")),
     }
     rows = graph.dense_labels(composition(spark, d).withColumnRenamed("brand", "cluster")).select("cluster", *(text[f].alias(f) for f in files))
-    # One folder a reactor, as the solver writes them: the network has tens of reactors.
-    for r in rows.collect():
-        for f in files:
-            spark.createDataFrame([(r[f],)], "value string").coalesce(1).write.text(f"{folder}/Reactor.{r.cluster}/{f}")
+    each = rows.unpivot(["cluster"], [f"`{f}`" for f in files], "name", "text").select(F.format_string("Reactor.%d/%s", "cluster", "name").alias("file"), "text")
+    write_named(each, folder, [])  # one folder a reactor, as the solver writes them
     return folder
 
 

@@ -65,6 +65,7 @@ def reactor_decks(reactors: DataFrame) -> DataFrame:
     has_inlet, initial = F.col("inlet").isNotNull(), F.coalesce("initial", F.lit(False)) & hot
     pre, own = F.coalesce("preprocessor", F.lit(False)), F.col("inlet.X")
     values = [_show(p, F.col(c).cast("long") if "%d" in p else F.col(c)) for c, p in VALUE_LINES]
+    # The blocks of a reactor's deck.
     head = F.concat(
         F.when(psr, "Dictionary PerfectlyStirredReactor \n { \n").otherwise("Dictionary PlugFlowReactor \n { \n"),
         F.lit("     @Type     "), kind, F.when(psr, "-ConstantPressure;\n").otherwise(";\n     @ConstantPressure   true;\n"),
@@ -246,6 +247,7 @@ def cgs_decks(reactors: DataFrame) -> DataFrame:
     if r.where(lacking).limit(1).count():
         raise ValueError("give at least two of volume, mass flow and residence time, of a PFR mass flow, length and diameter")
     hot = ~F.coalesce("isothermal", F.lit(False))
+    # The blocks of a reactor's deck in this dialect.
     head = F.concat(
         F.when(tube, "Dictionary PlugFlowReactor \n").otherwise("Dictionary PerfectlyStirredReactor \n"),
         F.lit("{ \n      @KineticsFolder     dummy; \n      @InletStatus        Inlet-Mixture; \n"),

@@ -1,7 +1,7 @@
 """A sink of text files under names of their own, side by side in one folder.
 
 Spark's text sink names its files itself; the solver of a network looks for
-given names. Rows are ``file, text``: the pieces of a file follow one another in
+given names, some in folders below. Rows are ``file, text``: the pieces of a file follow one another in
 one partition, and each task streams them, so a file of any size needs no more
 memory than a piece. Tasks write to a staging folder under a name of their
 attempt. The driver gets names alone, and moves the files of the attempts that
@@ -35,6 +35,10 @@ class Written(WriterCommitMessage):
     files: list[str]
 
 
+def _folder(path: str) -> str:
+    return path.rpartition("/")[0]
+
+
 class NamedTextWriter(DataSourceWriter):
     def __init__(self, folder: str, overwrite: bool):
         self.folder, self.overwrite = folder.rstrip("/"), overwrite
@@ -53,10 +57,9 @@ class NamedTextWriter(DataSourceWriter):
                 if not files or row.file != files[-1]:
                     if out:
                         out.close()
-                    if not row.file or "/" in row.file or row.file in files:
+                    if {"", ".", ".."} & set((row.file or "").split("/")) or row.file in files:
                         raise ValueError(f"{row.file!r} is no name of one file whose pieces follow one another")
-                    if not files:
-                        store.create_dir(root, recursive=True)
+                    store.create_dir(_folder(f"{root}/{row.file}"), recursive=True)
                     files.append(row.file)
                     out = store.open_output_stream(f"{root}/{row.file}")
                 out.write((row.text or "").encode())
@@ -69,10 +72,13 @@ class NamedTextWriter(DataSourceWriter):
         done = [(m.staged, f) for m in messages if m for f in m.files]
         names = [f for _, f in done]
         store, root = self._store(self.folder)
-        there = [] if self.overwrite else [i.base_name for i in store.get_file_info([f"{root}/{f}" for f in names]) if i.type != fs.FileType.NotFound]
+        found = [] if self.overwrite else store.get_file_info([f"{root}/{f}" for f in names])
+        there = [f for f, i in zip(names, found, strict=False) if i.type != fs.FileType.NotFound]
         if wrong := {f for f in names if names.count(f) > 1} if len(set(names)) < len(names) else set(there):
             self.abort(messages)
             raise ValueError(f"{', '.join(sorted(wrong)[:5])} would be written twice")
+        for folder in {_folder(f"{root}/{f}") for f in names}:
+            store.create_dir(folder, recursive=True)
         for staged, f in done:
             store.move(f"{self._store(staged)[1]}/{f}", f"{root}/{f}")
         self.abort(messages)

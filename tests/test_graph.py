@@ -98,6 +98,12 @@ def test_rounds_follow_the_logarithm(spark, monkeypatch):
         assert len(rounds) <= 2 * 16  # two tables a round
 
 
+def test_the_last_weight_of_an_edge(spark):
+    rows = [(1, 2, 0.5, 0), (2, 1, -0.25, 3), (1, 2, 9.0, 1), (3, 3, 1.0, 4), (2, 3, None, 6), (2, 3, 1.0, 5), (4, -1, 1.0, 7)]
+    faces = spark.createDataFrame(rows, "c_id0 long, c_id1 long, mass_flowrate double, at int").repartition(3)
+    assert {(r.c_id0, r.c_id1): r.weight for r in graph.edge_weights(faces, "at").collect()} == {(1, 2): -0.25, (2, 3): None}
+
+
 def test_cluster_components_and_study(spark):
     rng = random.Random(2)
     edges = lattice(8)

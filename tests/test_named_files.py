@@ -22,6 +22,14 @@ def test_pieces_in_order(spark, tmp_path):
     assert {r.file: r.text for r in read_named(spark, f"file://{folder}", "[ab]").collect()} == {k: v for k, v in files_of(folder).items() if k in "ab"}
 
 
+def test_folders_below(spark, tmp_path):
+    write_named(spark.createDataFrame([("r.0/a", 0, "0"), ("r.1/a", 0, "1"), ("b", 0, "2")], PIECES), str(tmp_path / "out"), ["n"])
+    assert {str(f.relative_to(tmp_path / "out")): f.read_text() for f in (tmp_path / "out").rglob("*") if f.is_file()} == {"r.0/a": "0", "r.1/a": "1", "b": "2"}
+    for bad in ("/a", "a/../../b", "a//b", ""):
+        with pytest.raises(Exception, match="no name"):
+            write_named(spark.createDataFrame([(bad, 0, "")], PIECES), str(tmp_path / "out"), ["n"])
+
+
 def test_taken_names(spark, tmp_path):
     folder, one = tmp_path / "out", spark.createDataFrame([("a", 0, "1"), ("b", 0, "1")], PIECES)
     write_named(one, str(folder), ["n"])
