@@ -76,23 +76,25 @@ def mass_split(flows: DataFrame, external: DataFrame | None = None) -> DataFrame
     if external is None:
         total = F.sum("mass").over(Window.partitionBy("src"))
         return flows.select("src", "dst", F.try_divide("mass", total).alias("ratio"))
+    flows = materialize(flows.select("src", "dst", "mass"), "flows")  # read for the totals and for the shares
     out = totals(flows, external).select(F.col("rid").alias("src"), (F.col("outgoing") + F.col("outlet")).alias("total"))
     return flows.join(out, "src").select("src", "dst", F.try_divide("mass", "total").alias("ratio"))
 
 
 def throughput(ratios: DataFrame, external: DataFrame, n: int | None = None) -> DataFrame:
     """``rid, M``: what passes each reactor when ``inlet`` enters and splits are ``ratios``: ``(I - ratio^T) M = inlet``."""
-    ends = ratios.select(F.col("src").alias("rid")).unionByName(ratios.select(F.col("dst").alias("rid"))).unionByName(external.select("rid"))
+    entries = materialize(ratios.groupBy(F.col("dst").alias("row"), F.col("src").alias("col")).agg(F.sum("ratio").alias("value")), "splits")
+    into = materialize(external.groupBy("rid").agg(F.sum("inlet").alias("b")), "inlets")
+    ends = entries.select(F.col("col").alias("rid")).unionByName(entries.select(F.col("row").alias("rid"))).unionByName(into.select("rid"))
     if n:
         ends = ends.unionByName(ratios.sparkSession.range(n).select(F.col("id").cast(external.schema["rid"].dataType).alias("rid")))
-    into = external.groupBy("rid").agg(F.sum("inlet").alias("b"))
     rhs = ends.distinct().join(into, "rid", "left").select("rid", F.coalesce("b", F.lit(0.0)).alias("b"))
-    entries = ratios.groupBy(F.col("dst").alias("row"), F.col("src").alias("col")).agg(F.sum("ratio").alias("value"))
-    return solve(materialize(entries, "splits"), rhs).withColumnRenamed("x", "M")
+    return solve(entries, rhs).withColumnRenamed("x", "M")
 
 
 def adapt_flows(ratios: DataFrame, external: DataFrame, n: int | None = None) -> DataFrame:
     """Flows that keep the split ``ratios`` under new inlets (see :func:`throughput`)."""
+    ratios = materialize(ratios.select("src", "dst", "ratio"), "ratios")
     through = throughput(ratios, external, n).withColumnRenamed("rid", "src")
     shares = ratios.groupBy("src", "dst").agg(F.sum("ratio").alias("ratio")).where("ratio <> 0")
     flows = shares.join(through, "src").select(F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"), (F.col("ratio") * F.col("M")).alias("mass"))

@@ -248,3 +248,19 @@ def test_mixture_fraction_between_two_streams(spark):
     solved = table(spark, [(0, {"CH4": 1.0}), (1, {"O2": 0.21, "N2": 0.79})], "rid int, X map<string,double>")
     got = {r.rid: r.mixture_fraction for r in pipeline.mixture_fraction_of_reactors(solved, ["CH4", "O2", "N2"], "CH4:1", "O2:0.233, N2:0.767").collect()}
     assert got == pytest.approx({0: 1.0, 1: 0.0}, abs=2e-3)
+
+
+def test_given_tables_are_scanned_once(spark):
+    """Flows and inlets that a query makes are made once, however often a solve reads them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for r in rows:
+            seen.add(1)
+            yield r
+
+    flows = spark.createDataFrame(spark.sparkContext.parallelize([(0, 1, 3.0), (1, 2, 2.0), (2, 1, 1.0)], 2).mapPartitions(count), "src int, dst int, mass double")
+    external = spark.createDataFrame([(0, 3.0, 0.0), (1, 0.0, 2.0), (2, 0.0, 1.0)], "rid int, inlet double, outlet double")
+    got = {(r.src, r.dst): r.mass for r in network.adapt_flows(network.mass_split(flows, external), external).collect()}
+    assert got == pytest.approx({(0, 1): 3.0, (1, 2): 2.0, (2, 1): 1.0})
+    assert seen.value == 3
