@@ -250,7 +250,11 @@ def test_mixture_fraction_between_two_streams(spark):
     assert got == pytest.approx({0: 1.0, 1: 0.0}, abs=2e-3)
 
 
-def test_given_tables_are_scanned_once(spark):
+@pytest.mark.parametrize("solved", [
+    lambda flows, external: network.adapt_flows(network.mass_split(flows, external), external),
+    lambda flows, external: network.adjust_flows(flows, external, 0.1),
+])
+def test_given_tables_are_scanned_once(spark, solved):
     """Flows and inlets that a query makes are made once, however often a solve reads them."""
     seen = spark.sparkContext.accumulator(0)
 
@@ -261,6 +265,6 @@ def test_given_tables_are_scanned_once(spark):
 
     flows = spark.createDataFrame(spark.sparkContext.parallelize([(0, 1, 3.0), (1, 2, 2.0), (2, 1, 1.0)], 2).mapPartitions(count), "src int, dst int, mass double")
     external = spark.createDataFrame([(0, 3.0, 0.0), (1, 0.0, 2.0), (2, 0.0, 1.0)], "rid int, inlet double, outlet double")
-    got = {(r.src, r.dst): r.mass for r in network.adapt_flows(network.mass_split(flows, external), external).collect()}
+    got = {(r.src, r.dst): r.mass for r in solved(flows, external).collect()}
     assert got == pytest.approx({(0, 1): 3.0, (1, 2): 2.0, (2, 1): 1.0})
     assert seen.value == 3
