@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshnet.operators.components import connected_components
+from meshnet.operators.components import connected_components, stars
 from meshnet.plans.scratch import materialize
 
 #: Tables of renamed parts that one plan joins; more are written on the way.
@@ -66,7 +66,7 @@ def cluster_components(faces: DataFrame, labels: DataFrame) -> DataFrame:
     first = labels.select(F.col("cell_id").alias("c_id0"), F.col("cluster").alias("k0"))
     second = labels.select(F.col("cell_id").alias("c_id1"), F.col("cluster").alias("k1"))
     inner = own.join(first, "c_id0").join(second, "c_id1").where("k0 = k1").select("c_id0", "c_id1")
-    parts = connected_components(inner, "c_id0", "c_id1").withColumnRenamed("node", "cell_id")
+    parts = connected_components(inner, "c_id0", "c_id1", near=True).withColumnRenamed("node", "cell_id")
     return labels.join(parts, "cell_id", "left").select(
         "cell_id", "cluster", F.coalesce("component", "cell_id").alias("component")
     )
@@ -120,19 +120,19 @@ class Quotient:
     """The quotient graph as tables.
 
     ``cells(cell_id, component)``; ``parts(part, cluster, size, volume, near[, sums])``, where ``near`` is the part of
-    a single cell's least neighbour and ``sums`` has the features of a part's cells added up; ``links(a, b, n)``, the
-    faces that two parts share, in both directions.
+    a single cell's least neighbour and ``sums`` has the features of a part's cells added up, ``width`` numbers;
+    ``links(a, b, n)``, the faces that two parts share, in both directions.
     """
 
     cells: DataFrame
     parts: DataFrame
     links: DataFrame
+    width: int = 0
 
 
-def _sums(rows: DataFrame, key: str, values: str) -> DataFrame:
-    """``key, sums``: arrays of ``values`` added up place by place."""
-    places = rows.select(key, F.posexplode(values).alias("i", "x")).groupBy(key, "i").agg(F.sum("x").alias("x"))
-    return places.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("sums"))
+def _sums(values: str, width: int) -> Column:
+    """An aggregate: arrays of ``width`` ``values`` added up place by place."""
+    return F.array(*(F.sum(F.get(values, i)) for i in range(width))).alias("sums")
 
 
 def quotient(faces: DataFrame, labels: DataFrame, volumes: DataFrame | None = None, features: DataFrame | None = None) -> Quotient:
@@ -152,10 +152,12 @@ def quotient(faces: DataFrame, labels: DataFrame, volumes: DataFrame | None = No
         .groupBy("part").agg(F.min("by").alias("by"))
     )
     parts = sizes.join(least, "part", "left").select("part", "cluster", "size", "volume", F.when(F.col("size") == 1, F.col("by.p")).alias("near"))
+    width = 0
     if features is not None:
         own = cells.select("cell_id", "component").join(features.select("cell_id", F.col("features").cast("array<double>").alias("x")), "cell_id")
-        parts = parts.join(_sums(own.withColumnRenamed("component", "part"), "part", "x"), "part", "left")
-    return Quotient(cells.select("cell_id", "component"), materialize(parts, "parts"), materialize(_both_ways(counts), "part_links"))
+        width = features.agg(F.max(F.size("features"))).first()[0] or 0
+        parts = parts.join(own.groupBy(F.col("component").alias("part")).agg(_sums("x", width)), "part", "left")
+    return Quotient(cells.select("cell_id", "component"), materialize(parts, "parts"), _both_ways(counts), width)
 
 
 def _most_shared(votes: Column, cluster: Column) -> Column:
@@ -175,13 +177,19 @@ def _ready(pending: DataFrame, touching: DataFrame, reach: int) -> DataFrame:
     return pending.join(blocked, "cluster", "left_anti")
 
 
-def _winners(moving: DataFrame, touching: DataFrame, parts: DataFrame, by_distance: bool) -> DataFrame:
+def _touching(links: DataFrame, parts: DataFrame) -> DataFrame:
+    """``links`` with the clusters ``ka`` and ``kb`` of their ends, written."""
+    side = lambda end: parts.select(F.col("part").alias(end), F.col("cluster").alias(f"k{end}"))
+    return materialize(links.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n", "ka", "kb"), "touching")
+
+
+def _winners(moving: DataFrame, touching: DataFrame, parts: DataFrame, by_distance: bool, width: int) -> DataFrame:
     """``part, best``: the adjacent cluster with most shared faces, or of nearest centroid; the least on ties."""
     votes = touching.join(moving.select(F.col("part").alias("a")), "a", "left_semi").groupBy("a", "kb").agg(F.sum("n").alias("n"))
     if not by_distance:
         return votes.groupBy(F.col("a").alias("part")).agg(_most_shared(F.col("n"), F.col("kb")).alias("best"))
-    counts = parts.groupBy("cluster").agg(F.sum("size").alias("cells"))
-    centres = _sums(parts, "cluster", "sums").join(counts, "cluster").select(F.col("cluster").alias("kb"), F.transform("sums", lambda x: x / F.col("cells")).alias("centre"))
+    whole = parts.groupBy("cluster").agg(_sums("sums", width), F.sum("size").alias("cells"))
+    centres = whole.select(F.col("cluster").alias("kb"), F.transform("sums", lambda x: x / F.col("cells")).alias("centre"))
     own = parts.select(F.col("part").alias("a"), F.transform("sums", lambda x: x / F.col("size")).alias("own"))
     far = F.aggregate(F.zip_with("centre", "own", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)
     return votes.join(centres, "kb").join(own, "a").groupBy(F.col("a").alias("part")).agg(F.min_by("kb", F.struct(far, "kb")).alias("best"))
@@ -202,43 +210,38 @@ def reassign_nodes(
     if method not in ("cells", "volume"):
         raise ValueError("method is cells or volume")
     q = quotient(faces, labels, volumes, features)
-    parts, links = q.parts, q.links
+    parts, touching = q.parts, _touching(q.links, q.parts)
     whole = parts.agg(F.sum("volume").alias("volume"), F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.count(F.lit(1)).alias("n")).first()
     merged: list[DataFrame] = []
     for _ in range(passes):
         # The largest component stays, that of the least cell on ties.
         stay = parts.groupBy("cluster").agg(F.max(F.struct("size", (-F.col("part")).alias("least"))).alias("top"), F.count(F.lit(1)).alias("n"))
         pending = materialize(stay.where("n > 1").select("cluster", (-F.col("top.least")).alias("main")), "pending")
-        if not pending.limit(1).count():
+        if pending.isEmpty():
             break
-        side = lambda end: parts.select(F.col("part").alias(end), F.col("cluster").alias(f"k{end}"))
-        touching = materialize(links.join(side("a"), "a").join(side("b"), "b"), "touching")
         moving = parts.join(_ready(pending, touching, 1 if features is None else 2), "cluster").where("part <> main")
         small = F.col("size") < most_cells if method == "cells" else F.col("volume") < share * whole.volume
         near = parts.select(F.col("part").alias("near"), F.col("cluster").alias("near_cluster"))
         best = F.when(small | (F.col("size") == 1), F.col("best"))
         if features is None:
             best = F.coalesce(F.when(F.col("size") == 1, F.col("near_cluster")), F.when(small, F.col("best")))
-        found = moving.join(_winners(moving, touching, parts, features is not None), "part", "left").join(near, "near", "left")
+        found = moving.join(_winners(moving, touching, parts, features is not None, q.width), "part", "left").join(near, "near", "left")
         moves = materialize(found.select("part", "cluster", "size", best.alias("target")), "moves")
         # New clusters are numbered above all others, in the order of the clusters they leave and of their size.
         rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("size"), "part"))
         new = moves.where("target is null").withColumn("target", F.lit(whole.high) + (F.col("cluster") - F.lit(whole.low)) * F.lit(whole.n) + rank)
-        moved = materialize(moves.where("target is not null").unionByName(new).select("part", "target"), "moved")
+        moved = moves.where("target is not null").unionByName(new).select("part", "target")
         joins = touching.join(moved.withColumnRenamed("part", "a"), "a").where("kb = target").select("a", "b")
-        names = materialize(
-            connected_components(joins, "a", "b").where("node <> component").select(F.col("node").alias("old"), F.col("component").alias("new")), "joined_parts"
-        )
+        names = stars(joins, "a", "b", near=True).select(F.col("node").alias("old"), F.col("component").alias("new"))
         merged.append(names)
         placed = parts.join(moved, "part", "left").withColumn("cluster", F.coalesce("target", "cluster")).drop("target")
         named = _renamed(_renamed(placed, "part", [names]), "near", [names])
         sums = [F.first("cluster").alias("cluster"), F.sum("size").alias("size"), F.sum("volume").alias("volume"), F.first("near").alias("near")]
-        together = named.groupBy("part").agg(*sums)
         if features is not None:
-            together = together.join(_sums(named, "part", "sums"), "part", "left")
-        parts = materialize(together, "parts")
-        ends = _renamed(_renamed(links, "a", [names]), "b", [names])
-        links = materialize(ends.where("a <> b").groupBy("a", "b").agg(F.sum("n").alias("n")), "part_links")
+            sums.append(_sums("sums", q.width))
+        parts = materialize(named.groupBy("part").agg(*sums), "parts")
+        ends = _renamed(_renamed(touching.select("a", "b", "n"), "a", [names]), "b", [names])
+        touching = _touching(ends.where("a <> b").groupBy("a", "b").agg(F.sum("n").alias("n")), parts)
     else:
         warnings.warn("clusters are still in parts after the last pass", stacklevel=2)
     final = _renamed(q.parts.select(F.col("part").alias("component"), "part"), "part", merged).join(parts.select("part", "cluster"), "part")

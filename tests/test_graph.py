@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 from itertools import pairwise
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -283,3 +284,29 @@ def test_parts_move_to_the_nearest_centroid(spark):
     assert got == dict(enumerate([0, 0, 1, 2, 2, 2]))
     got = {r.cell_id: r.cluster for r in graph.reassign_nodes(faces, own, volumes).collect()}
     assert got == dict(enumerate([0, 0, 1, 1, 2, 2]))
+
+
+def test_near_links_take_no_rounds(spark, monkeypatch):
+    """A cluster as long as its cells are many: nearby links are joined within tasks, which leaves no star to form."""
+    tests = []
+    ends = components._is_forest_of_stars
+    monkeypatch.setattr(components, "_is_forest_of_stars", lambda links: tests.append(1) or ends(links))
+    n = 3000
+    faces, own, _ = frames(spark, [(i, i + 1) for i in range(n - 1)], {c: int(c == 1000) for c in range(n)})
+    got = {r.cell_id: r.component for r in graph.cluster_components(faces, own).collect()}
+    assert got == {c: 0 if c < 1000 else 1000 if c == 1000 else 1001 for c in range(n)}
+    assert len(tests) == 1
+
+
+@pytest.mark.parametrize("kind", ["long", "int", "string"])
+def test_near_and_far_links_have_the_same_components(spark, kind, monkeypatch):
+    rng = random.Random(5)
+    edges = spark.createDataFrame([(rng.randrange(400), rng.randrange(400)) for _ in range(260)], "src long, dst long").selectExpr(f"cast(src as {kind}) src", f"cast(dst as {kind}) dst")
+    near = components.connected_components(edges, near=True)
+    assert near.schema["component"].dataType == edges.schema["src"].dataType
+    assert sorted(map(tuple, near.collect())) == sorted(map(tuple, components.connected_components(edges).collect()))
+    monkeypatch.setattr(components, "AT_ONCE", 10)  # stars of a few links at a time are stars of the same graph
+    rows = [(b, a) for a, b in ((i, i + 1) for i in range(35))]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[k : k + 4]]) for i in range(2)], names=["hi", "lo"]) for k in range(0, 35, 4)]
+    parts = [b.to_pylist() for b in components._join_some(iter(batches))]
+    assert len(parts) == 3 and sum(map(len, parts)) == 35
