@@ -27,7 +27,7 @@ def _is_forest_of_stars(links: DataFrame) -> bool:
         links.select(F.col("lo").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up"))
     )
     counts = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
-    return counts.where((F.col("down") > 1) | ((F.col("down") > 0) & (F.col("up") > 0))).limit(1).count() == 0
+    return counts.where((F.col("down") > 1) | ((F.col("down") > 0) & (F.col("up") > 0))).isEmpty()
 
 
 def _joined(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

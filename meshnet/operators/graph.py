@@ -244,8 +244,8 @@ def reassign_nodes(
         touching = _touching(ends.where("a <> b").groupBy("a", "b").agg(F.sum("n").alias("n")), parts)
     else:
         warnings.warn("clusters are still in parts after the last pass", stacklevel=2)
-    final = _renamed(q.parts.select(F.col("part").alias("component"), "part"), "part", merged).join(parts.select("part", "cluster"), "part")
-    return _dense_ints(q.cells.join(final.select("component", "cluster"), "component").select("cell_id", "cluster"))
+    final = _renamed(q.parts.select(F.col("part").alias("component"), "part"), "part", merged).join(_dense_ints(parts.select("part", "cluster")), "part")
+    return q.cells.join(materialize(final.select("component", "cluster"), "reassigned"), "component").select("cell_id", "cluster")
 
 
 def _dense_ints(labels: DataFrame) -> DataFrame:
@@ -276,9 +276,10 @@ def _contracted(nodes: DataFrame, links: DataFrame, names: DataFrame) -> tuple[D
 
 
 def _relabelled(labels: DataFrame, nodes: DataFrame, rounds: list[DataFrame]) -> DataFrame:
-    final = _renamed(nodes.select("cluster", F.col("cluster").alias("__to")), "__to", rounds)
-    own = labels.withColumn("cluster", F.col("cluster").cast("long")).join(final, "cluster")
-    return _dense_ints(own.select("cell_id", F.col("__to").alias("cluster")))
+    final = _renamed(nodes.select(F.col("cluster").alias("__old"), "cluster"), "cluster", rounds)
+    final = materialize(_dense_ints(final), "relabelled").withColumnRenamed("cluster", "__to")
+    own = labels.select("cell_id", F.col("cluster").cast("long").alias("__old")).join(final, "__old")
+    return own.select("cell_id", F.col("__to").alias("cluster"))
 
 
 def match_clusters(faces: DataFrame, labels: DataFrame, volumes: DataFrame, wanted: int) -> DataFrame:

@@ -310,3 +310,16 @@ def test_near_and_far_links_have_the_same_components(spark, kind, monkeypatch):
     batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[k : k + 4]]) for i in range(2)], names=["hi", "lo"]) for k in range(0, 35, 4)]
     parts = [b.to_pylist() for b in components._join_some(iter(batches))]
     assert len(parts) == 3 and sum(map(len, parts)) == 35
+
+
+def test_new_labels_are_one_join_of_the_cells(spark):
+    """However many rounds moved and merged parts, who reads the labels joins cells with a finished table, once a step."""
+    n = 9
+    faces, own, volumes = frames(spark, [(i, i + 1) for i in range(n - 1)], {c: c % 3 for c in range(n)})
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    moved = graph.reassign_nodes(faces, own, volumes)
+    assert joins(moved) == 1
+    merged = graph.match_clusters(faces, moved, volumes, 2)
+    assert joins(merged) == 2
+    got = {r.cell_id: r.cluster for r in merged.collect()}
+    assert len(got) == n and set(got.values()) == {0, 1} and graph.clusters_connected(faces, merged)
