@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
@@ -60,22 +60,39 @@ def _join_some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stars()
 
 
+def _whole_numbers(links: DataFrame) -> bool:
+    return all(isinstance(links.schema[c].dataType, IntegralType) for c in ("hi", "lo"))
+
+
+def _in_tasks(links: DataFrame) -> DataFrame:
+    """``links`` of whole numbers, those of each task joined to stars."""
+    ship_package(links.sparkSession)
+    kinds = {c: links.schema[c].dataType for c in ("hi", "lo")}
+    longs = links.select(*(F.col(c).cast("long").alias(c) for c in kinds))
+    return longs.mapInArrow(_join_some, "hi long, lo long").select(*(F.col(c).cast(t).alias(c) for c, t in kinds.items()))
+
+
 def _near_links_joined(links: DataFrame) -> DataFrame:
     """Links of the same components, those of nearby numbers joined to stars by the task that has them."""
-    kinds = {c: links.schema[c].dataType for c in ("hi", "lo")}
-    if not all(isinstance(t, IntegralType) for t in kinds.values()):
-        return links.distinct()
-    ship_package(links.sparkSession)
-    ranges = links.select(*(F.col(c).cast("long").alias(c) for c in kinds)).repartitionByRange("lo", "hi")
-    return ranges.mapInArrow(_join_some, "hi long, lo long").select(*(F.col(c).cast(t).alias(c) for c, t in kinds.items()))
+    return _in_tasks(links.repartitionByRange("lo", "hi")) if _whole_numbers(links) else links.distinct()
 
 
-def stars(edges: DataFrame, src: str = "src", dst: str = "dst", near: bool = False) -> DataFrame:
-    """``node, component`` of every node that is not the smallest of its component; see :func:`connected_components`."""
+def stars(edges: DataFrame, src: str = "src", dst: str = "dst", near: bool = False, most: int | None = None) -> DataFrame:
+    """``node, component`` of every node that is not the smallest of its component; see :func:`connected_components`.
+
+    ``most`` bounds the number of edges, if that is known. Up to ``AT_ONCE`` are joined by one task, in no rounds.
+    """
     a, b = F.col(src), F.col(dst)
     links = edges.where(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
-    links = materialize(_near_links_joined(links) if near else links.distinct(), "links")
+    near = near and _whole_numbers(links)
+    if near and most is not None and most <= AT_ONCE:
+        return _in_tasks(links.coalesce(1)).select(F.col("hi").alias("node"), F.col("lo").alias("component"))
+    left = Observation()
+    links = materialize((_near_links_joined(links) if near else links.distinct()).observe(left, F.count(F.lit(1)).alias("n")), "links")
     while not _is_forest_of_stars(links):
+        if near and left.get["n"] <= AT_ONCE:
+            links = materialize(_in_tasks(links.coalesce(1)), "links")
+            break
         large = links.join(_least(links), F.col("lo") == F.col("node"), "left")
         large = materialize(large.select("hi", F.coalesce("least", "lo").alias("lo")).distinct(), "links")  # read twice
         least = _least(large)
@@ -95,7 +112,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", n
     more links than at first. They are written once a round, which cuts the
     plan; nothing but the test for the end reaches the driver. With ``near``,
     for graphs whose edges mostly go to nearby numbers, ranges of links are
-    joined within tasks first, which leaves rounds for what crosses ranges.
+    joined within tasks first, which leaves for rounds what crosses ranges, or
+    for one task if those are at most ``AT_ONCE`` links.
     """
     a, b = F.col(src), F.col(dst)
     loops = edges.where(a == b).select(a.alias("node"), a.alias("component"))

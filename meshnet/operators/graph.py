@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import warnings
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from meshnet.operators.components import connected_components, stars
@@ -60,16 +61,22 @@ def weighted_edges(faces: DataFrame, features: DataFrame, scale: float = 1e-6) -
     return undirected(faces).join(side(0), "c_id0").join(side(1), "c_id1").select("c_id0", "c_id1", (square / scale).alias("weight"))
 
 
-def cluster_components(faces: DataFrame, labels: DataFrame) -> DataFrame:
-    """``cell_id, cluster, component``: parts of each cluster that faces within it connect, named by their least cell."""
-    own = undirected(faces)
+def _with_clusters(faces: DataFrame, labels: DataFrame) -> DataFrame:
+    """``c_id0 < c_id1, k0, k1``: each pair with its clusters, written."""
     first = labels.select(F.col("cell_id").alias("c_id0"), F.col("cluster").alias("k0"))
     second = labels.select(F.col("cell_id").alias("c_id1"), F.col("cluster").alias("k1"))
-    inner = own.join(first, "c_id0").join(second, "c_id1").where("k0 = k1").select("c_id0", "c_id1")
-    parts = connected_components(inner, "c_id0", "c_id1", near=True).withColumnRenamed("node", "cell_id")
-    return labels.join(parts, "cell_id", "left").select(
-        "cell_id", "cluster", F.coalesce("component", "cell_id").alias("component")
-    )
+    return materialize(undirected(faces).join(first, "c_id0").join(second, "c_id1").select("c_id0", "c_id1", "k0", "k1"), "faces")
+
+
+def _components(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``labels`` with the ``component`` that the ``pairs`` of :func:`_with_clusters` give."""
+    parts = stars(pairs.where("k0 = k1"), "c_id0", "c_id1", near=True).withColumnRenamed("node", "cell_id")
+    return labels.join(parts, "cell_id", "left").select("cell_id", "cluster", F.coalesce("component", "cell_id").alias("component"))
+
+
+def cluster_components(faces: DataFrame, labels: DataFrame) -> DataFrame:
+    """``cell_id, cluster, component``: parts of each cluster that faces within it connect, named by their least cell."""
+    return _components(_with_clusters(faces, labels), labels)
 
 
 def components_per_cluster(faces: DataFrame, labels: DataFrame) -> DataFrame:
@@ -119,14 +126,15 @@ def _both_ways(pairs: DataFrame) -> DataFrame:
 class Quotient:
     """The quotient graph as tables.
 
-    ``cells(cell_id, component)``; ``parts(part, cluster, size, volume, near[, sums])``, where ``near`` is the part of
-    a single cell's least neighbour and ``sums`` has the features of a part's cells added up, ``width`` numbers;
-    ``links(a, b, n)``, the faces that two parts share, in both directions.
+    ``cells(cell_id, component)``; ``graph(a, b, ka, kb, ca, cb, n, size, volume)`` with a row for each part, where
+    ``a = b``, and one for two parts ``a < b`` that share ``n`` faces, ``ka`` and ``kb`` their clusters, ``ca`` and
+    ``cb`` the least cells of either beside the other; ``sums(part, cluster, size, sums)`` has the features of a part's
+    cells added up, ``width`` numbers.
     """
 
     cells: DataFrame
-    parts: DataFrame
-    links: DataFrame
+    graph: DataFrame
+    sums: DataFrame | None = None
     width: int = 0
 
 
@@ -135,29 +143,42 @@ def _sums(values: str, width: int) -> Column:
     return F.array(*(F.sum(F.get(values, i)) for i in range(width))).alias("sums")
 
 
+def _graph_of(rows: DataFrame) -> DataFrame:
+    """The rows of the same two parts as one; faces within a part are no link."""
+    link = F.col("a") != F.col("b")
+    ends = lambda a, b: F.struct(*(F.col(f"{c}{x}").alias(f"{c}{y}") for c in ("", "k", "c") for x, y in ((a, "a"), (b, "b"))))
+    ordered = rows.select(F.when(F.col("a") <= F.col("b"), ends("a", "b")).otherwise(ends("b", "a")).alias("e"), "n", "size", "volume")
+    return (
+        ordered.select("e.*", "n", "size", "volume").groupBy("a", "b")
+        .agg(*(F.first(k).alias(k) for k in ("ka", "kb")), *(F.min(c).alias(c) for c in ("ca", "cb")), *(F.sum(v).alias(v) for v in ("n", "size", "volume")))
+        .withColumns({c: F.when(link, F.col(c)) for c in ("ca", "cb", "n")})
+    )
+
+
 def quotient(faces: DataFrame, labels: DataFrame, volumes: DataFrame | None = None, features: DataFrame | None = None) -> Quotient:
     """The quotient graph of the components of all clusters."""
-    cells = cluster_components(faces, labels)
+    pairs = _with_clusters(faces, labels)
+    cells = _components(pairs, labels)
     cells = cells.join(volumes.select("cell_id", "volume"), "cell_id") if volumes is not None else cells.withColumn("volume", F.lit(1.0))
     cells = materialize(cells, "cell_parts")
-    sizes = cells.groupBy(F.col("component").alias("part")).agg(
-        F.first("cluster").cast("long").alias("cluster"), F.count(F.lit(1)).alias("size"), F.sum("volume").alias("volume")
-    )
     part = lambda end: cells.select(F.col("cell_id").alias(f"c_id{end}"), F.col("component").alias(f"p{end}"))
-    between = materialize(undirected(faces).join(part(0), "c_id0").join(part(1), "c_id1").where("p0 <> p1"), "part_faces")
-    counts = between.groupBy(F.least("p0", "p1").alias("a"), F.greatest("p0", "p1").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    least = (
-        between.select(F.col("p0").alias("part"), F.struct(F.col("c_id1").alias("c"), F.col("p1").alias("p")).alias("by"))
-        .unionByName(between.select(F.col("p1").alias("part"), F.struct(F.col("c_id0").alias("c"), F.col("p0").alias("p")).alias("by")))
-        .groupBy("part").agg(F.min("by").alias("by"))
-    )
-    parts = sizes.join(least, "part", "left").select("part", "cluster", "size", "volume", F.when(F.col("size") == 1, F.col("by.p")).alias("near"))
-    width = 0
-    if features is not None:
-        own = cells.select("cell_id", "component").join(features.select("cell_id", F.col("features").cast("array<double>").alias("x")), "cell_id")
-        width = features.agg(F.max(F.size("features"))).first()[0] or 0
-        parts = parts.join(own.groupBy(F.col("component").alias("part")).agg(_sums("x", width)), "part", "left")
-    return Quotient(cells.select("cell_id", "component"), materialize(parts, "parts"), _both_ways(counts), width)
+    between = pairs.where("k0 <> k1").join(part(0), "c_id0").join(part(1), "c_id1")
+    rows = {
+        "a": "p0", "b": "p1", "ka": "cast(k0 as long)", "kb": "cast(k1 as long)", "ca": "c_id0", "cb": "c_id1",
+        "n": "1L", "size": "cast(null as long)", "volume": "cast(null as double)",
+    }
+    own = {
+        "a": "component", "b": "component", "ka": "cast(cluster as long)", "kb": "cast(cluster as long)", "ca": "cell_id", "cb": "cell_id",
+        "n": "0L", "size": "1L", "volume": "cast(volume as double)",
+    }
+    exprs = lambda columns: [f"{e} as {c}" for c, e in columns.items()]
+    graph = materialize(_graph_of(between.selectExpr(*exprs(rows)).unionByName(cells.selectExpr(*exprs(own)))), "graph")
+    if features is None:
+        return Quotient(cells.select("cell_id", "component"), graph)
+    like = cells.select("cell_id", "component", "cluster").join(features.select("cell_id", F.col("features").cast("array<double>").alias("x")), "cell_id")
+    width = features.agg(F.max(F.size("features"))).first()[0] or 0
+    sums = like.groupBy(F.col("component").alias("part")).agg(F.first("cluster").cast("long").alias("cluster"), F.count(F.lit(1)).alias("size"), _sums("x", width))
+    return Quotient(cells.select("cell_id", "component"), graph, materialize(sums, "sums"), width)
 
 
 def _most_shared(votes: Column, cluster: Column) -> Column:
@@ -165,34 +186,62 @@ def _most_shared(votes: Column, cluster: Column) -> Column:
     return F.max_by(cluster, F.struct(votes, -cluster))
 
 
-def _ready(pending: DataFrame, touching: DataFrame, reach: int) -> DataFrame:
-    """Of ``pending(cluster, ...)`` those that no lesser pending cluster is beside, or within two steps if ``reach`` is 2."""
-    beside = touching.select(F.col("ka").alias("cluster"), F.col("kb").alias("other")).distinct()
+def _ready(graph: DataFrame, reach: int) -> DataFrame:
+    """``cluster, main`` of clusters in parts that no lesser such cluster is beside, or within two steps if ``reach`` is 2.
+
+    ``main`` is the largest part, that of the least cell on ties.
+    """
+    top = F.max(F.struct("size", (-F.col("a")).alias("least"))).alias("top")
+    known = graph.groupBy(F.least("ka", "kb").alias("cluster"), F.greatest("ka", "kb").alias("other")).agg(top, F.count(F.lit(1)).alias("n"))
+    known = materialize(known, "beside")  # small: two clusters a row
+    pending = known.where("cluster = other and n > 1").select("cluster", (-F.col("top.least")).alias("main"))
+    beside = known.where("cluster <> other").select("cluster", "other")
     if reach == 2:
-        beside = materialize(beside, "beside")
+        beside = beside.unionByName(beside.select(F.col("other").alias("cluster"), F.col("cluster").alias("other")))
         second = beside.join(beside.select(F.col("cluster").alias("other"), F.col("other").alias("third")), "other")
-        beside = beside.unionByName(second.select("cluster", F.col("third").alias("other"))).distinct()
-    waiting = pending.select(F.col("cluster").alias("other"))
-    blocked = beside.where("other < cluster").join(waiting, "other", "left_semi").select("cluster").distinct()
+        beside = beside.unionByName(second.select("cluster", F.col("third").alias("other"))).where("cluster < other").distinct()
+    blocked = beside.join(pending.select("cluster"), "cluster", "left_semi").select(F.col("other").alias("cluster"))
     return pending.join(blocked, "cluster", "left_anti")
 
 
-def _touching(links: DataFrame, parts: DataFrame) -> DataFrame:
-    """``links`` with the clusters ``ka`` and ``kb`` of their ends, written."""
-    side = lambda end: parts.select(F.col("part").alias(end), F.col("cluster").alias(f"k{end}"))
-    return materialize(links.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n", "ka", "kb"), "touching")
+def _leaving(graph: DataFrame, ready: DataFrame) -> DataFrame:
+    """``a, b, ka, kb, cb, n, size, volume``: the rows of all parts ``a`` that leave the clusters of ``ready``, links with ``b`` the other end."""
+    one = F.struct("a", "b", "ka", "kb", "cb", "n", "size", "volume")
+    back = F.struct(*(F.col(x).alias(y) for x, y in (("b", "a"), ("a", "b"), ("kb", "ka"), ("ka", "kb"), ("ca", "cb"))), "n", "size", "volume")
+    ways = graph.select(F.inline(F.when(F.col("a") == F.col("b"), F.array(one)).otherwise(F.array(one, back))))
+    return ways.join(ready.withColumnRenamed("cluster", "ka"), "ka").where("a <> main").drop("main")
 
 
-def _winners(moving: DataFrame, touching: DataFrame, parts: DataFrame, by_distance: bool, width: int) -> DataFrame:
-    """``part, best``: the adjacent cluster with most shared faces, or of nearest centroid; the least on ties."""
-    votes = touching.join(moving.select(F.col("part").alias("a")), "a", "left_semi").groupBy("a", "kb").agg(F.sum("n").alias("n"))
-    if not by_distance:
-        return votes.groupBy(F.col("a").alias("part")).agg(_most_shared(F.col("n"), F.col("kb")).alias("best"))
-    whole = parts.groupBy("cluster").agg(_sums("sums", width), F.sum("size").alias("cells"))
+def _distances(leaving: DataFrame, sums: DataFrame, width: int) -> DataFrame:
+    """``leaving`` with ``far``: the squared distance of a part to the centroid of the cluster at the other end."""
+    whole = sums.groupBy("cluster").agg(_sums("sums", width), F.sum("size").alias("cells"))
     centres = whole.select(F.col("cluster").alias("kb"), F.transform("sums", lambda x: x / F.col("cells")).alias("centre"))
-    own = parts.select(F.col("part").alias("a"), F.transform("sums", lambda x: x / F.col("size")).alias("own"))
+    own = sums.select(F.col("part").alias("a"), F.transform("sums", lambda x: x / F.col("size")).alias("own"))
     far = F.aggregate(F.zip_with("centre", "own", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)
-    return votes.join(centres, "kb").join(own, "a").groupBy(F.col("a").alias("part")).agg(F.min_by("kb", F.struct(far, "kb")).alias("best"))
+    return leaving.join(centres, "kb", "left").join(own, "a", "left").withColumn("far", far).drop("centre", "own")
+
+
+def _moves(leaving: DataFrame, small: Column, by_distance: bool) -> DataFrame:
+    """``a, b, ka, size, target``: where each part goes, where ``a = b``, and the links that this puts within a cluster."""
+    own = Window.partitionBy("a")
+    link = F.col("a") != F.col("b")
+    rows = leaving.repartition("a").withColumn("votes", F.sum("n").over(Window.partitionBy("a", "kb")))
+    if by_distance:
+        best = F.min(F.when(link, F.struct("far", "kb"))).over(own)["kb"]
+        target = F.when(small | (F.col("size") == 1), F.col("best"))
+    else:
+        best = -F.max(F.when(link, F.struct("votes", (-F.col("kb")).alias("least")))).over(own)["least"]
+        target = F.coalesce(F.when(F.col("size") == 1, F.col("beside")), F.when(small, F.col("best")))
+    beside = F.min(F.when(link, F.struct("cb", "kb"))).over(own)["kb"]
+    known = rows.select("a", "b", "ka", "kb", best.alias("best"), beside.alias("beside"), *(F.max(v).over(own).alias(v) for v in ("size", "volume")))
+    return known.select("a", "b", "ka", "kb", "size", target.alias("target")).where("a = b or kb = target").drop("kb")
+
+
+def _changed(rows: DataFrame, changed: DataFrame, part: str, cluster: str) -> DataFrame:
+    """``rows`` with the parts and clusters of ``changed(old, cluster, new)``, where those are not null."""
+    to = changed.select(F.col("old").alias(part), F.col("cluster").alias("__cluster"), F.col("new").alias("__new"))
+    columns = {part: F.coalesce("__new", part), cluster: F.coalesce("__cluster", cluster)}
+    return rows.join(to, part, "left").withColumns(columns).drop("__cluster", "__new")
 
 
 def reassign_nodes(
@@ -210,41 +259,48 @@ def reassign_nodes(
     if method not in ("cells", "volume"):
         raise ValueError("method is cells or volume")
     q = quotient(faces, labels, volumes, features)
-    parts, touching = q.parts, _touching(q.links, q.parts)
-    whole = parts.agg(F.sum("volume").alias("volume"), F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.count(F.lit(1)).alias("n")).first()
+    graph, sums = q.graph, q.sums
+    parts = graph.where("a = b")
+    whole = parts.agg(F.sum("volume").alias("volume"), F.min("ka").alias("low"), F.max("ka").alias("high"), F.count(F.lit(1)).alias("n")).first()
+    small = F.col("size") < most_cells if method == "cells" else F.col("volume") < share * whole.volume
     merged: list[DataFrame] = []
+    renamed = 0
     for _ in range(passes):
-        # The largest component stays, that of the least cell on ties.
-        stay = parts.groupBy("cluster").agg(F.max(F.struct("size", (-F.col("part")).alias("least"))).alias("top"), F.count(F.lit(1)).alias("n"))
-        pending = materialize(stay.where("n > 1").select("cluster", (-F.col("top.least")).alias("main")), "pending")
-        if pending.isEmpty():
+        leaving = _leaving(graph, _ready(graph, 1 if sums is None else 2))
+        if sums is not None:
+            leaving = _distances(leaving, sums, q.width)
+        rows = materialize(_moves(leaving, small, sums is not None), "moves")
+        moves, joins = rows.where("a = b").select("a", "ka", "size", "target"), rows.where("a <> b")
+        seen = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("a = b and target is null")).alias("new"), F.count_if(F.expr("a <> b")).alias("joins")).first()
+        if not seen.n:
             break
-        moving = parts.join(_ready(pending, touching, 1 if features is None else 2), "cluster").where("part <> main")
-        small = F.col("size") < most_cells if method == "cells" else F.col("volume") < share * whole.volume
-        near = parts.select(F.col("part").alias("near"), F.col("cluster").alias("near_cluster"))
-        best = F.when(small | (F.col("size") == 1), F.col("best"))
-        if features is None:
-            best = F.coalesce(F.when(F.col("size") == 1, F.col("near_cluster")), F.when(small, F.col("best")))
-        found = moving.join(_winners(moving, touching, parts, features is not None, q.width), "part", "left").join(near, "near", "left")
-        moves = materialize(found.select("part", "cluster", "size", best.alias("target")), "moves")
-        # New clusters are numbered above all others, in the order of the clusters they leave and of their size.
-        rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("size"), "part"))
-        new = moves.where("target is null").withColumn("target", F.lit(whole.high) + (F.col("cluster") - F.lit(whole.low)) * F.lit(whole.n) + rank)
-        moved = moves.where("target is not null").unionByName(new).select("part", "target")
-        joins = touching.join(moved.withColumnRenamed("part", "a"), "a").where("kb = target").select("a", "b")
-        names = stars(joins, "a", "b", near=True).select(F.col("node").alias("old"), F.col("component").alias("new"))
-        merged.append(names)
-        placed = parts.join(moved, "part", "left").withColumn("cluster", F.coalesce("target", "cluster")).drop("target")
-        named = _renamed(_renamed(placed, "part", [names]), "near", [names])
-        sums = [F.first("cluster").alias("cluster"), F.sum("size").alias("size"), F.sum("volume").alias("volume"), F.first("near").alias("near")]
-        if features is not None:
-            sums.append(_sums("sums", q.width))
-        parts = materialize(named.groupBy("part").agg(*sums), "parts")
-        ends = _renamed(_renamed(touching.select("a", "b", "n"), "a", [names]), "b", [names])
-        touching = _touching(ends.where("a <> b").groupBy("a", "b").agg(F.sum("n").alias("n")), parts)
+        if seen.new:
+            # New clusters are numbered above all others, in the order of the clusters they leave and of their size.
+            rank = F.row_number().over(Window.partitionBy("ka").orderBy(F.desc("size"), "a"))
+            new = moves.where("target is null").withColumn("target", F.lit(whole.high) + (F.col("ka") - F.lit(whole.low)) * F.lit(whole.n) + rank)
+            moves = moves.where("target is not null").unionByName(new)
+        names = stars(joins, "a", "b", near=True, most=seen.joins).select(F.col("node").alias("old"), F.lit(None).cast("long").alias("cluster"), F.col("component").alias("new"))
+        changed = moves.select(F.col("a").alias("old"), F.col("target").alias("cluster"), F.lit(None).cast(names.schema["new"].dataType).alias("new"))
+        changed = changed.unionByName(names).groupBy("old").agg(F.max("cluster").alias("cluster"), F.max("new").alias("new"))
+        told = Observation()
+        changed = materialize(changed.observe(told, F.count("new").alias("n")), "changed")
+        renamed += told.get["n"]
+        merged.append(changed.where("new is not null").select("old", "new"))
+        graph = materialize(_graph_of(_changed(_changed(graph, changed, "a", "ka"), changed, "b", "kb")), "graph")
+        if sums is not None:
+            own = _changed(sums, changed, "part", "cluster").groupBy("part")
+            sums = materialize(own.agg(F.first("cluster").alias("cluster"), F.sum("size").alias("size"), _sums("sums", q.width)), "sums")
     else:
         warnings.warn("clusters are still in parts after the last pass", stacklevel=2)
-    final = _renamed(q.parts.select(F.col("part").alias("component"), "part"), "part", merged).join(_dense_ints(parts.select("part", "cluster")), "part")
+    first = q.graph.where("a = b").select(F.col("a").alias("component"))
+    if merged:
+        # Parts are named by their least cell, so the last name is the least of all that were merged.
+        names = stars(reduce(DataFrame.unionByName, merged), "old", "new", near=True, most=renamed)
+        first = first.join(names.select(F.col("node").alias("component"), F.col("component").alias("part")), "component", "left")
+        first = first.select("component", F.coalesce("part", "component").alias("part"))
+    else:
+        first = first.withColumn("part", F.col("component"))
+    final = first.join(_dense_ints(graph.where("a = b").select(F.col("a").alias("part"), F.col("ka").alias("cluster"))), "part")
     return q.cells.join(materialize(final.select("component", "cluster"), "reassigned"), "component").select("cell_id", "cluster")
 
 

@@ -323,3 +323,29 @@ def test_new_labels_are_one_join_of_the_cells(spark):
     assert joins(merged) == 2
     got = {r.cell_id: r.cluster for r in merged.collect()}
     assert len(got) == n and set(got.values()) == {0, 1} and graph.clusters_connected(faces, merged)
+
+
+def test_a_round_writes_four_tables_and_forms_no_stars(spark, monkeypatch):
+    """The few links that a round puts within clusters are joined by one task, whatever the number of rounds."""
+    written, tests = [], []
+    for module in (graph, components):
+        monkeypatch.setattr(module, "materialize", lambda df, label: written.append(label) or materialize(df, label))
+    ends = components._is_forest_of_stars
+    monkeypatch.setattr(components, "_is_forest_of_stars", lambda links: tests.append(1) or ends(links))
+    edges, labels = [(i, i + 1) for i in range(11)], {c: c % 4 for c in range(12)}
+    faces, own, volumes = frames(spark, edges, labels)
+    got = {r.cell_id: r.cluster for r in graph.reassign_nodes(faces, own, volumes).collect()}
+    assert got == slow_reassign(edges, labels, 1000)
+    rounds = written.count("moves") - 1  # the last one finds nothing to move
+    assert rounds > 1 and len(tests) == 1  # the components of the cells
+    assert len(written) <= 4 * rounds + 8
+
+
+def test_many_links_are_joined_in_rounds(spark, monkeypatch):
+    """More links than a task takes; cells without a neighbour become clusters."""
+    monkeypatch.setattr(components, "AT_ONCE", 0)
+    rng = random.Random(3)
+    edges, labels = lattice(4), {c: rng.randrange(3) for c in range(16)} | {40: 0, 41: 1, 42: 1}
+    faces, own, volumes = frames(spark, edges, labels)
+    got = {r.cell_id: r.cluster for r in graph.reassign_nodes(faces, own, volumes).collect()}
+    assert got == slow_reassign(edges, labels, 1000)
